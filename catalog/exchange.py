@@ -168,7 +168,7 @@ SPOT_CONTEXT = f"""{fx.SPOT}, spot_context AS (
 
 @query(
     "w6_index_context",
-    "dt:d spot:f8 spot_ret_5d:f spot_sma20:f8 spot_vs_sma20:f",
+    "dt:d spot:f8 spot_ret_5d:f spot_sma20:f3 spot_vs_sma20:f",
     f"WITH {SPOT_CONTEXT} SELECT * FROM spot_context",
 )
 def _(t):

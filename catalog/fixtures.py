@@ -25,8 +25,11 @@ def ticker_of(column: str):
     return F.concat(F.lit("S"), F.lpad(F.col(column).cast("string"), 12, "0"))
 
 
-def bars(t: Tables) -> DataFrame:
+def bars(t: Tables, period: str | None = None) -> DataFrame:
+    """Daily bars of every supplier, or bars per calendar period such as ``week``."""
     day, price, key = F.to_date("l_shipdate"), line_price(), line_key()
+    if period:
+        day = F.to_date(F.date_trunc(period, "l_shipdate"))
     return (
         t.lineitem.groupBy("l_suppkey", day.alias("ts"))
         .agg(
@@ -49,6 +52,8 @@ BARS = """bars AS (
                row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem)
   GROUP BY 1, 2)"""
 
+WEEKLY_BARS = BARS.replace("CAST(l_shipdate AS DATE)", "CAST(date_trunc('week', l_shipdate) AS DATE)")
+
 
 def sectors(t: Tables) -> DataFrame:
     return t.supplier.select(ticker_of("s_suppkey").alias("ticker"), F.col("s_nationkey").alias("sector"))

@@ -2,5 +2,5 @@
 
 import importlib
 
-for _area in ("exchange", "labels"):
+for _area in ("exchange", "labels", "metrics", "tables", "portfolio"):
     importlib.import_module(f"catalog.{_area}")

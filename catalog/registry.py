@@ -47,7 +47,8 @@ def _spark_column(name: str, kind: str):
         out = c.cast("boolean")
     else:
         scale = 10.0 ** int(kind[1:] or 6)
-        out = F.floor(c.cast("double") * scale + 0.5) / scale
+        value = c.cast("double")
+        out = F.floor(F.when(~F.isnan(value), value) * scale + 0.5) / scale
     return out.alias(name)
 
 

@@ -87,3 +87,231 @@ def accuracy(df: DataFrame, label: str, score: str, by: Sequence[str] = (), thre
         F.avg(F.when(predicted == F.col(label), 1.0).otherwise(0.0)).alias("accuracy"),
         F.avg(F.col(label).cast("double")).alias("positive_rate"),
     ).drop("_g")
+
+
+GAP_METRICS = ("ic_spearman", "top_decile", "spread", "auc", "balanced_accuracy")
+
+
+def fold_metrics(predictions: DataFrame, by: Sequence[str], label: str = "label", score: str = "prediction",
+                 target: str = "target_value", ret: str = "realized_return") -> DataFrame:
+    """Rows, rank correlation, decile returns, AUC and balanced accuracy per fold key."""
+    keys = list(by)
+    ic = spearman(predictions, score, target, keys).drop("pairs")
+    deciles = decile_spread(predictions, score, ret, keys)
+    auc = roc_auc(predictions, label, score, keys)
+    balanced = balanced_accuracy(predictions, label, score, keys).drop("rows")
+    return auc.join(ic, keys, "left").join(deciles, keys, "left").join(balanced, keys, "left")
+
+
+def real_vs_shuffled(real: DataFrame, shuffled: DataFrame, key: str = "experiment_id") -> DataFrame:
+    """Full outer join of the two summaries with the gap of every shared metric."""
+    out = real.join(shuffled, key, "full")
+    gaps = [
+        (F.col(f"real_{m}") - F.col(f"shuf_{m}")).alias(f"gap_{m}")
+        for m in GAP_METRICS
+        if f"real_{m}" in out.columns and f"shuf_{m}" in out.columns
+    ]
+    return out.select("*", *gaps)
+
+
+def promoted(compare: DataFrame, name: str = "promoted") -> DataFrame:
+    """True when every available check holds; false when none is available."""
+    # fixed values: floor of each check
+    floors = {
+        "real_top_decile": 0.0,
+        "gap_top_decile": 0.0,
+        "real_spread": 0.0,
+        "gap_ic_spearman": 0.0,
+        "real_auc": 0.5,
+        "gap_auc": 0.0,
+        "real_balanced_accuracy": 0.5,
+        "gap_balanced_accuracy": 0.0,
+    }
+    checks = F.array(*[F.col(c) > v for c, v in floors.items() if c in compare.columns])
+    known = F.filter(checks, lambda x: x.isNotNull())
+    return compare.withColumn(name, (F.size(known) > 0) & F.forall(known, lambda x: x))
+
+
+def score_buckets(df: DataFrame, score: str, ret: str, by: Sequence[str] = (), buckets: int = 10, shape: Shape = UNKNOWN) -> DataFrame:
+    """Mean return per score decile (decile = ceil of ten times the percent rank)."""
+    pairs, keys = _keys(df.filter(F.col(score).isNotNull() & F.col(ret).isNotNull()), by)
+    per_score = pairs.groupBy(*keys, F.col(score).alias("_score")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.sum(ret).alias("_ret")
+    )
+    ranked = value_ranks(per_score, "_score", keys, "cnt", shape)
+    bucket = F.least(F.ceil(F.col("avg_rank") * buckets / F.col("n")), F.lit(buckets))
+    return ranked.groupBy(*keys, bucket.alias("bucket")).agg(
+        F.sum("cnt").alias("rows"), (F.sum("_ret") / F.sum("cnt")).alias("mean_return")
+    ).drop("_g")
+
+
+def bucket_quality(buckets: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Top minus bottom bucket and the rank correlation of bucket and return (ten rows per key)."""
+    ranks = spearman(buckets, "bucket", "mean_return", by)
+    ends = buckets.groupBy(*by).agg(
+        F.sum("rows").alias("row_count"),
+        F.max_by("mean_return", "bucket").alias("top_return"),
+        F.min_by("mean_return", "bucket").alias("bottom_return"),
+    )
+    return ends.join(ranks, list(by)).withColumn("spread", F.col("top_return") - F.col("bottom_return"))
+
+
+def rank_history(predictions: DataFrame, by: Sequence[str] = ("experiment_id", "ts"), score: str = "prediction") -> DataFrame:
+    """Percent rank and descending order of each prediction inside its experiment and date."""
+    from tickloom.functions.layout import magnitude_bucket, positions
+
+    ranked = avg_rank(predictions, score, by, "rank_pct", pct=True).withColumn("_neg", -F.col(score))
+    return positions(ranked, list(by), ["_neg", "ticker"], "rank_order", UNKNOWN, magnitude_bucket(F.col("_neg"))).drop("_neg")
+
+
+def drawdown_relative(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], shape: Shape = DAILY) -> DataFrame:
+    """Deepest fall from the running peak, as a fraction of the peak."""
+    peaked = running(df, key, order, {"_peak": ("max", F.col(value))}, shape)
+    return peaked.groupBy(*key).agg(F.min((F.col(value) - F.col("_peak")) / F.nullif("_peak", F.lit(0.0))).alias("max_drawdown"))
+
+
+def drawdown_points(df: DataFrame, pnl: str, key: Sequence[str], order: Sequence[str], shape: Shape = DAILY) -> DataFrame:
+    """Deepest fall of the cumulated points from their running peak."""
+    summed = running(df, key, order, {"_equity": ("sum", F.coalesce(F.col(pnl), F.lit(0.0)))}, shape)
+    peaked = running(summed, key, order, {"_peak": ("max", F.col("_equity"))}, shape)
+    return peaked.groupBy(*key).agg(F.min(F.col("_equity") - F.col("_peak")).alias("max_drawdown_points"))
+
+
+def drawdown_reward(df: DataFrame, reward: str, key: Sequence[str], order: Sequence[str], shape: Shape = DAILY) -> DataFrame:
+    """Positive drawdown of cumulated rewards; the peak is floored at 1e-9."""
+    summed = running(df, key, order, {"_equity": ("sum", F.col(reward))}, shape)
+    peaked = running(summed, key, order, {"_peak": ("max", F.col("_equity"))}, shape)
+    fall = (F.col("_equity") - F.col("_peak")) / F.greatest(F.col("_peak"), F.lit(1e-9))
+    return peaked.groupBy(*key).agg((-F.min(fall)).alias("reward_drawdown"))
+
+
+# fixed values: bars per year of each interval
+BARS_PER_YEAR = {"day": 252.0, "60minute": 1575.0, "30minute": 3150.0, "15minute": 6300.0, "5minute": 18900.0}
+
+
+def sharpe(ret, per_year: float):
+    std = F.stddev_samp(ret)
+    return F.when(std >= 1e-12, F.avg(ret) / std * F.sqrt(F.lit(per_year))).otherwise(0.0)
+
+
+def sortino(ret, per_year: float):
+    down = F.stddev_samp(F.when(ret < 0, ret))
+    return F.when(down >= 1e-12, F.avg(ret) / down * F.sqrt(F.lit(per_year))).otherwise(0.0)
+
+
+def penalised_sharpe(reward, risk_free: float = 0.0, cap: float = 10.0, least: float = 1e-6, penalty: float = -10.0):
+    """Population Sharpe with a penalty for inactivity and a cap."""
+    std = F.stddev_pop(reward)
+    return F.when(std < least, penalty).otherwise(F.least((F.avg(reward) - risk_free) / (std + 1e-8), F.lit(cap)))
+
+
+def penalised_sortino(reward, risk_free: float = 0.0, cap: float = 10.0, least: float = 1e-6, penalty: float = -10.0):
+    down = F.stddev_pop(F.when(reward < risk_free, reward))
+    return F.when(down.isNull() | (down < least), penalty).otherwise(
+        F.least((F.avg(reward) - risk_free) / (down + 1e-8), F.lit(cap))
+    )
+
+
+def expectancy(ret):
+    """P(win) * average win - P(loss) * average loss; 0 for no rows."""
+    n = F.nullif(F.count(ret), F.lit(0)).cast("double")
+    win = F.coalesce(F.sum(F.when(ret > 0, ret)), F.lit(0.0))
+    loss = F.coalesce(F.sum(F.when(ret < 0, -ret)), F.lit(0.0))
+    return F.coalesce((win - loss) / n, F.lit(0.0))
+
+
+def history_metrics(history: DataFrame, interval: str = "day", by: Sequence[str] = ("ticker",), order: Sequence[str] = ("ts",), shape: Shape = DAILY) -> DataFrame:
+    """Return, risk and activity of a back-test history (columns net_worth, action) per key."""
+    from tickloom.operators.cleaning import fill
+
+    k = BARS_PER_YEAR.get(interval, 252.0)
+    keys = list(by)
+    filled = fill(history, ["net_worth"], "ffill_bfill", keys, list(order), shape)
+    stepped = over_series(
+        filled,
+        lambda d, w: d.withColumn("_ret", F.coalesce(R.change(F.col("net_worth"), w, 1), F.lit(0.0))),
+        keys,
+        list(order),
+        before=1,
+        shape=shape,
+    )
+    peaked = running(stepped, keys, list(order), {"_peak": ("max", F.col("net_worth"))}, shape)
+    at = F.struct(*order)
+    action = F.coalesce(F.col("action").cast("double"), F.lit(0.0))
+    out = peaked.groupBy(*keys).agg(
+        F.min_by("net_worth", at).alias("_first"),
+        F.max_by("net_worth", at).alias("final_net_worth"),
+        F.count(F.lit(1)).alias("bars"),
+        sharpe(F.col("_ret"), k).alias("sharpe"),
+        sortino(F.col("_ret"), k).alias("sortino"),
+        F.min((F.col("net_worth") - F.col("_peak")) / F.nullif("_peak", F.lit(0.0))).alias("max_drawdown"),
+        F.sum(F.when(action != 0, 1).otherwise(0)).alias("trade_count"),
+        F.avg(F.when(action == 0, 1.0).otherwise(0.0)).alias("hold_ratio"),
+        F.avg(F.abs(action)).alias("avg_abs_action"),
+    )
+    total = F.when((F.col("bars") >= 2) & (F.col("_first") != 0), F.col("final_net_worth") / F.nullif("_first", F.lit(0.0)) - 1.0).otherwise(0.0)
+    # a loss beyond the whole stake has no annual rate
+    annual = F.when(F.col("bars") <= 1, 0.0).when(
+        F.col("total_return") >= -1.0, F.pow(1.0 + F.col("total_return"), F.lit(k) / F.col("bars")) - 1.0
+    )
+    return out.withColumn("total_return", total).withColumn("annualized_return", annual).drop("_first")
+
+
+def style_mix(history: DataFrame, by: Sequence[str] = ("ticker",), order: Sequence[str] = ("ts",), shape: Shape = DAILY) -> DataFrame:
+    """Bars, trades, reward and net-worth change per strategy style."""
+    from tickloom.operators.cleaning import fill
+
+    filled = fill(history, ["net_worth"], "ffill_bfill", by, order, shape)
+    at = F.struct(*order)
+    out = filled.groupBy(*by, F.coalesce("style", F.lit("unknown")).alias("style")).agg(
+        F.count(F.lit(1)).alias("bars"),
+        F.sum(F.when(F.coalesce("action", F.lit(0.0)) != 0, 1).otherwise(0)).alias("trade_rows"),
+        F.avg(F.coalesce("reward", F.lit(0.0))).alias("mean_reward"),
+        F.min_by("net_worth", at).alias("start_net_worth"),
+        F.max_by("net_worth", at).alias("end_net_worth"),
+    )
+    return out.select(
+        "*",
+        (F.col("trade_rows") / F.col("bars")).alias("trade_ratio"),
+        (F.col("end_net_worth") - F.col("start_net_worth")).alias("net_change"),
+    )
+
+
+def directional(history: DataFrame, horizons: Sequence[int] = (1, 3), by: Sequence[str] = ("ticker",), order: Sequence[str] = ("ts",), shape: Shape = DAILY) -> DataFrame:
+    """How well actions point at the return over the next trades: leads run over trade rows only."""
+    trades = history.withColumn("_dir", F.signum(F.coalesce(F.col("action").cast("double"), F.lit(0.0)))).filter("_dir <> 0")
+
+    def build(d, w):
+        ahead = [
+            F.struct(F.lit(h).alias("horizon"), (F.lead("close", h).over(w) / F.col("close") - 1.0).alias("ret")) for h in horizons
+        ]
+        return d.withColumn("_f", F.array(*ahead))
+
+    stacked = over_series(trades, build, by, order, after=max(horizons), shape=shape)
+    rows = stacked.select(*by, "_dir", F.explode("_f").alias("_x")).select(*by, "_dir", "_x.horizon", "_x.ret").filter("ret IS NOT NULL")
+    right = F.col("_dir") == F.signum("ret")
+
+    def mean_where(condition):
+        return F.coalesce(F.avg(F.when(condition, F.col("ret"))), F.lit(0.0))
+
+    return rows.groupBy(*by, "horizon").agg(
+        F.count(F.lit(1)).alias("sample_count"),
+        F.avg(F.when(right, 1.0).otherwise(0.0)).alias("directional_accuracy"),
+        F.avg("ret").alias("avg_future_return"),
+        mean_where(F.col("_dir") > 0).alias("avg_long_future_return"),
+        mean_where(F.col("_dir") < 0).alias("avg_short_future_return"),
+        mean_where(right).alias("avg_future_return_correct"),
+        mean_where(~right).alias("avg_future_return_wrong"),
+        F.avg(F.col("_dir") * F.col("ret")).alias("net_expectancy"),
+    )
+
+
+def alpha_class(sharpe_value):
+    # fixed values: class limits
+    return (
+        F.when(sharpe_value.isNull() | F.isnan(sharpe_value), "invalid")
+        .when(sharpe_value < 0.2, "no_alpha_likely")
+        .when(sharpe_value < 0.6, "weak_alpha")
+        .when(sharpe_value < 1.0, "moderate_alpha")
+        .otherwise("strong_alpha")
+    )
