@@ -9,6 +9,7 @@ from catalog.labels import RESEARCH
 from catalog.registry import query
 from tickloom.functions import rolling as R
 from tickloom.functions.layout import DAILY, over_series
+from tickloom.functions.session import cut_lineage
 from tickloom.operators import exchange as ex
 from tickloom.operators import portfolio as pf
 from tickloom.operators.research import research_columns
@@ -32,9 +33,11 @@ CONTEXT = ["breadth_rel_adv_frac", "breadth_adv_frac"]
 
 
 def events_and_folds(t) -> tuple[DataFrame, DataFrame]:
+    """The audits' two inputs: one row per rebalance, one per fold. A few rows each, written once to the checkpoint
+    folder, so the searches on top neither re-plan nor re-run the panel."""
     frame = panel(t)
-    events = pf.rebalance_events(frame, "ret12", 10, 6, 10, CONTEXT)
-    return events, pf.fold_table(frame, events)
+    events = cut_lineage(pf.rebalance_events(frame, "ret12", 10, 6, 10, CONTEXT))
+    return events, cut_lineage(pf.fold_table(frame, events))
 
 
 SCHEDULE = """fold_days AS (SELECT ts, ntile(10) OVER (ORDER BY ts) AS fold_id FROM (SELECT DISTINCT ts FROM bars)),

@@ -38,10 +38,10 @@ def fold_calendar(panel: DataFrame, folds: int = 10) -> DataFrame:
 
 def rebalance_schedule(calendar: DataFrame, every: int = 30) -> DataFrame:
     """Every ``every``-th session of a fold with the session it is held to (the fold's last one at the latest)."""
-    target = F.least(F.col("idx") + every, F.col("n") - 1)
-    later = calendar.select("fold_id", F.col("idx").alias("_next"), F.col("ts").alias("next_ts"))
-    picked = calendar.filter((F.col("idx") % every == 0) & (F.col("idx") < F.col("n") - 1)).withColumn("_next", target)
-    return picked.join(later, ["fold_id", "_next"]).select(
+    w = Window.partitionBy("fold_id").orderBy("ts")
+    last = F.max("ts").over(Window.partitionBy("fold_id"))
+    held = calendar.withColumn("next_ts", F.coalesce(F.lead("ts", every).over(w), last))
+    return held.filter((F.col("idx") % every == 0) & (F.col("idx") < F.col("n") - 1)).select(
         "fold_id", (F.col("idx") / every).cast("int").alias("k"), "ts", "next_ts"
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.session import cut_lineage
 from tickloom.operators import portfolio as pf
 from tickloom.operators.joins import expand_grid
 from tickloom.operators.splits import fold_cases
@@ -86,7 +87,8 @@ def threshold_search(
     if costed_short:
         ret = ret - pf.short_cost(t, h, F.lit(BORROW), F.lit(SLIPPAGE_BPS))
     scored = pf.score_folds(candidates.withColumn("strategy_return", ret), folds, [*spec, "role"])
-    summary = pf.fold_rollup(scored, [*spec, "role"])
+    # one row per candidate and role; read by the choice and by the replay of the winner
+    summary = cut_lineage(pf.fold_rollup(scored, [*spec, "role"]))
     fit = summary.filter("role = 'fit'").drop("role")
     best = F.struct(
         "folds_beating", F.round("mean_excess", 12).alias("e"), (-F.col("quantile")).alias("q"),
