@@ -2,5 +2,5 @@
 
 import importlib
 
-for _area in ("exchange", "labels", "metrics", "tables", "portfolio", "options", "selection"):
+for _area in ("exchange", "labels", "metrics", "tables", "portfolio", "options", "selection", "streaming"):
     importlib.import_module(f"catalog.{_area}")

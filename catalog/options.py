@@ -88,10 +88,8 @@ def _(t):
     return op.weekly_cycles(fx.spot(t))
 
 
-def _leg_sql(name: str, strike: str, kind: str) -> str:
-    """Two CTEs pricing one leg of ``base``: d1/d2, then the premium column ``name``."""
-    d1 = f"(ln(spot_entry / {strike}) + (0.06 + 0.5 * sg * sg) * tt) / (sg * sqrt(tt))"
-    return d1
+def _d1_sql(strike: str) -> str:
+    return f"(ln(spot_entry / {strike}) + (0.06 + 0.5 * sg * sg) * tt) / (sg * sqrt(tt))"
 
 
 SCAN = f"""{CYCLES}, {VIX_CONTEXT}, known AS (
@@ -103,7 +101,7 @@ SCAN = f"""{CYCLES}, {VIX_CONTEXT}, known AS (
              greatest(days_to_expiry / 365.0::DOUBLE, 1 / 365.0::DOUBLE) AS tt, CASE WHEN vix_entry > 1 THEN vix_entry / 100 ELSE vix_entry END AS sg
       FROM known, variants WHERE (gate <> 'm' OR coalesce(vix_entry > vix_median_20, false)) AND NOT (gate = 'k' AND coalesce(vix_change_1d > 0.25, false))),
     base1 AS (SELECT *, ceil((k1 + spot_entry * 0.05::DOUBLE) / 50) * 50 AS k3, floor((k2 - spot_entry * 0.05::DOUBLE) / 50) * 50 AS k4 FROM base0),
-    base2 AS (SELECT *, {_leg_sql('', 'k1', 'CE')} AS a1, -({_leg_sql('', 'k2', 'PE')}) AS a2, {_leg_sql('', 'k3', 'CE')} AS a3, -({_leg_sql('', 'k4', 'PE')}) AS a4 FROM base1),
+    base2 AS (SELECT *, {_d1_sql('k1')} AS a1, -({_d1_sql('k2')}) AS a2, {_d1_sql('k3')} AS a3, -({_d1_sql('k4')}) AS a4 FROM base1),
     base3 AS (SELECT *, a1 - sg * sqrt(tt) AS b1, a2 + sg * sqrt(tt) AS b2, a3 - sg * sqrt(tt) AS b3, a4 + sg * sqrt(tt) AS b4, exp(-0.06 * tt) AS df FROM base2),
     base4 AS (SELECT *, greatest(0, spot_entry * {cdf_sql('a1')} - k1 * df * {cdf_sql('b1')}) AS p1,
              greatest(0, k2 * df * {cdf_sql('b2')} - spot_entry * {cdf_sql('a2')}) AS p2,
@@ -536,7 +534,7 @@ def _(t):
 
 @query(
     "o26_paper_price_reconciliation",
-    "trade_date:d mid_credit:f8 modelled_credit:f8 diff:f8 within_10pct:b within_15pct:b",
+    "trade_date:d mid_credit:f3 modelled_credit:f3 diff:f3 within_10pct:b within_15pct:b",
     f"""WITH {QUOTES}, r AS (SELECT trade_date, sum(sign * (bid + ask) / 2) AS mid_credit, sum(sign * modelled) AS modelled_credit FROM quotes
           GROUP BY 1 HAVING min(bid) > 0)
         SELECT *, mid_credit - modelled_credit AS diff, mid_credit >= modelled_credit - 0.1 * abs(modelled_credit) AS within_10pct,

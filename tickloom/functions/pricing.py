@@ -53,23 +53,32 @@ def norm_cdf(x: Column) -> Column:
     return 0.5 * (1.0 + erf(x / 1.4142135623730951))
 
 
-def bs_price(S: Column, K: Column, T: Column, r: Column, sigma: Column, kind: str) -> Column:
-    """European call (``CE``) or put (``PE``); intrinsic value where time or volatility is not positive."""
+def bs_price(S: Column, K: Column, T: Column, r: Column, sigma: Column, kind: str | Column) -> Column:
+    """European call (``CE``) or put (``PE``); intrinsic value where time or volatility is not positive.
+
+    ``kind`` may be a column of +1 (call) and -1 (put), so that one expression prices every leg of a structure.
+    """
+    side = F.lit(1.0 if kind == "CE" else -1.0) if isinstance(kind, str) else kind
     vol = sigma * F.sqrt(T)
     d1 = (F.ln(S / K) + (r + 0.5 * sigma * sigma) * T) / vol
     discounted = K * F.exp(-r * T)
-    side = 1.0 if kind == "CE" else -1.0
-    intrinsic = side * (S - K)
-    both = F.struct(d1.alias("d1"), (d1 - vol).alias("d2"))
-    value = bound(both, lambda d: side * (S * norm_cdf(side * d.d1) - discounted * norm_cdf(side * d.d2)))
+    # both distribution values come from one copy of the approximation
+    cdfs = F.transform(F.array(side * d1, side * (d1 - vol)), norm_cdf)
+    value = bound(cdfs, lambda n: side * (S * F.get(n, F.lit(0)) - discounted * F.get(n, F.lit(1))))
     zero = F.lit(0.0)
     return (
         F.when((S <= 0) | (K <= 0), zero)
-        .when((T <= 0) | (sigma <= 0), F.greatest(zero, intrinsic))
+        .when((T <= 0) | (sigma <= 0), F.greatest(zero, side * (S - K)))
         .otherwise(F.greatest(zero, value))
     )
 
 
+def leg_prices(S: Column, legs: list[tuple[Column, str]], T: Column, r: Column, sigma: Column) -> Column:
+    """Array of prices of several (strike, kind) legs on the same spot."""
+    items = F.array(*[F.struct(k.alias("k"), F.lit(1.0 if kind == "CE" else -1.0).alias("side")) for k, kind in legs])
+    return F.transform(items, lambda leg: bs_price(S, leg.k, T, r, sigma, leg.side))
+
+
 def implied_vol(price: Column, S: Column, K: Column, T: Column, r: Column, kind: str, low: float = 1e-4, high: float = 5.0, steps: int = 60) -> Column:
     """Volatility whose Black-Scholes price is ``price``: a fixed number of bisections inside one expression."""
     start = F.struct(F.lit(low).alias("lo"), F.lit(high).alias("hi"))

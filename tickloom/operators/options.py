@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
 from tickloom.functions.layout import CALENDAR, over_series, running
-from tickloom.functions.pricing import bs_price, round_strike
+from tickloom.functions.pricing import leg_prices, round_strike
 from tickloom.operators import exchange as ex
 from tickloom.operators.joins import asof_join, expand_grid, expand_variants, pick_leg
 from tickloom.operators.metrics import drawdown_points
@@ -72,10 +72,9 @@ def strangle_pnl(df: DataFrame, config: ScanConfig) -> DataFrame:
         _sigma(F.col("vix_entry")).alias("_s"),
     )
     r, S = F.lit(config.risk_free), F.col("spot_entry")
-    premium = priced.select(
-        "*",
-        bs_price(S, F.col("call_strike"), F.col("_t"), r, F.col("_s"), "CE").alias("_c"),
-        bs_price(S, F.col("put_strike"), F.col("_t"), r, F.col("_s"), "PE").alias("_p"),
+    legs = [(F.col("call_strike"), "CE"), (F.col("put_strike"), "PE")]
+    premium = priced.withColumn("_l", leg_prices(S, legs, F.col("_t"), r, F.col("_s"))).select(
+        "*", F.get("_l", F.lit(0)).alias("_c"), F.get("_l", F.lit(1)).alias("_p")
     )
     out = premium.select(
         *df.columns,
@@ -107,17 +106,10 @@ def condor_pnl(df: DataFrame, config: ScanConfig) -> DataFrame:
         round_strike(F.col("put_strike") - S * F.col("wing_width"), step, "down").alias("put_wing"),
     )
     r = F.lit(config.risk_free)
-
-    def price(strike, kind):
-        return bs_price(S, F.col(strike), F.col("_t"), r, F.col("_s"), kind)
-
-    legs = strikes.select(
-        "*",
-        price("call_strike", "CE").alias("_c1"),
-        price("put_strike", "PE").alias("_p1"),
-        price("call_wing", "CE").alias("_c2"),
-        price("put_wing", "PE").alias("_p2"),
-    ).select("*", (F.col("_c1") + F.col("_p1")).alias("_short"), (F.col("_c2") + F.col("_p2")).alias("_long"))
+    names = [("call_strike", "CE"), ("put_strike", "PE"), ("call_wing", "CE"), ("put_wing", "PE")]
+    prices = leg_prices(S, [(F.col(n), kind) for n, kind in names], F.col("_t"), r, F.col("_s"))
+    leg = [F.get("_l", F.lit(i)) for i in range(4)]
+    legs = strikes.withColumn("_l", prices).select("*", (leg[0] + leg[1]).alias("_short"), (leg[2] + leg[3]).alias("_long"))
     credit = F.col("_short") * (1.0 - config.haircut) - F.col("_long") * (1.0 + config.haircut)
     width = F.greatest(F.col("call_wing") - F.col("call_strike"), F.col("put_strike") - F.col("put_wing"))
     out = legs.select(
