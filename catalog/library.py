@@ -2,5 +2,5 @@
 
 import importlib
 
-for _area in ("exchange", "labels", "metrics", "tables", "portfolio", "options", "selection", "streaming"):
+for _area in ("exchange", "labels", "metrics", "tables", "portfolio", "options", "selection", "streaming", "intraday"):
     importlib.import_module(f"catalog.{_area}")

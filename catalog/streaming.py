@@ -10,8 +10,8 @@ from tickloom.streaming import ticks as tk
 
 @query(
     "r1_event_time",
-    "event_id:i at:t",
-    """SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN ts END, CASE WHEN event_id % 3 = 1 THEN ts - INTERVAL 1 SECOND END, ts + INTERVAL 1 SECOND) AS at
+    "event_id:i event_ts:t",
+    """SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN ts END, CASE WHEN event_id % 3 = 1 THEN ts - INTERVAL 1 SECOND END, ts + INTERVAL 1 SECOND) AS event_ts
        FROM events""",
 )
 def _(t):
@@ -23,7 +23,7 @@ def _(t):
         F.lit(None).cast("timestamp").alias("last_trade_time"),
         (ts + F.expr("INTERVAL 1 SECOND")).alias("received_utc"),
     )
-    return raw.select("event_id", tk.event_time().alias("at"))
+    return raw.select("event_id", tk.event_time().alias("event_ts"))
 
 
 BARS = f"""{fx.TICKS}, tick_bars AS (

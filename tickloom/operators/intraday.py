@@ -1,14 +1,346 @@
-"""Intraday and cross-sectional feature families."""
+"""Intraday and cross-sectional feature families. Names follow the families; the formulas are this library's own."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
+from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, over_series, value_ranks
+from tickloom.operators.research import research_columns
+
+#: 96 quarter-hour bars a day for a generation
+INTRADAY = Shape(series_rows=1_200_000)
+
+# fixed values: families of feature names
+FAMILIES = {
+    "F1_TrendMomentum": ["lag_ret_1", "lag_ret_5", "lag_ret_20", "trend_30", "trend_2h", "trend_slope", "rsi14", "macd_z"],
+    "F2_VolRisk": ["atr20_log", "realvol20_log", "vol_regime", "mkt_vol_rank"],
+    "F3_Relative": ["mkt_ret_1", "mkt_ret_3", "mkt_ret_6", "stock_minus_mkt_1", "stock_minus_mkt_3", "sector_minus_mkt_3"],
+    "F5_CandleShape": ["body_to_range", "upper_wick_ratio", "lower_wick_ratio", "close_location_3", "ret_skew_5"],
+    "F6_PersistenceBreakout": ["breakout_3bar", "sign_persistence_5", "regime_bull", "regime_bear"],
+}
 
 
-def rolling_rsi(move, w, rows: int = 14):
+def rolling_rsi(move: Column, w, rows: int = 14) -> Column:
     """Relative strength on plain sums of gains and losses of a one-row ``move``; null for a flat window."""
     gain = R.total(F.when(move.isNotNull(), F.greatest(move, F.lit(0.0))), w, rows)
     swing = R.total(F.abs(move), w, rows)
     return 100.0 * R.ratio(gain, swing)
+
+
+def _moment_skew(x: Column, w, rows: int) -> Column:
+    f = R.frame(w, rows)
+    flat = F.max(x).over(f) == F.min(x).over(f)
+    return F.when((F.count(x).over(f) == rows) & ~flat, F.skewness(x).over(f))
+
+
+def own_features(bars: DataFrame, shape: Shape = DAILY) -> DataFrame:
+    """Trend, volatility, candle shape, persistence and multi-scale columns of each ticker: one exchange."""
+    c, o, h, l, v = (F.col(x) for x in ("close", "open", "high", "low", "volume"))
+
+    def first(df, w):
+        span = h - l
+        return df.select(
+            "*",
+            (c - F.lag(c).over(w)).alias("_move"),
+            *[R.change(c, w, n).alias(f"lag_ret_{n}") for n in (5, 20)],
+            R.change(c, w, 12).alias("ret_12"),
+            F.coalesce(R.ratio(c - o, span), F.lit(0.0)).alias("body_to_range"),
+            F.coalesce(R.ratio(h - F.greatest(o, c), span), F.lit(0.0)).alias("upper_wick_ratio"),
+            F.coalesce(R.ratio(F.least(o, c) - l, span), F.lit(0.0)).alias("lower_wick_ratio"),
+            R.ratio(c - R.lowest(l, w, 3), R.highest(h, w, 3) - R.lowest(l, w, 3)).alias("close_location_3"),
+            (R.mean(c, w, 12) - R.mean(c, w, 26)).alias("_macd"),
+            R.ratio(v, R.mean(v, w, 20)).alias("relative_volume_time"),
+            R.ratio(span, c).alias("_range"),
+            F.row_number().over(w).cast("double").alias("_i"),
+            R.spread(F.col("lag_ret_1"), w, 20).alias("realvol20"),
+            R.spread(F.col("lag_ret_1"), w, 3).alias("_vol3"),
+        )
+
+    def second(df, w):
+        f20 = R.frame(w, 20)
+        slope = F.when(F.count(c).over(f20) == 20, F.regr_slope(c, F.col("_i")).over(f20))
+        return df.select(
+            "*",
+            (slope / c).alias("trend_slope"),
+            rolling_rsi(F.col("_move"), w).alias("rsi14"),
+            R.zscore(F.col("_macd"), w, 20).alias("macd_z"),
+            F.ln("realvol20").alias("realvol20_log"),
+            (R.ratio(F.col("realvol20"), R.mean(F.col("realvol20"), w, 60, 20)) - 1.0).alias("vol_regime"),
+            _moment_skew(F.col("lag_ret_1"), w, 5).alias("ret_skew_5"),
+            R.holds((F.col("trend_30") > 0) & (F.col("sign_persistence_5") > 0)).cast("double").alias("regime_bull"),
+            R.holds((F.col("trend_30") < 0) & (F.col("sign_persistence_5") < 0)).cast("double").alias("regime_bear"),
+            (F.col("ret_3") - F.col("ret_12")).alias("multi_trend_gap"),
+            ((F.signum("ret_3") + F.signum("ret_6") + F.signum("ret_12")) / 3.0).alias("multi_alignment"),
+            R.ratio(F.col("_vol3"), F.col("realvol20")).alias("multi_vol_ratio_3v20"),
+            R.ratio(R.mean(F.col("_range"), w, 3), R.mean(F.col("_range"), w, 12)).alias("multi_range_3v12"),
+            R.mean(F.col("body_to_range"), w, 3).alias("multi_body_pressure_3"),
+            R.mean(F.col("breakout_3bar"), w, 3).alias("multi_breakout_pressure_3"),
+        ).drop("_move", "_macd", "_i", "_range", "_vol3")
+
+    return over_series(over_series(research_columns(bars, shape), first, before=46, shape=shape), second, before=60, shape=shape)
+
+
+def market_state(panel: DataFrame, time: str = "ts") -> DataFrame:
+    """Trend and volatility of the equal-weight market and the state they imply; one row per timestamp."""
+    by_time = panel.groupBy(time).agg(F.avg("lag_ret_1").alias("_m"))
+    w = Window.orderBy(time)
+    vol = by_time.withColumn("_vol", R.spread(F.col("_m"), w, 20))
+    past = F.collect_list("_vol").over(w.rowsBetween(-59, 0))
+    ranked = vol.select(
+        time, R.total(F.col("_m"), w, 20).alias("market_trend_score"), "_vol", past.alias("_past")
+    ).withColumn(
+        "mkt_vol_rank",
+        F.when(F.col("_vol").isNotNull(), F.size(F.filter("_past", lambda x: x <= F.col("_vol"))) / F.size("_past").cast("double")),
+    )
+    up, calm = F.col("market_trend_score") > 0, F.col("mkt_vol_rank") < 0.5
+    turning = F.abs("market_trend_score") < 0.01
+
+    def flag(condition):
+        return R.holds(condition).cast("double")
+
+    return ranked.select(
+        time, "market_trend_score", "mkt_vol_rank",
+        flag(up & calm).alias("state_bull_calm"), flag(up & ~calm).alias("state_bull_stress"),
+        flag(~up & calm).alias("state_bear_calm"), flag(~up & ~calm).alias("state_bear_stress"), flag(turning).alias("state_transition"),
+    )
+
+
+def sector_relative(panel: DataFrame, sectors: DataFrame, time: str = "ts") -> DataFrame:
+    """Sector mean against the market and stock against its sector; aggregates are combined map-side."""
+    tagged = panel.join(sectors, "ticker", "left")
+    means = tagged.groupBy(time, "sector").agg(F.avg("ret_3").alias("_sector_ret_3"))
+    joined = tagged.join(means, [time, "sector"], "left")
+    residual = F.col("ret_3") - F.col("_sector_ret_3")
+    return joined.select(
+        *tagged.columns,
+        (F.col("_sector_ret_3") - F.col("mkt_ret_3")).alias("sector_minus_mkt_3"),
+        residual.alias("sector_residual_3"),
+        R.ratio(residual, F.col("realvol20")).alias("voladj_sector_residual_3"),
+        (F.col("stock_minus_mkt_3") - (F.col("_sector_ret_3") - F.col("mkt_ret_3"))).alias("commonality_residual_3"),
+        R.ratio(F.col("stock_minus_mkt_1"), F.col("realvol20")).alias("voladj_stock_minus_mkt_1"),
+        R.ratio(F.col("stock_minus_mkt_3"), F.col("realvol20")).alias("voladj_stock_minus_mkt_3"),
+    )
+
+
+def cross_ranks(panel: DataFrame, features: Sequence[str], time: str = "ts", shape: Shape = UNKNOWN) -> DataFrame:
+    """Percent ranks by timestamp of several features in one pass: ``xs_rank_<feature>``.
+
+    With a proven bound on tickers per timestamp all ranks share one exchange. Otherwise the features are stacked and
+    ranked over counts per value, so no task sorts a whole timestamp.
+    """
+    if shape.stamp_fits():
+        out = panel
+        for f in features:
+            out = avg_rank(out, f, [time], f"xs_rank_{f}", pct=True, shape=shape)
+        return out
+    items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
+    long = panel.select("ticker", time, F.explode(F.array(*items)).alias("_x")).select("ticker", time, "_x.feature", "_x.value")
+    known = long.filter("value IS NOT NULL")
+    counts = known.groupBy(time, "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    ranks = value_ranks(counts, "value", [time, "feature"], "cnt", shape).select(
+        time, "feature", "value", (F.col("avg_rank") / F.col("n")).alias("_rank")
+    )
+    wide = known.join(ranks, [time, "feature", "value"]).groupBy("ticker", time).agg(
+        *[F.max(F.when(F.col("feature") == f, F.col("_rank"))).alias(f"xs_rank_{f}") for f in features]
+    )
+    return panel.join(wide, ["ticker", time], "left")
+
+
+def leadership(ranked: DataFrame, rank: str, prefix: str = "xs", shape: Shape = DAILY) -> DataFrame:
+    """Top and bottom 20 % flags, their persistence over 3 and 6 rows, and the change of rank."""
+
+    def build(df, w):
+        top = R.holds(F.col(rank) >= 0.8).cast("double")
+        low = R.holds(F.col(rank) <= 0.2).cast("double")
+        flagged = df.select("*", top.alias(f"{prefix}_leader_top20"), low.alias(f"{prefix}_laggard_bottom20"))
+        return flagged.select(
+            "*",
+            *[R.mean(F.col(f"{prefix}_leader_top20"), w, n).alias(f"{prefix}_leader_persist_{n}") for n in (3, 6)],
+            *[R.mean(F.col(f"{prefix}_laggard_bottom20"), w, n).alias(f"{prefix}_laggard_persist_{n}") for n in (3, 6)],
+            (F.col(rank) - F.lag(rank, 3).over(w)).alias(f"{prefix}_rank_change_3"),
+            (F.col(rank) - 0.5).alias(f"{prefix}_leader_spread_3"),
+        )
+
+    return over_series(ranked, build, before=6, shape=shape)
+
+
+def breadth_context(panel: DataFrame, time: str = "ts") -> DataFrame:
+    """Breadth of the cross-section by timestamp; one row each."""
+
+    def share(condition):
+        return F.avg(F.when(condition, 1.0).otherwise(0.0))
+
+    signed = F.col("volume") * F.signum(F.coalesce("lag_ret_1", F.lit(0.0)))
+    daily = panel.groupBy(time).agg(
+        share(F.col("lag_ret_1") > 0).alias("breadth_adv_frac_1"),
+        share(F.col("stock_minus_mkt_3") > 0).alias("breadth_rel_adv_frac_3"),
+        share(F.col("ret_3") > 0.05).alias("breadth_leader_frac"),
+        share(F.col("ret_3") < -0.05).alias("breadth_laggard_frac"),
+        F.avg(F.signum("trend_30")).alias("breadth_trend_pressure"),
+        F.stddev_samp("ret_3").alias("breadth_dispersion_3"),
+        (F.sum(signed) / F.nullif(F.sum("volume"), F.lit(0.0))).alias("breadth_volume_pressure"),
+        share(F.col("relative_volume_time") > 1).alias("breadth_participation"),
+    )
+    w = Window.orderBy(time)
+    return daily.select(
+        "*",
+        (F.col("breadth_leader_frac") - F.col("breadth_laggard_frac")).alias("breadth_leader_spread"),
+        (F.col("breadth_adv_frac_1") - F.lag("breadth_adv_frac_1", 3).over(w)).alias("breadth_expansion_3"),
+    )
+
+
+def session_context(bars: DataFrame, opening: int = 2) -> DataFrame:
+    """Running context inside each (ticker, session): at most a day's bars per window."""
+    day = F.to_date("ts").alias("session")
+    w = Window.partitionBy("ticker", "session").orderBy("ts")
+    sofar = w.rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("ticker", "session")
+    c, v = F.col("close"), F.col("volume")
+    typical = (F.col("high") + F.col("low") + c) / 3.0
+    placed = bars.select("*", day).select(
+        "*",
+        F.row_number().over(w).alias("_i"),
+        F.count(F.lit(1)).over(whole).alias("_n"),
+        R.ratio(F.sum(typical * v).over(sofar), F.sum(v).over(sofar)).alias("_vwap"),
+        F.first("open").over(sofar).alias("_open"),
+        F.max("high").over(sofar).alias("_hi"),
+        F.min("low").over(sofar).alias("_lo"),
+        F.avg(F.col("high") - F.col("low")).over(sofar).alias("_atr"),
+        F.max_by("ts", F.struct("high", F.unix_micros("ts"))).over(sofar).alias("_hi_at"),
+        F.max_by("ts", F.struct(-F.col("low"), F.unix_micros("ts"))).over(sofar).alias("_lo_at"),
+    )
+    early = F.col("_i") <= opening
+    ranged = placed.select(
+        "*",
+        F.max(F.when(early, F.col("high"))).over(sofar).alias("_or_hi"),
+        F.min(F.when(early, F.col("low"))).over(sofar).alias("_or_lo"),
+    )
+    past = F.col("_i") > opening
+    return ranged.select(
+        "ticker", "ts", "session",
+        (R.ratio(c, F.col("_vwap")) - 1.0).alias("vwap_dist"),
+        R.ratio(c - F.col("_open"), F.col("_atr")).alias("session_open_dist_atr"),
+        F.when(past & (c > F.col("_or_hi")), 1.0).when(past & (c < F.col("_or_lo")), -1.0).otherwise(0.0).alias("opening_range_breakout"),
+        ((F.unix_micros("ts") - F.unix_micros("_hi_at")) / 6e7).alias("minutes_since_high"),
+        ((F.unix_micros("ts") - F.unix_micros("_lo_at")) / 6e7).alias("minutes_since_low"),
+        (F.col("_i") / F.col("_n")).alias("minute_norm"),
+    )
+
+
+def previous_session(bars: DataFrame, shape: Shape = INTRADAY) -> DataFrame:
+    """The last finished session of each ticker, joined to every bar of the next one."""
+    day = bars.withColumn("session", F.to_date("ts"))
+    daily = day.groupBy("ticker", "session").agg(
+        F.min_by("open", "ts").alias("_o"), F.max("high").alias("_h"), F.min("low").alias("_l"), F.max_by("close", "ts").alias("_c"),
+        F.sum("volume").alias("_v"),
+    )
+    w = Window.partitionBy("ticker").orderBy("session")  # one row per day
+    span = F.col("_h") - F.col("_l")
+    shaped = daily.select(
+        "*", R.change(F.col("_c"), w, 1).alias("_ret"), R.mean(span, w, 5, 1).alias("_atr"), R.ratio(F.col("_v"), R.mean(F.col("_v"), w, 5, 1)).alias("_vr"),
+        R.ratio(F.col("_c") - F.col("_l"), span).alias("_loc"), R.ratio(F.col("_c") - F.col("_o"), span).alias("_body"), span.alias("_span"),
+    )
+    prev = {n: F.lag(n).over(w) for n in ("_c", "_ret", "_atr", "_vr", "_loc", "_body", "_span")}
+    context = shaped.select(
+        "ticker", "session",
+        R.ratio(F.col("_o") - prev["_c"], prev["_atr"]).alias("prev_session_gap_atr"),
+        prev["_ret"].alias("prev_session_ret"),
+        R.ratio(prev["_span"], prev["_atr"]).alias("prev_session_range_atr"),
+        prev["_loc"].alias("prev_session_close_location"),
+        prev["_body"].alias("prev_session_body_to_range"),
+        prev["_vr"].alias("prev_session_volume_rel"),
+    )
+    return day.select("ticker", "ts", "session").join(context, ["ticker", "session"])
+
+
+def quarter_path(bars: DataFrame, shape: Shape = INTRADAY) -> DataFrame:
+    """Path of the last four bars: efficiency, sign changes, timing, rejection, breakout and body pressure."""
+    c = F.col("close")
+
+    def first(df, w):
+        return df.select("*", R.change(c, w, 1).alias("_r"), R.change(c, w, 4).alias("m15_ret_4"), R.change(c, w, 2).alias("_late"))
+
+    def second(df, w):
+        r, f = F.col("_r"), R.frame(w, 4)
+        full = F.count(r).over(f) == 4
+        flips = F.when(F.signum(r) != F.signum(F.lag(r).over(w)), 1.0).otherwise(0.0)
+        hi, lo = F.max("high").over(f), F.min("low").over(f)
+        body = F.coalesce(R.ratio(c - F.col("open"), F.col("high") - F.col("low")), F.lit(0.0))
+        prior = w.rowsBetween(-4, -1)
+        return df.select(
+            "*",
+            F.when(full, R.ratio(F.abs("m15_ret_4"), F.sum(F.abs(r)).over(f))).alias("m15_path_efficiency_4"),
+            F.when(full, F.avg(F.when(r > 0, 1.0).otherwise(0.0)).over(f)).alias("m15_positive_share_4"),
+            (F.col("_late") - (F.col("m15_ret_4") - F.col("_late"))).alias("m15_time_imbalance_4"),
+            flips.alias("_flip"),
+            F.when(full, R.ratio(hi - c, hi - lo)).alias("m15_rejection_score_4"),
+            F.when(full, R.ratio(c - lo, hi - lo)).alias("m15_close_location_4"),
+            F.when(F.count("high").over(prior) == 4, R.ratio(c - F.max("high").over(prior), c)).alias("m15_breakout_pressure_4"),
+            R.mean(body, w, 4).alias("m15_body_pressure_4"),
+            R.ratio(R.mean(F.col("volume"), w, 2), R.mean(F.col("volume"), w, 8)).alias("m15_vol_ratio_2v8"),
+        ).withColumn("m15_early_exhaustion_4", F.greatest(-F.col("m15_time_imbalance_4"), F.lit(0.0)))
+
+    def third(df, w):
+        return df.withColumn("m15_sign_flip_rate_4", R.mean(F.col("_flip"), w, 3)).drop("_r", "_late", "_flip")
+
+    out = over_series(bars, first, before=5, shape=shape)
+    return over_series(over_series(out, second, before=8, shape=shape), third, before=3, shape=shape)
+
+
+def hour_path(bars: DataFrame) -> DataFrame:
+    """What happened inside each hour, from its quarter-hour bars (at most four per group)."""
+    bar = F.struct("ts", "open", "high", "low", "close", "volume")
+    hours = bars.groupBy("ticker", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(bar)).alias("_b"))
+    b = F.col("_b")
+    n = F.size(b)
+    first, last = F.get(b, F.lit(0)), F.get(b, n - 1)
+    mid = F.get(b, F.greatest(F.floor(n / 2).cast("int") - 1, F.lit(0)))
+    steps = F.zip_with(
+        F.concat(F.array(first.open), F.transform(b, lambda x: x.close)), F.transform(b, lambda x: x.close),
+        lambda p, q: F.when(q.isNotNull(), q / p - 1.0),
+    )
+    moves = F.filter(steps, lambda x: x.isNotNull())
+
+    def total(array):
+        return F.aggregate(array, F.lit(0.0), lambda acc, x: acc + x)
+
+    hi, lo = F.array_max(F.transform(b, lambda x: x.high)), F.array_min(F.transform(b, lambda x: x.low))
+    hi_at = F.array_position(F.transform(b, lambda x: x.high), hi)
+    lo_at = F.array_position(F.transform(b, lambda x: x.low), lo)
+    ret = last.close / first.open - 1.0
+    early, late = mid.close / first.open - 1.0, last.close / mid.close - 1.0
+    body = F.transform(b, lambda x: F.coalesce(R.ratio(x.close - x.open, x.high - x.low), F.lit(0.0)))
+    flips = F.zip_with(moves, F.slice(moves, 2, 10), lambda p, q: F.when(q.isNotNull(), F.when(F.signum(p) != F.signum(q), 1.0).otherwise(0.0)))
+    volumes = F.transform(b, lambda x: x.volume)
+    return hours.select(
+        "ticker", "hour", n.alias("bars"),
+        ret.alias("stf15_intrahour_ret"),
+        F.coalesce(R.ratio(F.abs(ret), total(F.transform(moves, lambda x: F.abs(x)))), F.lit(0.0)).alias("stf15_path_efficiency"),
+        (F.size(F.filter(moves, lambda x: x > 0)) / n).alias("stf15_positive_share"),
+        (F.size(F.filter(moves, lambda x: x < 0)) / n).alias("stf15_negative_share"),
+        (total(F.filter(flips, lambda x: x.isNotNull())) / F.greatest(n - 1, F.lit(1))).alias("stf15_sign_flip_rate"),
+        early.alias("stf15_first_half_ret"),
+        late.alias("stf15_second_half_ret"),
+        (late - early).alias("stf15_time_imbalance"),
+        ((hi - lo) / first.open).alias("stf15_range_to_open"),
+        F.coalesce(R.ratio(last.close - lo, hi - lo), F.lit(0.5)).alias("stf15_close_location"),
+        (lo / first.open - 1.0).alias("stf15_max_adverse"),
+        (hi_at < lo_at).cast("double").alias("stf15_high_before_low"),
+        (lo_at < hi_at).cast("double").alias("stf15_low_before_high"),
+        (total(body) / n).alias("stf15_body_pressure"),
+        R.ratio(F.array_max(volumes) * n, total(volumes)).alias("stf15_vol_burst_ratio"),
+        (last.close / last.open - 1.0).alias("stf15_last_quarter_ret"),
+    )
+
+
+def research_panel(bars: DataFrame, sectors: DataFrame, shape: Shape = DAILY) -> DataFrame:
+    """Bars with all daily families, for models."""
+    own = own_features(bars, shape)
+    state = market_state(own)
+    related = sector_relative(own, sectors)
+    # market tables have one row per timestamp of a daily calendar
+    return related.join(F.broadcast(state), "ts", "left")
