@@ -2,5 +2,5 @@
 
 import importlib
 
-for _area in ("exchange", "labels", "metrics", "tables", "portfolio", "options", "selection", "streaming", "intraday"):
+for _area in ("exchange", "labels", "metrics", "tables", "portfolio", "options", "selection", "streaming", "intraday", "models"):
     importlib.import_module(f"catalog.{_area}")
