@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.registry import query
-from tickloom.functions.layout import DAILY, Shape, avg_rank, value_ranks
+from tickloom.functions.layout import DAILY, Shape, avg_rank
 from tickloom.operators import exchange as ex
 from tickloom.operators import labels as lb
 from tickloom.operators.research import research_columns
@@ -294,7 +294,9 @@ def _(t):
     panel = lb.relative_forward_return(ex.momentum(fx.bars(t), 60), 3).filter(
         F.col("ret60").isNotNull() & F.col("xs_rel_fwd_ret_3").isNotNull()
     )
-    ranked = avg_rank(panel.select("ts", "ret60", "xs_rel_fwd_ret_3"), "ret60", ["ts"], "score", pct=True)
+    # tickers per date cannot exceed the supplier table, whose size is checked here
+    shape = Shape(stamp_rows=t.supplier.count())
+    ranked = avg_rank(panel.select("ts", "ret60", "xs_rel_fwd_ret_3"), "ret60", ["ts"], "score", pct=True, shape=shape)
     return decile_spread(ranked, "score", "xs_rel_fwd_ret_3").select(
         F.col("trade_count").alias("rows"), "top_decile", "bottom_decile", "spread"
     )

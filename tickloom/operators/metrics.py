@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
-from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, over_series, running, value_ranks
+from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, magnitude_bucket, over_series, positions, running, value_ranks
 
 
 def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -21,7 +21,9 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), shape: Shape
     ranked = avg_rank(avg_rank(pairs, x, keys, "_rx", shape=shape), y, keys, "_ry", shape=shape)
     varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry")) & (F.count(F.lit(1)) >= 5)
     return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pairs"), F.when(varied, F.corr("_rx", "_ry")).alias("ic_spearman")
+        F.count(F.lit(1)).alias("pairs"),
+        # written out: the built-in correlation fails on a constant side under ANSI arithmetic
+        F.when(varied, F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).alias("ic_spearman"),
     ).drop("_g")
 
 
@@ -93,14 +95,39 @@ GAP_METRICS = ("ic_spearman", "top_decile", "spread", "auc", "balanced_accuracy"
 
 
 def fold_metrics(predictions: DataFrame, by: Sequence[str], label: str = "label", score: str = "prediction",
-                 target: str = "target_value", ret: str = "realized_return") -> DataFrame:
-    """Rows, rank correlation, decile returns, AUC and balanced accuracy per fold key."""
+                 target: str = "target_value", ret: str = "realized_return", shape: Shape = UNKNOWN) -> DataFrame:
+    """Rows, rank correlation, decile returns, AUC and balanced accuracy per fold key.
+
+    Deciles and AUC come from one ranking of the counts per distinct score. The slim prediction rows are kept, as the
+    scores behind them may be model outputs.
+    """
     keys = list(by)
-    ic = spearman(predictions, score, target, keys).drop("pairs")
-    deciles = decile_spread(predictions, score, ret, keys)
-    auc = roc_auc(predictions, label, score, keys)
-    balanced = balanced_accuracy(predictions, label, score, keys).drop("rows")
-    return auc.join(ic, keys, "left").join(deciles, keys, "left").join(balanced, keys, "left")
+    rows = predictions.select(
+        *keys, F.col(score).alias("_s"), F.col(target).alias("_y"), F.col(ret).alias("_r"), F.col(label).alias("_l")
+    ).filter("_s IS NOT NULL AND _l IS NOT NULL").persist()
+    per_score = rows.groupBy(*keys, "_s").agg(
+        F.count(F.lit(1)).alias("cnt"),
+        F.sum(F.when(F.col("_l") > 0, 1).otherwise(0)).alias("_pos"),
+        F.sum("_r").alias("_ret"),
+        F.count("_r").alias("_m"),
+    )
+    ranked = value_ranks(per_score, "_s", keys, "cnt", shape).withColumn("_pct", F.col("avg_rank") / F.col("n"))
+    n, n1 = F.sum("cnt"), F.sum("_pos")
+    area = (F.sum(F.col("avg_rank") * F.col("_pos")) - n1 * (n1 + 1) / 2.0) / F.nullif(n1 * (n - n1), F.lit(0)).cast("double")
+
+    def mean(where):
+        return F.when(n >= 20, F.sum(F.when(where, F.col("_ret"))) / F.nullif(F.sum(F.when(where, F.col("_m"))), F.lit(0)))
+
+    pooled = ranked.groupBy(*keys).agg(
+        n.alias("rows"),
+        F.when(n >= 10, area).alias("auc"),
+        n.alias("trade_count"),
+        mean(F.col("_pct") >= 0.9).alias("top_decile"),
+        mean(F.col("_pct") <= 0.1).alias("bottom_decile"),
+    ).withColumn("spread", F.col("top_decile") - F.col("bottom_decile"))
+    ic = spearman(rows, "_s", "_y", keys, shape).drop("pairs")
+    balanced = balanced_accuracy(rows, "_l", "_s", keys).drop("rows")
+    return pooled.join(ic, keys, "left").join(balanced, keys, "left")
 
 
 def real_vs_shuffled(real: DataFrame, shuffled: DataFrame, key: str = "experiment_id") -> DataFrame:
@@ -156,12 +183,13 @@ def bucket_quality(buckets: DataFrame, by: Sequence[str]) -> DataFrame:
     return ends.join(ranks, list(by)).withColumn("spread", F.col("top_return") - F.col("bottom_return"))
 
 
-def rank_history(predictions: DataFrame, by: Sequence[str] = ("experiment_id", "ts"), score: str = "prediction") -> DataFrame:
+def rank_history(
+    predictions: DataFrame, by: Sequence[str] = ("experiment_id", "ts"), score: str = "prediction", shape: Shape = UNKNOWN
+) -> DataFrame:
     """Percent rank and descending order of each prediction inside its experiment and date."""
-    from tickloom.functions.layout import magnitude_bucket, positions
-
-    ranked = avg_rank(predictions, score, by, "rank_pct", pct=True).withColumn("_neg", -F.col(score))
-    return positions(ranked, list(by), ["_neg", "ticker"], "rank_order", UNKNOWN, magnitude_bucket(F.col("_neg"))).drop("_neg")
+    ranked = avg_rank(predictions, score, by, "rank_pct", pct=True, shape=shape).withColumn("_neg", -F.col(score))
+    order = Shape(series_rows=shape.stamp_rows)
+    return positions(ranked, list(by), ["_neg", "ticker"], "rank_order", order, magnitude_bucket(F.col("_neg"))).drop("_neg")
 
 
 def drawdown_relative(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], shape: Shape = DAILY) -> DataFrame:
