@@ -276,8 +276,13 @@ def avg_rank(
         return df.withColumn(
             name, F.when(F.col(value).isNotNull(), scale(low + (peers - 1) / 2.0, total)).cast("double")
         )
+    return _join_null_safe(df, rank_table(df, value, by, name, pct, shape), [*by, value], "left")
+
+
+def rank_table(
+    df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank", pct: bool = False, shape: Shape = UNKNOWN
+) -> DataFrame:
+    """Average-tie rank of every distinct non-null value: (by, value, name)."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("cnt"))
-    ranked = value_ranks(counts, value, by, "cnt", shape).select(
-        *by, value, scale(F.col("avg_rank"), F.col("n")).cast("double").alias(name)
-    )
-    return _join_null_safe(df, ranked, [*by, value], "left")
+    rank = F.col("avg_rank") / F.col("n") if pct else F.col("avg_rank")
+    return value_ranks(counts, value, by, "cnt", shape).select(*by, value, rank.cast("double").alias(name))

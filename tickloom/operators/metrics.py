@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
-from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, magnitude_bucket, over_series, positions, running, value_ranks
+from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, magnitude_bucket, over_series, positions, rank_table, running, value_ranks
 
 
 def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -16,9 +16,15 @@ def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), shape: Shape = UNKNOWN) -> DataFrame:
-    """Pearson correlation of average-tie ranks; null below five pairs or for a constant side."""
+    """Pearson correlation of average-tie ranks; null below five pairs or for a constant side.
+
+    The pairs are read three times (two rank tables and the lookup), so the slim pairs are kept.
+    """
     pairs, keys = _keys(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), by)
-    ranked = avg_rank(avg_rank(pairs, x, keys, "_rx", shape=shape), y, keys, "_ry", shape=shape)
+    pairs = pairs.persist()
+    ranked = pairs.join(rank_table(pairs, x, keys, "_rx", shape=shape), [*keys, x]).join(
+        rank_table(pairs, y, keys, "_ry", shape=shape), [*keys, y]
+    )
     varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry")) & (F.count(F.lit(1)) >= 5)
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pairs"),
