@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
-from tickloom.functions.layout import DAILY, UNKNOWN, Shape, over_series, positions, running
+from tickloom.functions.layout import DAILY, Shape, over_series, positions, running
+from tickloom.operators.rollups import exact_quantiles
 
 
 def _feature(df: DataFrame, name: str, default: float = 0.0) -> Column:
@@ -258,7 +259,11 @@ def shuffle_path(bars: DataFrame, seed: int = 42, shape: Shape = DAILY) -> DataF
         shape=shape,
     )
     starts = returns.filter("_first").select("ticker", F.col("close").alias("_start"))
-    spreads = returns.groupBy("ticker").agg(F.percentile(F.abs(F.col("high") - F.col("low")), F.lit(0.5)).alias("_mid"))
+    width = F.abs(F.col("high") - F.col("low"))
+    if shape.series_fits():
+        spreads = returns.groupBy("ticker").agg(F.percentile(width, F.lit(0.5)).alias("_mid"))
+    else:
+        spreads = exact_quantiles(returns.select("ticker", width.alias("_w")), "_w", [0.5], ["ticker"]).withColumnRenamed("q0", "_mid")
     moved = shuffle_within(returns.filter(~F.col("_first")), "_r", seed=seed, shape=shape)
     first = returns.filter("_first").withColumn("_r", F.lit(0.0))
     stacked = moved.select("ticker", "ts", "high", "low", "_r").unionByName(first.select("ticker", "ts", "high", "low", "_r"))

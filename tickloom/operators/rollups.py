@@ -88,10 +88,10 @@ def weighted_fold_summary(folds: DataFrame, metrics: Sequence[str], prefix: str,
 
 
 def variant_rollup(runs: DataFrame, keys: Sequence[str] = ("model_name", "data_variant", "friction_variant")) -> DataFrame:
-    """Mean and median results by model, data and friction variant."""
-    return runs.groupBy(*keys).agg(
+    """Mean and median results by model, data and friction variant; a variant may hold most runs."""
+    medians = exact_quantiles(runs, "total_return", [0.5], keys).withColumnRenamed("q0", "median_total_return")
+    means = runs.groupBy(*keys).agg(
         F.avg("total_return").alias("mean_total_return"),
-        F.percentile("total_return", F.lit(0.5)).alias("median_total_return"),
         F.avg("annualized_return").alias("mean_annualized_return"),
         F.avg("sharpe").alias("mean_sharpe"),
         F.avg("sortino").alias("mean_sortino"),
@@ -102,6 +102,7 @@ def variant_rollup(runs: DataFrame, keys: Sequence[str] = ("model_name", "data_v
         F.count_distinct("window_id").alias("windows"),
         F.count("ticker").alias("rows"),
     )
+    return means.join(medians, list(keys), "left")
 
 
 def style_rollup(styles: DataFrame, keys: Sequence[str] = ("model_name", "data_variant", "friction_variant", "style")) -> DataFrame:

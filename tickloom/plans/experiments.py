@@ -161,17 +161,17 @@ def coefficients(model: PipelineModel, features: Sequence[str], spark, n: int =
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ends)], "feature string, coefficient double, rank int")
 
 
-def leave_one_out(frame: DataFrame, features: Sequence[str], tickers: Sequence[str]) -> DataFrame:
-    """Logistic diagnostic fitted without, and scored on, each listed ticker."""
-    sizes = {r.ticker: r.n for r in frame.filter(F.col("ticker").isin(list(tickers))).groupBy("ticker").agg(F.count(F.lit(1)).alias("n")).collect()}
-    total, out = frame.count(), None
-    for name in tickers:
-        if name not in sizes:
+def leave_one_out(frame: DataFrame, features: Sequence[str], key: str = "ticker") -> DataFrame:
+    """Logistic diagnostic fitted without, and scored on, each value of ``key``: one fit per value."""
+    sizes = {r[key]: r.n for r in frame.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, out = sum(sizes.values()), None
+    for value, n in sorted(sizes.items()):
+        if n == total:
             continue
-        model = fit(frame.filter(F.col("ticker") != name), features, "label_up", "logistic", total - sizes[name])
-        part = score(model, frame.filter(F.col("ticker") == name), "logistic", "prob").select("ticker", "label_up", "prob")
+        model = fit(frame.filter(F.col(key) != value), features, "label_up", "logistic", total - n)
+        part = score(model, frame.filter(F.col(key) == value), "logistic", "prob").select(key, "label_up", "prob")
         out = part if out is None else out.unionByName(part)
-    return accuracy(out, "label_up", "prob", ["ticker"]).join(roc_auc(out, "label_up", "prob", ["ticker"]).select("ticker", "auc"), "ticker", "left")
+    return accuracy(out, "label_up", "prob", [key]).join(roc_auc(out, "label_up", "prob", [key]).select(key, "auc"), key, "left")
 
 
 def next_day_baseline(frame: DataFrame, features: Sequence[str], ratio: float = 0.7, trees: int = 200, kinds: Sequence[str] = ("linear", "random_forest")) -> DataFrame:

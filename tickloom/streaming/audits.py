@@ -109,28 +109,32 @@ def quality_gate(audit: DataFrame, min_days: int = 15, max_gap: float = 5.0, rea
 
 
 def file_check(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
-    """Per Parquet file: can its footer be read, and which required columns are missing. Footers are read in tasks."""
+    """Per Parquet file: can its footer be read, and which required columns are missing.
+
+    The listing reads no content; tasks open each file and read its footer only.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
     wanted = list(required)
 
     def inspect(batches):
-        import io
-
         import pandas as pd
+        import pyarrow.fs as fs
         import pyarrow.parquet as pq
 
         for pdf in batches:
             out = []
-            for name, content in zip(pdf["path"], pdf["content"]):
+            for name in pdf["path"]:
                 try:
-                    meta = pq.ParquetFile(io.BytesIO(content))
-                    missing = sorted(set(wanted) - set(meta.schema_arrow.names))
-                    out.append((name, True, meta.metadata.num_rows, ",".join(missing)))
+                    store, local = fs.FileSystem.from_uri(name.replace("file:/", "file:///", 1) if name.startswith("file:/") and not name.startswith("file:///") else name)
+                    with store.open_input_file(local) as handle:
+                        found = pq.ParquetFile(handle)
+                        missing = sorted(set(wanted) - set(found.schema_arrow.names))
+                        out.append((name, True, found.metadata.num_rows, ",".join(missing)))
                 except Exception:  # noqa: BLE001
                     out.append((name, False, 0, ""))
             yield pd.DataFrame(out, columns=["path", "readable", "rows", "missing_columns"])
 
-    return files.select("path", "content").mapInPandas(inspect, "path string, readable boolean, rows long, missing_columns string")
+    return files.select("path").mapInPandas(inspect, "path string, readable boolean, rows long, missing_columns string")
 
 
 def plan_status(audit: DataFrame, gate: DataFrame, calendar_days: int = 28) -> DataFrame:
