@@ -101,7 +101,7 @@ def gather_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     return gathered.select(id_column, F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
 
 
-_JSON = T._parse_datatype_string(
+_JSON = (
     "messages array<struct<role:string,content:string>>, conversations array<struct<`from`:string,`value`:string>>, "
     "instruction string, input string, output string, prompt string, completion string, response string, system string, question string, answer string"
 )
