@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, packing, quality, search, spans
+from tickloom.llm import bpe, chat, packing, quality, search, spans, suffixes
 
 WORD_BPE = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,8 @@ SELECT * FROM ranked WHERE rank <= 20"""
 @register
 def op8_spans(spark: SparkSession, folder: str) -> DataFrame:
     return spans.span_report(table(spark, folder, "documents"))
+
+
+@register
+def op1_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.byte_report(table(spark, folder, "documents"))
