@@ -29,7 +29,9 @@ from tickloom.llm.text import Anchors, Chunk, anchors, byte_values, chunks, cove
 WINDOW = 100
 GRAM = 36
 #: Suffixes that a task sorts into one run.
-RUN = 1 << 17
+RUN = 1 << 16
+#: Ranges for each shuffle partition; a range is merged in memory.
+RANGES = 4
 _SAMPLE = 64  # sampled places of a chunk, for the splitters
 
 
@@ -204,7 +206,7 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     """``key, firsts, lasts``: runs of byte windows that also start earlier; ``docs`` has ``key, doc_id, text``."""
     parts = ranges_of(docs.sparkSession)
     segments = byte_segments(window, gram)
-    edges = splitters(docs, parts)
+    edges = splitters(docs, RANGES * parts)
     reach = window - gram
 
     def sort(batches):
@@ -248,25 +250,32 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
             yield from flush()
 
     def merge(batches):
+        waiting: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if blob[:1] == b"\1":
+                    yield removals(*unsqueeze(blob[1:], ["i8", "i8", "i8"]))
+                else:
+                    waiting.setdefault(part, []).append(blob)
+        while waiting:  # one range at a time: a task may have been given several
+            yield merged(waiting.popitem()[1])
+
+    def merged(blobs: list[bytes]) -> pa.RecordBatch:
         heads, lefts, where, begin = [], [], [], 0
-        for blob in (b for batch in batches for b in batch.column(1).to_pylist()):
-            if blob[:1] == b"\1":
-                yield removals(*unsqueeze(blob[1:], ["i8", "i8", "i8"]))
-                continue
+        for blob in blobs:
             shared, sizes, body, left, place = _unpack(blob[1:])
             heads.append(_decode(shared, sizes, body, begin))
             begin += len(sizes)
             lefts += left
             where.append(place)
-        if not heads:
-            return
         suffixes, shared, tags = merge_runs(heads)
         tags = np.array(tags)
         where = np.concatenate(where)[tags]
         rank = np.unique(where, axis=0, return_inverse=True)[1].ravel()  # equal rows are one document
         sizes = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
+        suffixes.clear()
         row, least, most = later_windows([lefts[t] for t in tags.tolist()], sizes, np.array(shared), rank, window, reach)
-        yield removals(where[row, 1], where[row, 2] - most, where[row, 2] - least)
+        return removals(where[row, 1], where[row, 2] - most, where[row, 2] - least)
 
     marked = docs.join(mark(docs, segments), "key", "left").select("key", "doc_id", "text", "codes")
     sent = marked.mapInArrow(sort, "part int, blob binary").repartition(parts, "part")
