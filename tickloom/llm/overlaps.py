@@ -25,10 +25,10 @@ UNIQUE, REPEATED, OPEN, SHOWN = range(4)
 _U = np.uint64
 
 
-def keyed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``key, doc_id, text``; the key tells rows apart, equal rows share it."""
+def keyed(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key, doc_id, text``, and columns to carry along; the key tells rows apart, equal rows share it."""
     doc_id, text = df[id_column].cast("bigint"), F.coalesce(df[text_column].cast("string"), F.lit(""))
-    return df.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"))
+    return df.select(F.xxhash64(doc_id, text).alias("key"), doc_id.alias("doc_id"), text.alias("text"), *[df[c].alias(f"_carry_{c}") for c in carry])
 
 
 def ranges_of(spark) -> int:

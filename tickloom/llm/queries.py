@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, packing, quality, search, spans, suffixes
+from tickloom.llm import bpe, chat, neardup, packing, quality, search, spans, suffixes
 
 WORD_BPE = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +89,9 @@ def op8_spans(spark: SparkSession, folder: str) -> DataFrame:
 @register
 def op1_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.byte_report(table(spark, folder, "documents"))
+
+
+@register
+def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, folder, "documents"), size=4, over=80, under=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")

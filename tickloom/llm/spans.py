@@ -17,6 +17,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from tickloom.llm.overlaps import OPEN, REPEATED, SHOWN, gathered, key_array, keyed, mark, marked_chunks, parcels, ranges_of, removals, unsqueeze
 from tickloom.llm.text import Anchors, Chunk, anchors, chunks, covered, mix, prefix, runs, spans, word_hashes, words
@@ -98,9 +99,10 @@ def _removed(batch: pa.RecordBatch, window: int):
         yield chunk, starts, stops, bounds, covered(first[own] + base, last[own] + base, window, len(starts))
 
 
-def _joined(df: DataFrame, window: int, gram: int, id_column: str, text_column: str) -> DataFrame:
+def _joined(df: DataFrame, window: int, gram: int, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
     docs = keyed(df, id_column, text_column)
-    return docs.join(repeated_runs(docs, window, gram), "key", "left").select("doc_id", "text", "firsts", "lasts")
+    rows = keyed(df, id_column, text_column, carry) if carry else docs
+    return rows.join(repeated_runs(docs, window, gram), "key", "left").select("doc_id", "text", "firsts", "lasts", *[f"_carry_{c}" for c in carry])
 
 
 def span_report(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -121,20 +123,28 @@ def span_report(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFr
     return _joined(df, window, gram, "doc_id", "text").mapInArrow(report, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
 
 
-def without_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``id_column`` and ``text_column`` with repeated windows cut out; white space between kept words stays."""
+def without_repeats(df: DataFrame, window: int = WINDOW, gram: int = GRAM, id_column: str = "doc_id", text_column: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id_column, text_column, changed`` and the columns to ``carry``, with repeated windows cut out of the texts.
+
+    White space between kept words stays; a text without repeats is unchanged; a null text becomes empty.
+    """
     def cut(batches):
         for batch in batches:
             for chunk, starts, stops, bounds, gone in _removed(batch, window):
-                texts = [x.as_py() for x in batch.column(1).slice(chunk.first, chunk.rows).cast(pa.binary())]
-                for i in np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds])):
+                column = batch.column(1).slice(chunk.first, chunk.rows)
+                texts = [x.as_py() for x in column.cast(pa.binary())]
+                changed = np.diff(np.concatenate([[0], np.cumsum(gone)])[bounds]) > 0
+                for i in np.flatnonzero(changed):
                     own = slice(bounds[i], bounds[i + 1])
                     a, b = runs(gone[own])
-                    base = chunk.offsets[i]
-                    begin = np.append(starts[own], chunk.offsets[i + 1]) - base  # a run goes with the white space after it
+                    begin = np.append(starts[own], chunk.offsets[i + 1]) - chunk.offsets[i]  # a run goes with the white space after it
                     edge = np.concatenate([[0], np.stack([begin[a], begin[b]], 1).ravel(), [len(texts[i])]]).tolist()
                     texts[i] = b"".join(texts[i][x:y] for x, y in zip(edge[::2], edge[1::2], strict=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(chunk.first, chunk.rows), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "text"])
-
-    cut_out = _joined(df, window, gram, id_column, text_column).mapInArrow(cut, "doc_id bigint, text string")
-    return cut_out.withColumnsRenamed({"doc_id": id_column, "text": text_column})
+                rest = [batch.column(i).slice(chunk.first, chunk.rows) for i in range(4, batch.num_columns)]
+                head = [batch.column(0).slice(chunk.first, chunk.rows), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(changed)]
+                yield pa.RecordBatch.from_arrays([*head, *rest], ["doc_id", "text", "changed", *batch.schema.names[4:]])
+
+    joined = _joined(df, window, gram, id_column, text_column, carry)
+    kept = [joined.schema[f"_carry_{c}"] for c in carry]
+    schema = StructType([StructField("doc_id", LongType()), StructField("text", StringType()), StructField("changed", BooleanType()), *kept])
+    return joined.mapInArrow(cut, schema).withColumnsRenamed({"doc_id": id_column, "text": text_column, **{f"_carry_{c}": c for c in carry}})
