@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tickloom.llm import packing, quality
+from tickloom.llm import neardup, packing, quality, spans
 from tickloom.llm.text import stored
 
 WORD_BPE = "word_bpe_49k.json"
@@ -23,6 +24,18 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(scored["_quality_score"] >= quality.THRESHOLD).select(*COLUMNS)
 
 
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: shingles of five words, similarity 0.8 or more."""
+    return neardup.without_near_duplicates(docs, size=5, over=80, under=100).select(*COLUMNS)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of passages of 35 words or more that also stand elsewhere; emptied texts go."""
+    cut = spans.without_repeats(docs.select(*COLUMNS), carry=("lang", "source", "n_chars"))
+    changed = cut.withColumn("n_chars", F.when(F.col("changed"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return changed.where(~F.col("changed") | (F.trim("text") != "")).select(*COLUMNS)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining texts, packed into windows."""
     return packing.pack_documents(docs, public_tokenizers.path(WORD_BPE))
@@ -30,6 +43,8 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [
     ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_duplicate_stage),
+    ("substring dedup", substring_stage),
     ("packing", packing_stage),
 ]
 #: No SQL for a trained classifier, BPE or differencing; the tests hold the pipeline against plain versions.
