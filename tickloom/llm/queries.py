@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm import bpe, chat, neardup, packing, quality, search, spans, suffixes
+from tickloom.llm import bpe, chat, extraction, imatch, neardup, packing, quality, search, spans, suffixes
 
 WORD_BPE = "word_bpe_49k.json"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,13 @@ def op1_suffixes(spark: SparkSession, folder: str) -> DataFrame:
 def op3_neardup(spark: SparkSession, folder: str) -> DataFrame:
     found = neardup.near_duplicates(table(spark, folder, "documents"), size=4, over=80, under=100)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register
+def op6_html(spark: SparkSession, folder: str) -> DataFrame:
+    return extraction.extract(table(spark, folder, "pages"))
+
+
+@register
+def op7_imatch(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.edit_report(table(spark, folder, "documents"))

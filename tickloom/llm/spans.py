@@ -81,7 +81,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
         out = np.flatnonzero((total > 1) & (count == 1))
         yield removals(key[out], first[out], first[out])
 
-    marked = docs.join(mark(docs, paths), "key", "left").select("key", "text", "codes")
+    marked = docs.join(mark(docs, paths), "key", "left")
     sent = marked.mapInArrow(edges, "part int, blob binary").repartition(parts, "part")
     return gathered(sent.mapInArrow(compare, "key bigint, first bigint, last bigint"))
 
@@ -100,9 +100,8 @@ def _removed(batch: pa.RecordBatch, window: int):
 
 
 def _joined(df: DataFrame, window: int, gram: int, id_column: str, text_column: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    docs = keyed(df, id_column, text_column)
-    rows = keyed(df, id_column, text_column, carry) if carry else docs
-    return rows.join(repeated_runs(docs, window, gram), "key", "left").select("doc_id", "text", "firsts", "lasts", *[f"_carry_{c}" for c in carry])
+    docs = keyed(df, id_column, text_column, carry)  # both joins take the same columns, so they share one exchange
+    return docs.join(repeated_runs(docs, window, gram), "key", "left").select("doc_id", "text", "firsts", "lasts", *[f"_carry_{c}" for c in carry])
 
 
 def span_report(df: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:

@@ -277,7 +277,7 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         row, least, most = later_windows([lefts[t] for t in tags.tolist()], sizes, np.array(shared), rank, window, reach)
         return removals(where[row, 1], where[row, 2] - most, where[row, 2] - least)
 
-    marked = docs.join(mark(docs, segments), "key", "left").select("key", "doc_id", "text", "codes")
+    marked = docs.join(mark(docs, segments), "key", "left")
     sent = marked.mapInArrow(sort, "part int, blob binary").repartition(parts, "part")
     return gathered(sent.mapInArrow(merge, "key bigint, first bigint, last bigint"))
 
