@@ -15,6 +15,7 @@ an empty result. A document's terms are held in one row, the corpus's never.
 
 from __future__ import annotations
 
+import itertools
 import json
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,13 +73,13 @@ def fingerprints(text: Column, bits: list[int]) -> Column:
             return F.when(F.size(part) > 0, F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF)))
         return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << width) - 1).cast("bigint")), one)
 
+    def level(own: Column, shift: int, thin: int) -> Column:
+        rest = F.filter(own, lambda t: _bits(t, shift, thin) == 0)
+        return bind(rest, lambda few: subsets(few, shift + thin, 4))
+
     def all_levels(own: Column) -> Column:
-        parts, shift = [subsets(own, 20, 1)], 21
-        for thin in THINNED:
-            rest = F.filter(own, lambda t, shift=shift, thin=thin: _bits(t, shift, thin) == 0)
-            parts.append(bind(rest, lambda few, at=shift + thin: subsets(few, at, 4)))
-            shift += thin + 4
-        return F.concat(*parts)
+        shifts = itertools.accumulate([thin + 4 for thin in THINNED[:-1]], initial=21)
+        return F.concat(subsets(own, 20, 1), *[level(own, shift, thin) for shift, thin in zip(shifts, THINNED, strict=True)])
 
     def chosen(every: Column) -> Column:
         band = F.filter(every, inside)
