@@ -17,10 +17,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import Anchors, Chunk, binary, chunks
+from tickloom.llm.text import CHUNK, Anchors, Chunk, binary, chunks
 
 #: Records that a task holds before it sends them.
-HELD = 1 << 20
+HELD = 1 << 18
 UNIQUE, REPEATED, OPEN, SHOWN = range(4)
 _U = np.uint64
 
@@ -66,7 +66,7 @@ def key_array(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def mark(docs: DataFrame, segments: Callable[[Chunk], tuple[Anchors, np.ndarray, np.ndarray]]) -> DataFrame:
+def mark(docs: DataFrame, segments: Callable[[Chunk], tuple[Anchors, np.ndarray, np.ndarray]], piece: int = CHUNK) -> DataFrame:
     """``key, codes``: for each text with a shared gram, ``4 * segment + status`` of the segments concerned.
 
     ``segments`` gives a chunk's anchors, each one's row and a hash of its whole content. ``REPEATED`` segments occur whole
@@ -94,7 +94,7 @@ def mark(docs: DataFrame, segments: Callable[[Chunk], tuple[Anchors, np.ndarray,
 
         for batch in batches:
             keys = key_array(batch.column(0))
-            for chunk in chunks(batch.column(1)):
+            for chunk in chunks(batch.column(1), piece):
                 found, row, content = segments(chunk)
                 if len(row):
                     place = np.arange(len(row)) - np.searchsorted(row, np.arange(chunk.rows))[row]
@@ -136,7 +136,7 @@ def _codes(key: np.ndarray, place: np.ndarray, status: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(place.astype(np.int64) * 4 + status)], ["key", "code"])
 
 
-def marked_chunks(batch: pa.RecordBatch, segments, text: str = "text", codes: str = "codes"):
+def marked_chunks(batch: pa.RecordBatch, segments, piece: int = CHUNK, text: str = "text", codes: str = "codes"):
     """For the texts of a batch that have codes: chunk, batch rows, anchors, each one's chunk row, and each one's status."""
     lists = batch.column(batch.schema.get_field_index(codes))
     rows = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
@@ -146,7 +146,7 @@ def marked_chunks(batch: pa.RecordBatch, segments, text: str = "text", codes: st
     lists = lists.take(pa.array(rows))
     flat = lists.flatten().to_numpy(zero_copy_only=False)
     ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, piece):
         found, row, _ = segments(chunk)
         start = np.searchsorted(row, np.arange(chunk.rows + 1))
         own = flat[ends[chunk.first] : ends[chunk.first + chunk.rows]]

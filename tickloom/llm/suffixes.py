@@ -29,7 +29,9 @@ from tickloom.llm.text import Anchors, Chunk, anchors, byte_values, chunks, cove
 WINDOW = 100
 GRAM = 36
 #: Suffixes that a task sorts into one run.
-RUN = 1 << 16
+RUN = 1 << 15
+#: Bytes hashed together; every byte starts a gram, so this is smaller than for words.
+PIECE = 1 << 18
 #: Ranges for each shuffle partition; a range is merged in memory.
 RANGES = 4
 _SAMPLE = 64  # sampled places of a chunk, for the splitters
@@ -239,7 +241,7 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         for batch in batches:
             keys = key_array(batch.column(0))
             ids = batch.column(1).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-            for chunk, rows, found, row, status in marked_chunks(batch, segments):
+            for chunk, rows, found, row, status in marked_chunks(batch, segments, PIECE):
                 body, base = chunk.data.tobytes(), chunk.offsets[row]
                 for i in np.flatnonzero(status != UNIQUE).tolist():
                     at = int(found.at[i])
@@ -277,7 +279,7 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         row, least, most = later_windows([lefts[t] for t in tags.tolist()], sizes, np.array(shared), rank, window, reach)
         return removals(where[row, 1], where[row, 2] - most, where[row, 2] - least)
 
-    marked = docs.join(mark(docs, segments), "key", "left")
+    marked = docs.join(mark(docs, segments, PIECE), "key", "left")
     sent = marked.mapInArrow(sort, "part int, blob binary").repartition(parts, "part")
     return gathered(sent.mapInArrow(merge, "key bigint, first bigint, last bigint"))
 
