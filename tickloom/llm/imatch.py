@@ -70,7 +70,7 @@ def fingerprints(text: Column, bits: list[int]) -> Column:
     def subsets(own: Column, shift: int, width: int) -> Column:
         def one(k: Column) -> Column:
             part = F.filter(own, lambda t: _bits(t, shift, width) == k)
-            return F.when(F.size(part) > 0, F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF)))
+            return F.when(F.size(part) > 0, F.hash(part))
         return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << width) - 1).cast("bigint")), one)
 
     def level(own: Column, shift: int, thin: int) -> Column:
@@ -94,7 +94,7 @@ def bind(value: Column, use) -> Column:
 
 
 def written(prints: Column) -> Column:
-    return F.array_join(F.transform(prints, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x)), 8, "0"), F.lit("-" * 8))), "")
+    return F.array_join(F.transform(prints, lambda x: F.coalesce(F.lpad(F.lower(F.hex(x.cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"), F.lit("-" * 8))), "")
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -132,15 +132,16 @@ def edit_report(df: DataFrame) -> DataFrame:
     order = next_rows(ids)
     half = F.floor(F.col("n") / 2).cast("int")
     asked = order.select(F.col("next_key").alias("key"), F.col("key").alias("prev_key"), half.alias("half"))
-    heads = docs.join(asked, "key").groupBy("prev_key").agg(F.first(F.substr("text", F.lit(1), F.col("half"))).alias("head"))
+    # the next document's id is carried along, so that both joins read the same columns and share one exchange of texts
+    heads = docs.join(asked, "key").groupBy("prev_key").agg(F.first(F.substr("text", F.lit(1), F.col("half"))).alias("head"), F.first("doc_id").alias("next_doc_id"))
     after = order.select(F.col("key").alias("own_key"), "next_key")
     edited = docs.join(heads, docs["key"] == heads["prev_key"]).join(after, docs["key"] == after["own_key"])
     n = F.length("text")
-    edited = edited.select("key", "next_key", "doc_id", "text", F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head")).alias("changed"))
-    made = edited.select("key", "next_key", "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"),
+    edited = edited.select("key", "next_key", "doc_id", "next_doc_id", "text", F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head")).alias("changed"))
+    made = edited.select("key", "next_key", "doc_id", "next_doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"),
                          fingerprints(F.col("text"), bits).alias("own"), fingerprints(F.col("changed"), bits).alias("other"))
     made = stored(made, "fingerprints")
     following = made.groupBy(F.col("key").alias("next_key")).agg(F.first("own").alias("next_own"))
     rows = made.join(following, "next_key")
     return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
-                       alike(F.col("own"), F.col("other")).alias("near_edited"), alike(F.col("own"), F.col("next_own")).alias("near_next"))
+                       alike(F.col("own"), F.col("other")).alias("near_edited"), alike(F.col("own"), F.col("next_own")).alias("near_next"), "next_doc_id")
