@@ -243,7 +243,8 @@ def confirmed(docs: DataFrame, clusters: DataFrame, size: int, over: int, under:
                 names.append(ids[order[root]])
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(names, pa.int64())], ["key", "component"])
 
-    rows = docs.join(clusters, "key").select("root", "key", "doc_id", "text").mapInArrow(whole, "root bigint, key bigint, doc_id bigint, grams binary")
+    # merged at any size: which texts are in clusters grows with the corpus
+    rows = docs.join(clusters.hint("merge"), "key").select("root", "key", "doc_id", "text").mapInArrow(whole, "root bigint, key bigint, doc_id bigint, grams binary")
     return rows.repartition("root").mapInArrow(check, "key bigint, component bigint").distinct()
 
 
