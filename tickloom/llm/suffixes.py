@@ -224,7 +224,7 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 else:
                     first.append(item)
             held.clear()
-            begin = np.array([int.from_bytes(x[0][:8], "big") for x in first], np.uint64)
+            begin = np.array([int.from_bytes(x[0][:8], "big") >> 1 for x in first], np.uint64)  # as the sampled ones
             part = np.searchsorted(edges, begin, "right")
             cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
             blobs = [_pack(first[a:b]) for a, b in itertools.pairwise(cut)]
