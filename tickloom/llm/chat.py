@@ -54,7 +54,7 @@ def _instruction() -> Column:
 
 #: Paths of a layout, and its mapping to turns.
 LAYOUTS = {
-    "turn_rows": (("conv_id", "turn", "role", "text"), None),
+    "turn_rows": (("turn", "role", "text"), None),
     "messages": (("messages[].role", "messages[].content"), lambda: _listed("messages", "role", "content")),
     "shared": (("conversations[].from", "conversations[].value"), lambda: _listed("conversations", "from", "value", {"human": "user", "gpt": "assistant"})),
     "instruction_input": (("instruction", "input", "output"), _instruction),
@@ -88,6 +88,8 @@ def canonical_turns(df: DataFrame, id_column: str = "conv_id") -> DataFrame:
     """``id_column`` and ``turns`` of a table in any known layout; turn rows are gathered by conversation."""
     paths = nested_paths(df.schema)
     layout = BY_FINGERPRINT.get(fingerprint(paths))
+    if layout is None:  # a column of another meaning may have a layout's name: take the largest layout that is there whole
+        layout = max((n for n, (own, _) in LAYOUTS.items() if set(own) <= set(paths)), key=lambda n: (len(LAYOUTS[n][0]), n), default=None)
     if layout is None:
         raise ValueError(f"no mapping for the fields {sorted(PATHS.intersection(paths))} of {sorted(paths)}")
     if layout == "turn_rows":
@@ -111,10 +113,9 @@ def canonical_turns_json(df: DataFrame, id_column: str, json_column: str) -> Dat
     """Turns of JSON rows that may each have another layout; ``layout`` names it, null turns where none is known."""
     parsed = df.select(df[id_column].alias("_id"), F.from_json(df[json_column].cast("string"), _JSON).alias("_j")).select("_id", "_j.*")
     present = []
-    for path in sorted(p for p in PATHS if p not in ("conv_id", "turn", "role", "text")):
+    for path in sorted(p for p in PATHS if p not in ("turn", "role", "text")):
         head, _, leaf = path.partition("[].")
-        there = F.exists(head, lambda x, leaf=leaf: x[leaf].isNotNull()) if leaf else F.col(head).isNotNull()
-        present.append(F.when(there, F.lit(path)))
+        present.append(F.when(_holds(head, leaf) if leaf else F.col(head).isNotNull(), F.lit(path)))
     print_ = F.sha2(F.concat_ws("\n", *present), 256)
     turns, name = F.lit(None).cast(TURN), F.lit(None).cast("string")
     for known, layout in BY_FINGERPRINT.items():
@@ -124,6 +125,10 @@ def canonical_turns_json(df: DataFrame, id_column: str, json_column: str) -> Dat
     return parsed.withColumn("_print", print_).select(F.col("_id").alias(id_column), name.alias("layout"), turns.alias("turns"))
 
 
+def _holds(array: str, leaf: str) -> Column:
+    return F.exists(array, lambda x: x[leaf].isNotNull())
+
+
 def escape(text: Column) -> Column:
     for plain, written in ESCAPES:
         text = F.replace(text, F.lit(plain), F.lit(written))
