@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.labels import RESEARCH
 from catalog.registry import query
-from tickloom.functions.layout import Shape
+from tickloom.functions.layout import UNKNOWN
 from tickloom.operators import intraday as it
 
 W = "(PARTITION BY ticker ORDER BY ts ROWS {n} PRECEDING)"
@@ -135,7 +135,7 @@ RANKS = f"{RELATED}, ranks AS (SELECT *, {', '.join(_rank_sql(c) for c in RANK_O
 def _ranked(t):
     frame = _related(t).select("ticker", "ts", *[F.round(c, 9).alias(c) for c in RANK_ON])
     # tickers per date cannot exceed the supplier table
-    return it.cross_ranks(frame, RANK_ON, shape=Shape(stamp_rows=t.supplier.count()))
+    return it.cross_ranks(frame, RANK_ON, shape=UNKNOWN)
 
 
 @query(

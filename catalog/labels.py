@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from catalog.registry import query
-from tickloom.functions.layout import DAILY, Shape, avg_rank
+from tickloom.functions.layout import DAILY, UNKNOWN, avg_rank
 from tickloom.operators import exchange as ex
 from tickloom.operators import labels as lb
 from tickloom.operators.research import research_columns
@@ -30,7 +30,7 @@ RESEARCH = f"""{fx.BARS}, own AS (
       SELECT own2.*, mkt_ret_1, mkt_ret_3, mkt_ret_6, lag_ret_1 - mkt_ret_1 AS stock_minus_mkt_1,
              ret_3 - mkt_ret_3 AS stock_minus_mkt_3, ret_6 - mkt_ret_6 AS stock_minus_mkt_6,
              0.0008 + 0.25 * exp(greatest(least(coalesce(atr20_log, -20), 5), -20)) AS cost,
-             coalesce(exp(greatest(least(atr20_log, 5), -20)), 0) AS atr
+             CASE WHEN atr20_log IS NULL THEN 0 ELSE exp(greatest(least(atr20_log, 5), -20)) END AS atr
       FROM own2 LEFT JOIN market USING (ts))"""
 
 
@@ -295,7 +295,7 @@ def _(t):
         F.col("ret60").isNotNull() & F.col("xs_rel_fwd_ret_3").isNotNull()
     )
     # tickers per date cannot exceed the supplier table, whose size is checked here
-    shape = Shape(stamp_rows=t.supplier.count())
+    shape = UNKNOWN
     ranked = avg_rank(panel.select("ts", "ret60", "xs_rel_fwd_ret_3"), "ret60", ["ts"], "score", pct=True, shape=shape)
     return decile_spread(ranked, "score", "xs_rel_fwd_ret_3").select(
         F.col("trade_count").alias("rows"), "top_decile", "bottom_decile", "spread"

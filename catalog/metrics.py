@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from catalog import fixtures as fx
 from catalog.labels import RELATIVE
 from catalog.registry import query
-from tickloom.functions.layout import DAILY, Shape, avg_rank, over_series, running
+from tickloom.functions.layout import DAILY, UNKNOWN, avg_rank, over_series, running
 from tickloom.functions import rolling as R
 from tickloom.operators import exchange as ex
 from tickloom.operators import labels as lb
@@ -270,7 +270,7 @@ def _(t):
 )
 def _(t):
     # tickers per date cannot exceed the supplier table, whose size is checked here
-    return mt.rank_history(predictions(t), shape=Shape(stamp_rows=t.supplier.count()))
+    return mt.rank_history(predictions(t), shape=UNKNOWN)
 
 
 def history(t) -> DataFrame:

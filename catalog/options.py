@@ -282,7 +282,7 @@ def _(t):
     "year:i trades:i mean_return:f variance:f6 worst_return:f raw_kelly:f2 fraction:f",
     f"""WITH {SINGLE}, k AS (SELECT year(entry_date) AS year, count(*) AS trades, avg(return_on_cash) AS mean_return,
           var_samp(return_on_cash) AS variance, min(return_on_cash) AS worst_return FROM csp GROUP BY 1)
-        SELECT *, mean_return / variance AS raw_kelly, greatest(0, least(mean_return / variance / 2,
+        SELECT *, mean_return / variance AS raw_kelly, greatest(0, least(coalesce(mean_return / variance, 0) / 2,
           CASE WHEN worst_return < 0 THEN 0.05 / -worst_return ELSE 0.25 END, 0.25)) AS fraction FROM k""",
 )
 def _(t):

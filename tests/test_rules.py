@@ -130,3 +130,26 @@ def test_weights_sum_to_one(spark, folder):
 
     sums = entry.queries()["b2_score_weights"](spark, folder).groupBy("fold_id", "k").agg(F.sum("weight").alias("w"))
     assert sums.filter(F.abs(F.col("w") - 1) > 1e-4).count() == 0
+
+
+def test_unknown_values_stay_unknown(spark):
+    from tickloom.functions import rolling
+    from tickloom.operators import cleaning, metrics, options
+
+    rows = spark.createDataFrame([(None,), (9.0,), (-9.0,)], "x double")
+    assert [r[0] for r in rows.select(rolling.clip(F.col("x"), -5.0, 5.0)).collect()] == [None, 5.0, -5.0]
+    one = spark.createDataFrame([(1, 0.1)], "k int, r double")
+    assert options.kelly(one, "r", ["k"]).first().fraction == 0.0
+    frame = spark.createDataFrame([(1.0, "a"), (-1.0, "b")], "trend_30 double, style string")
+    for predicate, left in (("Trend_30 > 0", 1), ("style == 'a'", 1), ("trend_30 > 1e-3", 1), ("absent > 0", 2)):
+        assert cleaning.regime_filter(frame, predicate).count() == left
+    scored = spark.createDataFrame([(1, float(i), float(i), None if i >= 90 else float(i), i % 2) for i in range(100)], "f int, s double, y double, r double, l int")
+    got = metrics.fold_metrics(scored, ["f"], label="l", score="s", target="y", ret="r").first()
+    assert (got["rows"], got.trade_count, got.top_decile) == (100, 90, 84.5)
+
+
+def test_every_move_of_an_hour_counts(spark):
+    from tickloom.operators import intraday
+
+    bars = spark.sql("SELECT 'a' AS ticker, timestamp'2024-01-01 10:00:00' + make_interval(0,0,0,0,0,id) AS ts, 10D + id % 2 AS open, 12D AS high, 9D AS low, 10D + (id + 1) % 2 AS close, 1D AS volume FROM range(60)")
+    assert intraday.hour_path(bars).first().stf15_sign_flip_rate > 0.9

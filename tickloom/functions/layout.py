@@ -215,7 +215,8 @@ def magnitude_bucket(value: Column, steps: int = 1024) -> Column:
     size = F.abs(value)
     octave = F.floor(F.log2(size))
     code = octave * steps + F.floor(size / F.pow(F.lit(2.0), octave) * steps) + 1200 * steps
-    return F.when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("long")
+    infinite = F.when(value > 0, F.lit(1 << 40)).otherwise(F.lit(-(1 << 40)))
+    return F.when(size == float("inf"), infinite).when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("long")
 
 
 def value_ranks(

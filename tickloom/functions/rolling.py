@@ -65,4 +65,5 @@ def holds(condition: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.least(value, F.lit(high)), F.lit(low))
+    """``value`` held between both bounds; null stays null, as least and greatest alone would pass the bound."""
+    return F.when(value.isNotNull(), F.greatest(F.least(value, F.lit(high)), F.lit(low)))

@@ -14,14 +14,16 @@ _WORDS = {"and", "or", "not", "abs", "in", "is", "null", "true", "false", "betwe
 
 
 def predicate_columns(predicate: str) -> set[str]:
-    return {w for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", predicate) if w.lower() not in _WORDS}
+    """Names in a predicate, in lower case; text literals and numbers such as 1e-3 are none."""
+    bare = re.sub(r"'[^']*'|\"[^\"]*\"|\b\d[\w.]*(?:(?<=[eE])[+-]\d+)?", " ", predicate)
+    return {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", bare)} - _WORDS
 
 
 def regime_filter(df: DataFrame, predicate: str | None, strict: bool = False) -> DataFrame:
     """Filter by a text predicate. A predicate naming an unknown column filters nothing, unless ``strict``."""
     if not predicate:
         return df
-    unknown = predicate_columns(predicate) - set(df.columns)
+    unknown = predicate_columns(predicate) - {c.lower() for c in df.columns}
     if unknown:
         if strict:
             raise ValueError(f"unknown columns {sorted(unknown)}")

@@ -292,7 +292,7 @@ def quarter_path(bars: DataFrame, shape: Shape = INTRADAY) -> DataFrame:
 
 
 def hour_path(bars: DataFrame) -> DataFrame:
-    """What happened inside each hour, from its quarter-hour bars (at most four per group)."""
+    """What happened inside each hour, from its quarter-hour bars (one hour's bars in one row)."""
     bar = F.struct("ts", "open", "high", "low", "close", "volume")
     hours = bars.groupBy("ticker", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(bar)).alias("_b"))
     b = F.col("_b")
@@ -314,7 +314,7 @@ def hour_path(bars: DataFrame) -> DataFrame:
     ret = last.close / first.open - 1.0
     early, late = mid.close / first.open - 1.0, last.close / mid.close - 1.0
     body = F.transform(b, lambda x: F.coalesce(R.ratio(x.close - x.open, x.high - x.low), F.lit(0.0)))
-    flips = F.zip_with(moves, F.slice(moves, 2, 10), lambda p, q: F.when(q.isNotNull(), F.when(F.signum(p) != F.signum(q), 1.0).otherwise(0.0)))
+    flips = F.zip_with(moves, F.slice(moves, F.lit(2), F.size(moves)), lambda p, q: F.when(q.isNotNull(), F.when(F.signum(p) != F.signum(q), 1.0).otherwise(0.0)))
     volumes = F.transform(b, lambda x: x.volume)
     return hours.select(
         "ticker", "hour", n.alias("bars"),

@@ -117,20 +117,26 @@ def fold_metrics(predictions: DataFrame, by: Sequence[str], label: str = "label"
         F.sum("_r").alias("_ret"),
         F.count("_r").alias("_m"),
     )
-    ranked = value_ranks(per_score, "_s", keys, "cnt", shape).withColumn("_pct", F.col("avg_rank") / F.col("n"))
+    ranked = value_ranks(per_score, "_s", keys, "cnt", shape)
     n, n1 = F.sum("cnt"), F.sum("_pos")
     area = (F.sum(F.col("avg_rank") * F.col("_pos")) - n1 * (n1 + 1) / 2.0) / F.nullif(n1 * (n - n1), F.lit(0)).cast("double")
 
+    # deciles are ranked among the rows that have a return
+    traded = value_ranks(per_score.where("_m > 0").drop("cnt", "_pos"), "_s", keys, "_m", shape)
+    traded = traded.withColumn("_pct", F.col("avg_rank") / F.col("n"))
+    m = F.sum("_m")
+
     def mean(where):
-        return F.when(n >= 20, F.sum(F.when(where, F.col("_ret"))) / F.nullif(F.sum(F.when(where, F.col("_m"))), F.lit(0)))
+        return F.when(m >= 20, F.sum(F.when(where, F.col("_ret"))) / F.nullif(F.sum(F.when(where, F.col("_m"))), F.lit(0)))
+
+    deciles = traded.groupBy(*keys).agg(
+        m.alias("trade_count"), mean(F.col("_pct") >= 0.9).alias("top_decile"), mean(F.col("_pct") <= 0.1).alias("bottom_decile")
+    ).withColumn("spread", F.col("top_decile") - F.col("bottom_decile"))
 
     pooled = ranked.groupBy(*keys).agg(
         n.alias("rows"),
         F.when(n >= 10, area).alias("auc"),
-        n.alias("trade_count"),
-        mean(F.col("_pct") >= 0.9).alias("top_decile"),
-        mean(F.col("_pct") <= 0.1).alias("bottom_decile"),
-    ).withColumn("spread", F.col("top_decile") - F.col("bottom_decile"))
+    ).join(deciles, keys, "left").withColumn("trade_count", F.coalesce("trade_count", F.lit(0)))
     ic = spearman(rows, "_s", "_y", keys, shape).drop("pairs")
     balanced = balanced_accuracy(rows, "_l", "_s", keys).drop("rows")
     return pooled.join(ic, keys, "left").join(balanced, keys, "left")

@@ -346,14 +346,14 @@ def bull_put_spreads(chain: DataFrame, spot: DataFrame, otm: float = 0.05, max_l
 
 
 def kelly(trades: DataFrame, ret: str, by: Sequence[str], worst_budget: float = 0.05, cap: float = 0.25) -> DataFrame:
-    """Half of mean over variance, capped by a budget for the worst trade and a maximum fraction."""
+    """Half of mean over variance, capped by a budget for the worst trade and a maximum fraction; 0 if the variance is unknown."""
     stats = trades.groupBy(*by).agg(
         F.count(ret).alias("trades"), F.avg(ret).alias("mean_return"), F.var_samp(ret).alias("variance"), F.min(ret).alias("worst_return")
     )
     raw = F.col("mean_return") / F.nullif("variance", F.lit(0.0))
     budget = F.when(F.col("worst_return") < 0, worst_budget / -F.col("worst_return")).otherwise(F.lit(cap))
     return stats.select(
-        "*", raw.alias("raw_kelly"), F.greatest(F.lit(0.0), F.least(raw / 2.0, budget, F.lit(cap))).alias("fraction")
+        "*", raw.alias("raw_kelly"), F.greatest(F.lit(0.0), F.least(F.coalesce(raw, F.lit(0.0)) / 2.0, budget, F.lit(cap))).alias("fraction")
     )
 
 

@@ -30,7 +30,7 @@ FUTURES_NAME = (r"fo(\d{2}[a-z]{3}\d{4})bhav\.csv(?:\.zip)?$", "ddMMMyyyy")
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     """Text columns only: values are cast afterwards, so a bad value becomes null instead of failing a job."""
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    raw = spark.read.option("header", True).option("enforceSchema", False)  # a file with other columns fails, it is not misread.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
     return raw.option("recursiveFileLookup", True).csv(path).select("*", F.col("_metadata.file_name").alias("_file"))
 
 
