@@ -44,13 +44,13 @@ def _(t):
     "r3_late_ticks",
     "event_id:i instrument:s minute:t",
     f"""WITH {fx.TICKS}, b AS (SELECT *, time_bucket(INTERVAL '1 hour', ts) AS minute FROM ticks),
-        c AS (SELECT instrument, minute, max(ts) AS last FROM b WHERE event_id % 5 <> 0 GROUP BY 1, 2)
-        SELECT event_id, instrument, minute FROM b JOIN c USING (instrument, minute) WHERE ts > last""",
+        c AS (SELECT DISTINCT instrument, minute FROM b WHERE event_id % 5 <> 0)
+        SELECT event_id, instrument, minute FROM b JOIN c USING (instrument, minute) WHERE event_id % 5 = 0""",
 )
 def _(t):
     ticks = fx.ticks(t)
-    closed = tk.minute_bars(ticks.filter("event_id % 5 <> 0"), "1 hour")
-    return tk.late_ticks(ticks, closed, "1 hour")
+    counted = ticks.filter("event_id % 5 <> 0")
+    return tk.late_ticks(ticks, tk.minute_bars(counted, "1 hour"), counted, ["event_id"], "1 hour")
 
 
 @query(

@@ -49,11 +49,15 @@ def minute_bars(ticks: DataFrame, window: str = "1 minute", watermark: str | Non
     return grouped.select(F.col("_w.start").alias("minute"), *[c for c in grouped.columns if c != "_w"])
 
 
-def late_ticks(ticks: DataFrame, bars: DataFrame, window: str = "1 minute") -> DataFrame:
-    """Ticks of bars that were closed without them: the side table of a finished batch of bars."""
+def late_ticks(ticks: DataFrame, bars: DataFrame, counted: DataFrame, key: list[str], window: str = "1 minute") -> DataFrame:
+    """Ticks of bars that were closed without them: the side table of a finished batch of bars.
+
+    ``counted`` are the ticks the bars were made of, known by ``key``: each tick of a closed bar is there or here, also one
+    that stands before the bar's last tick.
+    """
     tagged = ticks.withColumn("minute", F.window("ts", window).start)
-    closed = bars.select("instrument", "minute", F.col("last_tick_time").alias("_last"))
-    return tagged.join(closed, ["instrument", "minute"]).filter(F.col("ts") > F.col("_last")).drop("_last")
+    late = tagged.join(bars.select("instrument", "minute"), ["instrument", "minute"])
+    return late.join(counted.select(*key), key, "left_anti")
 
 
 def flatten_depth(ticks: DataFrame, levels: int = 5) -> DataFrame:
