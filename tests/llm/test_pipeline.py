@@ -3,7 +3,6 @@
 import random
 
 import corpus_pipeline
-from tickloom.llm import neardup, quality, spans
 
 
 def test_run(spark, folder):
@@ -27,4 +26,3 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "substring dedup", "packing"]
-    assert quality and neardup and spans

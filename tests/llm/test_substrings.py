@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tickloom.llm import spans, suffixes
@@ -77,11 +79,11 @@ def test_merge_of_runs_keeps_shared_lengths():
     runs, tag = [], 0
     for part in parts:
         shared, body = suffixes.front_code(part)
-        runs.append(suffixes._decode(shared, __import__("numpy").array([len(x) for x in part]), body, tag))
+        runs.append(suffixes._decode(shared, np.array([len(x) for x in part]), body, tag))
         tag += len(part)
     out, lengths, tags = suffixes.merge_runs(runs)
     assert out == strings and sorted(tags) == list(range(200))
-    assert lengths[1:] == [len(__import__("os").path.commonprefix([a, b])) for a, b in zip(out, out[1:])]
+    assert lengths[1:] == [len(os.path.commonprefix([a, b])) for a, b in zip(out, out[1:])]
 
 
 @pytest.mark.parametrize("report", [spans.span_report, suffixes.byte_report])

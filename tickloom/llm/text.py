@@ -111,7 +111,7 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     both = inner[solid[inner] & solid[inner + 1]]
     begin[both] = True
     stop[both] = True
-    starts, ends = np.flatnonzero(begin[:-1] | False), np.flatnonzero(stop)
+    starts, ends = np.flatnonzero(begin[:-1]), np.flatnonzero(stop)
     return starts, ends, np.searchsorted(starts, chunk.offsets)
 
 
