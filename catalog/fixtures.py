@@ -182,9 +182,8 @@ CHAIN = """chain AS (
 
 def earnings(t: Tables) -> DataFrame:
     suppliers = t.supplier.agg(F.count(F.lit(1)).alias("n"))
-    events = t.orders.filter(F.col("o_orderkey") % 20 == 0)
     # one-row table: the supplier count
-    return events.join(F.broadcast(suppliers)).select(
+    return t.orders.join(F.broadcast(suppliers)).select(
         F.concat(F.lit("S"), F.lpad((F.col("o_custkey") % F.col("n")).cast("string"), 12, "0")).alias("symbol"),
         F.to_date("o_orderdate").alias("event_date"),
     )
@@ -193,7 +192,7 @@ def earnings(t: Tables) -> DataFrame:
 EARNINGS = """earnings AS (
   SELECT 'S' || lpad(CAST(o_custkey % (SELECT count(*) FROM supplier) AS VARCHAR), 12, '0') AS symbol,
          CAST(o_orderdate AS DATE) AS event_date
-  FROM orders WHERE o_orderkey % 20 = 0)"""
+  FROM orders)"""
 
 
 def ticks(t: Tables) -> DataFrame:

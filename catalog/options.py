@@ -406,24 +406,19 @@ def _(t):
 
 @query(
     "o19_itemised_cost",
-    "entry_date:d leg:s stt:f exchange_charge:f sebi:f stamp:f gst:f total_cost:f",
-    f"""WITH {CHAIN_SCAN}, l AS (SELECT entry_date, 'short_call' AS leg, 'sell' AS side, scr[1] AS p FROM trades WHERE strategy = 'plain'
-          UNION ALL SELECT entry_date, 'call_wing', 'buy', cwr[1] FROM trades WHERE strategy = 'plain'),
+    "strategy:s entry_date:d leg:s stt:f exchange_charge:f sebi:f stamp:f gst:f total_cost:f",
+    f"""WITH {CHAIN_SCAN}, l AS (SELECT strategy, entry_date, 'short_call' AS leg, 'sell' AS side, scr[1] AS p FROM trades
+          UNION ALL SELECT strategy, entry_date, 'short_put', 'sell', spr[1] FROM trades
+          UNION ALL SELECT strategy, entry_date, 'call_wing', 'buy', cwr[1] FROM trades
+          UNION ALL SELECT strategy, entry_date, 'put_wing', 'buy', pwr[1] FROM trades),
         c AS (SELECT *, CASE side WHEN 'sell' THEN p * 65 * 0.0005 ELSE 0 END AS stt, p * 65 * 0.0003553 AS exchange_charge, p * 65 * 10 / 1e7 AS sebi,
               CASE side WHEN 'buy' THEN p * 65 * 0.00003 ELSE 0 END AS stamp FROM l)
         SELECT *, 0.18 * (20 + sebi + exchange_charge) AS gst, 20 + stt + exchange_charge + sebi + stamp + 0.18 * (20 + sebi + exchange_charge) AS total_cost FROM c""",
 )
 def _(t):
-    trades = _scan(t)[0].filter("strategy = 'plain'")
-    legs = trades.select(
-        "entry_date",
-        F.explode(
-            F.array(
-                F.struct(F.lit("short_call").alias("leg"), F.lit("sell").alias("side"), F.col("short_call_close").alias("premium")),
-                F.struct(F.lit("call_wing").alias("leg"), F.lit("buy").alias("side"), F.col("call_wing_close").alias("premium")),
-            )
-        ).alias("_l"),
-    ).select("entry_date", "_l.*")
+    sides = {"short_call": "sell", "short_put": "sell", "call_wing": "buy", "put_wing": "buy"}
+    legs = [F.struct(F.lit(n).alias("leg"), F.lit(s).alias("side"), F.col(f"{n}_close").alias("premium")) for n, s in sides.items()]
+    legs = _scan(t)[0].select("strategy", "entry_date", F.explode(F.array(*legs)).alias("_l")).select("strategy", "entry_date", "_l.*")
     return op.itemised_cost(legs, 65.0)
 
 
@@ -571,12 +566,12 @@ def _(t):
 @query(
     "o28_put_call_ratio",
     "trade_date:d put_oi:i call_oi:i pcr:f pcr_high:b",
-    f"""WITH {fx.SPOT}, {fx.CHAIN}, p AS (SELECT trade_date, sum(CASE WHEN option_typ = 'PE' AND strike <= 24000 THEN open_int ELSE 0 END) AS put_oi,
-          sum(CASE WHEN option_typ = 'CE' THEN open_int ELSE 0 END) AS call_oi FROM chain WHERE option_typ = 'CE' OR strike <= 24000 GROUP BY 1)
+    f"""WITH {fx.SPOT}, {fx.CHAIN}, p AS (SELECT trade_date, sum(CASE WHEN option_typ = 'PE' THEN open_int ELSE 0 END) AS put_oi,
+          sum(CASE WHEN option_typ = 'CE' THEN open_int ELSE 0 END) AS call_oi FROM chain GROUP BY 1)
         SELECT *, put_oi / call_oi AS pcr, coalesce(put_oi / call_oi >= 0.5, false) AS pcr_high FROM p""",
 )
 def _(t):
-    return op.put_call_ratio(fx.chain(t).filter("option_typ = 'CE' OR strike <= 24000"), high=0.5)
+    return op.put_call_ratio(fx.chain(t), high=0.5)
 
 
 @query(

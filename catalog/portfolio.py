@@ -12,6 +12,7 @@ from tickloom.functions.layout import DAILY, over_series
 from tickloom.functions.session import cut_lineage
 from tickloom.operators import exchange as ex
 from tickloom.operators import portfolio as pf
+from tickloom.operators.joins import asof_join
 from tickloom.operators.research import research_columns
 from tickloom.plans import audits as au
 
@@ -360,13 +361,13 @@ def _(t):
     "b15_short_names",
     "fold_id:i rebalance_ts:d symbol:s short_weight:f has_future:b",
     f"""WITH {EVENTS}, {fx.OPEN_INTEREST} SELECT fold_id, rebalance_ts, symbol, 0.02 AS short_weight,
-        symbol IN (SELECT symbol FROM oi WHERE oi >= 4950) AS has_future FROM (
+        symbol IN (SELECT symbol FROM oi) AS has_future FROM (
           SELECT fold_id, rebalance_ts, unnest(string_split(top_names, '|')) AS symbol FROM events_t
           WHERE coalesce(breadth_rel_adv_frac, 1) <= 0.3703703703703703)""",
 )
 def _(t):
     events = pf.rebalance_events(panel(t), "ret12", 10, 6, 10, CONTEXT)
-    return au.short_names(events, fx.open_interest(t).filter("oi >= 4950"))
+    return au.short_names(events, fx.open_interest(t))
 
 
 TRANSFER = f"""{FOLDS}, s AS (SELECT fold_id, {HEDGE.format(t=0.3703703703703703, h='(-0.2)', n='0.1', c='core_return', a='active_return')} AS strategy_return
@@ -596,12 +597,13 @@ def _(t):
 
 
 def _flagged(t) -> DataFrame:
-    """Panel rows with the flags of the same day; most weeks start on a day without a delivery row."""
+    """Panel rows with each ticker's latest flags at or before their day."""
     deliv = ex.delivery_features(fx.delivery(t)).select(
-        "ticker", F.col("trade_date").alias("ts"), "deliv_rising", "deliv_rising_and_zpos", "deliv_pct_5d_ma"
+        "ticker", "trade_date", "deliv_rising", "deliv_rising_and_zpos", "deliv_pct_5d_ma"
     )
-    oi = ex.oi_features(fx.open_interest(t)).select("ticker", F.col("trade_date").alias("ts"), "oi_rising", "oi_rising_and_pos")
-    return panel(t).join(deliv, ["ticker", "ts"], "left").join(oi, ["ticker", "ts"], "left")
+    oi = ex.oi_features(fx.open_interest(t)).select("ticker", "trade_date", "oi_rising", "oi_rising_and_pos")
+    flagged = asof_join(panel(t), deliv, "ts", "trade_date", ["ticker"], shape=DAILY).drop("matched_trade_date")
+    return asof_join(flagged, oi, "ts", "trade_date", ["ticker"], shape=DAILY)
 
 
 FLAGS = f"""{EVENTS}, {fx.DELIVERY}, {OI_NEAREST},
@@ -616,7 +618,7 @@ FLAGS = f"""{EVENTS}, {fx.DELIVERY}, {OI_NEAREST},
     o2 AS (SELECT symbol AS ticker, date AS ts, lag(s5) OVER w AS s5, lag(chg_in_oi) OVER w AS chg FROM o1 WINDOW w AS (PARTITION BY symbol ORDER BY date)),
     flagged AS (SELECT s.*, coalesce(m5 > m20, false) AS deliv_rising, coalesce(m5 > m20 AND z > 0, false) AS deliv_strong, coalesce(m5, 0) AS m5,
              coalesce(s5 > 0, false) AS oi_rising, coalesce(s5 > 0 AND chg > 0, false) AS oi_pos
-           FROM spans s LEFT JOIN d2 USING (ticker, ts) LEFT JOIN o2 USING (ticker, ts))"""
+           FROM spans s ASOF LEFT JOIN d2 ON s.ticker = d2.ticker AND s.ts >= d2.ts ASOF LEFT JOIN o2 ON s.ticker = o2.ticker AND s.ts >= o2.ts)"""
 
 
 @query(
@@ -693,7 +695,7 @@ def _(t):
     "lookback:i entry:f events:i mean_event_return:f win_rate:f",
     f"""WITH {fx.BARS}, pairs AS (
           SELECT 'S' || lpad(CAST(s_suppkey AS VARCHAR), 12, '0') AS a, 'S' || lpad(CAST(s_suppkey + 1 AS VARCHAR), 12, '0') AS b
-          FROM supplier WHERE s_suppkey % 2 = 0),
+          FROM supplier),
         s AS (SELECT a, b, x.ts, ln(x.close) - ln(y.close) AS spread FROM pairs JOIN bars x ON x.ticker = a JOIN bars y ON y.ticker = b AND y.ts = x.ts),
         z AS (SELECT a, b, ts, lead(spread, 5) OVER w - spread AS move,
                 CASE WHEN count(*) OVER w20 = 20 THEN (spread - avg(spread) OVER w20) / stddev_samp(spread) OVER w20 END AS z20,
@@ -707,8 +709,7 @@ def _(t):
         FROM c, (SELECT unnest([1.5, 2.0]::DOUBLE[]) AS entry) WHERE abs(z) >= entry AND abs(z0) < entry AND move IS NOT NULL GROUP BY 1, 2""",
 )
 def _(t):
-    even = t.supplier.filter("s_suppkey % 2 = 0")
-    pairs = even.select(
+    pairs = t.supplier.select(
         fx.ticker_of("s_suppkey").alias("first"),
         F.concat(F.lit("S"), F.lpad((F.col("s_suppkey") + 1).cast("string"), 12, "0")).alias("second"),
     )

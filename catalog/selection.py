@@ -85,13 +85,13 @@ def _(t):
     "branch:s experiment_id:s gap_auc:f real_trade_count:f promoted:b",
     f"""WITH {fx.COMPARE}, s AS ({preset_sql('cross_sectional_60m')}),
         b AS (SELECT *, round({PLAIN}, 12) AS sort_score FROM compare)
-        (SELECT 'Focused' AS branch, experiment_id, gap_auc, real_trade_count, false AS promoted FROM b WHERE target_id = 'T1' ORDER BY sort_score DESC, experiment_id DESC LIMIT 1)
-        UNION ALL (SELECT 'Broader', experiment_id, gap_auc, real_trade_count, false FROM b WHERE target_id = 'T2' ORDER BY sort_score DESC, experiment_id DESC LIMIT 1)
+        SELECT target_id AS branch, experiment_id, gap_auc, real_trade_count, false AS promoted FROM b
+        QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY sort_score DESC, experiment_id DESC) = 1
         UNION ALL SELECT 'CrossSectional60m_' || family, experiment_id, gap_auc, real_trade_count, true FROM s WHERE promoted""",
 )
 def _(t):
     frame = fx.compare(t)
-    sources = {"Focused": frame.filter("target_id = 'T1'"), "Broader": frame.filter("target_id = 'T2'")}
+    sources = {name: frame.filter(F.col("target_id") == name) for name in ("T1", "T2", "T3", "T4")}
     return se.branch_compare(sources, se.shortlist(frame, "cross_sectional_60m"), "CrossSectional60m")
 
 

@@ -221,11 +221,11 @@ def _(t):
     "j7_coverage",
     "symbol:s events:i covered:b",
     f"""WITH {fx.EARNINGS}, {fx.OPEN_INTEREST}, n AS (SELECT symbol, count(*) AS events FROM earnings GROUP BY 1)
-        SELECT *, symbol IN (SELECT symbol FROM oi WHERE oi >= 4900) AS covered FROM n""",
+        SELECT *, symbol IN (SELECT symbol FROM oi) AS covered FROM n""",
 )
 def _(t):
     counted = fx.earnings(t).groupBy("symbol").agg(F.count(F.lit(1)).alias("events"))
-    return jn.covered(counted, fx.open_interest(t).filter("oi >= 4900"), "symbol")
+    return jn.covered(counted, fx.open_interest(t), "symbol")
 
 
 @query(
