@@ -1,5 +1,7 @@
 """Models and gates. Fits have no SQL twin; frames, gates and linear fits on one feature do."""
 
+import functools
+
 from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
@@ -37,6 +39,17 @@ def _(t):
     return real.unionByName(ep.run_experiment(frame, experiment, FEATURES, PAIRS, shuffled=True))
 
 
+@query("m9_regime_experiment", "experiment_id:s train_window_id:i window_id:i rows:i filter_applied:b target_id:s model_class:s label_type:s "
+       "feature_families:s ic_spearman:f spread:f auc:f balanced_accuracy:f trade_count:i")
+def _(t):
+    """One regression, binary and multiclass experiment, each with its families and a regime."""
+    frame, regime = panel(t), "Trend_30 > 0 and StockMinusMkt_3 > -1e-1"
+    families = ("F1_TrendMomentum", "F2_VolRisk", "F3_Relative")
+    kinds = [("RG", "T1", "regression", "elasticnet"), ("BN", "T4", "binary", "logistic"), ("MC", "T1", "multiclass", "logistic")]
+    runs = [ep.run_experiment(frame, lb.Experiment(n, target, 3, kind, families, model, regime), None, PAIRS) for n, target, kind, model in kinds]
+    return functools.reduce(lambda a, b: a.unionByName(b), [r for r in runs if r is not None])
+
+
 @query("m3_boosted_regressor", PREDICTION)
 def _(t):
     return ep.predict_oos(panel(t), lb.Experiment("GR", "T1", 3, "regression", (), "gbt_reg"), FEATURES, PAIRS, trees=5)

@@ -62,3 +62,35 @@ def test_small_folds_are_skipped(spark, tables):
 
     tiny = panel(tables).filter("window_id = 9 OR (window_id = 8 AND ts < date'1990-01-01')")
     assert ep.predict_oos(tiny, Experiment("X", "T6", 3, "regression", (), "elasticnet"), FEATURES, PAIRS) is None
+
+
+@pytest.fixture(scope="module")
+def folds(spark):
+    """Two windows whose labels follow one feature; the last rows have no return."""
+    x = ((F.col("id") * 37) % 101 / 101.0).alias("lag_ret_1")
+    frame = spark.range(400).select(
+        F.concat(F.lit("T"), (F.col("id") % 4).cast("string")).alias("ticker"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") / 4).cast("int")).alias("ts"),
+        F.when(F.col("id") < 200, 1).otherwise(2).alias("window_id"), x, (F.col("id") % 7).cast("double").alias("trend_30"),
+    )
+    sign = F.when(F.col("lag_ret_1") > 0.66, 1.0).when(F.col("lag_ret_1") < 0.33, -1.0).otherwise(0.0)
+    return frame.select("*", sign.alias("y_t1_dir_3"), (F.col("lag_ret_1") - 0.5).alias("net_fwd_ret_3"), (sign > 0).cast("int").alias("y_t4_upfirst_3")).persist()
+
+
+@pytest.mark.parametrize(("kind", "target", "model"), [("regression", "T1", "elasticnet"), ("binary", "T4", "logistic"), ("multiclass", "T1", "logistic")])
+def test_metrics_follow_the_label_type(folds, kind, target, model):
+    from tickloom.operators.labels import Experiment
+
+    row = ep.run_experiment(folds, Experiment("X", target, 3, kind, ("F1_TrendMomentum",), model, "Trend_30 > 3"), None, [(1, 2)]).first()
+    assert row.rows == folds.filter("window_id = 2 AND trend_30 > 3").count() and row.filter_applied and row.train_window_id == 1
+    assert (row.ic_spearman is not None) == (kind == "regression")
+    assert (row.auc is not None) == (kind == "binary")
+    assert (row.balanced_accuracy is None) == (kind == "regression")
+    if kind == "multiclass":
+        assert row.balanced_accuracy > 0.9 and row.top_decile is None and 0 < row.trade_count < row.rows
+
+
+def test_a_regime_on_an_unknown_column_is_reported(folds):
+    from tickloom.operators.labels import Experiment
+
+    row = ep.run_experiment(folds, Experiment("X", "T1", 3, "regression", ("F1_TrendMomentum",), "elasticnet", "Nothing > 3"), None, [(1, 2)]).first()
+    assert row.rows == 200 and not row.filter_applied

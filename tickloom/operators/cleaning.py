@@ -13,22 +13,48 @@ from tickloom.functions.layout import DAILY, UNKNOWN, Shape, over_series, positi
 _WORDS = {"and", "or", "not", "abs", "in", "is", "null", "true", "false", "between"}
 
 
-def predicate_columns(predicate: str) -> set[str]:
-    """Names in a predicate, in lower case; text literals and numbers such as 1e-3 are none."""
-    bare = re.sub(r"'[^']*'|\"[^\"]*\"|\b\d[\w.]*(?:(?<=[eE])[+-]\d+)?", " ", predicate)
-    return {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", bare)} - _WORDS
+# a text literal, a number such as 1e-3, a name, or an operator that SQL spells differently
+_TOKEN = re.compile(r"(?P<text>'[^']*'|\"[^\"]*\")|(?P<number>\b\d[\w.]*(?:(?<=[eE])[+-]\d+)?)|(?P<name>[A-Za-z_]\w*)|(?P<sign>==|&|\|)")
+_SIGNS = {"==": "=", "&": " AND ", "|": " OR "}
+
+
+def resolve_predicate(predicate: str, columns: Sequence[str]) -> tuple[str, set[str]]:
+    """A text predicate as SQL over ``columns``, and the names it has that no column bears.
+
+    Names match without regard to case and underscores, so ``StockMinusMkt_3`` finds ``stock_minus_mkt_3``.
+    """
+    known = {c.replace("_", "").lower(): c for c in reversed(columns)}
+    unknown = set()
+
+    def replace(match: re.Match) -> str:
+        word = match.group()
+        if match["sign"]:
+            return _SIGNS[word]
+        if not match["name"] or word.lower() in _WORDS:
+            return word
+        column = known.get(word.replace("_", "").lower())
+        if column is None:
+            unknown.add(word)
+            return word
+        return f"`{column}`"
+
+    return _TOKEN.sub(replace, predicate), unknown
+
+
+def filter_applies(columns: Sequence[str], predicate: str | None) -> bool:
+    """Whether a regime predicate filters a frame of these columns: there is one and all its names are known."""
+    return bool(predicate) and not resolve_predicate(predicate, columns)[1]
 
 
 def regime_filter(df: DataFrame, predicate: str | None, strict: bool = False) -> DataFrame:
     """Filter by a text predicate. A predicate naming an unknown column filters nothing, unless ``strict``."""
     if not predicate:
         return df
-    unknown = predicate_columns(predicate) - {c.lower() for c in df.columns}
+    sql, unknown = resolve_predicate(predicate, df.columns)
     if unknown:
         if strict:
             raise ValueError(f"unknown columns {sorted(unknown)}")
         return df
-    sql = predicate.replace("==", "=").replace("&", " AND ").replace("|", " OR ")
     return df.filter(F.coalesce(F.expr(sql), F.lit(False)))
 
 

@@ -101,9 +101,12 @@ GAP_METRICS = ("ic_spearman", "top_decile", "spread", "auc", "balanced_accuracy"
 
 
 def fold_metrics(predictions: DataFrame, by: Sequence[str], label: str = "label", score: str = "prediction",
-                 target: str = "target_value", ret: str = "realized_return", shape: Shape = UNKNOWN) -> DataFrame:
+                 target: str = "target_value", ret: str = "realized_return", shape: Shape = UNKNOWN, label_type: str | None = None) -> DataFrame:
     """Rows, rank correlation, decile returns, AUC and balanced accuracy per fold key.
 
+    With a ``label_type``, metrics that it does not have are null: a regression has no AUC or balanced accuracy, a binary
+    label no rank correlation.
+
     Deciles and AUC come from one ranking of the counts per distinct score. The slim prediction rows are kept, as the
     scores behind them may be model outputs.
     """
@@ -133,13 +136,26 @@ def fold_metrics(predictions: DataFrame, by: Sequence[str], label: str = "label"
         m.alias("trade_count"), mean(F.col("_pct") >= 0.9).alias("top_decile"), mean(F.col("_pct") <= 0.1).alias("bottom_decile")
     ).withColumn("spread", F.col("top_decile") - F.col("bottom_decile"))
 
+    unknown = F.lit(None).cast("double")
     pooled = ranked.groupBy(*keys).agg(
         n.alias("rows"),
-        F.when(n >= 10, area).alias("auc"),
+        (unknown if label_type == "regression" else F.when(n >= 10, area)).alias("auc"),
     ).join(deciles, keys, "left").withColumn("trade_count", F.coalesce("trade_count", F.lit(0)))
-    ic = spearman(rows, "_s", "_y", keys, shape).drop("pairs")
-    balanced = balanced_accuracy(rows, "_l", "_s", keys).drop("rows")
-    return pooled.join(ic, keys, "left").join(balanced, keys, "left")
+    if label_type == "binary":
+        pooled = pooled.withColumn("ic_spearman", unknown)
+    else:
+        pooled = pooled.join(spearman(rows, "_s", "_y", keys, shape).drop("pairs"), keys, "left")
+    if label_type == "regression":
+        return pooled.withColumn("balanced_accuracy", unknown)
+    return pooled.join(balanced_accuracy(rows, "_l", "_s", keys).drop("rows"), keys, "left")
+
+
+def class_metrics(predictions: DataFrame, by: Sequence[str], score: str = "prediction", target: str = "target_value") -> DataFrame:
+    """Fold metrics of class predictions: balanced accuracy and the number of predictions other than 0."""
+    balanced = balanced_accuracy(predictions, target, score, by, threshold=None).drop("rows")
+    trades = predictions.groupBy(*by).agg(F.sum(F.when(F.col(score) != 0, 1).otherwise(0)).alias("trade_count"))
+    blank = [F.lit(None).cast("double").alias(m) for m in ("auc", "top_decile", "bottom_decile", "spread", "ic_spearman")]
+    return trades.join(balanced, list(by), "left").select("*", *blank)
 
 
 def real_vs_shuffled(real: DataFrame, shuffled: DataFrame, key: str = "experiment_id") -> DataFrame:

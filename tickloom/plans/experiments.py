@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.layout import DAILY, UNKNOWN, Shape
-from tickloom.operators.cleaning import clean_xy, tail_rows
+from tickloom.operators.cleaning import clean_xy, filter_applies, regime_filter, tail_rows
+from tickloom.operators.intraday import FAMILIES
 from tickloom.operators.labels import Experiment, future_direction, shuffle_within, target_columns
-from tickloom.operators.metrics import accuracy, fold_metrics, roc_auc
+from tickloom.operators.metrics import accuracy, class_metrics, fold_metrics, roc_auc
 from tickloom.operators.splits import chrono_split
 
 CLASSIFIERS = ("logistic", "gbt_clf")
@@ -60,57 +61,114 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(weights), label)
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, kind: str, rows: int, trees: int = 200) -> PipelineModel:
+def class_number(label: str, classes: Sequence[float]) -> Column:
+    """Position of a label among the classes, from 0: Spark fits no other labels."""
+    return (F.array_position(F.array(*[F.lit(float(c)) for c in classes]), F.col(label).cast("double")) - 1).cast("double")
+
+
+def fit(df: DataFrame, features: Sequence[str], label: str, kind: str, rows: int, trees: int = 200, classes: Sequence[float] | None = None) -> PipelineModel:
     train = balanced_weights(df, label) if kind in CLASSIFIERS else df
+    if classes is not None:
+        train = train.withColumn(label, class_number(label, classes))
     return make_model(kind, features, rows, label, trees).fit(train)
 
 
-def score(model: PipelineModel, df: DataFrame, kind: str, name: str = "prediction") -> DataFrame:
-    """Probability of the positive class for classifiers, else the predicted value."""
+def score(model: PipelineModel, df: DataFrame, kind: str, name: str = "prediction", classes: Sequence[float] | None = None) -> DataFrame:
+    """Probability of the second class for classifiers, or the predicted one of ``classes``; else the predicted value."""
     out = model.transform(df)
-    value = vector_to_array("_probability")[1] if kind in CLASSIFIERS else F.col("_prediction")
+    value = F.col("_prediction")
+    if classes is not None:
+        value = F.get(F.array(*[F.lit(float(c)) for c in classes]), value.cast("int"))
+    elif kind in CLASSIFIERS:
+        value = vector_to_array("_probability")[1]
     return out.select(*df.columns, value.alias(name))
 
 
+# fixed values: columns an experiment sees besides its families' and its labels
+BASE_COLUMNS = (
+    "ticker", "ts", "window_id", "open", "high", "low", "close", "atr20_log", "mkt_ret_1", "trend_30", "trend_2h", "stock_minus_mkt_1",
+    "stock_minus_mkt_3", "breakout_3bar", "sign_persistence_5", "xs_rank_stock_minus_mkt_3", "breadth_trend_pressure",
+)
+
+
+def experiment_features(panel: DataFrame, experiment: Experiment) -> list[str]:
+    """Columns of the experiment's feature families, as far as the panel has them."""
+    wanted = {c for family in experiment.feature_families for c in FAMILIES[family]}
+    return sorted(wanted & set(panel.columns))
+
+
+def experiment_frame(panel: DataFrame, experiment: Experiment, features: Sequence[str]) -> tuple[DataFrame, bool]:
+    """The columns an experiment sees, filtered to its regime, and whether the filter applied.
+
+    A regime that names a column outside this frame filters nothing.
+    """
+    ours = {*BASE_COLUMNS, *features}
+    labels = f"_{experiment.horizon}"
+    seen = panel.select(*[c for c in panel.columns if c in ours or c.endswith(labels)])
+    return regime_filter(seen, experiment.regime_filter), filter_applies(seen.columns, experiment.regime_filter)
+
+
 def predict_oos(
-    panel: DataFrame, experiment: Experiment, features: Sequence[str], pairs: Sequence[tuple[int, int]],
+    panel: DataFrame, experiment: Experiment, features: Sequence[str] | None, pairs: Sequence[tuple[int, int]],
     shuffled: bool = False, trees: int = 200, shape: Shape = DAILY,
 ) -> DataFrame | None:
-    """Out-of-sample predictions over all (train window, test window) pairs; folds too small are skipped.
+    """Out-of-sample predictions over all (train window, test window) pairs; folds too small, or of one class, are skipped.
 
-    Labels are shuffled over all windows at once, realised returns never. One aggregate tells which folds qualify.
+    Without ``features`` the experiment's families give them. The regime filters rows first. Labels are shuffled over all
+    windows at once, realised returns never. One aggregate tells which folds qualify and which classes their labels have.
     """
+    features = experiment_features(panel, experiment) if features is None else list(features)
     label, realised = target_columns(experiment)
-    data = panel.withColumn("_y", F.col(label).cast("double"))
+    data, applied = experiment_frame(panel, experiment, features)
+    if not features or not {label, realised} <= set(data.columns):
+        return None
+    data = data.withColumn("_y", F.col(label).cast("double"))
     if shuffled:
         data = shuffle_within(data, "_y", shape=shape)
     used = data.select("ticker", "ts", "window_id", *features, "_y", F.col(realised).alias("realized_return"))
     clean = clean_xy(used, [*features, "_y"])
-    sizes = {r.window_id: r.n for r in clean.groupBy("window_id").agg(F.count(F.lit(1)).alias("n")).collect()}
     kind = "gbt_clf" if experiment.label_type == "binary" and experiment.model_class == "gbt_reg" else experiment.model_class
+    # a label of classes has a few distinct values
+    values = F.sort_array(F.collect_set("_y")) if kind in CLASSIFIERS else F.lit(None)
+    folds = {r.window_id: r for r in clean.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), values.alias("classes")).collect()}
     out = None
     for train_id, test_id in pairs:
-        if sizes.get(train_id, 0) < 50 or sizes.get(test_id, 0) < 20:
+        if train_id not in folds or test_id not in folds or folds[train_id].n < 50 or folds[test_id].n < 20:
             continue
-        model = fit(clean.filter(F.col("window_id") == train_id), features, "_y", kind, sizes[train_id], trees)
-        scored = score(model, clean.filter(F.col("window_id") == test_id), kind).select(
+        classes = folds[train_id].classes
+        if classes is not None and len(classes) < 2:
+            continue
+        model = fit(clean.filter(F.col("window_id") == train_id), features, "_y", kind, folds[train_id].n, trees, classes)
+        named = classes if experiment.label_type == "multiclass" else None
+        scored = score(model, clean.filter(F.col("window_id") == test_id), kind, classes=named).select(
             "ticker", "ts", "window_id", F.lit(experiment.experiment_id).alias("experiment_id"), F.lit(train_id).alias("train_window_id"),
             "prediction", F.col("_y").alias("target_value"), "realized_return", F.lit(shuffled).alias("shuffled"),
+            F.lit(applied).alias("filter_applied"),
         )
         out = scored if out is None else out.unionByName(scored)
     return out
 
 
-def run_experiment(panel: DataFrame, experiment: Experiment, features: Sequence[str], pairs: Sequence[tuple[int, int]],
+def run_experiment(panel: DataFrame, experiment: Experiment, features: Sequence[str] | None, pairs: Sequence[tuple[int, int]],
                    shuffled: bool = False, trees: int = 200) -> DataFrame | None:
-    """Fold metrics of an experiment; ``rows`` counts the test window before cleaning."""
+    """Fold metrics of an experiment, by its label type; ``rows`` counts the regime's rows of the test window before cleaning."""
+    features = experiment_features(panel, experiment) if features is None else list(features)
     predicted = predict_oos(panel, experiment, features, pairs, shuffled, trees)
     if predicted is None:
         return None
-    labelled = predicted.withColumn("label", F.when(F.col("target_value") > 0, 1).otherwise(0))
-    metrics = fold_metrics(labelled, ["experiment_id", "window_id"], target="target_value", ret="realized_return")
-    counts = panel.groupBy("window_id").agg(F.count(F.lit(1)).alias("rows"))
-    return metrics.drop("rows").join(F.broadcast(counts), "window_id").withColumn("shuffled", F.lit(shuffled))
+    keys = ["experiment_id", "train_window_id", "window_id", "filter_applied"]
+    if experiment.label_type == "multiclass":
+        metrics = class_metrics(predicted, keys)
+    else:
+        labelled = predicted.withColumn("label", F.when(F.col("target_value") > 0, 1).otherwise(0))
+        metrics = fold_metrics(labelled, keys, target="target_value", ret="realized_return", label_type=experiment.label_type).drop("rows")
+    counts = experiment_frame(panel, experiment, features)[0].groupBy("window_id").agg(F.count(F.lit(1)).alias("rows"))
+    # one row per window
+    return metrics.join(F.broadcast(counts), "window_id").select(
+        "*", F.lit(experiment.target_id).alias("target_id"), F.lit(experiment.model_class).alias("model_class"),
+        F.lit(experiment.label_type).alias("label_type"), F.lit("|".join(experiment.feature_families)).alias("feature_families"),
+        F.lit(shuffled).alias("shuffled"),
+    )
 
 
 def training_frame(panel: DataFrame, features: Sequence[str], horizon: int = 5, min_move: float = 0.0, cap: int | None = None, shape: Shape = DAILY) -> DataFrame:
