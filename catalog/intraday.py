@@ -41,9 +41,9 @@ OWN = f"""{RESEARCH}, o1 AS (
              CASE WHEN count(lag_ret_1) OVER {_w(5)} = 5 THEN (avg(pow(lag_ret_1, 3)) OVER {_w(5)} - 3 * avg(lag_ret_1) OVER {_w(5)} * avg(pow(lag_ret_1, 2)) OVER {_w(5)}
                + 2 * pow(avg(lag_ret_1) OVER {_w(5)}, 3)) / pow(var_pop(lag_ret_1) OVER {_w(5)}, 1.5) END AS ret_skew_5,
              coalesce(trend_30 > 0 AND sign_persistence_5 > 0, false)::INT AS regime_bull, coalesce(trend_30 < 0 AND sign_persistence_5 < 0, false)::INT AS regime_bear,
-             ret_3 - ret_12 AS multi_trend_gap, (sign(ret_3) + sign(ret_6) + sign(ret_12)) / 3 AS multi_alignment, vol3 / realvol20 AS multi_vol_ratio_3v20,
-             {_full('avg', 'rg', 3)} / {_full('avg', 'rg', 12)} AS multi_range_3v12, {_full('avg', 'body_to_range', 3)} AS multi_body_pressure_3,
-             {_full('avg', 'breakout_3bar', 3)} AS multi_breakout_pressure_3
+             ret_3 AS multi_scale_ret_3h, ret_6 AS multi_scale_ret_6h, ret_12 AS multi_scale_ret_12h, ret_3 - ret_12 AS multi_scale_trend_gap, (sign(ret_3) + sign(ret_6) + sign(ret_12)) / 3 AS multi_scale_momentum_alignment, vol3 / realvol20 AS multi_scale_vol_ratio_3v20,
+             {_full('avg', 'rg', 3)} / {_full('avg', 'rg', 12)} AS multi_scale_range_compression_3v12, {_full('avg', 'body_to_range', 3)} AS multi_scale_body_pressure_3,
+             {_full('avg', 'breakout_3bar', 3)} AS multi_scale_breakout_pressure_3
       FROM o1)"""
 
 
@@ -65,23 +65,24 @@ _query("n5_candle_shape", "body_to_range upper_wick_ratio lower_wick_ratio close
 _query("n6_persistence_breakout", "breakout_3bar sign_persistence_5 regime_bull regime_bear", _own)
 _query(
     "n10_multi_scale",
-    "ret_3 ret_6 ret_12 multi_trend_gap multi_alignment multi_vol_ratio_3v20 multi_range_3v12 multi_body_pressure_3 multi_breakout_pressure_3",
+    "multi_scale_ret_3h multi_scale_ret_6h multi_scale_ret_12h multi_scale_trend_gap multi_scale_momentum_alignment multi_scale_vol_ratio_3v20 multi_scale_range_compression_3v12 multi_scale_body_pressure_3 multi_scale_breakout_pressure_3",
     _own,
 )
 
 STATE = f"""{OWN}, m1 AS (SELECT ts, avg(lag_ret_1) AS m FROM own_f GROUP BY 1),
-    m2 AS (SELECT *, CASE WHEN count(m) OVER w = 20 THEN sum(m) OVER w END AS market_trend_score, CASE WHEN count(m) OVER w = 20 THEN stddev_samp(m) OVER w END AS vol
+    m2 AS (SELECT *, CASE WHEN count(m) OVER w = 20 THEN sum(m) OVER w END AS market_state_trend_score, CASE WHEN count(m) OVER w = 20 THEN stddev_samp(m) OVER w END AS vol
            FROM m1 WINDOW w AS (ORDER BY ts ROWS 19 PRECEDING)),
     m3 AS (SELECT *, list(vol) FILTER (vol IS NOT NULL) OVER (ORDER BY ts ROWS 59 PRECEDING) AS past FROM m2),
-    state AS (SELECT ts, market_trend_score, CASE WHEN vol IS NOT NULL THEN len(list_filter(past, lambda x: x <= vol)) / len(past) END AS mkt_vol_rank FROM m3)"""
+    state AS (SELECT ts, market_state_trend_score, vol / nullif(CASE WHEN count(vol) OVER w60 >= 20 THEN avg(vol) OVER w60 END, 0) - 1 AS market_state_vol_pressure, CASE WHEN vol IS NOT NULL THEN len(list_filter(past, lambda x: x <= vol)) / len(past) END AS mkt_vol_rank FROM m3
+              WINDOW w60 AS (ORDER BY ts ROWS 59 PRECEDING))"""
 
 
 @query(
     "n9_market_state",
-    "ts:d market_trend_score:f mkt_vol_rank:f state_bull_calm:f state_bull_stress:f state_bear_calm:f state_bear_stress:f state_transition:f",
-    f"""WITH {STATE} SELECT *, coalesce(market_trend_score > 0 AND mkt_vol_rank < 0.5, false)::INT AS state_bull_calm,
-        coalesce(market_trend_score > 0 AND mkt_vol_rank >= 0.5, false)::INT AS state_bull_stress, coalesce(market_trend_score <= 0 AND mkt_vol_rank < 0.5, false)::INT AS state_bear_calm,
-        coalesce(market_trend_score <= 0 AND mkt_vol_rank >= 0.5, false)::INT AS state_bear_stress, coalesce(abs(market_trend_score) < 0.01, false)::INT AS state_transition FROM state""",
+    "ts:d market_state_trend_score:f market_state_vol_pressure:f mkt_vol_rank:f market_state_bull_calm:f market_state_bull_stress:f market_state_bear_calm:f market_state_bear_stress:f market_state_transition:f",
+    f"""WITH {STATE} SELECT *, coalesce(market_state_trend_score > 0 AND mkt_vol_rank < 0.5, false)::INT AS market_state_bull_calm,
+        coalesce(market_state_trend_score > 0 AND mkt_vol_rank >= 0.5, false)::INT AS market_state_bull_stress, coalesce(market_state_trend_score <= 0 AND mkt_vol_rank < 0.5, false)::INT AS market_state_bear_calm,
+        coalesce(market_state_trend_score <= 0 AND mkt_vol_rank >= 0.5, false)::INT AS market_state_bear_stress, coalesce(abs(market_state_trend_score) < 0.01, false)::INT AS market_state_transition FROM state""",
 )
 def _(t):
     return it.market_state(_own(t))
@@ -91,7 +92,7 @@ RELATED = f"""{OWN}, {fx.SECTORS}, tagged AS (SELECT own_f.*, sector FROM own_f
     sec AS (SELECT ts, sector, avg(ret_3) AS s3 FROM tagged GROUP BY 1, 2),
     related AS (
       SELECT t.*, s3 - mkt_ret_3 AS sector_minus_mkt_3, ret_3 - s3 AS sector_residual_3, (ret_3 - s3) / realvol20 AS voladj_sector_residual_3,
-             stock_minus_mkt_3 - (s3 - mkt_ret_3) AS commonality_residual_3, stock_minus_mkt_1 / realvol20 AS voladj_stock_minus_mkt_1,
+             stock_minus_mkt_3 - (s3 - mkt_ret_3) AS xs_commonality_residual_3, stock_minus_mkt_1 / realvol20 AS voladj_stock_minus_mkt_1,
              stock_minus_mkt_3 / realvol20 AS voladj_stock_minus_mkt_3
       FROM tagged t LEFT JOIN sec USING (ts, sector))"""
 
@@ -111,14 +112,14 @@ def _(t):
 
 @query(
     "n15_sector_residuals",
-    "ticker:s ts:d sector_residual_3:f voladj_sector_residual_3:f commonality_residual_3:f voladj_stock_minus_mkt_1:f voladj_stock_minus_mkt_3:f",
+    "ticker:s ts:d sector_residual_3:f voladj_sector_residual_3:f xs_commonality_residual_3:f voladj_stock_minus_mkt_1:f voladj_stock_minus_mkt_3:f",
     f"WITH {RELATED} SELECT * FROM related",
 )
 def _(t):
     return _related(t)
 
 
-RANK_ON = ["stock_minus_mkt_1", "stock_minus_mkt_3", "stock_minus_mkt_6", "relative_volume_time", "voladj_stock_minus_mkt_3"]
+RANK_ON = list(it.RANKED)
 
 
 def _rank_sql(c: str) -> str:
@@ -152,13 +153,26 @@ R3 = "xs_rank_stock_minus_mkt_3"
 
 @query(
     "n8_leadership_persistence",
-    "ticker:s ts:d xs_leader_top20:f xs_laggard_bottom20:f xs_leader_persist_3:f xs_leader_persist_6:f xs_laggard_persist_3:f xs_rank_change_3:f xs_leader_spread_3:f",
+    "ticker:s ts:d xs_leader_top20:f xs_laggard_bottom20:f xs_leader_persist_3:f xs_leader_persist_6:f xs_laggard_persist_3:f xs_laggard_persist_6:f "
+    "xs_rank_change_3:f xs_leader_spread_3:f xs_volume_leader_spread:f",
     f"""WITH {RANKS}, l AS (SELECT *, coalesce({R3} >= 0.8, false)::INT AS xs_leader_top20, coalesce({R3} <= 0.2, false)::INT AS xs_laggard_bottom20 FROM ranks)
         SELECT *, {_full('avg', 'xs_leader_top20', 3)} AS xs_leader_persist_3, {_full('avg', 'xs_leader_top20', 6)} AS xs_leader_persist_6,
-        {_full('avg', 'xs_laggard_bottom20', 3)} AS xs_laggard_persist_3, {R3} - lag({R3}, 3) OVER {LAG} AS xs_rank_change_3, {R3} - 0.5 AS xs_leader_spread_3 FROM l""",
+        {_full('avg', 'xs_laggard_bottom20', 3)} AS xs_laggard_persist_3, {_full('avg', 'xs_laggard_bottom20', 6)} AS xs_laggard_persist_6,
+        xs_rank_relative_volume_time - 0.5 AS xs_volume_leader_spread, {R3} - lag({R3}, 3) OVER {LAG} AS xs_rank_change_3, {R3} - 0.5 AS xs_leader_spread_3 FROM l""",
 )
 def _(t):
-    return it.leadership(_ranked(t), R3)
+    return it.leadership(_ranked(t), R3).select("*", it.volume_leader_spread())
+
+
+@query(
+    "n15_residual_leadership",
+    "ticker:s ts:d xs_rank_sector_residual_3:f xs_idiosyncratic_leader_3:f xs_idiosyncratic_laggard_3:f residual_leader_persist_3:f residual_laggard_persist_3:f",
+    f"""WITH {RANKS}, l AS (SELECT *, coalesce(xs_rank_sector_residual_3 >= 0.8, false)::INT AS xs_idiosyncratic_leader_3,
+          coalesce(xs_rank_sector_residual_3 <= 0.2, false)::INT AS xs_idiosyncratic_laggard_3 FROM ranks)
+        SELECT *, {_full('avg', 'xs_idiosyncratic_leader_3', 3)} AS residual_leader_persist_3, {_full('avg', 'xs_idiosyncratic_laggard_3', 3)} AS residual_laggard_persist_3 FROM l""",
+)
+def _(t):
+    return it.residual_leadership(_ranked(t))
 
 
 @query(
@@ -177,19 +191,21 @@ def _(t):
 
 @query(
     "n4_session_context",
-    "ticker:s ts:t vwap_dist:f session_open_dist_atr:f opening_range_breakout:f minutes_since_high:f minutes_since_low:f minute_norm:f",
+    "ticker:s ts:t vwap_dist:f session_open_dist_atr:f opening_range_breakout:f time_since_new_high:f time_since_new_low:f intraday_vol_percentile:f minute_norm:f",
     f"""WITH {fx.QUARTER_BARS}, s AS (SELECT *, CAST(ts AS DATE) AS d FROM quarter_bars),
-        p AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY ticker, d) AS n, sum((high + low + close) / 3 * volume) OVER r / nullif(sum(volume) OVER r, 0) AS vw,
+        p AS (SELECT *, row_number() OVER w AS i, list(high - low) OVER r AS rs, sum((high + low + close) / 3 * volume) OVER r / nullif(sum(volume) OVER r, 0) AS vw,
               first_value(open) OVER r AS o, avg(high - low) OVER r AS atr, arg_max(ts, row(high, ts)) OVER r AS ha, arg_max(ts, row(-low, ts)) OVER r AS la
               FROM s WINDOW w AS (PARTITION BY ticker, d ORDER BY ts), r AS (PARTITION BY ticker, d ORDER BY ts ROWS UNBOUNDED PRECEDING)),
         q AS (SELECT *, max(CASE WHEN i <= 2 THEN high END) OVER r AS oh, min(CASE WHEN i <= 2 THEN low END) OVER r AS ol FROM p
               WINDOW r AS (PARTITION BY ticker, d ORDER BY ts ROWS UNBOUNDED PRECEDING))
         SELECT ticker, ts, close / vw - 1 AS vwap_dist, (close - o) / nullif(atr, 0) AS session_open_dist_atr,
           CASE WHEN i > 2 AND close > oh THEN 1 WHEN i > 2 AND close < ol THEN -1 ELSE 0 END AS opening_range_breakout,
-          date_diff('microsecond', ha, ts) / 6e7 AS minutes_since_high, date_diff('microsecond', la, ts) / 6e7 AS minutes_since_low, i / n AS minute_norm FROM q""",
+          date_diff('microsecond', ha, ts) / 6e7 AS time_since_new_high, date_diff('microsecond', la, ts) / 6e7 AS time_since_new_low, len(list_filter(rs, lambda x: x <= high - low)) / len(rs) AS intraday_vol_percentile,
+          least(i / 96, 1) AS minute_norm FROM q""",
 )
 def _(t):
-    return it.session_context(fx.quarter_bars(t))
+    # a session of the tick stream lasts the whole day
+    return it.session_context(fx.quarter_bars(t), session_bars=96)
 
 
 @query(
@@ -228,15 +244,30 @@ def _(t):
 @query(
     "n11_hour_path",
     "ticker:s hour:t bars:i stf15_intrahour_ret:f stf15_path_efficiency:f stf15_positive_share:f stf15_negative_share:f stf15_first_half_ret:f stf15_second_half_ret:f "
-    "stf15_time_imbalance:f stf15_range_to_open:f stf15_close_location:f stf15_max_adverse:f stf15_body_pressure:f stf15_vol_burst_ratio:f stf15_last_quarter_ret:f",
+    "stf15_time_imbalance:f stf15_range_to_open:f stf15_close_location:f stf15_max_adverse_excursion:f stf15_body_pressure:f stf15_vol_burst_ratio:f stf15_last_quarter_ret:f "
+    "stf15_sign_flip_rate:f stf15_high_before_low:f stf15_low_before_high:f stf15_first_half_share:f stf15_late_strength_share:f stf15_vol_burst:f stf15_wick_pressure:f "
+    "stf15_breakout_pressure:f stf15_failed_breakout_score:f stf15_rejection_score:f stf15_early_vol:f stf15_late_vol:f stf15_late_vol_ratio:f stf15_last_quarter_share:f "
+    "stf15_early_exhaustion_score:f stf15_close_quarter_dominance:f stf15_rel_volume_mean:f5",
     f"""WITH {fx.QUARTER_BARS}, h AS (SELECT *, date_trunc('hour', ts) AS hour, row_number() OVER w AS i, count(*) OVER (PARTITION BY ticker, date_trunc('hour', ts)) AS n,
-          close / coalesce(lag(close) OVER w, open) - 1 AS mv FROM quarter_bars WINDOW w AS (PARTITION BY ticker, date_trunc('hour', ts) ORDER BY ts)),
-        g AS (SELECT ticker, hour, count(*) AS n, arg_min(open, ts) AS o, arg_max(close, ts) AS c, max(close) FILTER (i = greatest(n // 2, 1)) AS m, max(high) AS hi, min(low) AS lo,
+          lag(high) OVER w AS ph, lag(low) OVER w AS pl, close / coalesce(lag(close) OVER w, open) - 1 AS mv FROM quarter_bars WINDOW w AS (PARTITION BY ticker, date_trunc('hour', ts) ORDER BY ts)),
+        f AS (SELECT *, lag(mv) OVER (PARTITION BY ticker, hour ORDER BY ts) AS pmv FROM h),
+        g AS (SELECT ticker, hour, count(*) AS n, count(*) FILTER (sign(mv) <> sign(pmv)) AS flips, sum(CASE WHEN i <= greatest(n // 2, 1) THEN abs(mv) ELSE 0 END) AS p1,
+              arg_min(i, row(-high, ts)) AS hx, arg_min(i, row(low, ts)) AS lx, avg(coalesce((least(open, close) - low - high + greatest(open, close)) / nullif(high - low, 0), 0)) AS stf15_wick_pressure,
+              count(*) FILTER (close > ph) - count(*) FILTER (close < pl) AS broken, count(*) FILTER (high > ph AND close <= ph) + count(*) FILTER (low < pl AND close >= pl) AS failed,
+              max(abs(close / open - 1)) AS big, max(volume) / nullif(sum(volume), 0) AS stf15_vol_burst, avg(volume) AS vm, arg_min(open, ts) AS o, arg_max(close, ts) AS c, max(close) FILTER (i = greatest(n // 2, 1)) AS m, max(high) AS hi, min(low) AS lo,
               sum(abs(mv)) AS path, count(*) FILTER (mv > 0) AS up, count(*) FILTER (mv < 0) AS dn, avg(coalesce((close - open) / nullif(high - low, 0), 0)) AS stf15_body_pressure,
-              max(volume) * count(*) / nullif(sum(volume), 0) AS stf15_vol_burst_ratio, arg_max(close / open - 1, ts) AS stf15_last_quarter_ret FROM h GROUP BY 1, 2)
+              max(volume) * count(*) / nullif(sum(volume), 0) AS stf15_vol_burst_ratio, arg_max(close / open - 1, ts) AS stf15_last_quarter_ret FROM f GROUP BY 1, 2)
         SELECT *, n AS bars, c / o - 1 AS stf15_intrahour_ret, coalesce(abs(c / o - 1) / nullif(path, 0), 0) AS stf15_path_efficiency, up / n AS stf15_positive_share, dn / n AS stf15_negative_share,
           m / o - 1 AS stf15_first_half_ret, c / m - 1 AS stf15_second_half_ret, c / m - m / o AS stf15_time_imbalance, (hi - lo) / o AS stf15_range_to_open,
-          coalesce((c - lo) / nullif(hi - lo, 0), 0.5) AS stf15_close_location, lo / o - 1 AS stf15_max_adverse FROM g""",
+          coalesce((c - lo) / nullif(hi - lo, 0), 0.5) AS stf15_close_location, lo / o - 1 AS stf15_max_adverse_excursion,
+          flips / greatest(n - 1, 1) AS stf15_sign_flip_rate, (hx < lx)::INT AS stf15_high_before_low, (lx < hx)::INT AS stf15_low_before_high,
+          coalesce(abs(m / o - 1) / nullif(abs(m / o - 1) + abs(c / m - 1), 0), 0.5) AS stf15_first_half_share,
+          coalesce(greatest(c / m - 1, 0) / nullif(abs(m / o - 1) + abs(c / m - 1), 0), 0) AS stf15_late_strength_share,
+          broken / n AS stf15_breakout_pressure, failed / n AS stf15_failed_breakout_score, coalesce((hi - c) / nullif(hi - lo, 0), 0.5) AS stf15_rejection_score,
+          p1 AS stf15_early_vol, path - p1 AS stf15_late_vol, (path - p1) / nullif(p1, 0) AS stf15_late_vol_ratio,
+          coalesce(stf15_last_quarter_ret / nullif(path, 0), 0) AS stf15_last_quarter_share, greatest(-sign(m / o - 1) * (c / m - 1), 0) AS stf15_early_exhaustion_score,
+          coalesce(abs(stf15_last_quarter_ret) / nullif(big, 0), 0) AS stf15_close_quarter_dominance,
+          vm / avg(vm) OVER (PARTITION BY ticker ORDER BY hour ROWS 7 PRECEDING) AS stf15_rel_volume_mean FROM g""",
 )
 def _(t):
     return it.hour_path(fx.quarter_bars(t))
@@ -251,3 +282,21 @@ def _(t):
     from tickloom.operators.cleaning import select_families
 
     return select_families(_own(t), it.FAMILIES, ["F1_TrendMomentum", "F2_VolRisk"], ["ticker", "ts"])
+
+
+COMPOSITE = sorted(it.FAMILIES["F11_PortfolioRankContext"])
+
+
+@query(
+    "n16_composite_family",
+    "ticker:s ts:d " + " ".join(f"{c}:f" for c in COMPOSITE),
+    f"""WITH {RANKS}, l AS (SELECT *, coalesce({R3} >= 0.8, false)::INT AS top, coalesce({R3} <= 0.2, false)::INT AS low FROM ranks)
+        SELECT *, {_full('avg', 'top', 3)} AS xs_leader_persist_3, {_full('avg', 'top', 6)} AS xs_leader_persist_6, {_full('avg', 'low', 3)} AS xs_laggard_persist_3,
+        {_full('avg', 'low', 6)} AS xs_laggard_persist_6, xs_rank_relative_volume_time - 0.5 AS xs_volume_leader_spread, {R3} - lag({R3}, 3) OVER {LAG} AS xs_rank_change_3,
+        {R3} - 0.5 AS xs_leader_spread_3 FROM l""",
+)
+def _(t):
+    from tickloom.operators.cleaning import select_families
+
+    led = it.leadership(_ranked(t), R3).select("*", it.volume_leader_spread())
+    return select_families(led, it.FAMILIES, ["F11_PortfolioRankContext"], ["ticker", "ts"])

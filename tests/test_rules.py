@@ -153,3 +153,35 @@ def test_every_move_of_an_hour_counts(spark):
 
     bars = spark.sql("SELECT 'a' AS ticker, timestamp'2024-01-01 10:00:00' + make_interval(0,0,0,0,0,id) AS ts, 10D + id % 2 AS open, 12D AS high, 9D AS low, 10D + (id + 1) % 2 AS close, 1D AS volume FROM range(60)")
     assert intraday.hour_path(bars).first().stf15_sign_flip_rate > 0.9
+
+
+def test_every_family_can_be_selected(tables):
+    from catalog import fixtures as fx
+    from tickloom.operators import intraday as it
+
+    quarters = fx.quarter_bars(tables)
+    known = set(it.research_panel(fx.bars(tables), fx.sectors(tables)).columns)
+    for frame in (it.own_features(quarters), it.session_context(quarters), it.previous_session(quarters), it.quarter_path(quarters), it.hour_path(quarters)):
+        known |= set(frame.columns)
+    assert len(it.FAMILIES) == 25
+    assert {c for names in it.FAMILIES.values() for c in names} <= known
+
+
+def test_minute_norm_does_not_know_the_sessions_end(spark):
+    from tickloom.operators import intraday as it
+
+    bars = spark.range(8).selectExpr("'A' AS ticker", "timestamp'2024-01-02 09:15:00' + make_interval(0, 0, 0, 0, 0, 15 * CAST(id AS INT), 0) AS ts",
+                                     "1D AS open", "2D AS high", "1D AS low", "1.5D AS close", "1D AS volume")
+    whole = {r.ts: r.minute_norm for r in it.session_context(bars).collect()}
+    part = {r.ts: r.minute_norm for r in it.session_context(bars.filter("ts < timestamp'2024-01-02 10:00:00'")).collect()}
+    assert part == {ts: v for ts, v in whole.items() if ts in part} and max(whole.values()) == 8 / 25
+
+
+def test_regime_names_without_case_or_underscores(spark):
+    from tickloom.operators.cleaning import filter_applies, regime_filter
+
+    frame = spark.createDataFrame([(0.2, "a"), (0.0005, "b"), (-1.0, "a")], "stock_minus_mkt_3 double, style string")
+    assert regime_filter(frame, "StockMinusMkt_3 > 1e-3").count() == 1
+    assert regime_filter(frame, "(Style == 'a') & (StockMinusMkt_3 < 0)").count() == 1
+    assert filter_applies(frame.columns, "style == 'b'") and not filter_applies(frame.columns, "other > 1")
+    assert regime_filter(frame, "other > 1").count() == 3

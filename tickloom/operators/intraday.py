@@ -15,12 +15,66 @@ from tickloom.operators.research import research_columns
 INTRADAY = Shape(series_rows=1_200_000)
 
 # fixed values: families of feature names
+_CANDLE = ["body_to_range", "upper_wick_ratio", "lower_wick_ratio"]
+_PERSISTENCE = ["breakout_3bar", "sign_persistence_5"]
+_SESSION = ["vwap_dist", "session_open_dist_atr", "opening_range_breakout", "time_since_new_high", "time_since_new_low",
+            "intraday_vol_percentile", "relative_volume_time", "minute_norm"]
+_PHASE = ["minute_norm", "relative_volume_time", "intraday_vol_percentile", "vwap_dist", "session_open_dist_atr"]
+_RANKS = [f"xs_rank_{c}" for c in ("stock_minus_mkt_1", "stock_minus_mkt_3", "stock_minus_mkt_6", "sector_minus_mkt_3", "relative_volume_time",
+                                   "voladj_stock_minus_mkt_1", "voladj_stock_minus_mkt_3")] + ["xs_leader_spread_3"]
+_PERSIST = ["xs_leader_persist_3", "xs_laggard_persist_3", "xs_leader_persist_6", "xs_laggard_persist_6", "xs_rank_change_3"]
+_FAILED = [f"m15_{c}" for c in ("rejection_score_4", "close_location_4", "breakout_pressure_4", "body_pressure_4", "sign_flip_rate_4",
+                                "time_imbalance_4", "early_exhaustion_4", "vol_ratio_2v8")]
+_PATH = ["m15_ret_4", "m15_path_efficiency_4", "m15_positive_share_4", *_FAILED]
+_PORTFOLIO = [*_RANKS, "xs_volume_leader_spread", *_PERSIST]
+
+
+def _hour(*names: str) -> list[str]:
+    return [f"stf15_{n}" for n in names]
+
+
 FAMILIES = {
     "F1_TrendMomentum": ["lag_ret_1", "lag_ret_5", "lag_ret_20", "trend_30", "trend_2h", "trend_slope", "rsi14", "macd_z"],
     "F2_VolRisk": ["atr20_log", "realvol20_log", "vol_regime", "mkt_vol_rank"],
     "F3_Relative": ["mkt_ret_1", "mkt_ret_3", "mkt_ret_6", "stock_minus_mkt_1", "stock_minus_mkt_3", "sector_minus_mkt_3"],
-    "F5_CandleShape": ["body_to_range", "upper_wick_ratio", "lower_wick_ratio", "close_location_3", "ret_skew_5"],
-    "F6_PersistenceBreakout": ["breakout_3bar", "sign_persistence_5", "regime_bull", "regime_bear"],
+    "F4_SessionContext": _SESSION,
+    "F5_CandleShape": [*_CANDLE, "close_location_3", "ret_skew_5"],
+    "F6_PersistenceBreakout": [*_PERSISTENCE, "regime_bull", "regime_bear"],
+    "F7_CrossSectionalRanks": _RANKS,
+    "F8_LeadershipPersistence": ["xs_leader_top20", "xs_laggard_bottom20", *_PERSIST, "xs_volume_leader_spread"],
+    "F9_MarketStateLabels": [f"market_state_{c}" for c in ("bull_calm", "bull_stress", "bear_calm", "bear_stress", "transition", "trend_score", "vol_pressure")],
+    "F10_MultiScaleContext": [f"multi_scale_{c}" for c in ("ret_3h", "ret_6h", "ret_12h", "trend_gap", "momentum_alignment", "vol_ratio_3v20",
+                                                           "range_compression_3v12", "body_pressure_3", "breakout_pressure_3")],
+    "F11_PortfolioRankContext": _PORTFOLIO,
+    "F12_SecondTimeframeContext": _hour("intrahour_ret", "path_efficiency", "first_half_ret", "second_half_ret", "first_half_share", "vol_burst", "vol_burst_ratio",
+                                        "range_to_open", "failed_breakout_score", "close_location", "rel_volume_mean", "wick_pressure", "body_pressure",
+                                        "breakout_pressure"),
+    "F13_IntrahourPathV1": _hour("path_efficiency", "positive_share", "negative_share", "sign_flip_rate", "first_half_ret", "second_half_ret",
+                                 "late_strength_share", "max_adverse_excursion", "high_before_low", "low_before_high", "rejection_score",
+                                 "failed_breakout_score"),
+    "F14_BreadthContext": [f"breadth_{c}" for c in ("adv_frac_1", "rel_adv_frac_3", "leader_frac", "laggard_frac", "trend_pressure", "leader_spread",
+                                                    "dispersion_3", "volume_pressure", "expansion_3", "participation")],
+    "F15_TimeDistributionV2": _hour("first_half_ret", "second_half_ret", "first_half_share", "late_strength_share", "time_imbalance", "early_vol", "late_vol",
+                                    "late_vol_ratio", "last_quarter_ret", "last_quarter_share", "early_exhaustion_score", "close_quarter_dominance"),
+    "F16_Native15mPath": _PATH,
+    "F17_Native15mFailedBreakout": _FAILED,
+    "F18_Native15mOpenDrive": [*_SESSION, *_CANDLE, *_PERSISTENCE],
+    "F19_Native15mSessionPhase": [*_PHASE, *_CANDLE, "m15_time_imbalance_4", "m15_early_exhaustion_4", "m15_rejection_score_4", "m15_close_location_4",
+                                  *_PERSISTENCE],
+    "F20_Native15mHoldingHorizon": [*_PATH, *_PHASE],
+    "F21_Native15mTopKEventRank": [*_PORTFOLIO, *_PHASE, "body_to_range", "close_location_3", "breakout_3bar"],
+    "F22_Native15mMeanReversionExhaustion": [*_PHASE, *_CANDLE, "close_location_3", *[c for c in _PATH if c != "m15_positive_share_4"]],
+    "F23_DailyContext": [f"prev_session_{c}" for c in ("gap_atr", "ret", "range_atr", "close_location", "body_to_range", "volume_rel")],
+    "F24_CrossSectionalCommonalityResidual": [
+        "sector_residual_3", "voladj_sector_residual_3", "xs_rank_sector_residual_3", "xs_commonality_residual_3", "xs_idiosyncratic_leader_3",
+        "xs_idiosyncratic_laggard_3", "residual_leader_persist_3", "residual_laggard_persist_3", "xs_rank_stock_minus_mkt_1", "xs_rank_stock_minus_mkt_3",
+        "xs_rank_sector_minus_mkt_3", "xs_rank_voladj_stock_minus_mkt_3", "xs_rank_relative_volume_time", "breadth_trend_pressure", "breadth_leader_spread",
+        "breadth_volume_pressure", "mkt_vol_rank",
+    ],
+    "F25_IntradayVolumeLiquidityForecast": [
+        "intraday_vol_percentile", "relative_volume_time", "mkt_vol_rank", "minute_norm", "breadth_participation", "breadth_volume_pressure",
+        "breadth_leader_spread", *_hour("rel_volume_mean", "vol_burst", "vol_burst_ratio", "path_efficiency", "breakout_pressure"),
+    ],
 }
 
 
@@ -73,12 +127,13 @@ def own_features(bars: DataFrame, shape: Shape = DAILY) -> DataFrame:
             _moment_skew(F.col("lag_ret_1"), w, 5).alias("ret_skew_5"),
             R.holds((F.col("trend_30") > 0) & (F.col("sign_persistence_5") > 0)).cast("double").alias("regime_bull"),
             R.holds((F.col("trend_30") < 0) & (F.col("sign_persistence_5") < 0)).cast("double").alias("regime_bear"),
-            (F.col("ret_3") - F.col("ret_12")).alias("multi_trend_gap"),
-            ((F.signum("ret_3") + F.signum("ret_6") + F.signum("ret_12")) / 3.0).alias("multi_alignment"),
-            R.ratio(F.col("_vol3"), F.col("realvol20")).alias("multi_vol_ratio_3v20"),
-            R.ratio(R.mean(F.col("_range"), w, 3), R.mean(F.col("_range"), w, 12)).alias("multi_range_3v12"),
-            R.mean(F.col("body_to_range"), w, 3).alias("multi_body_pressure_3"),
-            R.mean(F.col("breakout_3bar"), w, 3).alias("multi_breakout_pressure_3"),
+            *[F.col(f"ret_{n}").alias(f"multi_scale_ret_{n}h") for n in (3, 6, 12)],
+            (F.col("ret_3") - F.col("ret_12")).alias("multi_scale_trend_gap"),
+            ((F.signum("ret_3") + F.signum("ret_6") + F.signum("ret_12")) / 3.0).alias("multi_scale_momentum_alignment"),
+            R.ratio(F.col("_vol3"), F.col("realvol20")).alias("multi_scale_vol_ratio_3v20"),
+            R.ratio(R.mean(F.col("_range"), w, 3), R.mean(F.col("_range"), w, 12)).alias("multi_scale_range_compression_3v12"),
+            R.mean(F.col("body_to_range"), w, 3).alias("multi_scale_body_pressure_3"),
+            R.mean(F.col("breakout_3bar"), w, 3).alias("multi_scale_breakout_pressure_3"),
         ).drop("_move", "_macd", "_i", "_range", "_vol3")
 
     return over_series(over_series(research_columns(bars, shape), first, before=46, shape=shape), second, before=60, shape=shape)
@@ -91,21 +146,22 @@ def market_state(panel: DataFrame, time: str = "ts") -> DataFrame:
     vol = by_time.withColumn("_vol", R.spread(F.col("_m"), w, 20))
     past = F.collect_list("_vol").over(w.rowsBetween(-59, 0))
     ranked = vol.select(
-        time, R.total(F.col("_m"), w, 20).alias("market_trend_score"), "_vol", past.alias("_past")
+        time, R.total(F.col("_m"), w, 20).alias("market_state_trend_score"), "_vol", past.alias("_past"),
+        (R.ratio(F.col("_vol"), R.mean(F.col("_vol"), w, 60, 20)) - 1.0).alias("market_state_vol_pressure"),
     ).withColumn(
         "mkt_vol_rank",
         F.when(F.col("_vol").isNotNull(), F.size(F.filter("_past", lambda x: x <= F.col("_vol"))) / F.size("_past").cast("double")),
     )
-    up, calm = F.col("market_trend_score") > 0, F.col("mkt_vol_rank") < 0.5
-    turning = F.abs("market_trend_score") < 0.01
+    up, calm = F.col("market_state_trend_score") > 0, F.col("mkt_vol_rank") < 0.5
+    turning = F.abs("market_state_trend_score") < 0.01
 
     def flag(condition):
         return R.holds(condition).cast("double")
 
     return ranked.select(
-        time, "market_trend_score", "mkt_vol_rank",
-        flag(up & calm).alias("state_bull_calm"), flag(up & ~calm).alias("state_bull_stress"),
-        flag(~up & calm).alias("state_bear_calm"), flag(~up & ~calm).alias("state_bear_stress"), flag(turning).alias("state_transition"),
+        time, "market_state_trend_score", "market_state_vol_pressure", "mkt_vol_rank",
+        flag(up & calm).alias("market_state_bull_calm"), flag(up & ~calm).alias("market_state_bull_stress"),
+        flag(~up & calm).alias("market_state_bear_calm"), flag(~up & ~calm).alias("market_state_bear_stress"), flag(turning).alias("market_state_transition"),
     )
 
 
@@ -120,7 +176,7 @@ def sector_relative(panel: DataFrame, sectors: DataFrame, time: str = "ts") -> D
         (F.col("_sector_ret_3") - F.col("mkt_ret_3")).alias("sector_minus_mkt_3"),
         residual.alias("sector_residual_3"),
         R.ratio(residual, F.col("realvol20")).alias("voladj_sector_residual_3"),
-        (F.col("stock_minus_mkt_3") - (F.col("_sector_ret_3") - F.col("mkt_ret_3"))).alias("commonality_residual_3"),
+        (F.col("stock_minus_mkt_3") - (F.col("_sector_ret_3") - F.col("mkt_ret_3"))).alias("xs_commonality_residual_3"),
         R.ratio(F.col("stock_minus_mkt_1"), F.col("realvol20")).alias("voladj_stock_minus_mkt_1"),
         R.ratio(F.col("stock_minus_mkt_3"), F.col("realvol20")).alias("voladj_stock_minus_mkt_3"),
     )
@@ -168,6 +224,19 @@ def leadership(ranked: DataFrame, rank: str, prefix: str = "xs", shape: Shape =
     return over_series(ranked, build, before=6, shape=shape)
 
 
+def residual_leadership(ranked: DataFrame, rank: str = "xs_rank_sector_residual_3", shape: Shape = DAILY) -> DataFrame:
+    """Leaders and laggards by what their sector does not explain, and how long they stay so."""
+    led = leadership(ranked, rank, "residual", shape)
+    return led.select(
+        *ranked.columns, F.col("residual_leader_top20").alias("xs_idiosyncratic_leader_3"), F.col("residual_laggard_bottom20").alias("xs_idiosyncratic_laggard_3"),
+        "residual_leader_persist_3", "residual_laggard_persist_3",
+    )
+
+
+def volume_leader_spread(rank: str = "xs_rank_relative_volume_time") -> Column:
+    return (F.col(rank) - 0.5).alias("xs_volume_leader_spread")
+
+
 def breadth_context(panel: DataFrame, time: str = "ts") -> DataFrame:
     """Breadth of the cross-section by timestamp; one row each."""
 
@@ -193,18 +262,20 @@ def breadth_context(panel: DataFrame, time: str = "ts") -> DataFrame:
     )
 
 
-def session_context(bars: DataFrame, opening: int = 2) -> DataFrame:
-    """Running context inside each (ticker, session): at most a day's bars per window."""
+def session_context(bars: DataFrame, opening: int = 2, session_bars: int = 25) -> DataFrame:
+    """Running context inside each (ticker, session): at most a day's bars per window.
+
+    ``session_bars`` is the planned length of a session; the bars a session ends up with are not known while it runs.
+    """
     day = F.to_date("ts").alias("session")
     w = Window.partitionBy("ticker", "session").orderBy("ts")
     sofar = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("ticker", "session")
     c, v = F.col("close"), F.col("volume")
     typical = (F.col("high") + F.col("low") + c) / 3.0
     placed = bars.select("*", day).select(
         "*",
         F.row_number().over(w).alias("_i"),
-        F.count(F.lit(1)).over(whole).alias("_n"),
+        F.collect_list(F.col("high") - F.col("low")).over(sofar).alias("_ranges"),
         R.ratio(F.sum(typical * v).over(sofar), F.sum(v).over(sofar)).alias("_vwap"),
         F.first("open").over(sofar).alias("_open"),
         F.max("high").over(sofar).alias("_hi"),
@@ -225,9 +296,10 @@ def session_context(bars: DataFrame, opening: int = 2) -> DataFrame:
         (R.ratio(c, F.col("_vwap")) - 1.0).alias("vwap_dist"),
         R.ratio(c - F.col("_open"), F.col("_atr")).alias("session_open_dist_atr"),
         F.when(past & (c > F.col("_or_hi")), 1.0).when(past & (c < F.col("_or_lo")), -1.0).otherwise(0.0).alias("opening_range_breakout"),
-        ((F.unix_micros("ts") - F.unix_micros("_hi_at")) / 6e7).alias("minutes_since_high"),
-        ((F.unix_micros("ts") - F.unix_micros("_lo_at")) / 6e7).alias("minutes_since_low"),
-        (F.col("_i") / F.col("_n")).alias("minute_norm"),
+        ((F.unix_micros("ts") - F.unix_micros("_hi_at")) / 6e7).alias("time_since_new_high"),
+        ((F.unix_micros("ts") - F.unix_micros("_lo_at")) / 6e7).alias("time_since_new_low"),
+        (F.size(F.filter("_ranges", lambda x: x <= F.col("high") - F.col("low"))) / F.size("_ranges")).alias("intraday_vol_percentile"),
+        F.least(F.col("_i") / F.lit(session_bars), F.lit(1.0)).alias("minute_norm"),
     )
 
 
@@ -291,7 +363,7 @@ def quarter_path(bars: DataFrame, shape: Shape = INTRADAY) -> DataFrame:
     return over_series(over_series(out, second, before=8, shape=shape), third, before=3, shape=shape)
 
 
-def hour_path(bars: DataFrame) -> DataFrame:
+def hour_path(bars: DataFrame, shape: Shape = INTRADAY) -> DataFrame:
     """What happened inside each hour, from its quarter-hour bars (one hour's bars in one row)."""
     bar = F.struct("ts", "open", "high", "low", "close", "volume")
     hours = bars.groupBy("ticker", F.date_trunc("hour", "ts").alias("hour")).agg(F.array_sort(F.collect_list(bar)).alias("_b"))
@@ -316,7 +388,22 @@ def hour_path(bars: DataFrame) -> DataFrame:
     body = F.transform(b, lambda x: F.coalesce(R.ratio(x.close - x.open, x.high - x.low), F.lit(0.0)))
     flips = F.zip_with(moves, F.slice(moves, F.lit(2), F.size(moves)), lambda p, q: F.when(q.isNotNull(), F.when(F.signum(p) != F.signum(q), 1.0).otherwise(0.0)))
     volumes = F.transform(b, lambda x: x.volume)
-    return hours.select(
+    half = F.greatest(F.floor(n / 2).cast("int"), F.lit(1))
+    sizes = F.transform(moves, lambda x: F.abs(x))
+    early_path, path = total(F.slice(sizes, F.lit(1), half)), total(sizes)
+    quarter = last.close / last.open - 1.0
+    swing = F.abs(early) + F.abs(late)
+    wick = F.transform(b, lambda x: F.coalesce(R.ratio((F.least(x.open, x.close) - x.low) - (x.high - F.greatest(x.open, x.close)), x.high - x.low), F.lit(0.0)))
+    # each bar beside the one before it
+    steps_of = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.get(b, i - 2).alias("p"), F.get(b, i - 1).alias("q")))
+    pairs = F.filter(steps_of, lambda s: s.p.isNotNull())
+
+    def count(condition):
+        return F.size(F.filter(pairs, condition))
+
+    broken = count(lambda s: s.q.close > s.p.high) - count(lambda s: s.q.close < s.p.low)
+    failed = count(lambda s: (s.q.high > s.p.high) & (s.q.close <= s.p.high)) + count(lambda s: (s.q.low < s.p.low) & (s.q.close >= s.p.low))
+    made = hours.select(
         "ticker", "hour", n.alias("bars"),
         ret.alias("stf15_intrahour_ret"),
         F.coalesce(R.ratio(F.abs(ret), total(F.transform(moves, lambda x: F.abs(x)))), F.lit(0.0)).alias("stf15_path_efficiency"),
@@ -328,19 +415,43 @@ def hour_path(bars: DataFrame) -> DataFrame:
         (late - early).alias("stf15_time_imbalance"),
         ((hi - lo) / first.open).alias("stf15_range_to_open"),
         F.coalesce(R.ratio(last.close - lo, hi - lo), F.lit(0.5)).alias("stf15_close_location"),
-        (lo / first.open - 1.0).alias("stf15_max_adverse"),
+        (lo / first.open - 1.0).alias("stf15_max_adverse_excursion"),
         (hi_at < lo_at).cast("double").alias("stf15_high_before_low"),
         (lo_at < hi_at).cast("double").alias("stf15_low_before_high"),
         (total(body) / n).alias("stf15_body_pressure"),
         R.ratio(F.array_max(volumes) * n, total(volumes)).alias("stf15_vol_burst_ratio"),
-        (last.close / last.open - 1.0).alias("stf15_last_quarter_ret"),
+        quarter.alias("stf15_last_quarter_ret"),
+        F.coalesce(R.ratio(F.abs(early), swing), F.lit(0.5)).alias("stf15_first_half_share"),
+        F.coalesce(R.ratio(F.greatest(late, F.lit(0.0)), swing), F.lit(0.0)).alias("stf15_late_strength_share"),
+        R.ratio(F.array_max(volumes), total(volumes)).alias("stf15_vol_burst"),
+        (total(wick) / n).alias("stf15_wick_pressure"),
+        (broken / n).alias("stf15_breakout_pressure"),
+        (failed / n).alias("stf15_failed_breakout_score"),
+        F.coalesce(R.ratio(hi - last.close, hi - lo), F.lit(0.5)).alias("stf15_rejection_score"),
+        early_path.alias("stf15_early_vol"),
+        (path - early_path).alias("stf15_late_vol"),
+        R.ratio(path - early_path, early_path).alias("stf15_late_vol_ratio"),
+        F.coalesce(R.ratio(quarter, path), F.lit(0.0)).alias("stf15_last_quarter_share"),
+        F.greatest(-F.signum(early) * late, F.lit(0.0)).alias("stf15_early_exhaustion_score"),
+        F.coalesce(R.ratio(F.abs(quarter), F.array_max(F.transform(b, lambda x: F.abs(x.close / x.open - 1.0)))), F.lit(0.0)).alias("stf15_close_quarter_dominance"),
+        (total(volumes) / n).alias("_volume"),
     )
 
+    def against_before(df, w):
+        return df.withColumn("stf15_rel_volume_mean", R.ratio(F.col("_volume"), R.mean(F.col("_volume"), w, 8, 1)))
+
+    return over_series(made, against_before, ["ticker"], ["hour"], before=8, shape=shape).drop("_volume")
+
+
+RANKED = ("stock_minus_mkt_1", "stock_minus_mkt_3", "stock_minus_mkt_6", "sector_minus_mkt_3", "relative_volume_time", "voladj_stock_minus_mkt_1",
+          "voladj_stock_minus_mkt_3", "sector_residual_3")
+
 
 def research_panel(bars: DataFrame, sectors: DataFrame, shape: Shape = DAILY) -> DataFrame:
-    """Bars with all daily families, for models."""
+    """Bars with every family that needs no bars inside a day, for models."""
     own = own_features(bars, shape)
-    state = market_state(own)
-    related = sector_relative(own, sectors)
-    # market tables have one row per timestamp of a daily calendar
-    return related.join(F.broadcast(state), "ts", "left")
+    related = cross_ranks(sector_relative(own, sectors), RANKED)
+    led = residual_leadership(leadership(related, "xs_rank_stock_minus_mkt_3", shape=shape), shape=shape)
+    led = led.select("*", volume_leader_spread())
+    # market tables have one row per timestamp; adaptive execution decides how they are joined
+    return led.join(market_state(own), "ts", "left").join(breadth_context(own), "ts", "left")
