@@ -290,9 +290,9 @@ COMPOSITE = sorted(it.FAMILIES["F11_PortfolioRankContext"])
 @query(
     "n16_composite_family",
     "ticker:s ts:d " + " ".join(f"{c}:f" for c in COMPOSITE),
-    f"""WITH {RANKS}, l AS (SELECT *, coalesce({R3} >= 0.8, false)::INT AS top, coalesce({R3} <= 0.2, false)::INT AS low FROM ranks)
-        SELECT *, {_full('avg', 'top', 3)} AS xs_leader_persist_3, {_full('avg', 'top', 6)} AS xs_leader_persist_6, {_full('avg', 'low', 3)} AS xs_laggard_persist_3,
-        {_full('avg', 'low', 6)} AS xs_laggard_persist_6, xs_rank_relative_volume_time - 0.5 AS xs_volume_leader_spread, {R3} - lag({R3}, 3) OVER {LAG} AS xs_rank_change_3,
+    f"""WITH {RANKS}, l AS (SELECT *, coalesce({R3} >= 0.8, false)::INT AS led, coalesce({R3} <= 0.2, false)::INT AS lagged FROM ranks)
+        SELECT *, {_full('avg', 'led', 3)} AS xs_leader_persist_3, {_full('avg', 'led', 6)} AS xs_leader_persist_6, {_full('avg', 'lagged', 3)} AS xs_laggard_persist_3,
+        {_full('avg', 'lagged', 6)} AS xs_laggard_persist_6, xs_rank_relative_volume_time - 0.5 AS xs_volume_leader_spread, {R3} - lag({R3}, 3) OVER {LAG} AS xs_rank_change_3,
         {R3} - 0.5 AS xs_leader_spread_3 FROM l""",
 )
 def _(t):

@@ -96,3 +96,14 @@ def test_partition_count_does_not_matter(spark, folder):
         results.append(rows(entry.queries()["l13_label_shuffle"](spark, folder)))
     spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1]
+
+
+def test_crowded_rank_buckets_are_cut(spark):
+    """Scores that crowd into one slice of an octave are ranked in many small windows, with the ranks of a single one."""
+    scores = spark.range(6000).select(
+        F.when(F.col("id") % 3 == 0, -1.0).otherwise(0.5 + (F.col("id") * 7919 % 6000) / 2e7).alias("v"), (F.col("id") % 2).alias("k"), F.lit(2).alias("cnt")
+    ).groupBy("k", "v").agg(F.sum("cnt").alias("cnt"))
+    whole = L.value_ranks(scores, "v", ["k"], shape=L.Shape(stamp_rows=10_000))
+    cut = L.value_ranks(scores, "v", ["k"], rows=50)
+    columns = ["k", "v", "cnt", "below", "avg_rank", "n"]
+    assert rows(whole.select(*columns)) == rows(cut.select(*columns))

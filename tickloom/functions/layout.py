@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: rows a single window task may have to sort
 TASK_ROWS = 2_000_000
+#: distinct values of a rank bucket beyond which it is cut into equal slices of its own range
+BUCKET_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -225,10 +227,13 @@ def value_ranks(
     by: Sequence[str] = (),
     count: str = "cnt",
     shape: Shape = UNKNOWN,
+    rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Average-tie ranks of distinct values weighted by ``count``: adds ``below``, ``avg_rank``, ``n``.
 
-    ``counts`` has one row per (by, value), so a value shared by a third of all rows is a single row here.
+    ``counts`` has one row per (by, value), so a value shared by a third of all rows is a single row here. Values are
+    ranked in buckets: slices of an octave, and where many values crowd into one (probabilities around a half), slices of
+    that bucket's own range, as many as its number of values calls for.
     """
     keys = list(by)
     if not keys:
@@ -242,19 +247,30 @@ def value_ranks(
         )
     else:
         coded = counts.withColumn("_vb", magnitude_bucket(F.col(value).cast("double")))
-        sizes = coded.groupBy(*keys, "_vb").agg(F.sum(count).alias("_m"))
-        prior = Window.partitionBy(*keys).orderBy("_vb").rowsBetween(Window.unboundedPreceding, -1)
+        number = F.col(value).cast("double")
+        crowds = coded.groupBy(*keys, "_vb").agg(F.count(F.lit(1)).alias("_k"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
+        # crowded buckets are few however many rows there are: each holds BUCKET_ROWS values or more
+        slices = F.ceil(F.col("_k") / F.lit(rows))
+        slot = F.floor((number - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices)
+        coded = (
+            _join_null_safe(coded, crowds.filter(F.col("_k") > rows), [*keys, "_vb"], "left")
+            .withColumn("_sb", F.coalesce(F.least(slot, slices - 1), F.lit(0)))
+            .drop("_k", "_lo", "_hi")
+        )
+        sizes = coded.groupBy(*keys, "_vb", "_sb").agg(F.sum(count).alias("_m"))
+        prior = Window.partitionBy(*keys).orderBy("_vb", "_sb").rowsBetween(Window.unboundedPreceding, -1)
         offsets = sizes.select(
             *keys,
             "_vb",
+            "_sb",
             F.coalesce(F.sum("_m").over(prior), F.lit(0)).alias("_off"),
             F.sum("_m").over(Window.partitionBy(*keys)).alias("n"),
         )
-        inner = Window.partitionBy(*keys, "_vb").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+        inner = Window.partitionBy(*keys, "_vb", "_sb").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
         ranked = (
-            _join_null_safe(coded, offsets, [*keys, "_vb"])
+            _join_null_safe(coded, offsets, [*keys, "_vb", "_sb"])
             .withColumn("below", F.col("_off") + F.sum(count).over(inner) - F.col(count))
-            .drop("_vb", "_off")
+            .drop("_vb", "_sb", "_off")
         )
     return ranked.withColumn("avg_rank", F.col("below") + (F.col(count) + 1) / 2.0).drop("_all")
 
