@@ -331,6 +331,22 @@ def _(t):
     return ru.label_sanity(out, 3)
 
 
+@query(
+    "a2_outcome_sanity",
+    "label:s horizon:i mean:f median:f",
+    f"""WITH {OUTCOME}, v AS (
+          SELECT 'event_path_payoff_5' AS label, true AS paid, payoff AS x FROM settled
+          UNION ALL SELECT 'clean_event_path_payoff_5', true, payoff - 0.25 * abs(mae) FROM settled
+          UNION ALL SELECT 'y_t7_target_before_stop_5', false, CAST(won AS INT) FROM settled
+          UNION ALL SELECT 'y_t8_clean_target_before_stop_5', false, CAST(won AND mae >= -0.5 * atr AND tt <= 3 AS INT) FROM settled
+          UNION ALL SELECT 'time_to_target_5', false, tt FROM settled UNION ALL SELECT 'time_to_stop_5', false, st FROM settled
+          UNION ALL SELECT 'mae_before_resolution_5', false, mae FROM settled)
+        SELECT label, 5 AS horizon, avg(x) AS mean, CASE WHEN any_value(paid) THEN median(x) END AS median FROM v GROUP BY 1""",
+)
+def _(t):
+    return ru.label_sanity(lb.event_outcomes(research_columns(fx.bars(t)), 5), 5)
+
+
 @query(
     "a5_daily_last",
     "ticker:s trade_date:d close:f6",

@@ -72,13 +72,12 @@ def next_snapshot(
 ) -> DataFrame:
     """Price (and ``extra`` columns) of each ticker at a rebalance and its price at the next one.
 
-    ``schedule`` has keys, ts, next_ts, one row per rebalance: its size is fixed by the calendar, so the panel is read
-    through a broadcast on both sides, and only rows of those dates meet on (keys, ticker).
+    ``schedule`` has keys, ts, next_ts, one row per rebalance; only rows of those dates meet on (keys, ticker). Adaptive
+    execution decides whether it is small enough to be sent to all tasks.
     """
-    small = F.broadcast(schedule)
-    now = prices.select("ticker", "ts", "close", *extra).join(small.select(*keys, "ts", "next_ts"), "ts")
+    now = prices.select("ticker", "ts", "close", *extra).join(schedule.select(*keys, "ts", "next_ts"), "ts")
     then = prices.select("ticker", F.col("ts").alias("next_ts"), F.col("close").alias("next_close"))
-    then = then.join(small.select(*keys, "next_ts"), "next_ts").drop("next_ts")
+    then = then.join(schedule.select(*keys, "next_ts"), "next_ts").drop("next_ts")
     return now.join(then, [*keys, "ticker"])
 
 

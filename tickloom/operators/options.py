@@ -494,8 +494,7 @@ def itm_tax(strike: Column, spot_expiry: Column, kind: str, rate: float = CHARGE
 def chain_band(chain: DataFrame, spot: DataFrame, required: DataFrame, band: float = 0.05, max_days: int = 8) -> DataFrame:
     """Contracts within a band around spot and near expiry, plus the legs a profile requires."""
     keys = ["trade_date", "expiry", "strike", "option_typ"]
-    # one row per calendar day
-    priced = chain.join(F.broadcast(spot.withColumnRenamed("dt", "trade_date")), "trade_date")
+    priced = chain.join(spot.withColumnRenamed("dt", "trade_date"), "trade_date")
     near = priced.filter(
         F.col("strike").between(F.col("spot") * (1 - band), F.col("spot") * (1 + band))
         & (F.datediff("expiry", "trade_date") <= max_days)

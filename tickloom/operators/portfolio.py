@@ -167,8 +167,7 @@ def score_folds(events: DataFrame, folds: DataFrame, keys: Sequence[str] = (), b
         compound(F.coalesce("strategy_return", F.lit(0.0))).alias("strategy_total_return"),
         F.count(F.lit(1)).alias("events"),
     )
-    # ten folds: a fixed-size side
-    joined = totals.join(F.broadcast(folds.select("fold_id", "fold_trade_dates", F.col(benchmark).alias("benchmark_annualized"))), "fold_id")
+    joined = totals.join(folds.select("fold_id", "fold_trade_dates", F.col(benchmark).alias("benchmark_annualized")), "fold_id")
     rated = joined.withColumn(
         "strategy_annualized", annualise(F.col("strategy_total_return"), F.col("fold_trade_dates"))
     )

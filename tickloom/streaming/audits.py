@@ -78,8 +78,8 @@ def daily_audit(counts: DataFrame, beats: DataFrame, events: DataFrame, days: in
     """Counts with suspect flags, joined with both kinds of gaps (one row per day, broadcast)."""
     return (
         suspect_days(counts, days, ratio)
-        .join(F.broadcast(heartbeat_gaps(beats)), "trade_date", "left")
-        .join(F.broadcast(reconnect_gaps(events)), "trade_date", "left")
+        .join(heartbeat_gaps(beats), "trade_date", "left")
+        .join(reconnect_gaps(events), "trade_date", "left")
     )
 
 
