@@ -25,13 +25,31 @@ def ticker_of(column: str):
     return F.concat(F.lit("S"), F.lpad(F.col(column).cast("string"), 12, "0"))
 
 
-def bars(t: Tables, period: str | None = None) -> DataFrame:
-    """Daily bars of every supplier, or bars per calendar period such as ``week``."""
+def by_supplier(t: Tables) -> DataFrame:
+    """Lines, named by their supplier: many instruments, each traded on some days."""
+    return t.lineitem.withColumn("name", F.col("l_suppkey"))
+
+
+def by_brand(t: Tables) -> DataFrame:
+    """Lines, named by their part's brand: few instruments, traded on most days, as a rebalanced universe needs."""
+    return t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.upper("p_brand").alias("name")), "l_partkey")
+
+
+def branded(sql: str) -> str:
+    """SQL over suppliers' lines as SQL over brands' lines."""
+    return sql.replace("'S' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0')", "upper(p_brand)").replace("FROM lineitem", "FROM lineitem JOIN part ON p_partkey = l_partkey")
+
+
+def name_of(lines: DataFrame):
+    return F.col("name") if dict(lines.dtypes)["name"] == "string" else ticker_of("name")
+
+
+def bars(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    """Daily bars of every instrument: suppliers unless ``lines`` are named otherwise."""
+    lines = by_supplier(t) if lines is None else lines
     day, price, key = F.to_date("l_shipdate"), line_price(), line_key()
-    if period:
-        day = F.to_date(F.date_trunc(period, "l_shipdate"))
     return (
-        t.lineitem.groupBy("l_suppkey", day.alias("ts"))
+        lines.groupBy("name", day.alias("ts"))
         .agg(
             F.min_by(price, key).alias("open"),
             F.max(price * (1 + F.col("l_discount") / 10)).alias("high"),
@@ -39,8 +57,8 @@ def bars(t: Tables, period: str | None = None) -> DataFrame:
             F.max_by(price * (1 + (F.col("l_discount") - F.col("l_tax")) / 20), key).alias("close"),
             F.sum("l_quantity").alias("volume"),
         )
-        .withColumn("ticker", ticker_of("l_suppkey"))
-        .drop("l_suppkey")
+        .withColumn("ticker", name_of(lines))
+        .drop("name")
     )
 
 
@@ -52,7 +70,7 @@ BARS = """bars AS (
                row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem)
   GROUP BY 1, 2)"""
 
-WEEKLY_BARS = BARS.replace("CAST(l_shipdate AS DATE)", "CAST(date_trunc('week', l_shipdate) AS DATE)")
+BRAND_BARS = branded(BARS)
 
 
 def sectors(t: Tables) -> DataFrame:
@@ -76,13 +94,14 @@ DAY_WINDOWS = """day_windows AS (
   FROM (SELECT DISTINCT CAST(l_shipdate AS DATE) AS ts FROM lineitem))"""
 
 
-def delivery(t: Tables) -> DataFrame:
+def delivery(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    lines = by_supplier(t) if lines is None else lines
     settled = F.when(F.col("l_returnflag") == "N", F.col("l_quantity")).otherwise(0.0)
     return (
-        t.lineitem.groupBy("l_suppkey", F.to_date("l_shipdate").alias("date"))
+        lines.groupBy("name", F.to_date("l_shipdate").alias("date"))
         .agg(F.sum("l_quantity").alias("total_qty"), F.sum(settled).alias("deliv_qty"))
         .select(
-            ticker_of("l_suppkey").alias("symbol"),
+            name_of(lines).alias("symbol"),
             "date",
             "total_qty",
             "deliv_qty",
@@ -98,14 +117,15 @@ DELIVERY = """delivery AS (
   FROM lineitem GROUP BY 1, 2)"""
 
 
-def open_interest(t: Tables) -> DataFrame:
+def open_interest(t: Tables, lines: DataFrame | None = None) -> DataFrame:
+    lines = by_supplier(t) if lines is None else lines
     day = F.to_date("l_shipdate")
     signed = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
     return (
-        t.lineitem.groupBy("l_suppkey", day.alias("date"), F.date_add(day, F.col("l_linenumber") * 7).alias("expiry"))
+        lines.groupBy("name", day.alias("date"), F.date_add(day, F.col("l_linenumber") * 7).alias("expiry"))
         .agg((100 * F.sum("l_quantity")).alias("oi"), F.sum(signed).alias("chg_in_oi"))
         .select(
-            "date", F.lit("FUTSTK").alias("instrument"), ticker_of("l_suppkey").alias("symbol"), "expiry", "oi", "chg_in_oi"
+            "date", F.lit("FUTSTK").alias("instrument"), name_of(lines).alias("symbol"), "expiry", "oi", "chg_in_oi"
         )
     )
 

@@ -17,14 +17,18 @@ from tickloom.operators.research import research_columns
 from tickloom.plans import audits as au
 
 
+def brands(t) -> DataFrame:
+    return fx.bars(t, fx.by_brand(t))
+
+
 def panel(t) -> DataFrame:
-    """Weekly bars with a 12-week momentum score, ATR and breadth by date.
+    """Daily bars of the brands with a 60-row momentum score, ATR and breadth by date.
 
     Bars and panel are read several times by every audit, so both are kept; a lost block is recomputed.
     """
-    bars = fx.bars(t, "week").persist()
-    own = research_columns(ex.momentum(bars, 12))
-    # both breadth tables have one row per calendar week
+    bars = brands(t).persist()
+    own = research_columns(ex.momentum(bars, 60))
+    # both breadth tables have one row per calendar day
     rel = ex.relative_breadth(bars, 3).select("ts", "breadth_rel_adv_frac")
     adv = ex.advance_fraction(bars).select(F.col("trade_date").alias("ts"), "breadth_adv_frac")
     return own.join(F.broadcast(rel), "ts", "left").join(F.broadcast(adv), "ts", "left").persist()
@@ -37,7 +41,7 @@ def events_and_folds(t) -> tuple[DataFrame, DataFrame]:
     """The audits' two inputs: one row per rebalance, one per fold. A few rows each, written once to the checkpoint
     folder, so the searches on top neither re-plan nor re-run the panel."""
     frame = panel(t)
-    events = cut_lineage(pf.rebalance_events(frame, "ret12", 10, 6, 10, CONTEXT))
+    events = cut_lineage(pf.rebalance_events(frame, "ret60", 10, 30, 10, CONTEXT))
     return events, cut_lineage(pf.fold_table(frame, events))
 
 
@@ -46,22 +50,22 @@ SCHEDULE = """fold_days AS (SELECT ts, ntile(10) OVER (ORDER BY ts) AS fold_id F
       SELECT fold_id, ts, row_number() OVER (PARTITION BY fold_id ORDER BY ts) - 1 AS idx, count(*) OVER (PARTITION BY fold_id) AS n
       FROM fold_days),
     schedule AS (
-      SELECT a.fold_id, a.idx // 6 AS k, a.ts, b.ts AS next_ts FROM fold_calendar a
-      JOIN fold_calendar b ON a.fold_id = b.fold_id AND b.idx = least(a.idx + 6, a.n - 1) WHERE a.idx % 6 = 0 AND a.idx < a.n - 1)"""
+      SELECT a.fold_id, a.idx // 30 AS k, a.ts, b.ts AS next_ts FROM fold_calendar a
+      JOIN fold_calendar b ON a.fold_id = b.fold_id AND b.idx = least(a.idx + 30, a.n - 1) WHERE a.idx % 30 = 0 AND a.idx < a.n - 1)"""
 
-WEEKLY = RESEARCH.replace(fx.BARS, fx.WEEKLY_BARS)
+DAILY_BRANDS = RESEARCH.replace(fx.BARS, fx.BRAND_BARS)
 
-EVENTS = f"""{WEEKLY}, {MARKET_RET}, {REL_BREADTH}, {SCHEDULE}, adv AS (
+EVENTS = f"""{DAILY_BRANDS}, {MARKET_RET}, {REL_BREADTH}, {SCHEDULE}, adv AS (
       SELECT ts, avg(CASE WHEN lag_ret_1 > 0 THEN 1.0::DOUBLE ELSE 0 END) AS breadth_adv_frac FROM research GROUP BY 1),
     panel AS (
-      SELECT r.*, close / lag(close, 12) OVER (PARTITION BY ticker ORDER BY r.ts) - 1 AS ret12, breadth_rel_adv_frac, breadth_adv_frac
+      SELECT r.*, close / lag(close, 60) OVER (PARTITION BY ticker ORDER BY r.ts) - 1 AS ret60, breadth_rel_adv_frac, breadth_adv_frac
       FROM research r LEFT JOIN rel_breadth USING (ts) LEFT JOIN adv USING (ts)),
     spans AS (
-      SELECT s.fold_id, s.k, s.ts, s.next_ts, p.ticker, ret12, q.close / p.close - 1 AS ret, p.cost, p.breadth_rel_adv_frac, p.breadth_adv_frac
-      FROM schedule s JOIN panel p ON p.ts = s.ts JOIN bars q ON q.ticker = p.ticker AND q.ts = s.next_ts WHERE ret12 IS NOT NULL),
+      SELECT s.fold_id, s.k, s.ts, s.next_ts, p.ticker, ret60, q.close / p.close - 1 AS ret, p.cost, p.breadth_rel_adv_frac, p.breadth_adv_frac
+      FROM schedule s JOIN panel p ON p.ts = s.ts JOIN bars q ON q.ticker = p.ticker AND q.ts = s.next_ts WHERE ret60 IS NOT NULL),
     top AS (
-      SELECT *, ret12 - min(ret12) OVER g + 1e-6 AS c FROM (
-        SELECT *, row_number() OVER (PARTITION BY fold_id, k ORDER BY ret12 DESC, ticker) AS rank FROM spans) WHERE rank <= 10
+      SELECT *, ret60 - min(ret60) OVER g + 1e-6 AS c FROM (
+        SELECT *, row_number() OVER (PARTITION BY fold_id, k ORDER BY ret60 DESC, ticker) AS rank FROM spans) WHERE rank <= 10
       WINDOW g AS (PARTITION BY fold_id, k)),
     sleeves AS (
       SELECT fold_id, k, sum(c * ret) / sum(c) AS active_return, sum(c * (ret - cost)) / sum(c) AS active_return_net,
@@ -114,23 +118,23 @@ SCORED = "fold_id:i events:i strategy_total_return:f strategy_annualized:f5 benc
 @query(
     "b1_rebalance_schedule",
     "fold_id:i k:i ts:d next_ts:d",
-    f"WITH {fx.WEEKLY_BARS}, {SCHEDULE} SELECT * FROM schedule",
+    f"WITH {fx.BRAND_BARS}, {SCHEDULE} SELECT * FROM schedule",
 )
 def _(t):
-    return pf.rebalance_schedule(pf.fold_calendar(fx.bars(t, "week")), 6)
+    return pf.rebalance_schedule(pf.fold_calendar(brands(t)))
 
 
 @query(
     "j2_current_next_snapshot",
     "fold_id:i k:i ticker:s close:f8 next_close:f8",
-    f"""WITH {fx.WEEKLY_BARS}, {SCHEDULE} SELECT fold_id, k, p.ticker, p.close, q.close AS next_close FROM schedule s
+    f"""WITH {fx.BRAND_BARS}, {SCHEDULE} SELECT fold_id, k, p.ticker, p.close, q.close AS next_close FROM schedule s
         JOIN bars p ON p.ts = s.ts JOIN bars q ON q.ts = s.next_ts AND q.ticker = p.ticker""",
 )
 def _(t):
     from tickloom.operators.joins import next_snapshot
 
-    bars = fx.bars(t, "week")
-    return next_snapshot(bars, pf.rebalance_schedule(pf.fold_calendar(bars), 6))
+    bars = brands(t)
+    return next_snapshot(bars, pf.rebalance_schedule(pf.fold_calendar(bars)))
 
 
 @query(
@@ -141,8 +145,8 @@ def _(t):
 def _(t):
     from pyspark.sql import Window
 
-    ranked = pf.ranked_names(panel(t), "ret12", 10, 6)
-    return ranked.withColumn("weight", pf.score_weights(F.col("ret12"), Window.partitionBy("fold_id", "k")))
+    ranked = pf.ranked_names(panel(t), "ret60", 10)
+    return ranked.withColumn("weight", pf.score_weights(F.col("ret60"), Window.partitionBy("fold_id", "k")))
 
 
 @query(
@@ -152,7 +156,7 @@ def _(t):
     f"WITH {EVENTS} SELECT * FROM events_t",
 )
 def _(t):
-    events = pf.rebalance_events(panel(t), "ret12", 10, 6, 10, CONTEXT)
+    events = pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT)
     return events.withColumn("top_names", F.array_join("top_names", "|"))
 
 
@@ -172,7 +176,7 @@ def _(t):
     f"WITH {EVENTS} SELECT fold_id, k, {FROZEN} AS strategy_return FROM events_t",
 )
 def _(t):
-    events = pf.rebalance_events(panel(t), "ret12", 10, 6, 10, CONTEXT)
+    events = pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT)
     rule = pf.dynamic_hedge(F.lit(pf.FROZEN_THRESHOLD), F.lit(pf.NORMAL_WEIGHT), F.lit(pf.HEDGE_WEIGHT))
     return events.withColumn("strategy_return", rule)
 
@@ -186,7 +190,7 @@ TILT = "0.5 * core_return_net + 0.5 * CASE WHEN coalesce(breadth_adv_frac, 0) >=
     f"WITH {EVENTS} SELECT fold_id, k, {TILT} AS strategy_return FROM events_t",
 )
 def _(t):
-    return pf.rebalance_events(panel(t), "ret12", 10, 6, 10, CONTEXT).withColumn("strategy_return", pf.breadth_tilt())
+    return pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT).withColumn("strategy_return", pf.breadth_tilt())
 
 
 SHORT = "CASE WHEN coalesce(breadth_rel_adv_frac, 1) <= {t} AND {h} < 0 THEN abs({h}) * ({b} * date_diff('day', rebalance_ts, next_rebalance_ts) / 365.0 + {s} / 10000.0) ELSE 0 END"
@@ -198,7 +202,7 @@ SHORT = "CASE WHEN coalesce(breadth_rel_adv_frac, 1) <= {t} AND {h} < 0 THEN abs
     f"WITH {EVENTS} SELECT fold_id, k, {SHORT.format(t=0.5, h='(-0.2)', b=0.05, s=25.0)} AS short_cost FROM events_t",
 )
 def _(t):
-    events = pf.rebalance_events(panel(t), "ret12", 10, 6, 10, CONTEXT)
+    events = pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT)
     return events.withColumn("short_cost", pf.short_cost(F.lit(0.5), F.lit(-0.2), F.lit(0.05), F.lit(25.0)))
 
 
@@ -360,14 +364,14 @@ def _(t):
 @query(
     "b15_short_names",
     "fold_id:i rebalance_ts:d symbol:s short_weight:f has_future:b",
-    f"""WITH {EVENTS}, {fx.OPEN_INTEREST} SELECT fold_id, rebalance_ts, symbol, 0.02 AS short_weight,
+    f"""WITH {EVENTS}, {fx.branded(fx.OPEN_INTEREST)} SELECT fold_id, rebalance_ts, symbol, 0.02 AS short_weight,
         symbol IN (SELECT symbol FROM oi) AS has_future FROM (
           SELECT fold_id, rebalance_ts, unnest(string_split(top_names, '|')) AS symbol FROM events_t
           WHERE coalesce(breadth_rel_adv_frac, 1) <= 0.3703703703703703)""",
 )
 def _(t):
-    events = pf.rebalance_events(panel(t), "ret12", 10, 6, 10, CONTEXT)
-    return au.short_names(events, fx.open_interest(t))
+    events = pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT)
+    return au.short_names(events, fx.open_interest(t, fx.by_brand(t)))
 
 
 TRANSFER = f"""{FOLDS}, s AS (SELECT fold_id, {HEDGE.format(t=0.3703703703703703, h='(-0.2)', n='0.1', c='core_return', a='active_return')} AS strategy_return
@@ -376,7 +380,7 @@ TRANSFER = f"""{FOLDS}, s AS (SELECT fold_id, {HEDGE.format(t=0.3703703703703703
 
 @query("b16_universe_transfer_folds", SCORED, f"WITH {TRANSFER} SELECT * FROM scored")
 def _(t):
-    return au.universe_transfer(panel(t), "ret12", 6)[0]
+    return au.universe_transfer(panel(t), "ret60")[0]
 
 
 @query(
@@ -388,7 +392,7 @@ def _(t):
         min(benchmark_annualized) AS min_buyhold_annualized, sum(CAST(beats AS INT)) AS folds_beating, bool_and(beats) AS all_folds_beat FROM scored""",
 )
 def _(t):
-    return au.universe_transfer(panel(t), "ret12", 6)[1]
+    return au.universe_transfer(panel(t), "ret60")[1]
 
 
 @query(
@@ -458,7 +462,7 @@ def _(t):
         SELECT *, exposure * r AS guarded_return FROM e""",
 )
 def _(t):
-    events = pf.rebalance_events(panel(t), "ret12", 10, 6, 10, CONTEXT)
+    events = pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT)
     rule = pf.dynamic_hedge(F.lit(pf.FROZEN_THRESHOLD), F.lit(pf.NORMAL_WEIGHT), F.lit(pf.HEDGE_WEIGHT))
     return pf.guardrail(events.withColumn("strategy_return", rule))
 
@@ -529,7 +533,7 @@ def _(t):
 @query(
     "b21_winner_retention",
     "fold_id:i k:i strategy_return:f held:s",
-    f"""WITH RECURSIVE {EVENTS}, top7 AS (SELECT *, row_number() OVER (PARTITION BY fold_id, k ORDER BY ret12 DESC, ticker) AS rank FROM spans QUALIFY rank <= 7),
+    f"""WITH RECURSIVE {EVENTS}, top7 AS (SELECT *, row_number() OVER (PARTITION BY fold_id, k ORDER BY ret60 DESC, ticker) AS rank FROM spans QUALIFY rank <= 7),
         lists AS (SELECT fold_id, k, list(ticker ORDER BY rank) AS names, row_number() OVER (PARTITION BY fold_id ORDER BY k) AS i FROM top7 GROUP BY 1, 2),
         walk AS (
           SELECT fold_id, k, i, names[1:3] AS held FROM lists WHERE i = 1
@@ -542,20 +546,20 @@ def _(t):
         FROM h JOIN top7 USING (fold_id, k, ticker) GROUP BY 1, 2""",
 )
 def _(t):
-    return pf.winner_retention(panel(t), "ret12", every=6).withColumn("held", F.array_join("held", "|"))
+    return pf.winner_retention(panel(t), "ret60").withColumn("held", F.array_join("held", "|"))
 
 
 @query(
     "b21_loser_avoidance",
     "fold_id:i k:i names:i strategy_return:f",
-    f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY fold_id, k ORDER BY ret12, ticker) AS worst FROM spans)
+    f"""WITH {EVENTS}, r AS (SELECT *, row_number() OVER (PARTITION BY fold_id, k ORDER BY ret60, ticker) AS worst FROM spans)
         SELECT fold_id, k, count(*) AS names, avg(ret) AS strategy_return FROM r WHERE worst > 3 GROUP BY 1, 2""",
 )
 def _(t):
-    return pf.loser_avoidance(panel(t), "ret12", every=6)
+    return pf.loser_avoidance(panel(t), "ret60")
 
 
-BREADTH_ONLY = BREADTH.split("advance AS", 1)[1]  # over the weekly bars
+BREADTH_ONLY = BREADTH.split("advance AS", 1)[1]  # over the brands' bars
 
 
 @query(
@@ -573,8 +577,8 @@ def _(t):
     from tickloom.functions.layout import CALENDAR
     from tickloom.operators.joins import asof_join
 
-    events = pf.rebalance_events(panel(t), "ret12", 10, 6, 10, CONTEXT)
-    breadth = ex.breadth_features(fx.bars(t, "week")).select(F.col("trade_date").alias("rebalance_ts"), "breadth_trend_up")
+    events = pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT)
+    breadth = ex.breadth_features(brands(t)).select(F.col("trade_date").alias("rebalance_ts"), "breadth_trend_up")
     gated = asof_join(
         events.join(breadth, "rebalance_ts", "left"),
         ex.spot_context(fx.spot(t)).select("dt", "spot_vs_sma20"),
@@ -598,15 +602,15 @@ def _(t):
 
 def _flagged(t) -> DataFrame:
     """Panel rows with each ticker's latest flags at or before their day."""
-    deliv = ex.delivery_features(fx.delivery(t)).select(
+    deliv = ex.delivery_features(fx.delivery(t, fx.by_brand(t))).select(
         "ticker", "trade_date", "deliv_rising", "deliv_rising_and_zpos", "deliv_pct_5d_ma"
     )
-    oi = ex.oi_features(fx.open_interest(t)).select("ticker", "trade_date", "oi_rising", "oi_rising_and_pos")
+    oi = ex.oi_features(fx.open_interest(t, fx.by_brand(t))).select("ticker", "trade_date", "oi_rising", "oi_rising_and_pos")
     flagged = asof_join(panel(t), deliv, "ts", "trade_date", ["ticker"], shape=DAILY).drop("matched_trade_date")
     return asof_join(flagged, oi, "ts", "trade_date", ["ticker"], shape=DAILY)
 
 
-FLAGS = f"""{EVENTS}, {fx.DELIVERY}, {OI_NEAREST},
+FLAGS = f"""{EVENTS}, {fx.branded(fx.DELIVERY)}, {fx.branded(OI_NEAREST)},
     d1 AS (SELECT symbol, date, CASE WHEN count(*) OVER w5 >= 3 THEN avg(deliv_pct) OVER w5 END AS m5,
              CASE WHEN count(*) OVER w20 >= 10 THEN avg(deliv_pct) OVER w20 END AS m20,
              CASE WHEN count(*) OVER w20 >= 10 AND max(deliv_pct) OVER w20 > min(deliv_pct) OVER w20
@@ -632,9 +636,9 @@ FLAGS = f"""{EVENTS}, {fx.DELIVERY}, {OI_NEAREST},
 )
 def _(t):
     frame = _flagged(t)
-    schedule = pf.rebalance_schedule(pf.fold_calendar(frame), 6)
+    schedule = pf.rebalance_schedule(pf.fold_calendar(frame))
     names = ["deliv_rising", "oi_rising", "oi_rising_and_pos"]
-    rows = pf.interval_returns(frame, schedule, "ret12", names)
+    rows = pf.interval_returns(frame, schedule, "ret60", names)
     gates = [F.struct(F.lit("ungated").alias("variant"), F.lit(True).alias("ok"))]
     gates += [F.struct(F.lit(n).alias("variant"), F.coalesce(n, F.lit(False)).alias("ok")) for n in names]
     stacked = rows.withColumn("_g", F.explode(F.array(*gates))).select("ret", "_g.variant", "_g.ok")
@@ -659,7 +663,7 @@ def _(t):
 def _(t):
     frame = _flagged(t)
     rows = pf.interval_returns(
-        frame, pf.rebalance_schedule(pf.fold_calendar(frame), 6), "ret12", ["deliv_rising", "deliv_rising_and_zpos", "deliv_pct_5d_ma"]
+        frame, pf.rebalance_schedule(pf.fold_calendar(frame)), "ret60", ["deliv_rising", "deliv_rising_and_zpos", "deliv_pct_5d_ma"]
     )
     low = R.holds(F.col("deliv_pct_5d_ma") >= 30)
     overlays = {
