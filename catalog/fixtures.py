@@ -25,6 +25,11 @@ def ticker_of(column: str):
     return F.concat(F.lit("S"), F.lpad(F.col(column).cast("string"), 12, "0"))
 
 
+def draw_sql(*parts: str) -> str:
+    """Hexadecimal digits of a draw from a seed and a key, in the order of the draws."""
+    return "substr(md5(" + " || '|' || ".join(f"CAST({p} AS VARCHAR)" for p in parts) + "), 1, 15)"
+
+
 def by_supplier(t: Tables) -> DataFrame:
     """Lines, named by their supplier: many instruments, each traded on some days."""
     return t.lineitem.withColumn("name", F.col("l_suppkey"))

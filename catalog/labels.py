@@ -233,7 +233,13 @@ def _(t):
     )
 
 
-@query("l13_label_shuffle", "ticker:s ts:d close:f")
+@query(
+    "l13_label_shuffle",
+    "ticker:s ts:d close:f",
+    f"""WITH {fx.BARS}, n AS (SELECT ticker, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i,
+          row_number() OVER (PARTITION BY ticker ORDER BY {fx.draw_sql('42', 'ticker', 'ts')}, ts) AS j FROM bars)
+        SELECT a.ticker, a.ts, b.close FROM n a JOIN n b ON a.ticker = b.ticker AND a.i = b.j""",
+)
 def _(t):
     return lb.shuffle_within(fx.bars(t).select("ticker", "ts", "close"), "close", shape=DAILY)
 
@@ -252,7 +258,19 @@ def _(t):
     )
 
 
-@query("l14_path_shuffle", "ticker:s ts:d open:f high:f low:f close:f")
+@query(
+    "l14_path_shuffle",
+    "ticker:s ts:d open:f3 high:f3 low:f3 close:f3",
+    f"""WITH {fx.BARS}, r AS (SELECT *, close / lag(close) OVER w - 1 AS ret, row_number() OVER w - 1 AS i FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts)),
+        n AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY {fx.draw_sql('42', 'ticker', 'ts')}, ts) AS j FROM r WHERE i > 0),
+        starts AS (SELECT ticker, arg_min(close, ts) AS start, quantile_cont(abs(high - low), 0.5) AS mid FROM bars GROUP BY 1),
+        moved AS (SELECT a.ticker, a.ts, abs(a.high - a.low) AS width, b.ret FROM n a JOIN n b ON a.ticker = b.ticker AND a.i = b.j
+                  UNION ALL SELECT ticker, ts, abs(high - low), 0.0::DOUBLE FROM r WHERE i = 0),
+        grown AS (SELECT *, product(1 + ret) OVER (PARTITION BY ticker ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM moved),
+        priced AS (SELECT ticker, ts, coalesce(nullif(width, 0), mid) / 2 AS half, greatest(1e-9, start * g) AS close FROM grown JOIN starts USING (ticker)),
+        opened AS (SELECT *, coalesce(lag(close) OVER (PARTITION BY ticker ORDER BY ts), close) AS open FROM priced)
+        SELECT ticker, ts, open, greatest(open, close) + half AS high, least(open, close) - half AS low, close FROM opened""",
+)
 def _(t):
     return lb.shuffle_path(fx.bars(t), shape=DAILY)
 

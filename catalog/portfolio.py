@@ -330,7 +330,16 @@ def _(t):
     return au.threshold_search(*events_and_folds(t), SPLITS, au.NORMAL_WEIGHTS, au.HEDGE_WEIGHTS, True)[1]
 
 
-@query("b14_random_hedge_null", "seed:i mean_excess:f5 folds_beating:i")
+NULL_SQL = f"""{FOLDS}, m AS (SELECT *, coalesce(breadth_rel_adv_frac, 1) <= 0.3703703703703703 AS hedged,
+          count(*) FILTER (coalesce(breadth_rel_adv_frac, 1) <= 0.3703703703703703) OVER () AS number FROM events_t),
+        d AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY {fx.draw_sql('seed', 'fold_id', 'k')}, fold_id, k) AS rn
+              FROM m, (SELECT unnest(range(-1, 1000)) AS seed)),
+        w AS (SELECT *, CASE WHEN CASE WHEN seed < 0 THEN hedged ELSE rn <= number END THEN -0.2::DOUBLE ELSE 0.1 END AS w FROM d),
+        s AS (SELECT seed, fold_id, (1 - w) * core_return_net + w * active_return_net AS strategy_return FROM w),
+        scored AS ({scored_sql('s', 'seed,')}), nulls AS ({rollup_sql('scored', 'seed,')})"""
+
+
+@query("b14_random_hedge_null", "seed:i mean_excess:f5 folds_beating:i", f"WITH {NULL_SQL} SELECT seed, mean_excess, folds_beating FROM nulls")
 def _(t):
     return au.random_null(*events_and_folds(t))
 
@@ -345,7 +354,15 @@ def _(t):
     return au.random_null(*events_and_folds(t), seeds=0).filter("seed < 0")
 
 
-@query("b14_null_decision", "seed_count:i actual_mean_excess:f actual_folds_beating:i null_p75:f null_p90:f percentile:f decision:s")
+@query(
+    "b14_null_decision",
+    "seed_count:i actual_mean_excess:f5 actual_folds_beating:i null_p75:f5 null_p90:f5 percentile:f5 decision:s",
+    f"""WITH {NULL_SQL}, real AS (SELECT mean_excess AS x, folds_beating AS y FROM nulls WHERE seed < 0),
+        o AS (SELECT count(*) AS seed_count, any_value(x) AS actual_mean_excess, any_value(y) AS actual_folds_beating,
+              quantile_cont(mean_excess, 0.75) AS null_p75, quantile_cont(mean_excess, 0.9) AS null_p90,
+              avg(CASE WHEN mean_excess < x THEN 1.0::DOUBLE ELSE 0 END) AS percentile FROM nulls, real WHERE seed >= 0)
+        SELECT *, CASE WHEN actual_mean_excess <= null_p75 THEN 'not_informative' ELSE 'survives' END AS decision FROM o""",
+)
 def _(t):
     return au.null_decision(au.random_null(*events_and_folds(t)))
 
@@ -440,7 +457,14 @@ def _(t):
     )
 
 
-@query("b18_random_policy", "ticker:s trades:i total:f")
+@query(
+    "b18_random_policy",
+    "ticker:s trades:i total:f",
+    f"""WITH {RESEARCH}, p AS (SELECT ticker, ts, lag_ret_1, CASE CAST('0x' || {fx.draw_sql('42', 'ticker', 'ts')} AS BIGINT) % 4
+            WHEN 1 THEN 1 WHEN 2 THEN -1 ELSE 0 END AS pos FROM research),
+        r AS (SELECT ticker, pos, coalesce(lag(pos) OVER (PARTITION BY ticker ORDER BY ts) * lag_ret_1, 0) AS x FROM p)
+        SELECT ticker, count(*) FILTER (pos <> 0) AS trades, sum(x) AS total FROM r GROUP BY 1""",
+)
 def _(t):
     out = pf.policy_returns(pf.policy_positions(_policy_panel(t)).filter("policy = 'random'"))
     return out.groupBy("ticker").agg(

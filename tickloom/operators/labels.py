@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
+from tickloom.functions.draws import draw
 from tickloom.functions.layout import DAILY, Shape, over_series, positions, running
 from tickloom.operators.rollups import exact_quantiles
 
@@ -230,7 +231,7 @@ def shuffle_within(df: DataFrame, column: str, key: str = "ticker", order: str =
 
     Two numberings of the series, by time and by hash, are joined on (key, number).
     """
-    hashed = F.xxhash64(F.lit(seed), F.col(key), F.col(order))
+    hashed = draw(seed, key, order)
     if shape.series_fits():
         by_time = df.withColumn("_i", F.row_number().over(Window.partitionBy(key).orderBy(order)))
         by_hash = df.select(key, order, F.col(column).alias("_v"), hashed.alias("_h")).select(

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
+from tickloom.functions.draws import draw
 from tickloom.functions.layout import CALENDAR, DAILY, Shape, over_series, running
 from tickloom.operators.joins import expand_grid, next_snapshot
 from tickloom.operators.labels import roundtrip_cost
@@ -318,7 +319,7 @@ def defensive_tilt(assets: DataFrame) -> DataFrame:
 
 def policy_positions(df: DataFrame, seed: int = 42) -> DataFrame:
     """Baseline policies as target positions: flat, random by hash, trend sign, RSI reversal (one row per policy)."""
-    pick = F.pmod(F.xxhash64(F.lit(seed), "ticker", "ts"), F.lit(4))
+    pick = draw(seed, "ticker", "ts") % 4
     policies = {
         "flat": F.lit(0.0),
         "random": F.when(pick == 1, 1.0).when(pick == 2, -1.0).otherwise(0.0),

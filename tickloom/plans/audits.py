@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.draws import draw
 from tickloom.functions.session import cut_lineage
 from tickloom.operators import portfolio as pf
 from tickloom.operators.joins import expand_grid
@@ -110,7 +111,7 @@ def random_null(events: DataFrame, folds: DataFrame, seeds: int = 1000) -> DataF
     flagged = events.select("fold_id", "k", core.alias("_c"), active.alias("_a"), actual.alias("_hedged"))
     counted = flagged.withColumn("_m", F.sum(F.col("_hedged").cast("int")).over(Window.partitionBy()))
     drawn = counted.withColumn("seed", F.explode(F.sequence(F.lit(-1), F.lit(seeds - 1))))
-    order = Window.partitionBy("seed").orderBy(F.xxhash64("seed", "fold_id", "k"), "fold_id", "k")
+    order = Window.partitionBy("seed").orderBy(draw(F.col("seed"), "fold_id", "k"), "fold_id", "k")
     ranked = drawn.withColumn("_rn", F.row_number().over(order))
     # seed -1 is the rule itself
     hedged = F.when(F.col("seed") < 0, F.col("_hedged")).otherwise(F.col("_rn") <= F.col("_m"))
