@@ -22,6 +22,11 @@ def panel(t, horizon: int = 3):
     return cut_lineage(labelled.join(F.broadcast(fx.windows_of_days(t)), "ts"))
 
 
+def halves(t):
+    """The panel with two windows instead of ten: the first half of time is fitted, the second scored."""
+    return panel(t).withColumn("window_id", F.ceil(F.col("window_id") / 5))
+
+
 PREDICTION = "ticker:s ts:d window_id:i experiment_id:s train_window_id:i prediction:f target_value:f realized_return:f shuffled:b"
 PAIRS = [(k, k + 1) for k in range(1, 10)]
 
@@ -43,7 +48,7 @@ def _(t):
        "feature_families:s ic_spearman:f spread:f auc:f balanced_accuracy:f trade_count:i")
 def _(t):
     """One regression, binary and multiclass experiment, each with its families and a regime: the first half of time against the rest."""
-    frame, regime = panel(t).withColumn("window_id", F.ceil(F.col("window_id") / 5)), "Trend_30 > 0 and StockMinusMkt_3 > -1e-1"
+    frame, regime = halves(t), "Trend_30 > 0 and StockMinusMkt_3 > -1e-1"
     families = ("F1_TrendMomentum", "F2_VolRisk", "F3_Relative")
     kinds = [("RG", "T1", "regression", "elasticnet"), ("BN", "T4", "binary", "logistic"), ("MC", "T1", "multiclass", "logistic")]
     runs = [ep.run_experiment(frame, lb.Experiment(n, target, 3, kind, families, model, regime), None, [(1, 2)]) for n, target, kind, model in kinds]
@@ -52,19 +57,19 @@ def _(t):
 
 @query("m3_boosted_regressor", PREDICTION)
 def _(t):
-    return ep.predict_oos(panel(t), lb.Experiment("GR", "T1", 3, "regression", (), "gbt_reg"), FEATURES, PAIRS, trees=5)
+    return ep.predict_oos(halves(t), lb.Experiment("GR", "T1", 3, "regression", (), "gbt_reg"), FEATURES, [(1, 2)])
 
 
 @query("m4_boosted_classifier", PREDICTION)
 def _(t):
     """A binary label that asks for the regressor gets the classifier."""
-    return ep.predict_oos(panel(t), lb.Experiment("GC", "T4", 3, "binary", (), "gbt_reg"), FEATURES, PAIRS, trees=5)
+    return ep.predict_oos(halves(t), lb.Experiment("GC", "T4", 3, "binary", (), "gbt_reg"), FEATURES, [(1, 2)])
 
 
 @query("m5_next_day_baseline", "model:s ticker:s rows_test:i mean_daily_return:f hit_rate:f sharpe:f alpha_class:s")
 def _(t):
     frame = cut_lineage(lb.next_row_return(research_columns(fx.bars(t))))
-    return ep.next_day_baseline(frame, FEATURES, trees=20)
+    return ep.next_day_baseline(frame, FEATURES)
 
 
 @query(
@@ -133,8 +138,19 @@ def _(t):
     return ep.coefficients(model, FEATURES, t.spark)
 
 
-@query("m11_leave_one_out", "sector:i samples:i accuracy:f positive_rate:f auc:f")
+@query("m11_leave_one_out", "ticker:s samples:i accuracy:f positive_rate:f auc:f")
 def _(t):
-    """Leave one sector out: every row is scored once by a model that has not seen its sector."""
-    frame = ep.training_frame(research_columns(fx.bars(t)), FEATURES, 5, 0.005, 300).join(fx.sectors(t), "ticker")
-    return ep.leave_one_out(cut_lineage(frame), FEATURES, "sector")
+    """Every ticker is scored by a model that has not seen it: ten fits leave out a tenth of the tickers each."""
+    frame = cut_lineage(ep.training_frame(research_columns(fx.bars(t)), FEATURES, 5, 0.005, 300))
+    return ep.leave_one_out(frame, FEATURES, folds=10)
+
+
+@query(
+    "m11_held_out_rows",
+    "ticker:s samples:i positive_rate:f",
+    f"WITH {FRAME} SELECT ticker, count(*) AS samples, avg(CAST(label_up AS DOUBLE)) AS positive_rate FROM frame GROUP BY 1",
+)
+def _(t):
+    """Whatever the fits are: each labelled row of each ticker is scored once."""
+    frame = cut_lineage(ep.training_frame(research_columns(fx.bars(t)), FEATURES, 5, 0.005, 300))
+    return ep.leave_one_out(frame, FEATURES, folds=2).select("ticker", "samples", "positive_rate")

@@ -166,7 +166,7 @@ def _(t):
     return au.quality_gate(_audit(t))
 
 
-@query("r13_file_check", "readable:b missing_columns:s files:i rows:i")
+@query("r13_file_check", "readable:b missing_columns:s files:i rows:i", "SELECT true AS readable, 'bid' AS missing_columns, 1 AS files, count(*) AS rows FROM events")
 def _(t):
     checked = au.file_check(t.spark, f"{t.folder}/events.parquet", ["event_id", "ts", "bid"])
     return checked.groupBy("readable", "missing_columns").agg(F.count(F.lit(1)).alias("files"), F.sum("rows").alias("rows"))

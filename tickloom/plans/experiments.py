@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.draws import draw
 from tickloom.functions.layout import DAILY, UNKNOWN, Shape
 from tickloom.operators.cleaning import clean_xy, filter_applies, regime_filter, tail_rows
 from tickloom.operators.intraday import FAMILIES
@@ -219,15 +220,20 @@ def coefficients(model: PipelineModel, features: Sequence[str], spark, n: int =
     return spark.createDataFrame([(f, v, i + 1) for i, (f, v) in enumerate(ends)], "feature string, coefficient double, rank int")
 
 
-def leave_one_out(frame: DataFrame, features: Sequence[str], key: str = "ticker") -> DataFrame:
-    """Logistic diagnostic fitted without, and scored on, each value of ``key``: one fit per value."""
-    sizes = {r[key]: r.n for r in frame.groupBy(key).agg(F.count(F.lit(1)).alias("n")).collect()}
+def leave_one_out(frame: DataFrame, features: Sequence[str], key: str = "ticker", folds: int | None = None) -> DataFrame:
+    """Logistic diagnostic of each value of ``key`` by a model that has not seen it.
+
+    One fit per value leaves out that value alone. With ``folds``, values are dealt into that many groups by hash and a fit
+    leaves out a whole group, so the number of fits does not grow with the values.
+    """
+    dealt = frame.withColumn("_fold", F.col(key) if folds is None else draw(0, key) % folds)
+    sizes = {r["_fold"]: r.n for r in dealt.groupBy("_fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total, out = sum(sizes.values()), None
     for value, n in sorted(sizes.items()):
         if n == total:
             continue
-        model = fit(frame.filter(F.col(key) != value), features, "label_up", "logistic", total - n)
-        part = score(model, frame.filter(F.col(key) == value), "logistic", "prob").select(key, "label_up", "prob")
+        model = fit(dealt.filter(F.col("_fold") != value), features, "label_up", "logistic", total - n)
+        part = score(model, dealt.filter(F.col("_fold") == value), "logistic", "prob").select(key, "label_up", "prob")
         out = part if out is None else out.unionByName(part)
     return accuracy(out, "label_up", "prob", [key]).join(roc_auc(out, "label_up", "prob", [key]).select(key, "auc"), key, "left")
 
