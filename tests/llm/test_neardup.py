@@ -78,3 +78,9 @@ def test_empty_and_kept(spark):
     text = " ".join(f"w{i}" for i in range(30))
     df = spark.createDataFrame([(3, text), (1, text), (2, text + " x"), (9, None), (None, "q")], "doc_id long, text string")
     assert sorted(str(r.doc_id) for r in neardup.without_near_duplicates(df).collect()) == ["1", "9", "None"]
+
+
+def test_component_of_a_null_id_is_null(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(None, text), (5, text + " x")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect()} == {(None, None, True), (5, None, False)}

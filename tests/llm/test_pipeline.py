@@ -24,5 +24,19 @@ def test_stages_keep_columns_and_clean_documents(spark):
     assert all(r.n_chars == len(r.text) for r in cut.values())
 
 
+def test_one_row_of_each_group_whatever_its_ids(spark):
+    draw = random.Random(4)
+    make = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    twice, shared, nulls, mixed, other = (make(100) for _ in range(5))
+    rows = [(1, twice, "a"), (1, twice, "b"), (2, shared, "a"), (2, shared + " end", "a"), (2, other, "a"), (None, nulls, "a"), (None, nulls, "a"), (None, nulls + " end", "a")]
+    rows += [(None, mixed, "a"), (3, mixed + " end", "a"), (4, "", "a"), (4, "", "a"), (None, " ", "a")]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t)) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    texts = sorted(r.text.removesuffix(" end") for r in kept.collect())
+    assert kept.columns == docs.columns and texts == sorted([twice, shared, other, nulls, mixed, "", "", " "])
+    cut = sorted(r.text.removesuffix(" end") for r in corpus_pipeline.substring_stage(spark, kept, "").collect())
+    assert cut == texts  # nothing repeats, so nothing is lost
+
+
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "MinHash near-dedup", "substring dedup", "packing"]

@@ -221,7 +221,7 @@ def confirm(sets: list[np.ndarray], over: int, under: int) -> list[int]:
 
 
 def confirmed(docs: DataFrame, clusters: DataFrame, size: int, over: int, under: int) -> DataFrame:
-    """``key, component``: of classes in a candidate cluster, the smallest id of their true component."""
+    """``key, component, head``: of classes in a candidate cluster, the smallest id of their true component and the key it comes with."""
     def whole(batches):
         for batch in batches:
             for chunk in chunks(batch.column(3)):
@@ -234,23 +234,23 @@ def confirmed(docs: DataFrame, clusters: DataFrame, size: int, over: int, under:
         if table is None:
             return
         keys, ids, grams = table.column(1).to_numpy(), table.column(2).to_pylist(), table.column(3)
-        found, names = [], []
+        found, names, heads = [], [], []
         for a, b in groups:
             order = sorted(range(a, b), key=lambda i: (ids[i] is not None, ids[i] or 0, keys[i]))
             label = confirm([np.frombuffer(grams[i].as_py(), _U) for i in order], over, under)
             for i, root in zip(order, label, strict=True):
                 found.append(keys[i])
                 names.append(ids[order[root]])
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(names, pa.int64())], ["key", "component"])
+                heads.append(keys[order[root]])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (found, names, heads)], ["key", "component", "head"])
 
     # merged at any size: which texts are in clusters grows with the corpus
     rows = docs.join(clusters.hint("merge"), "key").select("root", "key", "doc_id", "text").mapInArrow(whole, "root bigint, key bigint, doc_id bigint, grams binary")
-    return rows.repartition("root").mapInArrow(check, "key bigint, component bigint").distinct()
+    return rows.repartition("root").mapInArrow(check, "key bigint, component bigint, head bigint").distinct()
 
 
-def near_duplicates(df: DataFrame, size: int = 5, over: int = 80, under: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``key, doc_id, n_shingles, component_id, kept`` of each row; linked are sets of similarity ``over / under`` or more."""
-    docs = keyed(df, id_column, text_column)
+def _components(docs: DataFrame, size: int, over: int, under: int) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows; and for each class of equal sets ``s1, s2, component_id`` and ``head``, the key of its component's first row."""
     drawn = stored(sketches(docs, size), "sketches")
     place = F.struct("doc_id", "key")
     classes = drawn.where("n > 0").groupBy("s1", "s2").agg(F.min(place).alias("head"), F.min_by(F.struct("tokens", "sketch"), place).alias("own"))
@@ -258,15 +258,31 @@ def near_duplicates(df: DataFrame, size: int = 5, over: int = 80, under: int = 1
     links = candidate_links(nodes(classes), classes, over / under)
     truth = confirmed(docs, connected(links), size, over, under)
     heads = classes.select("s1", "s2", "key", "first_id").join(truth, "key", "left")
-    # classes without a link are components of their own
-    heads = heads.select("s1", "s2", F.coalesce("component", "first_id").alias("component_id"))
+    # classes without a link are components of their own; a component's id may be null, its head is not
+    alone = F.col("head").isNull()
+    return drawn, heads.select("s1", "s2", F.when(alone, F.col("first_id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("head", "key").alias("head"))
+
+
+def near_duplicates(df: DataFrame, size: int = 5, over: int = 80, under: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``key, doc_id, n_shingles, component_id, kept`` of each row; linked are sets of similarity ``over / under`` or more."""
+    drawn, heads = _components(keyed(df, id_column, text_column), size, over, under)
+    heads = heads.drop("head")
     rows = drawn.select("key", "doc_id", "n", "s1", "s2").join(heads, ["s1", "s2"], "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.select("key", "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def without_near_duplicates(df: DataFrame, size: int = 5, over: int = 80, under: int = 100, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay: one document of each group of near-duplicates, with all columns."""
-    keep = near_duplicates(df, size, over, under, id_column, text_column).where("kept").select(F.col("key").alias("_key")).distinct()
+    """The rows of ``df`` that stay: one row of each group of near-duplicates, with all columns.
+
+    A group is known by the key of its first row, as ids may be shared or null; of rows with that key, which are equal in id
+    and text, one stays. Texts without words are linked with nothing, so all of them stay.
+    """
+    keep = _components(keyed(df, id_column, text_column), size, over, under)[1].select(F.col("head").alias("_key")).distinct()
+    worded = F.coalesce(df[text_column].cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     key = F.xxhash64(df[id_column].cast("bigint"), F.coalesce(df[text_column].cast("string"), F.lit("")))
-    return df.withColumn("_key", key).join(keep, "_key", "left_semi").drop("_key")
+    order = F.xxhash64(*[df[name] for name, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    # copies are told within each task first, so many copies of a row do not meet in one
+    row = df.where(worded).select(key.alias("_key"), order.alias("_order"), F.struct(*[df[c] for c in df.columns]).alias("_row"))
+    once = row.groupBy("_key").agg(F.min_by("_row", "_order").alias("_row")).join(keep, "_key", "left_semi").select("_row.*")
+    return once.union(df.where(~worded))
