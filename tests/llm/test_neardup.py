@@ -73,6 +73,25 @@ def test_exact_search_with_bits_and_with_postings(monkeypatch):
     assert neardup.confirm(sets, 80, 100) == first and len(set(first)) > 1
 
 
+def test_clusters_and_nodes_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 20_000)
+    monkeypatch.setattr(neardup, "CLASSES", 20)
+    seen = []
+    whole = neardup.in_blocks
+    monkeypatch.setattr(neardup, "in_blocks", lambda *a: seen.append(a[0].count()) or whole(*a))
+    draw = random.Random(6)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):  # a cluster of near copies, of a chain, and of sets that sketches pass and the exact test splits
+        w = list(base)
+        for k in draw.sample(range(120), 1 if i < 60 else 3):
+            w[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    for i in range(40):
+        rows.append((1000 + i, " ".join(f"c{j}" for j in range(4 * i, 4 * i + 100))))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert seen and seen[0] >= 150 and got == truth(rows, 5) and len({c for _, c, _ in got.values()}) > 2
+
+
 def test_empty_and_kept(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     text = " ".join(f"w{i}" for i in range(30))
