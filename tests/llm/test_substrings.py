@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from tickloom.llm import spans, suffixes
+from tickloom.llm import overlaps, spans, suffixes
 
 
 def corpus(letters, piece, seed=5):
@@ -65,6 +65,28 @@ def test_byte_suffixes(spark, window, gram):
     assert sorted(map(tuple, suffixes.byte_report(table(spark, rows), window, gram).collect())) == sorted(bytes_without(rows, window))
 
 
+def test_a_line_in_many_surroundings_is_spread(spark, monkeypatch):
+    draw = random.Random(8)
+    make = lambda n: " ".join(f"w{draw.randrange(10**6)}" for _ in range(n))
+    line, long_line = make(30), make(40)
+    rows = [(i, f"{make(5)} {line} {make(5)}") for i in range(600)]
+    rows += [(1000 + i, f"{make(5)} {long_line} {make(5)}") for i in range(100)]
+    rows += [(2000 + i, rows[i][1]) for i in range(0, 600, 50)] + [rows[3], rows[3]]
+    exchanged, deal = [], type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *a: exchanged.append(self) or deal(self, *a))
+    df = table(spark, rows)
+    exchanged.clear()
+    got = sorted(map(tuple, spans.span_report(df).collect()))
+    truth = dict((r[0], r) for r in words_without([(i, t) for i, (_, t) in enumerate(rows)], 35))
+    assert got == sorted((rows[i][0], *r[1:]) for i, r in truth.items())
+    for sent, kinds in zip(exchanged, (["u8", "u8", "i8", "u4", "u1"], ["u8", "u8", "i8", "i8", "i8", "u1"]), strict=True):
+        load = collections.Counter()
+        for r in sent.collect():
+            columns = overlaps.unsqueeze(r.blob, kinds)
+            load[r.part] += int((columns[-1] > 0).sum())  # records to compare
+        assert max(load.values()) < 0.45 * sum(load.values())
+
+
 def test_texts_with_repeats_cut_out(spark):
     shared = " ".join(f"s{i}" for i in range(40))
     rows = [(1, f"one\n two {shared}\nthree"), (2, f"{shared}"), (3, " own  text\n")]

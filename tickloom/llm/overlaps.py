@@ -17,11 +17,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickloom.llm.text import CHUNK, Anchors, Chunk, binary, chunks
+from tickloom.llm.text import CHUNK, Anchors, Chunk, binary, chunks, mix
 
 #: Records that a task holds before it sends them.
 HELD = 1 << 18
+#: Contents of a gram among them from which on they are dealt by content.
+SPREAD = 16
 UNIQUE, REPEATED, OPEN, SHOWN = range(4)
+#: Copies of a record: none that are not told yet, one, more, a mark that a gram has this content; with KNOWN the gram has other content.
+_TOLD, _MARK, _KNOWN = 0, 3, 4
 _U = np.uint64
 
 
@@ -72,6 +76,9 @@ def mark(docs: DataFrame, segments: Callable[[Chunk], tuple[Anchors, np.ndarray,
     ``segments`` gives a chunk's anchors, each one's row and a hash of its whole content. ``REPEATED`` segments occur whole
     elsewhere; ``OPEN`` ones share their gram with other content; ``SHOWN`` ones are repeated, and the ones through which
     open segments of the same gram see them. Segments are numbered within their text.
+
+    A gram with more than ``SPREAD`` contents in a task has its records dealt by content, and leaves two marks where other tasks
+    send the gram, so that it is known there to have other content. Copies that so miss each other are ``OPEN``.
     """
     parts = ranges_of(docs.sparkSession)
 
@@ -87,8 +94,16 @@ def mark(docs: DataFrame, segments: Callable[[Chunk], tuple[Anchors, np.ndarray,
             first = np.flatnonzero(head)
             number = np.diff(np.append(first, len(gram)))
             again = np.repeat(number > 1, number)  # told here: every copy within the task
-            part = (gram[first] % _U(parts)).astype(np.int64)
-            yield from parcels(part, [gram[first], content[first], key[first], place[first], np.minimum(number, 2).astype(np.uint8)])
+            begin = np.flatnonzero(np.concatenate([[True], gram[first][1:] != gram[first][:-1]]))
+            kinds = np.diff(np.append(begin, len(first)))
+            hot = np.repeat(kinds > SPREAD, kinds)
+            copies = (np.minimum(number, 2) + np.where(hot, _KNOWN, 0)).astype(np.uint8)
+            marks = begin[kinds > SPREAD]
+            marks = np.concatenate([marks, marks + 1])
+            sent = np.concatenate([first, first[marks]])
+            part = np.concatenate([np.where(hot, mix(content[first]), gram[first]), gram[first[marks]]]) % _U(parts)
+            copies = np.concatenate([copies, np.full(len(marks), _MARK, np.uint8)])
+            yield from parcels(part.astype(np.int64), [gram[sent], content[sent], key[sent], place[sent], copies])
             told = np.flatnonzero(again)
             yield from parcels((key[told] % parts), [np.zeros(len(told), _U), np.zeros(len(told), _U), key[told], place[told], np.zeros(len(told), np.uint8)])
 
@@ -110,23 +125,25 @@ def mark(docs: DataFrame, segments: Callable[[Chunk], tuple[Anchors, np.ndarray,
             return
         gram, content, key, place, number = (np.concatenate(x) for x in zip(*blobs, strict=True))
         blobs.clear()
-        told = number == 0
+        told = number == _TOLD
         yield _codes(key[told], place[told], np.full(int(told.sum()), REPEATED))
         gram, content, key, place, number = (x[~told] for x in (gram, content, key, place, number))
         if not len(gram):
             return
-        order = np.lexsort((place, key, content, gram))
-        gram, content, key, place, number = (x[order] for x in (gram, content, key, place, number))
+        mark_ = number == _MARK
+        order = np.lexsort((place, key, mark_, content, gram))  # marks last
+        gram, content, key, place, number, mark_ = (x[order] for x in (gram, content, key, place, number, mark_))
+        known, number = number >= _KNOWN, np.where(mark_, 0, number % _KNOWN)
         head = np.concatenate([[True], (gram[1:] != gram[:-1]) | (content[1:] != content[:-1])])
         first = np.flatnonzero(head)
         segment = np.cumsum(head) - 1
         total = np.add.reduceat(number.astype(np.int64), first)
         start = np.concatenate([[True], gram[first][1:] != gram[first][:-1]])
         kinds = np.diff(np.append(np.flatnonzero(start), len(first)))
-        shared = np.repeat(kinds > 1, kinds)  # the gram has other content as well
+        shared = np.repeat(kinds > 1, kinds) | np.logical_or.reduceat(known, first)  # the gram has other content as well
         status = np.where(total > 1, REPEATED, np.where(shared, OPEN, UNIQUE))[segment]
         status[first[shared & (total > 1)]] = SHOWN
-        yield _codes(*(x[status != UNIQUE] for x in (key, place, status)))
+        yield _codes(*(x[(status != UNIQUE) & ~mark_] for x in (key, place, status)))
 
     rows = docs.select("key", "text").mapInArrow(send, "part int, blob binary").repartition(parts, "part")
     return rows.mapInArrow(resolve, "key bigint, code bigint").groupBy("key").agg(F.collect_list("code").alias("codes"))

@@ -4,7 +4,7 @@ The edges of the graph are the windows of ``window`` words; runs of windows with
 paths, compacted where they are cut: they are numbered within their document and known by a hash of their whole content.
 A first exchange brings the paths of each gram together. A path that occurs twice is repeated as a whole; a gram with
 several paths is a branching, and the paths that meet there are sent, joined back to their source texts, as single edges
-with their coordinates, which a second exchange compares. Joining the repeated runs to the texts gives the words to remove.
+with their coordinates, which a second exchange compares, dealt by their content. Joining the repeated runs to the texts gives the words to remove.
 
 Every window is judged on the input. Null and empty texts have no words; equal rows are copies of each other; other
 columns are passed over; an empty table gives an empty result.
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from tickloom.llm.overlaps import OPEN, REPEATED, SHOWN, gathered, key_array, keyed, mark, marked_chunks, parcels, ranges_of, removals, unsqueeze
+from tickloom.llm.overlaps import HELD, OPEN, REPEATED, SHOWN, gathered, key_array, keyed, mark, marked_chunks, parcels, ranges_of, removals, unsqueeze
 from tickloom.llm.text import Anchors, Chunk, anchors, chunks, covered, mix, prefix, runs, spans, word_hashes, words
 
 WINDOW = 35
@@ -46,22 +46,46 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
     paths = word_paths(window, gram)
 
     def edges(batches):
+        held: list[tuple] = []
+
+        def tell(key: np.ndarray, first: np.ndarray, last: np.ndarray):
+            none = np.zeros(len(key), _U)
+            return parcels(key % parts, [none, none, key, first, last, none.astype(np.uint8)])
+
+        def flush():
+            gram_, edge, key, place, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if not len(edge):
+                return
+            order = np.lexsort((gram_, edge))
+            gram_, edge, key, place, count = (x[order] for x in (gram_, edge, key, place, count))
+            first = np.flatnonzero(np.concatenate([[True], (edge[1:] != edge[:-1]) | (gram_[1:] != gram_[:-1])]))
+            number = np.add.reduceat(count.astype(np.int64), first)
+            again = np.repeat(number > 1, np.diff(np.append(first, len(edge))))  # told here: every copy within the task
+            out = np.flatnonzero(again & (count == 1))
+            yield from tell(key[out], place[out], place[out])
+            # equal edges have equal grams, so a gram may be spread over tasks
+            part = (mix(edge[first]) % _U(parts)).astype(np.int64)
+            yield from parcels(part, [gram_[first], edge[first], key[first], place[first], place[first], np.minimum(number, 2).astype(np.uint8)])
+
         for batch in batches:
             keys = key_array(batch.column(0))
             for chunk, rows, found, row, status in marked_chunks(batch, paths):
                 starts, ends, bounds = words(chunk)
                 key, base = keys[rows][row], bounds[row]
                 whole = np.flatnonzero((status == REPEATED) | (status == SHOWN))
-                told = [key[whole], (found.first - base)[whole], (found.last - base)[whole]]
-                yield from parcels(key[whole] % parts, [np.zeros(len(whole), _U), np.zeros(len(whole), _U), *told, np.zeros(len(whole), np.uint8)])
+                yield from tell(key[whole], (found.first - base)[whole], (found.last - base)[whole])
                 shown = np.flatnonzero((status == OPEN) | (status == SHOWN))
                 number = (found.last - found.first + 1)[shown]
                 path = np.repeat(shown, number)
                 at = np.arange(len(path)) - np.repeat(np.cumsum(number) - number, number) + found.first[path]
                 edge = spans(prefix(word_hashes(chunk.data, starts, ends)), at, at + window)
-                place = at - base[path]
                 count = np.where(status[path] == SHOWN, 2, 1).astype(np.uint8)
-                yield from parcels((found.key[path] % _U(parts)).astype(np.int64), [found.key[path], edge, key[path], place, place, count])
+                held.append((found.key[path], edge, key[path], at - base[path], count))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield from flush()
+        if held:
+            yield from flush()
 
     def compare(batches):
         blobs = [unsqueeze(b, ["u8", "u8", "i8", "i8", "i8", "u1"]) for batch in batches for b in batch.column(1).to_pylist()]
