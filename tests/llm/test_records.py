@@ -86,6 +86,18 @@ def test_fingerprints(spark):
     assert imatch.edit_report(df.limit(0)).collect() == []
 
 
+def test_lexicon_has_the_terms_of_the_band_and_no_others(spark):
+    # many terms of one document each, few of the band, one of every document
+    rows = [(i, " ".join(["all", f"pair{i // 2}", *(f"only{i}x{k}" for k in range(5000))])) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.t for r in spark.createDataFrame([(f"pair{i}",) for i in range(60)], "w string").select(F.xxhash64("w").alias("t")).collect()}
+    found = imatch.lexicon(df)
+    asked = spark.createDataFrame([("only0x1 pair3",), ("pair3 all only7x9",), ("Pair3",), ("pair4",)], "text string")
+    prints = [r.p for r in asked.select(imatch.fingerprints(F.col("text"), found).alias("p")).collect()]
+    assert prints[0] == prints[1] == prints[2] != prints[3]  # what stands in one document, or in each, plays no part
+    assert {t for slot in found for t in slot} == want
+
+
 def test_edits_are_nearer_than_neighbours(spark, folder):
     got = queries.op7_imatch(spark, folder).toPandas()
     assert (got.near_edited > got.near_next).mean() > 0.9 and (got.near_edited < got.near_next).mean() < 0.01

@@ -1,8 +1,8 @@
 """I-Match fingerprints with several randomised lexicons.
 
 Terms are lower-cased words of letters and digits. The lexicon keeps terms whose document frequency, as a share of all
-documents, lies in a band; frequencies are counted over the whole corpus by hash bucket, so the lexicon is a bit for each
-of ``BUCKETS`` buckets at any corpus size. A text's distinct terms in the lexicon are sorted and hashed for each of
+documents, lies in a band; frequencies are counted for each term over the whole corpus. The low end bounds the lexicon at any
+corpus size: it has at most the mean number of distinct terms of a document divided by ``LOW`` terms. A text's distinct terms in the lexicon are sorted and hashed for each of
 50 random subsets of the lexicon: both halves, and 16 subsets each with one term in 64, in 256 and in 1,024. Sparse
 subsets survive edits, dense ones tell texts apart. Two fingerprints are alike by the share of equal subsets among those where
 either has terms.
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from tickloom.llm.overlaps import keyed
 from tickloom.llm.text import stored
 
-BUCKETS = 1 << 18
+#: Terms in a slot of the lexicon, on average at most.
+FULL = 4
 #: Least number of documents of a term, and its least and largest share of all documents.
 LEAST, LOW, HIGH = 2, 2e-5, 0.1
 #: Binary logarithm of the share of terms that each further level of 16 subsets is drawn from.
@@ -39,33 +40,33 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(term, F.lit(BUCKETS))
+def _slot(term: Column, slots: int) -> Column:
+    return F.pmod(term, F.lit(slots))
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[int]:
-    """Bits of the buckets within the band, 64 to a number: a bounded table."""
-    seen = docs.select(F.explode(F.concat(F.array_distinct(F.transform(terms(F.col("text")), _bucket)), F.array(F.lit(-1).cast("bigint")))).alias("bucket"))
-    counts = stored(seen.groupBy("bucket").agg(F.count("*").alias("df")), "frequencies")
-    total = (counts.where("bucket = -1").first() or (0, 0))[1]
-    kept = counts.where((F.col("bucket") >= 0) & (F.col("df") >= max(LEAST, low * total)) & (F.col("df") <= high * total))
-    words = kept.groupBy(F.expr("bucket div 64").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bucket") % 64).cast("int"))).alias("bits"))
-    found = {r.word: r.bits for r in words.collect()}  # BUCKETS / 64 rows at most
-    return [found.get(i, 0) for i in range(BUCKETS // 64)]
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[list[int]]:
+    """The terms within the band, by slot: a table that the low end of the band bounds."""
+    # a null stands for the document itself, so that one exchange counts both
+    seen = docs.select(F.explode(F.concat(terms(F.col("text")), F.array(F.lit(None).cast("bigint")))).alias("term"))
+    counts = seen.groupBy("term").agg(F.count("*").alias("df"))
+    counts = stored(counts.where((F.col("df") >= LEAST) | F.col("term").isNull()), "frequencies")
+    total = (counts.where("term is null").first() or (None, 0))[1]
+    kept = counts.where(F.col("term").isNotNull() & (F.col("df") >= max(LEAST, low * total)) & (F.col("df") <= high * total))
+    slots = 1 << max(0, (kept.count() - 1) // FULL).bit_length()
+    found = {r.slot: r.own for r in kept.groupBy(_slot(F.col("term"), slots).alias("slot")).agg(F.sort_array(F.collect_list("term")).alias("own")).collect()}
+    return [found.get(i, []) for i in range(slots)]
 
 
 def _bits(term: Column, shift: int, width: int) -> Column:
     return F.call_function("shiftrightunsigned", term, F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def fingerprints(text: Column, bits: list[int]) -> Column:
+def fingerprints(text: Column, lexicon: list[list[int]]) -> Column:
     """Hashes of the text's terms in each subset, null for a subset without terms."""
-    table = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")  # one literal once constants are folded
+    table = F.from_json(F.lit(json.dumps(lexicon, separators=(",", ":"))), "array<array<bigint>>")  # one literal once constants are folded
 
     def inside(term: Column) -> Column:
-        bucket = _bucket(term)
-        word = F.element_at(table, (F.shiftright(bucket, 6) + 1).cast("int"))
-        return F.call_function("shiftrightunsigned", word, (bucket % 64).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+        return F.array_contains(F.element_at(table, (_slot(term, len(lexicon)) + 1).cast("int")), term)
 
     def subsets(own: Column, shift: int, width: int) -> Column:
         def one(k: Column) -> Column:
@@ -127,7 +128,7 @@ def next_rows(ids: DataFrame) -> DataFrame:
 def edit_report(df: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its text with the second half replaced by the next document's beginning."""
     docs = keyed(df)
-    bits = lexicon(docs)
+    band = lexicon(docs)
     ids = docs.select("key", "doc_id", F.length("text").alias("n")).distinct()
     order = next_rows(ids)
     half = F.floor(F.col("n") / 2).cast("int")
@@ -139,7 +140,7 @@ def edit_report(df: DataFrame) -> DataFrame:
     n = F.length("text")
     edited = edited.select("key", "next_key", "doc_id", "next_doc_id", "text", F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head")).alias("changed"))
     made = edited.select("key", "next_key", "doc_id", "next_doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"),
-                         fingerprints(F.col("text"), bits).alias("own"), fingerprints(F.col("changed"), bits).alias("other"))
+                         fingerprints(F.col("text"), band).alias("own"), fingerprints(F.col("changed"), band).alias("other"))
     made = stored(made, "fingerprints")
     following = made.groupBy(F.col("key").alias("next_key")).agg(F.first("own").alias("next_own"))
     rows = made.join(following, "next_key")
