@@ -1,5 +1,6 @@
 """BPE and packing against the tokenizers library."""
 
+import collections
 import hashlib
 import random
 import zlib
@@ -68,6 +69,19 @@ def test_pieces_cover_documents_once(spark, library, texts):
     assert ((loads.cumsum() - placed.length) == placed.offset).all() and loads.sum().max() <= packing.CAPACITY
 
 
+def test_groups_are_bounded_whatever_the_ids(spark):
+    big = (1 << 60) + 1  # no float holds it
+    rows = [(None, 0, 10 + i % 50, i, 99) for i in range(400)] + [(big, 0, 10 + i % 50, i, 99) for i in range(400)] + [(None, 0, 30, 5, 30)] * 1500
+    pieces = spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").repartition(3)
+    got = packing.pack_pieces(pieces, capacity=100, group_windows=20).collect()
+    assert collections.Counter(tuple(r)[:5] for r in got) == collections.Counter(rows)
+    windows = collections.Counter()
+    for r in got:
+        windows[r.sequence_id] += r.length
+    groups = collections.Counter(k >> 32 for k in windows)
+    assert max(windows.values()) <= 100 and max(groups.values()) <= 40
+
+
 def test_differencing_is_even_and_rises():
     draw = random.Random(4)
     loads = np.array([draw.randint(1, 900) for _ in range(400)])

@@ -28,6 +28,8 @@ from tickloom.llm.text import chunks, fields, stored
 
 CAPACITY = 4096
 END_ID = 2
+#: Copies of equal pieces that are numbered at once.
+COPIES = 1024
 GROUP_WINDOWS = 512
 
 
@@ -127,11 +129,11 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int
     """Add ``sequence_id`` and ``offset`` to pieces with ``doc_id, start, length``; ``pieces`` is read twice."""
     total = pieces.agg(F.sum("length")).first()[0] or 0
     groups = max(1, round(total / (capacity * group_windows)))
-    names = [*pieces.columns, "sequence_id", "offset"]
-    schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", sequence_id bigint, offset bigint"
+    names = [*pieces.columns, "_none", "sequence_id", "offset"]
+    schema = pieces.schema.simpleString()[7:-1].replace(":", " ") + ", _none boolean, sequence_id bigint, offset bigint"
 
     def pack(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
+        group = group.sort_values(["_none", "doc_id", "start", "ids_crc32"], kind="stable", ignore_index=True)
         group["_window"] = pack_group(group["length"].to_numpy(), capacity)
         group = group.sort_values("_window", kind="stable", ignore_index=True)
         before = group["length"].cumsum() - group["length"]
@@ -139,8 +141,16 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group_windows: int
         group["sequence_id"] = (int(key[0]) << 32) + group["_window"]
         return group[names]
 
-    keyed = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return keyed.groupBy("_group").applyInPandas(pack, schema)
+    # dealt by piece, equal ones by their number: neither a null id nor a shared one fills a group
+    copies = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("_copies"))
+    some = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1))
+    copies = copies.withColumn("_block", some(F.ceil(F.col("_copies") / COPIES)))
+    copies = copies.withColumn("_copy", some(F.least(F.lit(COPIES), F.col("_copies") - F.col("_block") * COPIES)))
+    place = F.xxhash64("doc_id", "start", "ids_crc32", "_block", "_copy")
+    keyed = copies.select(*pieces.columns, F.col("doc_id").isNull().alias("_none"), F.pmod(place, F.lit(groups)).alias("_group"))
+    # pandas would make floats of ids that stand beside nulls
+    packed = keyed.withColumn("doc_id", F.coalesce("doc_id", F.lit(0).cast("bigint"))).groupBy("_group").applyInPandas(pack, schema)
+    return packed.withColumn("doc_id", F.when(~F.col("_none"), F.col("doc_id"))).drop("_none")
 
 
 def pack_documents(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
