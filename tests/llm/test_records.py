@@ -93,9 +93,9 @@ def test_lexicon_has_the_terms_of_the_band_and_no_others(spark):
     want = {r.t for r in spark.createDataFrame([(f"pair{i}",) for i in range(60)], "w string").select(F.xxhash64("w").alias("t")).collect()}
     found = imatch.lexicon(df)
     asked = spark.createDataFrame([("only0x1 pair3",), ("pair3 all only7x9",), ("Pair3",), ("pair4",)], "text string")
-    prints = [r.p for r in asked.select(imatch.fingerprints(F.col("text"), found).alias("p")).collect()]
+    prints = [r.p for r in imatch.with_fingerprints(asked, found, p="text").collect()]
     assert prints[0] == prints[1] == prints[2] != prints[3]  # what stands in one document, or in each, plays no part
-    assert {t for slot in found for t in slot} == want
+    assert {t for slot in found.first().slots for t in slot} == want
 
 
 def test_edits_are_nearer_than_neighbours(spark, folder):

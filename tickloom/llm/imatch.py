@@ -16,7 +16,6 @@ an empty result. A document's terms are held in one row, the corpus's never.
 from __future__ import annotations
 
 import itertools
-import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,12 +39,12 @@ def terms(text: Column) -> Column:
     return F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
 
 
-def _slot(term: Column, slots: int) -> Column:
-    return F.pmod(term, F.lit(slots))
+def _slot(term: Column, slots: Column) -> Column:
+    return F.pmod(term, slots)
 
 
-def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[list[int]]:
-    """The terms within the band, by slot: a table that the low end of the band bounds."""
+def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """One row with the terms within the band by slot, ``slots``: an array that the low end of the band bounds."""
     # a null stands for the document itself, so that one exchange counts both
     seen = docs.select(F.explode(F.concat(terms(F.col("text")), F.array(F.lit(None).cast("bigint")))).alias("term"))
     counts = seen.groupBy("term").agg(F.count("*").alias("df"))
@@ -53,20 +52,20 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> list[list[
     total = (counts.where("term is null").first() or (None, 0))[1]
     kept = counts.where(F.col("term").isNotNull() & (F.col("df") >= max(LEAST, low * total)) & (F.col("df") <= high * total))
     slots = 1 << max(0, (kept.count() - 1) // FULL).bit_length()
-    found = {r.slot: r.own for r in kept.groupBy(_slot(F.col("term"), slots).alias("slot")).agg(F.sort_array(F.collect_list("term")).alias("own")).collect()}
-    return [found.get(i, []) for i in range(slots)]
+    own = kept.groupBy(_slot(F.col("term"), F.lit(slots)).alias("slot")).agg(F.collect_list("term").alias("own"))
+    every = docs.sparkSession.range(slots).withColumnRenamed("id", "slot").join(own, "slot", "left")
+    every = every.select(F.struct("slot", F.coalesce("own", F.array().cast("array<bigint>")).alias("own")).alias("at"))
+    return stored(every.agg(F.sort_array(F.collect_list("at"))["own"].alias("slots")), "lexicon")
 
 
 def _bits(term: Column, shift: int, width: int) -> Column:
     return F.call_function("shiftrightunsigned", term, F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def fingerprints(text: Column, lexicon: list[list[int]]) -> Column:
-    """Hashes of the text's terms in each subset, null for a subset without terms."""
-    table = F.from_json(F.lit(json.dumps(lexicon, separators=(",", ":"))), "array<array<bigint>>")  # one literal once constants are folded
-
-    def inside(term: Column) -> Column:
-        return F.array_contains(F.element_at(table, (_slot(term, len(lexicon)) + 1).cast("int")), term)
+def fingerprints(texts: list[Column], slots: Column) -> Column:
+    """For each text the hashes of its terms in each subset, null for a subset without terms; ``slots`` is the lexicon's."""
+    def inside(table: Column, term: Column) -> Column:
+        return F.array_contains(F.element_at(table, (_slot(term, F.size(table)) + 1).cast("int")), term)
 
     def subsets(own: Column, shift: int, width: int) -> Column:
         def one(k: Column) -> Column:
@@ -82,11 +81,24 @@ def fingerprints(text: Column, lexicon: list[list[int]]) -> Column:
         shifts = itertools.accumulate([thin + 4 for thin in THINNED[:-1]], initial=21)
         return F.concat(subsets(own, 20, 1), *[level(own, shift, thin) for shift, thin in zip(shifts, THINNED, strict=True)])
 
-    def chosen(every: Column) -> Column:
-        band = F.filter(every, inside)
+    def chosen(table: Column, every: Column) -> Column:
+        band = F.filter(every, lambda term: inside(table, term))
         return F.when(F.size(band) > 0, band).otherwise(every)
 
-    return bind(terms(text), lambda every: bind(chosen(every), all_levels))
+    def one(table: Column, text: Column) -> Column:
+        return bind(terms(text), lambda every: bind(chosen(table, every), all_levels))
+
+    return bind(slots, lambda table: F.array(*[one(table, text) for text in texts]))
+
+
+def with_fingerprints(rows: DataFrame, lexicon: DataFrame, **texts: str) -> DataFrame:
+    """Add the fingerprint of the text column ``texts[name]`` as ``name``.
+
+    The lexicon is a subquery, as a literal of its size would stand in every plan's text; named once, so that it is not copied for each row.
+    """
+    rows = rows.withColumn("_slots", lexicon.scalar())
+    rows = rows.withColumn("_prints", fingerprints([F.col(x) for x in texts.values()], F.col("_slots"))).drop("_slots")
+    return rows.withColumns({name: F.col("_prints")[i] for i, name in enumerate(texts)}).drop("_prints")
 
 
 def bind(value: Column, use) -> Column:
@@ -139,8 +151,8 @@ def edit_report(df: DataFrame) -> DataFrame:
     edited = docs.join(heads, docs["key"] == heads["prev_key"]).join(after, docs["key"] == after["own_key"])
     n = F.length("text")
     edited = edited.select("key", "next_key", "doc_id", "next_doc_id", "text", F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head")).alias("changed"))
-    made = edited.select("key", "next_key", "doc_id", "next_doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"),
-                         fingerprints(F.col("text"), band).alias("own"), fingerprints(F.col("changed"), band).alias("other"))
+    made = with_fingerprints(edited, band, own="text", other="changed")
+    made = made.select("key", "next_key", "doc_id", "next_doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"), "own", "other")
     made = stored(made, "fingerprints")
     following = made.groupBy(F.col("key").alias("next_key")).agg(F.first("own").alias("next_own"))
     rows = made.join(following, "next_key")
