@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import layout as L
 from tickloom.functions import rolling as R
+from tickloom.functions.session import in_ranges
+from tickloom.operators.metrics import rank_history
 
 
 @pytest.fixture(scope="module")
@@ -59,12 +61,6 @@ def test_ranks(skewed):
     pd.testing.assert_series_equal(got, expected.reset_index(drop=True), check_names=False)
 
 
-def test_magnitude_bucket_is_monotone(spark):
-    values = [-1e9, -3.5, -1.0, -0.999, -1e-12, 0.0, 1e-12, 0.5, 1.0, 1.0000001, 2.0, 3.999999, 4.0, 1e12]
-    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", L.magnitude_bucket(F.col("v")).alias("b")).toPandas()
-    assert df.sort_values("v")["b"].is_monotonic_increasing
-
-
 def test_grouped_map_blocks(skewed):
     """An exponential average computed in blocks equals the one over the whole series."""
     def ema(pdf):
@@ -98,12 +94,34 @@ def test_partition_count_does_not_matter(spark, folder):
     assert results[0] == results[1]
 
 
-def test_crowded_rank_buckets_are_cut(spark):
-    """Scores that crowd into one slice of an octave are ranked in many small windows, with the ranks of a single one."""
+def test_ranks_are_dealt_by_ranges(spark):
+    """Scores that crowd around a half, in two groups that span all ranges and many that span none, have the ranks of a plain window."""
     scores = spark.range(6000).select(
-        F.when(F.col("id") % 3 == 0, -1.0).otherwise(0.5 + (F.col("id") * 7919 % 6000) / 2e7).alias("v"), (F.col("id") % 2).alias("k"), F.lit(2).alias("cnt")
-    ).groupBy("k", "v").agg(F.sum("cnt").alias("cnt"))
-    whole = L.value_ranks(scores, "v", ["k"], shape=L.Shape(stamp_rows=10_000))
-    cut = L.value_ranks(scores, "v", ["k"], rows=50)
-    columns = ["k", "v", "cnt", "below", "avg_rank", "n"]
-    assert rows(whole.select(*columns)) == rows(cut.select(*columns))
+        F.when(F.col("id") % 3 == 0, -1.0).otherwise(0.5 + (F.col("id") * 7919 % 6000) / 2e7).alias("v"),
+        F.when(F.col("id") % 10 < 4, "a").when(F.col("id") % 10 < 8, None).otherwise((F.col("id") % 90).cast("string")).alias("k"),
+        F.lit(2).alias("cnt"), (F.col("id") % 5).alias("m"),
+    ).groupBy("k", "v").agg(F.sum("cnt").alias("cnt"), F.sum("m").alias("m"))
+    columns = ["k", "v", "cnt", "below", "avg_rank", "n", "below_m", "avg_rank_m", "n_m"]
+    whole = L.value_ranks(scores, "v", ["k"], shape=L.Shape(stamp_rows=10_000), also=["m"])
+    assert rows(whole.select(*columns)) == rows(L.value_ranks(scores, "v", ["k"], also=["m"]).select(*columns))
+    every = L.value_ranks(scores.groupBy("v").agg(F.sum("cnt").alias("cnt")), "v").toPandas().sort_values("v")
+    assert (every["below"] == every["cnt"].cumsum() - every["cnt"]).all() and set(every["n"]) == {12000}
+    assert L.value_ranks(scores.limit(0), "v", ["k"]).collect() == []
+
+
+def test_rows_of_a_range_are_bounded(spark):
+    """A value that a third of the rows has is one row of the counts; the others part evenly, however close they are."""
+    rows_ = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 0.5).otherwise(0.5 + F.rand(3) * 1e-9).alias("v"))
+    counts = rows_.groupBy("v").agg(F.count("*").alias("cnt"))
+    placed = in_ranges(counts, ["v"]).groupBy(F.shiftright("_at", 33)).count().toPandas()["count"]
+    assert placed.sum() == counts.count() and len(placed) > 1 and placed.max() <= 2 * placed.sum() / len(placed)
+
+
+def test_rank_history_of_unbounded_groups(spark):
+    rows_ = [("e", i % 3, f"t{i}", None if i % 7 == 0 else float(i * 37 % 11)) for i in range(500)] + [(None, 1, "x", 1.0)]
+    df = spark.createDataFrame(rows_, "experiment_id string, ts int, ticker string, prediction double")
+    bounded, free = rank_history(df, shape=L.Shape(stamp_rows=1000)), rank_history(df)
+    assert rows(bounded) == rows(free) and free.columns == [*df.columns, "rank_pct", "rank_order"]
+    expected = df.toPandas().groupby(["experiment_id", "ts"], dropna=False)["prediction"].rank(pct=True)
+    got = free.toPandas().merge(df.toPandas().assign(want=expected)[["ticker", "want"]], on="ticker")
+    pd.testing.assert_series_equal(got["rank_pct"], got["want"], check_names=False)

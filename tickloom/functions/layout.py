@@ -9,7 +9,8 @@ window (one shuffle), all others a two-level plan:
   ahead) at into the neighbouring block, so bounded frames stay exact;
 * :func:`running` aggregates per time bucket first, carries the prefix over the buckets (a small table) and adds
   the within-bucket window, so unbounded frames stay exact;
-* :func:`value_ranks` does the same along the value axis, on counts per distinct value.
+* :func:`cumulated` cuts the whole table into ranges of group and value with one exchange on sampled splitters and
+  carries the sums of groups that several ranges share; :func:`value_ranks` uses it on counts per distinct value.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tickloom.functions.session import in_ranges
+
 #: rows a single window task may have to sort
 TASK_ROWS = 2_000_000
-#: distinct values of a rank bucket beyond which it is cut into equal slices of its own range
-BUCKET_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -212,67 +213,59 @@ def running(
     return out.drop("_tb", *[f"_c_{n}" for n in aggs])
 
 
-def magnitude_bucket(value: Column, steps: int = 1024) -> Column:
-    """Monotone coarse code of a double: ``steps`` equal slices per power of two. Needs no pass over the data."""
-    size = F.abs(value)
-    octave = F.floor(F.log2(size))
-    code = octave * steps + F.floor(size / F.pow(F.lit(2.0), octave) * steps) + 1200 * steps
-    infinite = F.when(value > 0, F.lit(1 << 40)).otherwise(F.lit(-(1 << 40)))
-    return F.when(size == float("inf"), infinite).when(value == 0, F.lit(0)).when(value > 0, code).otherwise(-code).cast("long")
+def cumulated(df: DataFrame, by: Sequence[str], order: Sequence[str], weights: Sequence[str]) -> DataFrame:
+    """For each weight column ``w`` its sum over the rows of the group before this one, ``below_w``, and over all, ``n_w``.
+
+    One range exchange on group and order puts neighbours together, in ranges of equal size whatever the values are; sums
+    are taken within ranges, and a group that several ranges share is carried from range to range. The driver receives the
+    first and last group of each range. The input is run once, here.
+    """
+    keys = list(by)
+    ranged = in_ranges(df, [*keys, *order]).withColumn("_part", F.shiftright("_at", 33))
+    group = F.struct(*keys)
+    edges = ranged.groupBy("_part").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).collect()  # a row for each range
+    edges.sort(key=lambda r: r["_part"])
+    shared = {tuple(a.hi): a.hi for a, b in zip(edges, edges[1:], strict=False) if tuple(a.hi) == tuple(b.lo)}
+    whole = Window.partitionBy("_part", *keys)
+    upto = whole.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.select(
+        "*", *[(F.sum(w).over(upto) - F.col(w)).alias(f"below_{w}") for w in weights], *[F.sum(w).over(whole).alias(f"n_{w}") for w in weights]
+    ).drop("_at")
+    if shared:
+        groups = df.sparkSession.createDataFrame([tuple(g) for g in shared.values()], df.select(*keys).schema)
+        sums = _join_null_safe(ranged, F.broadcast(groups), keys).groupBy("_part", *keys).agg(*[F.sum(w).alias(w) for w in weights])
+        every = Window.partitionBy(*keys)
+        prior = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        carried = sums.select("_part", *keys, *[F.sum(w).over(prior).alias(f"_b_{w}") for w in weights], *[F.sum(w).over(every).alias(f"_n_{w}") for w in weights])
+        # at most two groups of a range are shared, so as many rows as ranges and as many again
+        out = _join_null_safe(out, F.broadcast(carried), ["_part", *keys], "left")
+        out = out.withColumns(
+            {f"below_{w}": F.col(f"below_{w}") + F.coalesce(f"_b_{w}", F.lit(0)) for w in weights} | {f"n_{w}": F.coalesce(f"_n_{w}", f"n_{w}") for w in weights}
+        ).drop(*[f"_{x}_{w}" for x in "bn" for w in weights])
+    return out.drop("_part")
 
 
 def value_ranks(
-    counts: DataFrame,
-    value: str,
-    by: Sequence[str] = (),
-    count: str = "cnt",
-    shape: Shape = UNKNOWN,
-    rows: int = BUCKET_ROWS,
+    counts: DataFrame, value: str, by: Sequence[str] = (), count: str = "cnt", shape: Shape = UNKNOWN, also: Sequence[str] = ()
 ) -> DataFrame:
     """Average-tie ranks of distinct values weighted by ``count``: adds ``below``, ``avg_rank``, ``n``.
 
-    ``counts`` has one row per (by, value), so a value shared by a third of all rows is a single row here. Values are
-    ranked in buckets: slices of an octave, and where many values crowd into one (probabilities around a half), slices of
-    that bucket's own range, as many as its number of values calls for.
+    ``counts`` has one row per (by, value), so a value shared by a third of all rows is a single row here. Further counts
+    named in ``also`` are ranked by in the same pass, with their name behind the added columns.
     """
-    keys = list(by)
+    keys, weights = list(by), [count, *also]
     if not keys:
-        counts = counts.withColumn("_all", F.lit(0))
-        keys = ["_all"]
+        counts, keys = counts.withColumn("_all", F.lit(0)), ["_all"]
     if shape.stamp_fits():
-        peers = Window.partitionBy(*keys).orderBy(value)
-        upto = F.sum(count).over(peers.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        ranked = counts.withColumn("below", upto - F.col(count)).withColumn(
-            "n", F.sum(count).over(Window.partitionBy(*keys))
+        peers = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        every = Window.partitionBy(*keys)
+        ranked = counts.select(
+            "*", *[(F.sum(w).over(peers) - F.col(w)).alias(f"below_{w}") for w in weights], *[F.sum(w).over(every).alias(f"n_{w}") for w in weights]
         )
     else:
-        coded = counts.withColumn("_vb", magnitude_bucket(F.col(value).cast("double")))
-        number = F.col(value).cast("double")
-        crowds = coded.groupBy(*keys, "_vb").agg(F.count(F.lit(1)).alias("_k"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
-        # crowded buckets are few however many rows there are: each holds BUCKET_ROWS values or more
-        slices = F.ceil(F.col("_k") / F.lit(rows))
-        slot = F.floor((number - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * slices)
-        coded = (
-            _join_null_safe(coded, crowds.filter(F.col("_k") > rows), [*keys, "_vb"], "left")
-            .withColumn("_sb", F.coalesce(F.least(slot, slices - 1), F.lit(0)))
-            .drop("_k", "_lo", "_hi")
-        )
-        sizes = coded.groupBy(*keys, "_vb", "_sb").agg(F.sum(count).alias("_m"))
-        prior = Window.partitionBy(*keys).orderBy("_vb", "_sb").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(
-            *keys,
-            "_vb",
-            "_sb",
-            F.coalesce(F.sum("_m").over(prior), F.lit(0)).alias("_off"),
-            F.sum("_m").over(Window.partitionBy(*keys)).alias("n"),
-        )
-        inner = Window.partitionBy(*keys, "_vb", "_sb").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-        ranked = (
-            _join_null_safe(coded, offsets, [*keys, "_vb", "_sb"])
-            .withColumn("below", F.col("_off") + F.sum(count).over(inner) - F.col(count))
-            .drop("_vb", "_sb", "_off")
-        )
-    return ranked.withColumn("avg_rank", F.col("below") + (F.col(count) + 1) / 2.0).drop("_all")
+        ranked = cumulated(counts, keys, [value], weights)
+    ranked = ranked.withColumns({f"avg_rank_{w}": F.col(f"below_{w}") + (F.col(w) + 1) / 2.0 for w in weights})
+    return ranked.withColumnsRenamed({f"{x}_{count}": x for x in ("below", "n", "avg_rank")}).drop("_all")
 
 
 def avg_rank(

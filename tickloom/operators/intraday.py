@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
 from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, over_series, value_ranks
+from tickloom.functions.session import stored
 from tickloom.operators.research import research_columns
 
 #: 96 quarter-hour bars a day for a generation
@@ -193,6 +194,7 @@ def cross_ranks(panel: DataFrame, features: Sequence[str], time: str = "ts", sha
         for f in features:
             out = avg_rank(out, f, [time], f"xs_rank_{f}", pct=True, shape=shape)
         return out
+    panel = stored(panel, "panel")  # read for the counts, for the ranks and for its other columns
     items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
     long = panel.select("ticker", time, F.explode(F.array(*items)).alias("_x")).select("ticker", time, "_x.feature", "_x.value")
     known = long.filter("value IS NOT NULL")

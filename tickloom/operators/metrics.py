@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
-from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, magnitude_bucket, over_series, positions, rank_table, running, value_ranks
+from tickloom.functions.layout import DAILY, UNKNOWN, Shape, _join_null_safe, cumulated, over_series, rank_table, running, value_ranks
+from tickloom.functions.session import stored
 
 
 def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -18,19 +19,24 @@ def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), shape: Shape = UNKNOWN) -> DataFrame:
     """Pearson correlation of average-tie ranks; null below five pairs or for a constant side.
 
-    The pairs are read three times (two rank tables and the lookup), so the slim pairs are kept.
+    Without a bound on a group the pairs are read three times (two rank tables and the lookup), so the slim pairs are stored.
     """
     pairs, keys = _keys(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), by)
-    pairs = pairs.persist()
+    if not shape.stamp_fits():
+        pairs = stored(pairs, "pairs")
     ranked = pairs.join(rank_table(pairs, x, keys, "_rx", shape=shape), [*keys, x]).join(
         rank_table(pairs, y, keys, "_ry", shape=shape), [*keys, y]
     )
+    return _rank_correlation(ranked, keys).drop("_g")
+
+
+def _rank_correlation(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
     varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry")) & (F.count(F.lit(1)) >= 5)
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("pairs"),
         # written out: the built-in correlation fails on a constant side under ANSI arithmetic
         F.when(varied, F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).alias("ic_spearman"),
-    ).drop("_g")
+    )
 
 
 def decile_spread(df: DataFrame, score: str, ret: str, by: Sequence[str] = (), shape: Shape = UNKNOWN) -> DataFrame:
@@ -107,44 +113,44 @@ def fold_metrics(predictions: DataFrame, by: Sequence[str], label: str = "label"
     With a ``label_type``, metrics that it does not have are null: a regression has no AUC or balanced accuracy, a binary
     label no rank correlation.
 
-    Deciles and AUC come from one ranking of the counts per distinct score. The slim prediction rows are kept, as the
-    scores behind them may be model outputs.
+    Deciles, AUC and the scores' side of the rank correlation come from one ranking of the counts per distinct score. The
+    slim prediction rows are stored, as the scores behind them may be model outputs.
     """
     keys = list(by)
-    rows = predictions.select(
+    rows = stored(predictions.select(
         *keys, F.col(score).alias("_s"), F.col(target).alias("_y"), F.col(ret).alias("_r"), F.col(label).alias("_l")
-    ).filter("_s IS NOT NULL AND _l IS NOT NULL").persist()
+    ).filter("_s IS NOT NULL AND _l IS NOT NULL"), "predictions")
     per_score = rows.groupBy(*keys, "_s").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.sum(F.when(F.col("_l") > 0, 1).otherwise(0)).alias("_pos"),
         F.sum("_r").alias("_ret"),
         F.count("_r").alias("_m"),
+        F.count("_y").alias("_k"),
     )
-    ranked = value_ranks(per_score, "_s", keys, "cnt", shape)
+    ranked = stored(value_ranks(per_score, "_s", keys, "cnt", shape, also=("_m", "_k")), "ranks")
     n, n1 = F.sum("cnt"), F.sum("_pos")
     area = (F.sum(F.col("avg_rank") * F.col("_pos")) - n1 * (n1 + 1) / 2.0) / F.nullif(n1 * (n - n1), F.lit(0)).cast("double")
 
     # deciles are ranked among the rows that have a return
-    traded = value_ranks(per_score.where("_m > 0").drop("cnt", "_pos"), "_s", keys, "_m", shape)
-    traded = traded.withColumn("_pct", F.col("avg_rank") / F.col("n"))
-    m = F.sum("_m")
+    pct, m = F.col("avg_rank__m") / F.nullif("n__m", F.lit(0)), F.sum("_m")
 
     def mean(where):
+        where = where & (F.col("_m") > 0)
         return F.when(m >= 20, F.sum(F.when(where, F.col("_ret"))) / F.nullif(F.sum(F.when(where, F.col("_m"))), F.lit(0)))
 
-    deciles = traded.groupBy(*keys).agg(
-        m.alias("trade_count"), mean(F.col("_pct") >= 0.9).alias("top_decile"), mean(F.col("_pct") <= 0.1).alias("bottom_decile")
-    ).withColumn("spread", F.col("top_decile") - F.col("bottom_decile"))
-
     unknown = F.lit(None).cast("double")
     pooled = ranked.groupBy(*keys).agg(
         n.alias("rows"),
         (unknown if label_type == "regression" else F.when(n >= 10, area)).alias("auc"),
-    ).join(deciles, keys, "left").withColumn("trade_count", F.coalesce("trade_count", F.lit(0)))
+        m.alias("trade_count"), mean(pct >= 0.9).alias("top_decile"), mean(pct <= 0.1).alias("bottom_decile"),
+    ).withColumn("spread", F.col("top_decile") - F.col("bottom_decile"))
     if label_type == "binary":
         pooled = pooled.withColumn("ic_spearman", unknown)
     else:
-        pooled = pooled.join(spearman(rows, "_s", "_y", keys, shape).drop("pairs"), keys, "left")
+        pairs = rows.where("_y IS NOT NULL")
+        sides = pairs.join(ranked.select(*keys, "_s", F.col("avg_rank__k").alias("_rx")), [*keys, "_s"])
+        sides = sides.join(rank_table(pairs, "_y", keys, "_ry", shape=shape), [*keys, "_y"])
+        pooled = pooled.join(_rank_correlation(sides, keys).drop("pairs"), keys, "left")
     if label_type == "regression":
         return pooled.withColumn("balanced_accuracy", unknown)
     return pooled.join(balanced_accuracy(rows, "_l", "_s", keys).drop("rows"), keys, "left")
@@ -214,10 +220,21 @@ def bucket_quality(buckets: DataFrame, by: Sequence[str]) -> DataFrame:
 def rank_history(
     predictions: DataFrame, by: Sequence[str] = ("experiment_id", "ts"), score: str = "prediction", shape: Shape = UNKNOWN
 ) -> DataFrame:
-    """Percent rank and descending order of each prediction inside its experiment and date."""
-    ranked = avg_rank(predictions, score, by, "rank_pct", pct=True, shape=shape).withColumn("_neg", -F.col(score))
-    order = Shape(series_rows=shape.stamp_rows)
-    return positions(ranked, list(by), ["_neg", "ticker"], "rank_order", order, magnitude_bucket(F.col("_neg"))).drop("_neg")
+    """Percent rank and descending order of each prediction inside its experiment and date.
+
+    Both come from one order of the rows: the average place of equal predictions is the mean of their first and last.
+    """
+    keys, known = list(by), F.col(score).isNotNull()
+    rows = predictions.withColumns({"_neg": -F.col(score), "_one": F.lit(1), "_known": known.cast("int")})
+    if shape.stamp_fits():
+        w = Window.partitionBy(*keys)
+        placed = rows.withColumns({"below__one": F.row_number().over(w.orderBy("_neg", "ticker")) - 1, "n__one": F.count("_one").over(w), "n__known": F.sum("_known").over(w)})
+    else:
+        placed = stored(cumulated(rows, keys, ["_neg", "ticker"], ["_one", "_known"]), "places")
+    peers = placed.where(known).groupBy(*keys, score).agg((F.min("below__one") + F.max("below__one")).alias("_ends"))
+    out = _join_null_safe(placed, peers, [*keys, score], "left")
+    rank = F.col("n__one") - F.col("_ends") / 2.0  # unknown ones come first in that order, so they drop out
+    return out.select(*predictions.columns, F.when(known, rank / F.col("n__known")).alias("rank_pct"), (F.col("below__one") + 1).cast("int").alias("rank_order"))
 
 
 def drawdown_relative(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], shape: Shape = DAILY) -> DataFrame:
