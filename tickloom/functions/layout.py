@@ -213,36 +213,48 @@ def running(
     return out.drop("_tb", *[f"_c_{n}" for n in aggs])
 
 
-def cumulated(df: DataFrame, by: Sequence[str], order: Sequence[str], weights: Sequence[str]) -> DataFrame:
+def cumulated(df: DataFrame, by: Sequence[str], order: Sequence[str], weights: Sequence[str], peers: Sequence[str] = ()) -> DataFrame:
     """For each weight column ``w`` its sum over the rows of the group before this one, ``below_w``, and over all, ``n_w``.
 
+    Rows equal in ``peers``, the first columns of ``order``, also get the sum before the first of them, ``low_w``, and their
+    own sum, ``same_w``.
+
     One range exchange on group and order puts neighbours together, in ranges of equal size whatever the values are; sums
-    are taken within ranges, and a group that several ranges share is carried from range to range. The driver receives the
-    first and last group of each range. The input is run once, here.
+    are taken within ranges, and what several ranges share is carried from range to range. The driver receives the first
+    and last group of each range. The input is run once, here.
     """
-    keys = list(by)
+    keys, ties = list(by), [*by, *peers]
     ranged = in_ranges(df, [*keys, *order]).withColumn("_part", F.shiftright("_at", 33))
-    group = F.struct(*keys)
-    edges = ranged.groupBy("_part").agg(F.min(group).alias("lo"), F.max(group).alias("hi")).collect()  # a row for each range
+    ends = F.struct(*ties)
+    edges = ranged.groupBy("_part").agg(F.min(ends).alias("lo"), F.max(ends).alias("hi")).collect()  # a row for each range
     edges.sort(key=lambda r: r["_part"])
-    shared = {tuple(a.hi): a.hi for a, b in zip(edges, edges[1:], strict=False) if tuple(a.hi) == tuple(b.lo)}
-    whole = Window.partitionBy("_part", *keys)
-    upto = whole.orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = ranged.select(
-        "*", *[(F.sum(w).over(upto) - F.col(w)).alias(f"below_{w}") for w in weights], *[F.sum(w).over(whole).alias(f"n_{w}") for w in weights]
-    ).drop("_at")
-    if shared:
-        groups = df.sparkSession.createDataFrame([tuple(g) for g in shared.values()], df.select(*keys).schema)
-        sums = _join_null_safe(ranged, F.broadcast(groups), keys).groupBy("_part", *keys).agg(*[F.sum(w).alias(w) for w in weights])
-        every = Window.partitionBy(*keys)
-        prior = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-        carried = sums.select("_part", *keys, *[F.sum(w).over(prior).alias(f"_b_{w}") for w in weights], *[F.sum(w).over(every).alias(f"_n_{w}") for w in weights])
-        # at most two groups of a range are shared, so as many rows as ranges and as many again
-        out = _join_null_safe(out, F.broadcast(carried), ["_part", *keys], "left")
-        out = out.withColumns(
-            {f"below_{w}": F.col(f"below_{w}") + F.coalesce(f"_b_{w}", F.lit(0)) for w in weights} | {f"n_{w}": F.coalesce(f"_n_{w}", f"n_{w}") for w in weights}
-        ).drop(*[f"_{x}_{w}" for x in "bn" for w in weights])
-    return out.drop("_part")
+    whole, equal = Window.partitionBy("_part", *keys), Window.partitionBy("_part", *ties)
+    upto = whole.orderBy(*peers, "_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = ranged.withColumns({f"below_{w}": F.sum(w).over(upto) - F.col(w) for w in weights})
+    out = out.withColumns({f"n_{w}": F.sum(w).over(whole) for w in weights})
+    if peers:
+        out = out.withColumns({f"low_{w}": F.min(f"below_{w}").over(equal) for w in weights} | {f"same_{w}": F.sum(w).over(equal) for w in weights})
+    out = _carry(out, ranged, keys, edges, weights, (("below_", 1), ("low_", 1)) if peers else (("below_", 1),), "n_")
+    if peers:
+        out = _carry(out, ranged, ties, edges, weights, (("low_", -1),), "same_")
+    return out.drop("_at", "_part")
+
+
+def _carry(out: DataFrame, ranged: DataFrame, keys: list[str], edges: list, weights: Sequence[str], moved: Sequence[tuple[str, int]], total: str) -> DataFrame:
+    """Correct sums within ranges for the groups that several ranges share: add (or take off) what earlier ranges hold."""
+    first, last = ([tuple(r[side])[: len(keys)] for r in edges] for side in ("lo", "hi"))
+    shared = {a for a, b in zip(last, first[1:], strict=False) if a == b}
+    if not shared:
+        return out
+    groups = out.sparkSession.createDataFrame(list(shared), ranged.select(*keys).schema)
+    sums = _join_null_safe(ranged, F.broadcast(groups), keys).groupBy("_part", *keys).agg(*[F.sum(w).alias(w) for w in weights])
+    every = Window.partitionBy(*keys)
+    prior = every.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("_part", *keys, *[F.sum(w).over(prior).alias(f"_b_{w}") for w in weights], *[F.sum(w).over(every).alias(f"_n_{w}") for w in weights])
+    # a range shares its first and its last group at most, so there are no more rows than twice the ranges
+    out = _join_null_safe(out, F.broadcast(carried), ["_part", *keys], "left")
+    fixed = {f"{name}{w}": F.col(f"{name}{w}") + sign * F.coalesce(f"_b_{w}", F.lit(0)) for name, sign in moved for w in weights}
+    return out.withColumns(fixed | {f"{total}{w}": F.coalesce(f"_n_{w}", f"{total}{w}") for w in weights}).drop(*[f"_{x}_{w}" for x in "bn" for w in weights])
 
 
 def value_ranks(
@@ -276,7 +288,10 @@ def avg_rank(
     pct: bool = False,
     shape: Shape = UNKNOWN,
 ) -> DataFrame:
-    """Rank with average ties inside ``by``; nulls get no rank and do not count."""
+    """Rank with average ties inside ``by``; nulls get no rank and do not count.
+
+    Without a bound rows are ranked in place, by ranges; copies of a value may part, so a value that many rows have does not meet in one task.
+    """
     scale = (lambda r, n: r / n) if pct else (lambda r, n: r)
     if shape.stamp_fits() and by:
         group = Window.partitionBy(*by, F.col(value).isNull())
@@ -286,7 +301,10 @@ def avg_rank(
         return df.withColumn(
             name, F.when(F.col(value).isNotNull(), scale(low + (peers - 1) / 2.0, total)).cast("double")
         )
-    return _join_null_safe(df, rank_table(df, value, by, name, pct, shape), [*by, value], "left")
+    rows = df.withColumns({"_known": F.col(value).isNotNull().cast("int"), "_tie": F.monotonically_increasing_id(), "_all": F.lit(0)})
+    ranked = cumulated(rows, by or ["_all"], [value, "_tie"], ["_known"], [value])
+    rank = scale(F.col("low__known") + (F.col("same__known") + 1) / 2.0, F.col("n__known"))
+    return ranked.select(*df.columns, F.when(F.col(value).isNotNull(), rank).cast("double").alias(name))
 
 
 def rank_table(

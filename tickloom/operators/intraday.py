@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
-from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, over_series, value_ranks
+from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, over_series
 from tickloom.functions.session import stored
 from tickloom.operators.research import research_columns
 
@@ -187,25 +187,26 @@ def cross_ranks(panel: DataFrame, features: Sequence[str], time: str = "ts", sha
     """Percent ranks by timestamp of several features in one pass: ``xs_rank_<feature>``.
 
     With a proven bound on tickers per timestamp all ranks share one exchange. Otherwise the features are stacked and
-    ranked over counts per value, so no task sorts a whole timestamp.
+    ranked in place, by ranges of (timestamp, feature, value), so no task sorts a whole timestamp. A panel has one row for
+    each ticker and timestamp.
     """
     if shape.stamp_fits():
         out = panel
         for f in features:
             out = avg_rank(out, f, [time], f"xs_rank_{f}", pct=True, shape=shape)
         return out
-    panel = stored(panel, "panel")  # read for the counts, for the ranks and for its other columns
-    items = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features]
-    long = panel.select("ticker", time, F.explode(F.array(*items)).alias("_x")).select("ticker", time, "_x.feature", "_x.value")
-    known = long.filter("value IS NOT NULL")
-    counts = known.groupBy(time, "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-    ranks = value_ranks(counts, "value", [time, "feature"], "cnt", shape).select(
-        time, "feature", "value", (F.col("avg_rank") / F.col("n")).alias("_rank")
+    others = [c for c in panel.columns if c not in ("ticker", time, *features)]
+    # every feature of a row is stacked, nulls too, so that the pivot has each row again
+    items = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)])
+    if others:
+        panel = stored(panel, "panel")
+    long = panel.select("ticker", time, F.explode(items).alias("_x")).select("ticker", time, "_x.feature", "_x.value")
+    ranks = avg_rank(long, "value", [time, "feature"], "_rank", pct=True, shape=shape)
+    own = lambda i, c: F.max(F.when(F.col("feature") == i, F.col(c)))
+    wide = ranks.groupBy("ticker", time).agg(
+        *[own(i, "_rank").alias(f"xs_rank_{f}") for i, f in enumerate(features)], *[own(i, "value").alias(f) for i, f in enumerate(features) if not others]
     )
-    wide = known.join(ranks, [time, "feature", "value"]).groupBy("ticker", time).agg(
-        *[F.max(F.when(F.col("feature") == f, F.col("_rank"))).alias(f"xs_rank_{f}") for f in features]
-    )
-    return panel.join(wide, ["ticker", time], "left")
+    return panel.join(wide, ["ticker", time], "left") if others else wide.select(*panel.columns, *[f"xs_rank_{f}" for f in features])
 
 
 def leadership(ranked: DataFrame, rank: str, prefix: str = "xs", shape: Shape = DAILY) -> DataFrame:

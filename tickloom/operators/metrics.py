@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions import rolling as R
-from tickloom.functions.layout import DAILY, UNKNOWN, Shape, _join_null_safe, cumulated, over_series, rank_table, running, value_ranks
-from tickloom.functions.session import stored
+from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, cumulated, over_series, running, value_ranks
 
 
 def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -17,26 +16,17 @@ def _keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
 
 
 def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), shape: Shape = UNKNOWN) -> DataFrame:
-    """Pearson correlation of average-tie ranks; null below five pairs or for a constant side.
-
-    Without a bound on a group the pairs are read three times (two rank tables and the lookup), so the slim pairs are stored.
-    """
-    pairs, keys = _keys(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, x, y), by)
-    if not shape.stamp_fits():
-        pairs = stored(pairs, "pairs")
-    ranked = pairs.join(rank_table(pairs, x, keys, "_rx", shape=shape), [*keys, x]).join(
-        rank_table(pairs, y, keys, "_ry", shape=shape), [*keys, y]
-    )
-    return _rank_correlation(ranked, keys).drop("_g")
+    """Pearson correlation of average-tie ranks; null below five pairs or for a constant side."""
+    pairs, keys = _keys(df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")), by)
+    ranked = avg_rank(avg_rank(pairs, "_x", keys, "_rx", shape=shape), "_y", keys, "_ry", shape=shape)
+    return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("pairs"), _correlated().alias("ic_spearman")).drop("_g")
 
 
-def _rank_correlation(ranked: DataFrame, keys: Sequence[str]) -> DataFrame:
-    varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry")) & (F.count(F.lit(1)) >= 5)
-    return ranked.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("pairs"),
-        # written out: the built-in correlation fails on a constant side under ANSI arithmetic
-        F.when(varied, F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0))).alias("ic_spearman"),
-    )
+def _correlated() -> Column:
+    """Correlation of the ranks ``_rx`` and ``_ry`` over the rows that have both."""
+    varied = (F.min("_rx") < F.max("_rx")) & (F.min("_ry") < F.max("_ry")) & (F.count("_ry") >= 5)
+    # written out: the built-in correlation fails on a constant side under ANSI arithmetic
+    return F.when(varied, F.covar_pop("_rx", "_ry") / F.nullif(F.stddev_pop("_rx") * F.stddev_pop("_ry"), F.lit(0.0)))
 
 
 def decile_spread(df: DataFrame, score: str, ret: str, by: Sequence[str] = (), shape: Shape = UNKNOWN) -> DataFrame:
@@ -113,47 +103,44 @@ def fold_metrics(predictions: DataFrame, by: Sequence[str], label: str = "label"
     With a ``label_type``, metrics that it does not have are null: a regression has no AUC or balanced accuracy, a binary
     label no rank correlation.
 
-    Deciles, AUC and the scores' side of the rank correlation come from one ranking of the counts per distinct score. The
-    slim prediction rows are stored, as the scores behind them may be model outputs.
+    One ranking of the scores serves AUC, deciles and the scores' side of the rank correlation: with other weights it ranks
+    among the rows that have a return, and among those that have a target.
     """
     keys = list(by)
-    rows = stored(predictions.select(
+    rows = predictions.select(
         *keys, F.col(score).alias("_s"), F.col(target).alias("_y"), F.col(ret).alias("_r"), F.col(label).alias("_l")
-    ).filter("_s IS NOT NULL AND _l IS NOT NULL"), "predictions")
-    per_score = rows.groupBy(*keys, "_s").agg(
-        F.count(F.lit(1)).alias("cnt"),
-        F.sum(F.when(F.col("_l") > 0, 1).otherwise(0)).alias("_pos"),
-        F.sum("_r").alias("_ret"),
-        F.count("_r").alias("_m"),
-        F.count("_y").alias("_k"),
-    )
-    ranked = stored(value_ranks(per_score, "_s", keys, "cnt", shape, also=("_m", "_k")), "ranks")
-    n, n1 = F.sum("cnt"), F.sum("_pos")
-    area = (F.sum(F.col("avg_rank") * F.col("_pos")) - n1 * (n1 + 1) / 2.0) / F.nullif(n1 * (n - n1), F.lit(0)).cast("double")
-
-    # deciles are ranked among the rows that have a return
-    pct, m = F.col("avg_rank__m") / F.nullif("n__m", F.lit(0)), F.sum("_m")
+    ).filter("_s IS NOT NULL AND _l IS NOT NULL")
+    rows = rows.withColumns({"_one": F.lit(1), "_m": F.col("_r").isNotNull().cast("int"), "_k": F.col("_y").isNotNull().cast("int"), "_tie": F.monotonically_increasing_id()})
+    weights = ["_one", "_m", "_k"]
+    if shape.stamp_fits():
+        group = Window.partitionBy(*keys)
+        peers = group.orderBy("_s").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        equal = Window.partitionBy(*keys, "_s")
+        ranked = rows.withColumns({f"same_{w}": F.sum(w).over(equal) for w in weights} | {f"n_{w}": F.sum(w).over(group) for w in weights})
+        ranked = ranked.withColumns({f"low_{w}": F.sum(w).over(peers) - F.col(f"same_{w}") for w in weights})
+    else:
+        ranked = cumulated(rows, keys, ["_s", "_tie"], weights, ["_s"])
+    place = {w: F.col(f"low_{w}") + (F.col(f"same_{w}") + 1) / 2.0 for w in weights}
+    traded = F.col("_m") == 1
+    ranked = ranked.select(*keys, "_s", "_y", "_r", "_l", place["_one"].alias("_rank"), F.when(traded, place["_m"] / F.col("n__m")).alias("_pct"), F.when(F.col("_k") == 1, place["_k"]).alias("_rx"))
+    if label_type != "binary":
+        ranked = avg_rank(ranked, "_y", keys, "_ry", shape=shape)
+    n, n1, m = F.count("_s"), F.sum(F.when(F.col("_l") > 0, 1).otherwise(0)), F.count("_pct")
+    area = (F.sum(F.when(F.col("_l") > 0, F.col("_rank"))) - n1 * (n1 + 1) / 2.0) / F.nullif(n1 * (n - n1), F.lit(0)).cast("double")
 
     def mean(where):
-        where = where & (F.col("_m") > 0)
-        return F.when(m >= 20, F.sum(F.when(where, F.col("_ret"))) / F.nullif(F.sum(F.when(where, F.col("_m"))), F.lit(0)))
+        return F.when(m >= 20, F.avg(F.when(where, F.col("_r"))))
 
     unknown = F.lit(None).cast("double")
     pooled = ranked.groupBy(*keys).agg(
         n.alias("rows"),
         (unknown if label_type == "regression" else F.when(n >= 10, area)).alias("auc"),
-        m.alias("trade_count"), mean(pct >= 0.9).alias("top_decile"), mean(pct <= 0.1).alias("bottom_decile"),
+        m.alias("trade_count"), mean(F.col("_pct") >= 0.9).alias("top_decile"), mean(F.col("_pct") <= 0.1).alias("bottom_decile"),
+        (unknown if label_type == "binary" else _correlated()).alias("ic_spearman"),
     ).withColumn("spread", F.col("top_decile") - F.col("bottom_decile"))
-    if label_type == "binary":
-        pooled = pooled.withColumn("ic_spearman", unknown)
-    else:
-        pairs = rows.where("_y IS NOT NULL")
-        sides = pairs.join(ranked.select(*keys, "_s", F.col("avg_rank__k").alias("_rx")), [*keys, "_s"])
-        sides = sides.join(rank_table(pairs, "_y", keys, "_ry", shape=shape), [*keys, "_y"])
-        pooled = pooled.join(_rank_correlation(sides, keys).drop("pairs"), keys, "left")
     if label_type == "regression":
         return pooled.withColumn("balanced_accuracy", unknown)
-    return pooled.join(balanced_accuracy(rows, "_l", "_s", keys).drop("rows"), keys, "left")
+    return pooled.join(balanced_accuracy(ranked, "_l", "_s", keys).drop("rows"), keys, "left")
 
 
 def class_metrics(predictions: DataFrame, by: Sequence[str], score: str = "prediction", target: str = "target_value") -> DataFrame:
@@ -222,19 +209,19 @@ def rank_history(
 ) -> DataFrame:
     """Percent rank and descending order of each prediction inside its experiment and date.
 
-    Both come from one order of the rows: the average place of equal predictions is the mean of their first and last.
+    Both come from one order of the rows.
     """
     keys, known = list(by), F.col(score).isNotNull()
     rows = predictions.withColumns({"_neg": -F.col(score), "_one": F.lit(1), "_known": known.cast("int")})
     if shape.stamp_fits():
-        w = Window.partitionBy(*keys)
-        placed = rows.withColumns({"below__one": F.row_number().over(w.orderBy("_neg", "ticker")) - 1, "n__one": F.count("_one").over(w), "n__known": F.sum("_known").over(w)})
+        w, equal = Window.partitionBy(*keys), Window.partitionBy(*keys, "_neg")
+        placed = rows.withColumns({"below__one": F.row_number().over(w.orderBy("_neg", "ticker")) - 1, "n__known": F.sum("_known").over(w), "same__known": F.sum("_known").over(equal)})
+        upto = w.orderBy("_neg").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = placed.withColumn("low__known", F.sum("_known").over(upto) - F.col("same__known"))
     else:
-        placed = stored(cumulated(rows, keys, ["_neg", "ticker"], ["_one", "_known"]), "places")
-    peers = placed.where(known).groupBy(*keys, score).agg((F.min("below__one") + F.max("below__one")).alias("_ends"))
-    out = _join_null_safe(placed, peers, [*keys, score], "left")
-    rank = F.col("n__one") - F.col("_ends") / 2.0  # unknown ones come first in that order, so they drop out
-    return out.select(*predictions.columns, F.when(known, rank / F.col("n__known")).alias("rank_pct"), (F.col("below__one") + 1).cast("int").alias("rank_order"))
+        placed = cumulated(rows, keys, ["_neg", "ticker"], ["_one", "_known"], ["_neg"])
+    rank = F.col("n__known") - F.col("low__known") - (F.col("same__known") - 1) / 2.0
+    return placed.select(*predictions.columns, F.when(known, rank / F.col("n__known")).alias("rank_pct"), (F.col("below__one") + 1).cast("int").alias("rank_order"))
 
 
 def drawdown_relative(df: DataFrame, value: str, key: Sequence[str], order: Sequence[str], shape: Shape = DAILY) -> DataFrame:
