@@ -1,10 +1,14 @@
 """Chat formatting, HTML extraction, fingerprints, quality and search."""
 
+import collections
 import hashlib
 import json
+import random
 
 import numpy as np
 import pytest
+import regex as re
+import xxhash
 from pyspark.sql import functions as F
 
 from tickloom.llm import chat, extraction, imatch, quality, queries, search
@@ -92,10 +96,57 @@ def test_lexicon_has_the_terms_of_the_band_and_no_others(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     want = {r.t for r in spark.createDataFrame([(f"pair{i}",) for i in range(60)], "w string").select(F.xxhash64("w").alias("t")).collect()}
     found = imatch.lexicon(df)
-    asked = spark.createDataFrame([("only0x1 pair3",), ("pair3 all only7x9",), ("Pair3",), ("pair4",)], "text string")
-    prints = [r.p for r in imatch.with_fingerprints(asked, found, p="text").collect()]
+    asked = spark.createDataFrame([(0, "only0x1 pair3"), (1, "pair3 all only7x9"), (2, "Pair3"), (3, "pair4")], "id long, text string")
+    prints = [r.p for r in imatch.with_fingerprints(asked, found, "id", p="text").orderBy("id").collect()]
     assert prints[0] == prints[1] == prints[2] != prints[3]  # what stands in one document, or in each, plays no part
-    assert {t for slot in found.first().slots for t in slot} == want
+    assert {r.term for r in found.collect()} == want
+
+
+def plain_prints(texts, low, high):
+    """For each text its in-band terms of every subset, as a set: a fingerprint compares as these do."""
+    said = [{w for w in re.split(r"[^\p{L}\p{N}]+", t.lower()) if w} for t in texts]
+    df = collections.Counter(w for words in said for w in words)
+    band = {w for w, n in df.items() if max(imatch.LEAST, low * len(texts)) <= n <= high * len(texts)}
+
+    def subsets(text):
+        words = {w for w in re.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+        hashes = sorted(xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words & band or words)
+        share = lambda low, high: tuple(h for h in hashes if low <= h / 2.0**64 < high)
+        thin = [share(0.25 * (part == 1) + 0.3125 * (part == 2) + i / n, 0.25 * (part == 1) + 0.3125 * (part == 2) + (i + 1) / n) for part, n in enumerate((64, 256, 1024)) for i in range(16)]
+        return [*thin, share(0, 0.5), share(0.5, 1)]
+
+    return subsets
+
+
+def test_fingerprints_agree_with_a_plain_version(spark):
+    draw = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(3000)] + ["É", "naïve", "x1"]
+    texts = [" ".join(draw.choices(vocabulary, k=draw.randint(0, 300))) for _ in range(60)]
+    texts += [t[: len(t) // 2] + " end" for t in texts[:20]] + ["", None, "solo", "a,b;c", texts[0], "long " * 30000 + "tail"]
+    ids = [None, None, 5, 5, 1 << 60] + [i * 7919 * 10**12 for i in range(6, len(texts) + 1)]  # null, equal and hashed ids
+    got = imatch.edit_report(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(5)).collect()
+    subsets = plain_prints([t or "" for t in texts], imatch.LOW, imatch.HIGH)
+    key = lambda r: (r.n_chars, r.fingerprint)
+    by_text = {}
+    for i, t in zip(ids, texts, strict=True):
+        rows = [r for r in got if r.doc_id == i and r.n_chars == len(t or "")]
+        assert rows
+        by_text[t or ""] = rows[0].fingerprint
+    for a in by_text:
+        for b in by_text:
+            for x, y, i in zip(subsets(a), subsets(b), range(50), strict=True):
+                left, right = (by_text[t][8 * i : 8 * i + 8] for t in (a, b))
+                assert (left == right) == (x == y) and (left == "-" * 8) == (not x)
+    # the next row by descending id, nulls last, after the last the first
+    distinct = {(r.doc_id, key(r)): r for r in got}.values()
+    order = [r.doc_id for r in sorted(distinct, key=lambda r: (r.doc_id is None, -(r.doc_id or 0)))]
+    nexts = {}
+    for r in distinct:
+        nexts.setdefault(r.doc_id, []).append(r.next_doc_id)
+    want = {}
+    for a, b in zip(order, [*order[1:], order[0]], strict=True):
+        want.setdefault(a, []).append(b)
+    assert {k: sorted(v, key=repr) for k, v in nexts.items()} == {k: sorted(v, key=repr) for k, v in want.items()}
 
 
 def test_edits_are_nearer_than_neighbours(spark, folder):

@@ -2,12 +2,13 @@
 
 Terms are lower-cased words of letters and digits. The lexicon keeps terms whose document frequency, as a share of all
 documents, lies in a band; frequencies are counted for each term over the whole corpus. The low end bounds the lexicon at any
-corpus size: it has at most the mean number of distinct terms of a document divided by ``LOW`` terms. A text's distinct terms in the lexicon are sorted and hashed for each of
-50 random subsets of the lexicon: both halves, and 16 subsets each with one term in 64, in 256 and in 1,024. Sparse
-subsets survive edits, dense ones tell texts apart. Two fingerprints are alike by the share of equal subsets among those where
-either has terms.
+corpus size: it has at most the mean number of distinct terms of a document divided by ``LOW`` terms. A text's distinct terms in the lexicon are sorted by their hash and hashed for each of
+50 random subsets of the lexicon: both halves, and 16 subsets each with one term in 64, in 256 and in 1,024. A subset is an
+interval of term hashes, so it is a run of the sorted terms. Sparse subsets survive edits, dense ones tell texts apart. Two
+fingerprints are alike by the share of equal subsets among those where either has terms.
 
-Only column functions are used. Null texts are empty. A text without terms in the band uses all its terms; a text without
+Only column functions are used. Terms are exploded where their text is, meet the lexicon in a hash join, and are gathered by
+text again without an exchange. Null texts are empty. A text without terms in the band uses all its terms; a text without
 terms has an empty fingerprint, fully alike to another such one. Rows equal in id and text count as one when the next
 document is looked for, and each has its result; null ids come last; other columns are passed over; an empty table gives
 an empty result. A document's terms are held in one row, the corpus's never.
@@ -15,95 +16,75 @@ an empty result. A document's terms are held in one row, the corpus's never.
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.functions.session import in_ranges
 from tickloom.llm.overlaps import keyed
 from tickloom.llm.text import stored
 
-#: Terms in a slot of the lexicon, on average at most.
-FULL = 4
 #: Least number of documents of a term, and its least and largest share of all documents.
 LEAST, LOW, HIGH = 2, 2e-5, 0.1
-#: Binary logarithm of the share of terms that each further level of 16 subsets is drawn from.
-THINNED = (2, 4, 6)
-#: Ids in a bucket when the next document is looked for.
-NEAR = 1000
+#: Hexadecimal digits that the term hashes of a subset begin at: 16 subsets of a 64th of all hashes, 16 of a 256th, 16 of a
+#: 1,024th, the rest of the lower half, and the upper half.
+BOUNDS = [*(f"{4 * i:02X}" for i in range(16)), *(f"{64 + i:02X}" for i in range(16)), *(f"{5 * 256 + 4 * i:03X}" for i in range(16)), "54", "80"]
+#: Terms up to which the lexicon is sent to all executors, about 100 MB there; beyond it is merged.
+SENT = 3_000_000
 
 
 def terms(text: Column) -> Column:
-    """Sorted distinct hashes of the words of a text."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    return F.sort_array(F.array_distinct(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))))
-
-
-def _slot(term: Column, slots: Column) -> Column:
-    return F.pmod(term, slots)
+    """Distinct words of a text."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")), "")
 
 
 def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row with the terms within the band by slot, ``slots``: an array that the low end of the band bounds."""
+    """``term``, the hashes of the terms within the band."""
     # a null stands for the document itself, so that one exchange counts both
-    seen = docs.select(F.explode(F.concat(terms(F.col("text")), F.array(F.lit(None).cast("bigint")))).alias("term"))
-    counts = seen.groupBy("term").agg(F.count("*").alias("df"))
+    seen = docs.select(F.explode(F.array_append(terms(F.col("text")), F.lit(None))).alias("word"))
+    counts = seen.groupBy(F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term")).agg(F.count("*").alias("df"))
     counts = stored(counts.where((F.col("df") >= LEAST) | F.col("term").isNull()), "frequencies")
     total = (counts.where("term is null").first() or (None, 0))[1]
-    kept = counts.where(F.col("term").isNotNull() & (F.col("df") >= max(LEAST, low * total)) & (F.col("df") <= high * total))
-    slots = 1 << max(0, (kept.count() - 1) // FULL).bit_length()
-    own = kept.groupBy(_slot(F.col("term"), F.lit(slots)).alias("slot")).agg(F.collect_list("term").alias("own"))
-    every = docs.sparkSession.range(slots).withColumnRenamed("id", "slot").join(own, "slot", "left")
-    every = every.select(F.struct("slot", F.coalesce("own", F.array().cast("array<bigint>")).alias("own")).alias("at"))
-    return stored(every.agg(F.sort_array(F.collect_list("at"))["own"].alias("slots")), "lexicon")
-
-
-def _bits(term: Column, shift: int, width: int) -> Column:
-    return F.call_function("shiftrightunsigned", term, F.lit(shift)).bitwiseAND(F.lit((1 << width) - 1))
-
+    return counts.where(F.col("term").isNotNull() & (F.col("df") >= max(LEAST, low * total)) & (F.col("df") <= high * total)).select("term")
 
-def fingerprints(texts: list[Column], slots: Column) -> Column:
-    """For each text the hashes of its terms in each subset, null for a subset without terms; ``slots`` is the lexicon's."""
-    def inside(table: Column, term: Column) -> Column:
-        return F.array_contains(F.element_at(table, (_slot(term, F.size(table)) + 1).cast("int")), term)
 
-    def subsets(own: Column, shift: int, width: int) -> Column:
-        def one(k: Column) -> Column:
-            part = F.filter(own, lambda t: _bits(t, shift, width) == k)
-            return F.when(F.size(part) > 0, F.hash(part))
-        return F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << width) - 1).cast("bigint")), one)
+def _runs(band: Column) -> Column:
+    """A hash of the run of the sorted ``band`` from each bound to the next, null for an empty run; terms are 16 digits long.
 
-    def level(own: Column, shift: int, thin: int) -> Column:
-        rest = F.filter(own, lambda t: _bits(t, shift, thin) == 0)
-        return bind(rest, lambda few: subsets(few, shift + thin, 4))
-
-    def all_levels(own: Column) -> Column:
-        shifts = itertools.accumulate([thin + 4 for thin in THINNED[:-1]], initial=21)
-        return F.concat(subsets(own, 20, 1), *[level(own, shift, thin) for shift, thin in zip(shifts, THINNED, strict=True)])
-
-    def chosen(table: Column, every: Column) -> Column:
-        band = F.filter(every, lambda term: inside(table, term))
-        return F.when(F.size(band) > 0, band).otherwise(every)
+    A bound's mark sorts right before the terms that begin like it, so that splitting the joined terms at the marks cuts the
+    runs; the next bound's digits end each.
+    """
+    marked = F.array_join(F.sort_array(F.concat(band, F.array(*[F.lit(f"{x}!") for x in BOUNDS]))), " ")
+    runs = F.slice(F.split(marked, "!", -1), 2, len(BOUNDS))
+    return F.transform(runs, lambda run: F.when(F.length(run) > 16, F.hash(run)))
 
-    def one(table: Column, text: Column) -> Column:
-        return bind(terms(text), lambda every: bind(chosen(table, every), all_levels))
 
-    return bind(slots, lambda table: F.array(*[one(table, text) for text in texts]))
+def _subsets(runs: Column) -> Column:
+    """The runs as subsets; the lower half is made of all runs but the last."""
+    sparse, low = F.slice(runs, 1, len(BOUNDS) - 2), F.slice(runs, 1, len(BOUNDS) - 1)
+    return F.concat(sparse, F.array(F.when(F.size(F.array_compact(low)) > 0, F.hash(low))), F.slice(runs, len(BOUNDS), 1))
 
 
-def with_fingerprints(rows: DataFrame, lexicon: DataFrame, **texts: str) -> DataFrame:
-    """Add the fingerprint of the text column ``texts[name]`` as ``name``.
+def with_fingerprints(rows: DataFrame, lexicon: DataFrame, key: str, note: str | None = None, **texts: str) -> DataFrame:
+    """``key`` and the fingerprint of each text column ``texts[name]`` as ``name``; one row for each distinct key.
 
-    The lexicon is a subquery, as a literal of its size would stand in every plan's text; named once, so that it is not copied for each row.
+    A column ``note`` that depends on the key is carried along on one of a row's terms only. A lexicon of up to ``SENT`` terms,
+    which are counted, is sent to all executors.
     """
-    rows = rows.withColumn("_slots", lexicon.scalar())
-    rows = rows.withColumn("_prints", fingerprints([F.col(x) for x in texts.values()], F.col("_slots"))).drop("_slots")
-    return rows.withColumns({name: F.col("_prints")[i] for i, name in enumerate(texts)}).drop("_prints")
-
-
-def bind(value: Column, use) -> Column:
-    """``use(value)`` with the value evaluated once, as the element of an array."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+    known = lexicon.select("term", F.lit(True).alias("known"))
+    known = F.broadcast(known) if lexicon.count() <= SENT else known
+    sides = rows.select(key, F.col(note or key).alias("_note"), F.posexplode(F.array(*[F.col(x) for x in texts.values()])).alias("side", "text"))
+    said = sides.select(key, "_note", "side", F.posexplode_outer(terms(F.col("text"))).alias("at", "word"))
+    first = (F.col("side") == 0) & (F.coalesce("at", F.lit(0)) == 0)
+    said = said.select(key, F.when(first, F.col("_note")).alias("_note"), "side", F.when(F.col("word").isNotNull(), F.xxhash64("word")).alias("term"))
+    said = said.join(known, "term", "left").withColumn("digits", F.lpad(F.hex("term"), 16, "0"))
+    # the terms outside the band are kept for texts that have no others
+    side = lambda i, where: F.collect_list(F.when((F.col("side") == i) & where, F.col("digits")))
+    inside = F.col("known").isNotNull()
+    gathered = [side(i, w).alias(f"_{n}{i}") for i in range(len(texts)) for n, w in (("in", inside), ("out", ~inside))]
+    found = said.groupBy(key).agg(F.max("_note").alias("_note"), *gathered)
+    own = {name: _runs(F.when(F.size(f"_in{i}") > 0, F.col(f"_in{i}")).otherwise(F.col(f"_out{i}"))) for i, name in enumerate(texts)}
+    rest = [key, F.col("_note").alias(note)] if note else [key]
+    return found.select(key, "_note", *[x.alias(name) for name, x in own.items()]).select(*rest, *[_subsets(F.col(name)).alias(name) for name in own])
 
 
 def written(prints: Column) -> Column:
@@ -119,42 +100,37 @@ def alike(a: Column, b: Column) -> Column:
 
 
 def next_rows(ids: DataFrame) -> DataFrame:
-    """``key, n, next_key`` over rows ``key, doc_id, n``: the next row by descending id, after the last the first.
+    """``key, n, next_key`` over distinct rows ``key, doc_id, n``: the next row by descending id, after the last the first.
 
-    Rows are ordered within buckets of ids, the buckets' first rows within buckets of buckets, and those (a millionth of
-    a dense id range) in one window.
+    Rows are put in order by ranges of sampled ids; the first row of each range follows the last one of the range before.
     """
-    low = F.coalesce(F.floor(F.col("doc_id") / NEAR), F.lit(-(1 << 62)))
-    rows = ids.withColumn("b0", low).withColumn("b1", F.floor(F.col("b0") / NEAR))
-    order = [F.desc_nulls_last("doc_id"), F.desc("key")]
-    first = lambda *by: rows.groupBy(*by).agg(F.max_by("key", F.struct("doc_id", "key")).alias("head"))
-    tops = first("b1")
-    whole = Window.orderBy(F.desc("b1"))
-    tops = tops.select("b1", F.coalesce(F.lead("head").over(whole), F.first("head").over(whole)).alias("after1"))
-    middles = first("b1", "b0").withColumn("after0", F.lead("head").over(Window.partitionBy("b1").orderBy(F.desc("b0"))))
-    middles = middles.join(tops, "b1").select("b0", F.coalesce("after0", "after1").alias("after"))
-    inner = rows.withColumn("next", F.lead("key").over(Window.partitionBy("b0").orderBy(*order)))
-    return inner.join(middles, "b0").select("key", "n", F.coalesce("next", "after").alias("next_key"))
+    rows = in_ranges(ids, [F.desc_nulls_last("doc_id"), F.desc("key")], "ids").withColumn("part", F.shiftright("_at", 33))
+    heads = rows.groupBy("part").agg(F.min_by("key", "_at").alias("head"))  # as many rows as ranges
+    whole = Window.orderBy("part")
+    heads = heads.select("part", F.coalesce(F.lead("head").over(whole), F.first("head").over(whole.rowsBetween(Window.unboundedPreceding, 0))).alias("after"))
+    rows = rows.withColumn("next", F.lead("key").over(Window.partitionBy("part").orderBy("_at")))
+    return rows.join(F.broadcast(heads), "part").select("key", "n", F.coalesce("next", "after").alias("next_key"))
 
 
 def edit_report(df: DataFrame) -> DataFrame:
     """Fingerprints of each document and of its text with the second half replaced by the next document's beginning."""
     docs = keyed(df)
     band = lexicon(docs)
-    ids = docs.select("key", "doc_id", F.length("text").alias("n")).distinct()
-    order = next_rows(ids)
+    ids = docs.select("key", "doc_id", F.length("text").cast("long").alias("n"))
+    order = stored(next_rows(ids.distinct()), "order")
     half = F.floor(F.col("n") / 2).cast("int")
-    asked = order.select(F.col("next_key").alias("key"), F.col("key").alias("prev_key"), half.alias("half"))
-    # the next document's id is carried along, so that both joins read the same columns and share one exchange of texts
-    heads = docs.join(asked, "key").groupBy("prev_key").agg(F.first(F.substr("text", F.lit(1), F.col("half"))).alias("head"), F.first("doc_id").alias("next_doc_id"))
-    after = order.select(F.col("key").alias("own_key"), "next_key")
-    edited = docs.join(heads, docs["key"] == heads["prev_key"]).join(after, docs["key"] == after["own_key"])
+    asked = order.select(F.col("next_key").alias("key"), F.col("key").alias("own_key"), "n", half.alias("half"))
+    # equal rows are one from here on, as fingerprints are those of distinct keys; both joins read the same columns, so they share one
+    # exchange of texts; the own id is carried for that alone
+    whole = docs.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    heads = whole.join(asked, "key").select("own_key", F.col("key").alias("next_key"), F.substr("text", F.lit(1), F.col("half")).alias("head"), F.col("doc_id").alias("next_doc_id"))
     n = F.length("text")
-    edited = edited.select("key", "next_key", "doc_id", "next_doc_id", "text", F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head")).alias("changed"))
-    made = with_fingerprints(edited, band, own="text", other="changed")
-    made = made.select("key", "next_key", "doc_id", "next_doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("changed", 256).alias("edited_sha256"), "own", "other")
-    made = stored(made, "fingerprints")
-    following = made.groupBy(F.col("key").alias("next_key")).agg(F.first("own").alias("next_own"))
-    rows = made.join(following, "next_key")
-    return rows.select("doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
+    edited = whole.join(heads, F.col("key") == F.col("own_key")).select(
+        "key", "next_key", "next_doc_id", "doc_id", "text", F.concat(F.substr("text", F.lit(1), n - F.floor(n / 2).cast("int")), F.col("head")).alias("changed"))
+    edited = edited.withColumn("note", F.struct("next_key", "next_doc_id", F.col("doc_id").alias("own_id"), F.sha2("changed", 256).alias("edited_sha256")))
+    prints = with_fingerprints(edited, band, "key", "note", own="text", other="changed")
+    prints = stored(prints.select("key", "note.*", "own", "other"), "fingerprints")
+    following = prints.select(F.col("key").alias("next_key"), F.col("own").alias("next_own"))
+    rows = ids.join(prints, "key").join(following, "next_key")
+    return rows.select("doc_id", F.col("n").alias("n_chars"), "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
                        alike(F.col("own"), F.col("other")).alias("near_edited"), alike(F.col("own"), F.col("next_own")).alias("near_next"), "next_doc_id")
