@@ -4,7 +4,7 @@ A text is the set of its byte trigrams, words and word pairs (all pairs of equal
 value of its smoothed log-count ratio between good and bad texts; a linear model with hinge loss is fitted on these by dual
 coordinate descent, and a logistic curve on rows left out of the fit turns margins into scores from 0 to 1.
 
-The model is fitted in one task on at most ``SAMPLE`` labelled rows, those with the smallest hashes of their ids, a bound
+The model is fitted in one task, texts are read and cut in all, on at most ``SAMPLE`` labelled rows, those with the smallest hashes of their ids, a bound
 whatever the size of the corpus; scoring reads every text whole. Null and empty texts get the score of a text without
 n-grams. Labels other than 0 and 1 are left out, rows labelled twice count twice. Without labelled rows every score is
 0.5; with one class only, every score is that class.
@@ -174,7 +174,8 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
         row = [model.weights.tobytes(), model.weights.ndim, model.bias, model.slope, model.shift]
         yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["weights", "kinds", "bias", "slope", "shift"])
 
-    rows = chosen.mapInArrow(extract, "doc_id bigint, quality int, buckets array<int>").coalesce(1)
+    # an exchange, so that texts are read and cut by as many tasks as the table has; only the bounded sample's lists go to one
+    rows = chosen.mapInArrow(extract, "doc_id bigint, quality int, buckets array<int>").repartition(1)
     found = rows.mapInArrow(learn, "weights binary, kinds bigint, bias double, slope double, shift double").first()
     if found is None:
         return fit([], np.zeros(0, np.int64))
