@@ -202,6 +202,7 @@ def resample(documents: DataFrame, target: DataFrame, percent: int = 25, least_w
     """
     scored = weights(documents, gains(documents, target, buckets, longest), longest)
     scored = scored.withColumn("score", F.col("weight") + gumbel("doc_id", seed)).withColumn("able", F.col("n_words") >= least_words)
+    scored = stored(scored, "scores")  # the range exchange reads its input twice, and texts are long
     # the last two only part equal scores and ids, so that copies of one row need not meet in one range
     order = [F.desc("able"), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("n_features"), F.asc("spread")]
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
