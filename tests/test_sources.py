@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from catalog import fixtures as fx
 from tickloom.operators.cleaning import assert_symbol_cap, regime_filter
+from tickloom.sources import dayfiles as df
 from tickloom.sources import readers as rd
 from tickloom.sources import sinks as sk
 from tickloom.streaming import audits as au
@@ -46,6 +47,42 @@ def test_zipped_chain_and_bad_archive(spark, tmp_path):
     assert [r._file for r in rd.bad_files(spark, str(tmp_path)).collect()] == ["fo03JAN2024bhav.csv.zip"]
 
 
+def test_each_file_has_its_own_headers(spark, tmp_path):
+    (tmp_path / "sec_bhavdata_full_02012024.csv").write_text("SYMBOL, SERIES, TTL_TRD_QNTY, DELIV_QTY, DELIV_PER\nabc , EQ, 100, 40, 40.0\n")
+    (tmp_path / "sec_bhavdata_full_03012024.csv").write_text("\ufeffDELIV_PERCENT,TICKER,DELIVERABLE_QTY,TOTTRDQTY,EXTRA\n50.0,abc,5,10,x\nshort,row\n", encoding="utf-8")
+    (tmp_path / "sec_bhavdata_full_04012024.csv").write_text("SYMBOL,DELIV_QTY\nA,1\n")
+    (tmp_path / "sec_bhavdata_full_05012024.csv").write_text("")
+    (tmp_path / "sec_bhavdata_full_06012024.csv").write_text("SYMBOL,TTL_TRD_QNTY,DELIV_QTY,DELIV_PER\n")
+    rows = rd.read_delivery(spark, str(tmp_path)).orderBy("date").collect()
+    assert [(r.date.day, r.symbol, r.total_qty, r.deliv_qty, r.deliv_pct) for r in rows] == [(2, "ABC", 100.0, 40.0, 40.0), (3, "ABC", 10.0, 5.0, 50.0)]
+    bad = {r._file[18:20]: r.error for r in rd.bad_files(spark, str(tmp_path), "delivery").collect()}
+    assert set(bad) == {"03", "04", "05"} and bad["03"].startswith("1 rows") and "deliv_pct" in bad["04"]
+    assert [r.date.day for r in rd.read_delivery(spark, str(tmp_path), since="2024-01-03", until="2024-01-05").collect()] == [3]
+
+
+def test_only_asked_columns_and_rows_leave_the_reader(spark, tmp_path):
+    row = "OPTIDX,NIFTY,25-JAN-2024,21500,CE,120.5,120,10,1000,5,02-JAN-2024\n"
+    with zipfile.ZipFile(tmp_path / "fo02JAN2024bhav.csv.zip", "w") as z:
+        z.writestr("a.csv", CHAIN + row * 3 + row.replace("NIFTY", "BANKNIFTY"))
+        z.writestr("b.csv", "SYMBOL,CLOSE,OTHER\nnifty,7,x\n")
+        z.writestr("notes.txt", "x")
+    found = df.members(str(tmp_path))
+    assert [m.inner for m in found] == ["a.csv", "b.csv"]
+    reader = df.DayFileReader(["close", "_file"], {"path": str(tmp_path), "kind": "chain", "equal": '{"symbol": "nifty"}'})
+    batches = [b for m in found for b in reader.read(m)]
+    assert {tuple(b.schema.names) for b in batches} == {("close", "_file")} and sum(b.num_rows for b in batches) == 4
+    days = df.read_days(spark, str(tmp_path), "chain", ["close"], {"symbol": "nifty"})
+    assert days.rdd.getNumPartitions() == 2 and sorted(r.close for r in days.collect()) == ["120.5", "120.5", "120.5", "7"]
+    every = rd.read_chain(spark, str(tmp_path), None).collect()
+    assert sorted(r.symbol for r in every) == ["BANKNIFTY", "NIFTY", "NIFTY", "NIFTY"]
+    assert "trade_date" in rd.bad_files(spark, str(tmp_path), "chain").first().error
+
+
+def test_white_space_in_bars_is_dropped(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("Symbol, Date , Open,High,Low,Close,Volume\n abc , 2024-01-02 10:00:00 , 1 ,2,3,4,5\n")
+    assert [(r.ticker, r.open, r.ts.hour) for r in rd.read_bars(spark, str(tmp_path)).collect()] == [("ABC", 1.0, 10)]
+
+
 def test_series_status(spark, tmp_path):
     good = tmp_path / "vix.csv"
     good.write_text("Date,Close\n2024-01-01 09:00:00,10\n2024-01-01 15:00:00,11\n2024-01-02,bad\n")

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.operators.cleaning import keep_last
 from tickloom.schemas import resolve_columns
+from tickloom.sources.dayfiles import first_header, read_days
 
 
 def exchange_date(text: Column) -> Column:
@@ -30,7 +27,8 @@ FUTURES_NAME = (r"fo(\d{2}[a-z]{3}\d{4})bhav\.csv(?:\.zip)?$", "ddMMMyyyy")
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     """Text columns only: values are cast afterwards, so a bad value becomes null instead of failing a job."""
-    raw = spark.read.option("header", True).option("enforceSchema", False)  # a file with other columns fails, it is not misread.option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+    raw = raw.option("enforceSchema", False)  # a file with other columns fails, it is not misread
     return raw.option("recursiveFileLookup", True).csv(path).select("*", F.col("_metadata.file_name").alias("_file"))
 
 
@@ -58,80 +56,54 @@ def read_series(spark: SparkSession, paths: list[str], label: str) -> tuple[Data
     return None, "missing"
 
 
-def read_delivery(spark: SparkSession, path: str) -> DataFrame:
-    """Delivery files of many days; the date comes from each file's name."""
-    rows = resolve_columns(_csv(spark, path), "delivery")
-    out = rows.select(
+def read_delivery(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    """Delivery files of many days, each with its own column order; the date comes from each file's name.
+
+    A folder whose first file lacks a column is refused; later such files are left out and listed by :func:`bad_files`.
+    """
+    first_header(path, "delivery")
+    rows = read_days(spark, path, "delivery", since=since, until=until, name=(DELIVERY_NAME[0], "%d%m%Y"))
+    out = rows.filter("error IS NULL").select(
         file_date(F.col("_file"), *DELIVERY_NAME).alias("date"),
-        F.upper(F.trim("symbol")).alias("symbol"),
+        F.upper("symbol").alias("symbol"),
         *[F.col(c).try_cast("double").alias(c) for c in ("total_qty", "deliv_qty", "deliv_pct")],
     )
     return out.filter((F.col("symbol") != "") & F.col("date").isNotNull())
 
 
-def _unzip(batches):
-    """One archive per row: first CSV member, UTF-8 or else Latin-1; an unreadable archive yields an error row."""
-    for pdf in batches:
-        for name, content in zip(pdf["name"], pdf["content"]):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    member = next(n for n in archive.namelist() if n.lower().endswith(".csv"))
-                    body = archive.read(member)
-                try:
-                    text = body.decode("utf-8")
-                except UnicodeDecodeError:
-                    text = body.decode("latin-1")
-                frame = pd.read_csv(io.StringIO(text), dtype=str)
-                frame.columns = [str(c).strip().upper() for c in frame.columns]
-                cells = frame.to_dict("records")
-                rows = [{k: v for k, v in c.items() if isinstance(v, str)} for c in cells]
-                yield pd.DataFrame({"_file": name, "cells": rows, "error": None})
-            except Exception as problem:  # noqa: BLE001
-                yield pd.DataFrame({"_file": [name], "cells": [{}], "error": [str(problem)]})
-
-
-def read_zipped(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of zipped daily CSV files as (_file, cells map, error). Archives are split over tasks, one day each."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.zip").load(path)
-    named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return named.mapInPandas(_unzip, "_file string, cells map<string,string>, error string")
-
-
-def _cell(*names: str) -> Column:
-    return F.coalesce(*[F.element_at("cells", F.lit(n)) for n in names])
-
-
-def read_futures_oi(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_zipped(spark, path).filter("error IS NULL")
+def read_futures_oi(spark: SparkSession, path: str, since: str | None = None, until: str | None = None) -> DataFrame:
+    rows = read_days(spark, path, "oi", since=since, until=until, name=(FUTURES_NAME[0], "%d%b%Y")).filter("error IS NULL")
     out = rows.select(
         file_date(F.col("_file"), *FUTURES_NAME).alias("date"),
-        F.upper(F.trim(_cell("INSTRUMENT"))).alias("instrument"),
-        F.upper(F.trim(_cell("SYMBOL"))).alias("symbol"),
-        exchange_date(_cell("EXPIRY_DT", "EXPIRY")).alias("expiry"),
-        _cell("OPEN_INT", "OPENINTEREST").try_cast("double").alias("oi"),
-        _cell("CHG_IN_OI", "CHANGEINOI", "CHANGE_IN_OI").try_cast("double").alias("chg_in_oi"),
+        F.upper("instrument").alias("instrument"),
+        F.upper("symbol").alias("symbol"),
+        exchange_date(F.col("expiry")).alias("expiry"),
+        F.col("oi").try_cast("double").alias("oi"),
+        F.col("chg_in_oi").try_cast("double").alias("chg_in_oi"),
     )
     return out.filter((F.col("symbol") != "") & F.col("date").isNotNull())
 
 
-def read_chain(spark: SparkSession, path: str, underlying: str = "NIFTY", kind: str = "OPTIDX") -> DataFrame:
-    """Index options of one underlying from zipped daily files; incomplete rows are dropped."""
-    rows = read_zipped(spark, path).filter("error IS NULL")
-    wanted = rows.filter((F.upper(F.trim(_cell("INSTRUMENT"))) == kind) & (F.upper(F.trim(_cell("SYMBOL"))) == underlying))
-    return wanted.select(
-        exchange_date(_cell("TIMESTAMP")).alias("trade_date"),
-        exchange_date(_cell("EXPIRY_DT")).alias("expiry"),
-        _cell("STRIKE_PR").try_cast("double").alias("strike"),
-        F.upper(F.trim(_cell("OPTION_TYP"))).alias("option_typ"),
-        _cell("CLOSE").try_cast("double").alias("close"),
-        _cell("CONTRACTS").try_cast("double").cast("long").alias("contracts"),
-        _cell("OPEN_INT").try_cast("double").cast("long").alias("open_int"),
+def read_chain(spark: SparkSession, path: str, underlying: str | None = "NIFTY", kind: str = "OPTIDX") -> DataFrame:
+    """Options of one underlying (all with None, then with ``symbol``) from daily files; incomplete rows are dropped."""
+    equal = {"instrument": kind} | ({"symbol": underlying} if underlying else {})
+    columns = ["trade_date", "expiry", "strike", "option_typ", "close", "contracts", "open_int", *(() if underlying else ("symbol",))]
+    rows = read_days(spark, path, "chain", columns, equal).filter("error IS NULL")
+    return rows.select(
+        *(() if underlying else (F.upper("symbol").alias("symbol"),)),
+        exchange_date(F.col("trade_date")).alias("trade_date"),
+        exchange_date(F.col("expiry")).alias("expiry"),
+        F.col("strike").try_cast("double").alias("strike"),
+        F.upper("option_typ").alias("option_typ"),
+        F.col("close").try_cast("double").alias("close"),
+        F.col("contracts").try_cast("double").cast("long").alias("contracts"),
+        F.col("open_int").try_cast("double").cast("long").alias("open_int"),
     ).dropna(subset=["trade_date", "expiry", "strike", "close"])
 
 
-def bad_files(spark: SparkSession, path: str) -> DataFrame:
-    """Archives that could not be read, with the reason."""
-    return read_zipped(spark, path).filter("error IS NOT NULL").select("_file", "error")
+def bad_files(spark: SparkSession, path: str, kind: str = "oi") -> DataFrame:
+    """Files and archives that could not be read as ``kind``, with the reason."""
+    return read_days(spark, path, kind).filter("error IS NOT NULL").select("_file", "error")
 
 
 def master_stats(df: DataFrame) -> DataFrame:
