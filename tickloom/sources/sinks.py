@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -21,8 +22,8 @@ def merge_latest(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> Da
 def upsert(new: DataFrame, path: str, keys: Sequence[str], by: str) -> None:
     """Merge ``new`` into a Parquet tree partitioned by ``by``, rewriting only the partitions it touches.
 
-    The merged partitions are written to a staging folder first and swapped in by dynamic overwrite, so the table is
-    never read and replaced in the same job.
+    The merged partitions are written to a staging folder of this call first and swapped in by dynamic overwrite, so the table is
+    never read and replaced in the same job. For several writers, or readers meanwhile, see ``published``.
     """
     spark = new.sparkSession
     try:
@@ -32,10 +33,12 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], by: str) -> None:
         return
     touched = new.select(by).distinct()
     merged = merge_latest(current.join(touched, by, "left_semi"), new, keys)
-    staging = f"{path.rstrip('/')}_staging"
-    merged.write.mode("overwrite").partitionBy(by).parquet(staging)
+    staging = f"{path.rstrip('/')}_staging_{uuid.uuid4().hex}"
+    merged.write.partitionBy(by).parquet(staging)
     staged = spark.read.schema(merged.schema).parquet(staging)
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staging)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:
