@@ -205,6 +205,38 @@ CHAIN = """chain AS (
   FROM spot, (SELECT unnest(range(-12, 13)) AS i), (SELECT unnest(['CE', 'PE']) AS option_typ))"""
 
 
+def stock_spot(t: Tables) -> DataFrame:
+    """Close of every supplier on the days it trades."""
+    return bars(t).select(F.col("ticker").alias("symbol"), F.col("ts").alias("dt"), F.col("close").alias("spot"))
+
+
+def stock_chain(t: Tables) -> DataFrame:
+    """Listed options of every supplier: nine strikes, calls and puts, a ladder of three expiries."""
+    thursday = F.date_add(F.col("dt"), 3)
+    weekly = F.date_add(thursday, (10 - F.weekday(thursday)) % 7)
+    ladder = F.explode(F.array(weekly, F.date_add(weekly, 7), F.date_add(weekly, 28)))
+    listed = stock_spot(t).select("symbol", F.col("dt").alias("trade_date"), "spot", ladder.alias("expiry"))
+    listed = listed.select("*", F.explode(F.sequence(F.lit(-4), F.lit(4))).alias("i")).select("*", F.explode(F.array(F.lit("CE"), F.lit("PE"))).alias("option_typ"))
+    strike, days = (F.floor(F.col("spot") / 10 + 0.5) * 10 + 20 * F.col("i")).cast("double"), F.datediff("expiry", "trade_date")
+    gap = F.when(F.col("option_typ") == "CE", F.col("spot") - strike).otherwise(strike - F.col("spot"))
+    contracts = ((F.dayofyear("trade_date") * 31 + 17 * F.col("i") + 7 * days + 250) % 50).cast("long")
+    return listed.select(
+        "symbol", "trade_date", "expiry", strike.alias("strike"), "option_typ",
+        (F.greatest(gap, F.lit(0.0)) + 24 - 4 * F.abs(F.col("i")) + days / 4.0).alias("close"), contracts.alias("contracts"), (10 * contracts).alias("open_int"),
+    )
+
+
+STOCK_CHAIN = """stock_spot AS (SELECT ticker AS symbol, ts AS dt, close AS spot FROM bars),
+    stock_chain AS (
+      SELECT symbol, trade_date, expiry, CAST(k AS DOUBLE) AS strike, option_typ,
+             greatest(CASE WHEN option_typ = 'CE' THEN spot - k ELSE k - spot END, 0.0) + 24 - 4 * abs(i) + (expiry - trade_date) / 4.0 AS close,
+             CAST((dayofyear(trade_date) * 31 + 17 * i + 7 * (expiry - trade_date) + 250) % 50 AS BIGINT) AS contracts
+      FROM (
+        SELECT symbol, dt AS trade_date, spot, i, option_typ, floor(spot / 10 + 0.5) * 10 + 20 * i AS k,
+               dt + 3 + CAST((10 - (isodow(dt + 3) - 1)) % 7 AS INTEGER) + step AS expiry
+        FROM stock_spot, (SELECT unnest([0, 7, 28]) AS step), (SELECT unnest(range(-4, 5)) AS i), (SELECT unnest(['CE', 'PE']) AS option_typ)))"""
+
+
 def earnings(t: Tables) -> DataFrame:
     suppliers = t.supplier.agg(F.count(F.lit(1)).alias("n"))
     # one-row table: the supplier count

@@ -277,6 +277,86 @@ def _(t):
     return op.covered_calls(fx.chain(t), fx.spot(t), 0.02, 3, 10)
 
 
+# 7 to 35 days ahead, 5 % out of the money, one contract traded at least: one trade for each name and day
+STOCKS = f"""{fx.BARS}, {fx.STOCK_CHAIN},
+    firsts AS (SELECT symbol, trade_date, min(expiry) FILTER (expiry - trade_date BETWEEN 7 AND 35) AS expiry FROM stock_chain GROUP BY ALL),
+    entry AS (
+      SELECT f.*, a.spot AS s, b.spot AS x FROM firsts f JOIN stock_spot a ON a.symbol = f.symbol AND a.dt = f.trade_date
+      JOIN stock_spot b ON b.symbol = f.symbol AND b.dt = f.expiry),
+    live AS (SELECT * FROM stock_chain WHERE close > 0 AND contracts > 0),
+    listed AS (SELECT e.*, option_typ, strike, close, contracts FROM entry e JOIN live USING (symbol, trade_date, expiry)),
+    puts AS (
+      SELECT symbol, trade_date, expiry, s, x, max(strike) AS strike, arg_max(close, strike) AS premium, arg_max(contracts, strike) AS contracts
+      FROM listed WHERE option_typ = 'PE' AND strike <= s * 0.95 GROUP BY ALL),
+    calls AS (
+      SELECT symbol, trade_date, expiry, s, x, min(strike) AS strike, arg_min(close, strike) AS premium
+      FROM listed WHERE option_typ = 'CE' AND strike >= s * 1.02 GROUP BY ALL),
+    csp AS (
+      SELECT *, trade_date AS entry_date, expiry AS expiry_date, expiry - trade_date AS days_to_expiry,
+             premium - greatest(strike - x, 0) AS net_pnl_points, (premium - greatest(strike - x, 0)) / strike AS return_on_cash, strike > x AS assigned FROM puts)"""
+
+
+def _stock_puts(t):
+    return op.cash_secured_puts(fx.stock_chain(t), fx.stock_spot(t))
+
+
+@query(
+    "j8_stock_entry_days",
+    "symbol:s trade_date:d expiry:d days_to_expiry:i spot_entry:f spot_expiry:f",
+    f"""WITH {STOCKS} SELECT symbol, trade_date, expiry, expiry - trade_date AS days_to_expiry, s AS spot_entry, x AS spot_expiry FROM entry""",
+)
+def _(t):
+    return op.entry_days(fx.stock_chain(t), fx.stock_spot(t), 7, 35).filter("spot_expiry IS NOT NULL")
+
+
+@query(
+    "o9_stock_puts",
+    "symbol:s entry_date:d expiry_date:d days_to_expiry:i strike:f premium:f6 contracts:i net_pnl_points:f4 return_on_cash:f assigned:b",
+    f"WITH {STOCKS} SELECT * FROM csp",
+)
+def _(t):
+    return _stock_puts(t)
+
+
+@query(
+    "o10_stock_put_spreads",
+    "symbol:s entry_date:d days_to_expiry:i short_strike:f long_strike:f net_credit:f4 max_loss_points:f4 net_pnl_points:f4 return_on_margin:f",
+    f"""WITH {STOCKS}, l AS (
+          SELECT p.symbol, p.trade_date, p.expiry, p.s, p.x, p.strike AS short_strike, p.premium AS sc,
+                 arg_min(l.strike, row(abs(l.strike - (p.strike - p.s * 0.04)), l.strike)) AS long_strike,
+                 arg_min(l.close, row(abs(l.strike - (p.strike - p.s * 0.04)), l.strike)) AS lc
+          FROM puts p JOIN listed l ON l.symbol = p.symbol AND l.trade_date = p.trade_date AND l.option_typ = 'PE' GROUP BY ALL),
+        d AS (SELECT *, sc - lc AS net_credit, short_strike - long_strike AS w FROM l WHERE short_strike > long_strike)
+        SELECT *, trade_date AS entry_date, expiry - trade_date AS days_to_expiry, w - net_credit AS max_loss_points,
+               net_credit - least(greatest(short_strike - x, 0), w) AS net_pnl_points,
+               (net_credit - least(greatest(short_strike - x, 0), w)) / greatest(w - net_credit, 1) AS return_on_margin FROM d""",
+)
+def _(t):
+    return op.bull_put_spreads(fx.stock_chain(t), fx.stock_spot(t))
+
+
+@query(
+    "o11_stock_covered_calls",
+    "symbol:s entry_date:d expiry_date:d strike:f premium_yield:f upside_given_up:f buyhold_return:f covered_return:f",
+    f"""WITH {STOCKS} SELECT *, trade_date AS entry_date, expiry AS expiry_date, premium / s AS premium_yield, greatest(x - strike, 0) / s AS upside_given_up,
+        x / s - 1 AS buyhold_return, x / s - 1 + (premium - greatest(x - strike, 0)) / s AS covered_return FROM calls""",
+)
+def _(t):
+    return op.covered_calls(fx.stock_chain(t), fx.stock_spot(t))
+
+
+@query(
+    "o12_stock_kelly_sizing",
+    "symbol:s trades:i mean_return:f variance:f6 worst_return:f raw_kelly:f2 fraction:f",
+    f"""WITH {STOCKS}, k AS (SELECT symbol, count(*) AS trades, avg(return_on_cash) AS mean_return,
+          var_samp(return_on_cash) AS variance, min(return_on_cash) AS worst_return FROM csp GROUP BY 1)
+        SELECT *, mean_return / variance AS raw_kelly, greatest(0, least(coalesce(mean_return / variance, 0) / 2,
+          CASE WHEN worst_return < 0 THEN 0.05 / -worst_return ELSE 0.25 END, 0.25)) AS fraction FROM k""",
+)
+def _(t):
+    return op.kelly(_stock_puts(t), "return_on_cash", ["symbol"])
+
+
 @query(
     "o12_kelly_sizing",
     "year:i trades:i mean_return:f variance:f6 worst_return:f raw_kelly:f2 fraction:f",

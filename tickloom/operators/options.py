@@ -194,13 +194,20 @@ _CHAIN_TYPES = {
 CHAIN_DEFAULTS = {"call_offset": 0.02, "put_offset": 0.02, "wing_width": 0.05, "haircut": 0.15, "cost_per_leg": 1.0}
 
 
-def entry_days(chain: DataFrame, spot: DataFrame, min_days: int = 3, max_days: int = 10) -> DataFrame:
-    """Per trade date with a spot: the first listed expiry inside the day window, and the spot at that expiry."""
+def names_in(chain: DataFrame, by: Sequence[str] | None) -> list[str]:
+    """The columns that tell underlyings apart: ``symbol`` where the chain has it, none for a chain of one index."""
+    return list(by) if by is not None else [c for c in ("symbol",) if c in chain.columns]
+
+
+def entry_days(chain: DataFrame, spot: DataFrame, min_days: int = 3, max_days: int = 10, by: Sequence[str] | None = None) -> DataFrame:
+    """Per underlying and trade date with a spot: the first listed expiry inside the day window, and the spot at that expiry."""
+    names = names_in(chain, by)
     dte = F.datediff("expiry", "trade_date")
-    first = chain.groupBy("trade_date").agg(F.min(F.when(dte.between(min_days, max_days), F.col("expiry"))).alias("expiry"))
-    entry = spot.select(F.col("dt").alias("trade_date"), F.col("spot").alias("spot_entry"))
-    at_expiry = spot.select(F.col("dt").alias("expiry"), F.col("spot").alias("spot_expiry"))
-    return first.join(entry, "trade_date").join(at_expiry, "expiry", "left").withColumn("days_to_expiry", F.datediff("expiry", "trade_date"))
+    first = chain.groupBy(*names, "trade_date").agg(F.min(F.when(dte.between(min_days, max_days), F.col("expiry"))).alias("expiry"))
+    entry = spot.select(*names, F.col("dt").alias("trade_date"), F.col("spot").alias("spot_entry"))
+    at_expiry = spot.select(*names, F.col("dt").alias("expiry"), F.col("spot").alias("spot_expiry"))
+    joined = first.join(entry, [*names, "trade_date"]).join(at_expiry, [*names, "expiry"], "left")
+    return joined.withColumn("days_to_expiry", F.datediff("expiry", "trade_date"))
 
 
 def chain_scan(
@@ -290,14 +297,18 @@ def chain_scan(
     return trades, early.unionByName(late)
 
 
-def single_leg_trades(chain: DataFrame, spot: DataFrame, kind: str, otm: float, min_days: int = 7, max_days: int = 35, haircut: float = 0.0) -> DataFrame:
-    """Sell one listed option per entry day: cash-secured puts (``PE``) or covered calls (``CE``)."""
-    days = entry_days(chain, spot, min_days, max_days).filter("spot_expiry IS NOT NULL")
+def single_leg_trades(chain: DataFrame, spot: DataFrame, kind: str, otm: float, min_days: int = 7, max_days: int = 35, haircut: float = 0.0,
+                      by: Sequence[str] | None = None) -> DataFrame:
+    """Sell one listed option per underlying and entry day: cash-secured puts (``PE``) or covered calls (``CE``)."""
+    names = names_in(chain, by)
+    days = entry_days(chain, spot, min_days, max_days, names).filter("spot_expiry IS NOT NULL")
     sign = -1.0 if kind == "PE" else 1.0
     targets = days.withColumn("_t", F.col("spot_entry") * (1.0 + sign * otm))
-    legs = pick_leg(targets, chain, kind, "_t", "down" if kind == "PE" else "up", "leg").filter("leg_strike IS NOT NULL")
+    on = [*names, "trade_date", "expiry"]
+    legs = pick_leg(targets, chain, kind, "_t", "down" if kind == "PE" else "up", "leg", on).filter("leg_strike IS NOT NULL")
     owed = F.greatest((F.col("leg_strike") - F.col("spot_expiry")) * (1.0 if kind == "PE" else -1.0), F.lit(0.0))
     return legs.select(
+        *names,
         F.col("trade_date").alias("entry_date"),
         F.col("expiry").alias("expiry_date"),
         "days_to_expiry",
@@ -305,19 +316,20 @@ def single_leg_trades(chain: DataFrame, spot: DataFrame, kind: str, otm: float,
         "spot_expiry",
         F.col("leg_strike").alias("strike"),
         (F.col("leg_close") * (1.0 - haircut)).alias("premium"),
+        F.col("leg_contracts").alias("contracts"),
         owed.alias("intrinsic_paid"),
         (owed > 0).alias("assigned"),
     )
 
 
-def cash_secured_puts(chain: DataFrame, spot: DataFrame, otm: float = 0.05, min_days: int = 7, max_days: int = 35) -> DataFrame:
-    trades = single_leg_trades(chain, spot, "PE", otm, min_days, max_days)
+def cash_secured_puts(chain: DataFrame, spot: DataFrame, otm: float = 0.05, min_days: int = 7, max_days: int = 35, by: Sequence[str] | None = None) -> DataFrame:
+    trades = single_leg_trades(chain, spot, "PE", otm, min_days, max_days, by=by)
     pnl = F.col("premium") - F.col("intrinsic_paid")
     return trades.select("*", pnl.alias("net_pnl_points"), (pnl / F.col("strike")).alias("return_on_cash"))
 
 
-def covered_calls(chain: DataFrame, spot: DataFrame, otm: float = 0.02, min_days: int = 7, max_days: int = 35) -> DataFrame:
-    trades = single_leg_trades(chain, spot, "CE", otm, min_days, max_days)
+def covered_calls(chain: DataFrame, spot: DataFrame, otm: float = 0.02, min_days: int = 7, max_days: int = 35, by: Sequence[str] | None = None) -> DataFrame:
+    trades = single_leg_trades(chain, spot, "CE", otm, min_days, max_days, by=by)
     hold = F.col("spot_expiry") / F.col("spot_entry") - 1.0
     return trades.select(
         "*",
@@ -328,18 +340,21 @@ def covered_calls(chain: DataFrame, spot: DataFrame, otm: float = 0.02, min_days
     )
 
 
-def bull_put_spreads(chain: DataFrame, spot: DataFrame, otm: float = 0.05, max_loss: float = 0.04, min_days: int = 7, max_days: int = 35) -> DataFrame:
+def bull_put_spreads(chain: DataFrame, spot: DataFrame, otm: float = 0.05, max_loss: float = 0.04, min_days: int = 7, max_days: int = 35,
+                     by: Sequence[str] | None = None) -> DataFrame:
     """Short put with a bought put so far below that the loss stays near ``max_loss`` of spot."""
-    days = entry_days(chain, spot, min_days, max_days).filter("spot_expiry IS NOT NULL")
+    names = names_in(chain, by)
+    on = [*names, "trade_date", "expiry"]
+    days = entry_days(chain, spot, min_days, max_days, names).filter("spot_expiry IS NOT NULL")
     S = F.col("spot_entry")
-    legs = pick_leg(days.withColumn("_t", S * (1.0 - otm)), chain, "PE", "_t", "down", "short")
-    legs = pick_leg(legs.withColumn("_l", F.col("short_strike") - S * max_loss), chain, "PE", "_l", "nearest", "long")
+    legs = pick_leg(days.withColumn("_t", S * (1.0 - otm)), chain, "PE", "_t", "down", "short", on)
+    legs = pick_leg(legs.withColumn("_l", F.col("short_strike") - S * max_loss), chain, "PE", "_l", "nearest", "long", on)
     both = legs.filter("short_strike > long_strike")
     credit = F.col("short_close") - F.col("long_close")
     width = F.col("short_strike") - F.col("long_strike")
     owed = F.least(F.greatest(F.col("short_strike") - F.col("spot_expiry"), F.lit(0.0)), width)
     return both.select(
-        F.col("trade_date").alias("entry_date"), F.col("expiry").alias("expiry_date"), "spot_entry", "spot_expiry",
+        *names, F.col("trade_date").alias("entry_date"), F.col("expiry").alias("expiry_date"), "days_to_expiry", "spot_entry", "spot_expiry",
         "short_strike", "long_strike", credit.alias("net_credit"), (width - credit).alias("max_loss_points"),
         (credit - owed).alias("net_pnl_points"), ((credit - owed) / F.greatest(width - credit, F.lit(1.0))).alias("return_on_margin"),
     )
