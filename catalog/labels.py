@@ -236,9 +236,8 @@ def _(t):
 @query(
     "l13_label_shuffle",
     "ticker:s ts:d close:f",
-    f"""WITH {fx.BARS}, n AS (SELECT ticker, ts, close, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i,
-          row_number() OVER (PARTITION BY ticker ORDER BY {fx.draw_sql('42', 'ticker', 'ts')}, ts) AS j FROM bars)
-        SELECT a.ticker, a.ts, b.close FROM n a JOIN n b ON a.ticker = b.ticker AND a.i = b.j""",
+    f"""WITH {fx.BARS}, n AS MATERIALIZED (SELECT ticker, ts, close, {fx.draw_sql('42', 'ticker', 'ts')} AS d FROM bars)
+        SELECT ticker, unnest(list(ts ORDER BY ts)) AS ts, unnest(list(close ORDER BY d, ts)) AS close FROM n GROUP BY ticker""",
 )
 def _(t):
     return lb.shuffle_within(fx.bars(t).select("ticker", "ts", "close"), "close", shape=DAILY)

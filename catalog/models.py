@@ -11,6 +11,7 @@ from tickloom.functions.session import cut_lineage
 from tickloom.operators import labels as lb
 from tickloom.operators.research import research_columns
 from tickloom.plans import experiments as ep
+from tickloom.plans import per_ticker as pt
 
 FEATURES = ["lag_ret_1", "trend_30", "trend_2h", "stock_minus_mkt_3", "atr20_log", "sign_persistence_5"]
 
@@ -90,6 +91,40 @@ def _(t):
     return ep.score(model, split.filter("segment = 'test'"), "linear")
 
 
+# the first 70 % of each ticker's own rows are fitted, the rest scored; tickers with fewer than 200 rows are left out
+TICKER_LINES = f"""{RESEARCH}, n AS (SELECT ticker, ts, lag_ret_1, lead(close) OVER (PARTITION BY ticker ORDER BY ts) / close - 1 AS target FROM research),
+    c AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts) AS i, count(*) OVER (PARTITION BY ticker) AS n FROM n WHERE lag_ret_1 IS NOT NULL AND target IS NOT NULL),
+    f AS (SELECT ticker, regr_slope(target, lag_ret_1) AS b, regr_intercept(target, lag_ret_1) AS a, count(*) AS rows_train FROM c WHERE n >= 200 AND i <= floor(n * 0.7) GROUP BY 1),
+    p AS (SELECT ticker, ts, n AS rows_total, rows_train, a + b * lag_ret_1 AS prediction, target FROM c JOIN f USING (ticker) WHERE i > floor(n * 0.7))"""
+
+
+def ticker_lines(t, features):
+    frame = lb.next_row_return(research_columns(fx.bars(t)).select("ticker", "ts", "close", *features))
+    return pt.next_day_lines(frame, features)
+
+
+@query("m5_ticker_lines", "ticker:s ts:d rows_total:i rows_train:i prediction:f", f"WITH {TICKER_LINES} SELECT * FROM p")
+def _(t):
+    return ticker_lines(t, ["lag_ret_1"])
+
+
+@query(
+    "m5_ticker_roll_up",
+    "model:s tickers:i mean_sharpe:f mean_hit_rate:f median_sharpe:f",
+    f"""WITH {TICKER_LINES}, s AS (
+          SELECT ticker, avg(sign(prediction) * target) / nullif(stddev_pop(sign(prediction) * target), 0) * sqrt(252) AS sharpe,
+                 avg(CASE WHEN sign(target) = sign(prediction) THEN 1.0::DOUBLE ELSE 0 END) AS hit_rate FROM p GROUP BY 1)
+        SELECT 'linear' AS model, count(*) AS tickers, avg(sharpe) AS mean_sharpe, avg(hit_rate) AS mean_hit_rate, quantile_cont(sharpe, 0.5) AS median_sharpe FROM s""",
+)
+def _(t):
+    return pt.strategy_roll_up(pt.sign_strategy(ticker_lines(t, ["lag_ret_1"])).withColumn("model", F.lit("linear")))
+
+
+@query("m5_ticker_strategies", "ticker:s rows_total:i rows_train:i rows_test:i mean_daily_return:f hit_rate:f sharpe:f alpha_class:s")
+def _(t):
+    return pt.sign_strategy(ticker_lines(t, FEATURES))
+
+
 FRAME = f"""{RESEARCH}, lab AS (SELECT *, lead(close, 5) OVER (PARTITION BY ticker ORDER BY ts) / close - 1 AS future_return FROM research),
     big AS (SELECT *, CASE WHEN future_return > 0 THEN 1 ELSE 0 END AS label_up FROM lab WHERE abs(future_return) >= 0.005),
     frame AS (SELECT * FROM (SELECT * FROM big QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY ts DESC) <= 300)
@@ -154,3 +189,9 @@ def _(t):
     """Whatever the fits are: each labelled row of each ticker is scored once."""
     frame = cut_lineage(ep.training_frame(research_columns(fx.bars(t)), FEATURES, 5, 0.005, 300))
     return ep.leave_one_out(frame, FEATURES, folds=2).select("ticker", "samples", "positive_rate")
+
+
+@query("m11_leave_one_ticker_out", "ticker:s samples:i accuracy:f positive_rate:f auc:f")
+def _(t):
+    """Every ticker is scored by a model fitted on all the others."""
+    return pt.leave_one_out_report(ep.training_frame(research_columns(fx.bars(t)), FEATURES, 5, 0.005, 300), FEATURES)
