@@ -4,6 +4,7 @@ import collections
 import hashlib
 import json
 import random
+import time
 
 import numpy as np
 import pytest
@@ -69,6 +70,43 @@ def test_main_texts(spark):
     assert got[90].text == got[91].text == "" and all(r.n_chars == len(r.text) for r in got.values())
 
 
+# pages whose article is known by how they are made
+ARTICLE = ["Prices of shares rose", "Second & last <b>para</b>graph", "A form factor"]
+WANT = "Prices of shares rose\nSecond & last paragraph\nA form factor"
+BODY = f"<p class='share-price'>{ARTICLE[0]}</p><div class='form-factor'>{ARTICLE[1].replace('&', '&amp;')}</div><p id='related-work'>{ARTICLE[2]}</p>"
+JUNK = ["<div class='share-bar'>tweet</div>", "<div class='related-posts'><p>more</p></div>", "<div id='cookie-banner'>yes?</div>", "<aside>side</aside>", "<div class=ad-slot-12>buy</div>",
+        "<section class='comment-list'><article class=comment-7><p>bad</p></article></section>", "<form><p>mail</p></form>", "<script>a<b</script>", "<ul role=navigation><li>x</ul>", "<p hidden>no</p>"]
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main><article class='post-9'>{}</article></main>", "<div class='content'>{}</div>", "<main>{}</main>"])
+def test_article_text_with_common_class_names_stays(spark, wrap):
+    draw = random.Random(2)
+    rows = []
+    for i in range(30):
+        parts = BODY.replace("</p><div", "</p>|<div").replace("</div><p", "</div>|<p").split("|")
+        for junk in draw.sample(JUNK, 4):
+            parts.insert(draw.randint(0, len(parts)), junk)
+        rows.append((i, "http://h.org/", f"<html><body><header>Site</header>{wrap.format(''.join(parts))}<footer>f</footer></body></html>"))
+    got = extraction.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {WANT}
+
+
+def test_text_beside_the_article_is_kept(spark):
+    page = "<main><p>Before</p><article class=a1><p>One body text</p></article><article class=b2><p>Two body text</p></article><p>After</p></main>"
+    assert extraction.extract(spark.createDataFrame([(1, "http://h.org/", page)], "page_id long, url string, html string")).first().text == "Before\nOne body text\nTwo body text\nAfter"
+
+
+def test_odd_quotes_are_read_once():
+    def seconds(n):
+        at = time.perf_counter()
+        extraction.Page('<a "> "' * n)
+        return time.perf_counter() - at
+
+    seconds(500)
+    assert seconds(40_000) < 60 * max(seconds(2_000), 0.005)  # 20 times the length; the square would be 400 times the time
+    assert extraction.Page("<p title='a>b' x=\"'\">t</p><p y=\">u").blocks[0][1] == "t"
+
+
 def test_hosts_agree_on_a_path(spark):
     usual = "<body><div class=x1><p>{}</p></div><div class=x2><p>{}</p></div></body>"
     rows = [(i, "http://one.org/", usual.format("t" * 10 + str(i), "article " * 30)) for i in range(9)]
@@ -177,8 +215,8 @@ def brute(ids, vectors, asks, k):
         yield from ((q, rank + 1, ids[i]) for rank, i in enumerate(order[:k]))
 
 
-@pytest.mark.parametrize("shard", [64, 1 << 15])
-def test_search_is_exact(spark, shard):
+@pytest.mark.parametrize(("shard", "block"), [(64, 10), (1 << 15, 7), (1 << 15, 1 << 16)])
+def test_search_is_exact(spark, shard, block):
     draw = np.random.default_rng(2)
     vectors = np.round(draw.normal(size=(700, 6)) * draw.uniform(0.1, 3, (700, 1)), 1) + 0.05
     vectors[100:140] = vectors[100]
@@ -186,7 +224,7 @@ def test_search_is_exact(spark, shard):
     rows = [(i, v.tolist(), "q") for i, v in zip(ids, vectors, strict=True)]
     bad = [(1, None, ""), (3, [0.0] * 6, ""), (5, [float("nan")] * 6, ""), (7, [1.0, None, 1.0, 1.0, 1.0, 1.0], ""), (9, [1.0], ""), (None, [1.0] * 6, ""), (20001, [float("inf")] * 6, "")]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<double>, score string")
-    got = search.search(df, F.col("vec_id") % 20 == 0, k=5, shard_rows=shard)
+    got = search.search(df, F.col("vec_id") % 20 == 0, k=5, shard_rows=shard, query_rows=block)
     exact = [(q, r, i) for q, r, i in brute(ids, vectors, [i for i in ids if i % 20 == 0], 5)]
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got.collect()) == sorted(exact)
     assert search.search(df.limit(0), F.lit(True)).collect() == []

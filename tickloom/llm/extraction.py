@@ -6,9 +6,10 @@ by host; a second pass extracts each page from the containers on its host's winn
 where that path is absent or empty.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are left out by tag, role,
-class or id. Texts are blocks with white space folded to one space, joined by a line feed. Null and empty pages have an
+class or id; a name counts where all its words do, so that a paragraph of class ``share-price`` stays. Paragraphs of main or of
+an article beside the chosen container, and articles beside a chosen one, are kept. Texts are blocks with white space folded to one space, joined by a line feed. Null and empty pages have an
 empty text; pages of a null or odd URL vote under an empty host; equal rows give equal rows; other columns are passed
-over; an empty table gives an empty result. Parsing is one pass without backtracking, at any length and depth.
+over; an empty table gives an empty result. Parsing is one pass, at any length and depth.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_TAG = re.compile(r"<[a-zA-Z/!?][^>]*\Z|<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.DOTALL)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,15 +44,82 @@ MARKS = frozenset(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login paywall disclaimer "
     "comment comments commentlist respond disqus replies reply discussion form search hidden".split()
 )
+#: Those that mark an article element of its own.
+ARTICLE_MARKS = frozenset("comment comments reply ad ads advert sponsored promo related".split())
 GOOD = frozenset("article post entry story content main body text page blog news".split())
 
 
+#: Words that only say what an element looks like: a name of these and of marks is a mark (``share-bar``), with any other word it is not (``share-price``).
+SHAPES = frozenset(
+    "area articles bar bars block blocks body bottom box boxes btn button buttons center col column columns container content count field fixed float footer "
+    "frame group head heading header icon icons inner input inline item items label large left line link links list lists main menu meta module outer page "
+    "panel placeholder post posts region right row section site slot small stack sticky story stories tab tabs text thread title toggle top unit user wrap wrapper wrapping zone".split()
+)
+
+
+class Tags:
+    """The tags of a page in order, found from the left.
+
+    A tag ends at the first ``>`` outside quotes; where quotes leave none, at the first one. Places from which no end was
+    found are remembered, so that a page of odd quotes is still read once.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.dead: set[int] = set()
+        self.unclosed: dict[str, int] = {}
+
+    def _end(self, at: int) -> int:
+        """Place behind the tag whose name ends at ``at``, -1 without one."""
+        html, passed = self.html, []
+        while (stop := _STOP.search(html, at)) and stop.start() not in self.dead:
+            here, mark = stop.start(), stop[0]
+            if mark == ">":
+                return here + 1
+            passed.append(here)
+            close = -1 if here >= self.unclosed.get(mark, len(html)) else html.find(mark, here + 1)
+            if close < 0:
+                self.unclosed[mark] = min(here, self.unclosed.get(mark, here))
+                break
+            at = close + 1
+        self.dead.update(passed)
+        return -1
+
+    def next(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """Start, end, slash, name and attributes of the next tag; no name for comments and declarations."""
+        html, n = self.html, len(self.html)
+        while (start := html.find("<", at)) >= 0:
+            first = html[start + 1 : start + 2]
+            if start > self.last and (first in "/!?" or first.isascii() and first.isalpha()) and first:
+                return start, n, "", "", ""  # a tag that the page's end cuts off
+            if html.startswith("<!--", start):
+                close = html.find("-->", start + 4)
+                return start, n if close < 0 else close + 3, "", "", ""
+            if first and first in "!?":
+                close = html.find(">", start)
+                return start, n if close < 0 else close + 1, "", "", ""
+            found = _NAME.match(html, start)
+            if found:
+                end = self._end(found.end())
+                end = html.find(">", found.end()) + 1 if end < 0 else end
+                if end > 0:
+                    return start, end, found[1], found[2], html[found.end() : end - 1]
+            at = start + 1
+        return None
+
+
+def marked(name: str) -> bool:
+    """Whether a class or id says that its element is not the article."""
+    words = {w.lower() for w in _WORD.findall(name)}
+    return bool(words & MARKS) and words <= MARKS | SHAPES
+
+
 class Page:
     """Containers and blocks of one page, in page order."""
 
     def __init__(self, html: str):
         self.parents, self.paths, self.bonus, self.sizes, self.links = [-1], [0], [0.0], [0], [0]
-        self.ends = [0]
+        self.ends, self.tags = [0], ["html"]
         self.blocks: list[tuple[int, str]] = []
         self._parse(html)
         for i in range(len(self.parents) - 1, 0, -1):
@@ -85,10 +154,11 @@ class Page:
                 self.ends[container] = len(self.parents)
                 where = self.parents[container]
 
+        tags = Tags(html)
         while True:
-            found = _TAG.search(html, at)
+            found = tags.next(at)
             if not out:
-                text = html[at : found.start() if found else len(html)]
+                text = html[at : found[0] if found else len(html)]
                 if text:
                     text = unescape(text) if "&" in text else text
                     self._held.append(text)
@@ -96,11 +166,10 @@ class Page:
                         self._linked += len(text)
             if not found:
                 break
-            at = found.end()
-            name = found[2] or found[5]
+            _, at, closing, name, attributes = found
             if not name:
                 continue
-            tag, closing = name.lower(), found[1] or found[4]
+            tag = name.lower()
             if closing:
                 if tag == "br":
                     self._held.append(" ")
@@ -121,7 +190,7 @@ class Page:
                 while stack[-1][0] != "p":
                     pop()
                 pop()
-            elif tag in SIBLINGS:
+            elif tag in SIBLINGS and any(counts.get(x) for x in SIBLINGS[tag]):
                 k = len(stack) - 1
                 while k >= 0 and stack[k][0] not in SCOPE and stack[k][0] not in SIBLINGS[tag]:
                     k -= 1
@@ -130,7 +199,6 @@ class Page:
                         pop()
             if tag in VOID:
                 continue
-            attributes = (found[3] if found[2] else found[6]) or ""
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.IGNORECASE).search(html, at)
                 at = end.end() if end else len(html)
@@ -147,6 +215,7 @@ class Page:
                 self.sizes.append(0)
                 self.links.append(0)
                 self.ends.append(0)
+                self.tags.append(tag)
                 where = container
             out += left
             linked += tag == "a"
@@ -167,17 +236,18 @@ class Page:
         found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         names = found.get("class", "").split()
         role = found.get("role", "").lower()
-        marks = {w.lower() for name in (*names, found.get("id", "")) for w in _WORD.findall(name)}
+        own = [*names, found.get("id", "")]
+        words = {w.lower() for name in own for w in _WORD.findall(name)}
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
         if tag in ("html", "body", "main"):
             left = False
         elif tag == "article":
-            left = bool(marks & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
+            left = any(marked(name) and bool(ARTICLE_MARKS & {w.lower() for w in _WORD.findall(name)}) for name in own)
         else:
-            left = tag in LEFT_OUT or role in ROLES or hidden or bool(marks & MARKS)
+            left = tag in LEFT_OUT or role in ROLES or hidden or any(map(marked, own))
         if role == "main" or found.get("itemprop", "").lower() == "articlebody":
             bonus = max(bonus, 0.8)
-        bonus += 0.2 * bool(marks & GOOD)
+        bonus += 0.2 * bool(words & GOOD)
         return left, ".".join([tag, *sorted(re.sub(r"\d+", "#", name) for name in names)]), bonus
 
     def best(self) -> tuple[int, float]:
@@ -202,13 +272,17 @@ class Page:
         if not any(self.sizes[a] for a, _ in spans):
             choice = self.best()[0]
             spans = [(choice, self.ends[choice])]
-        return "\n".join([text for where, text in self.blocks if any(a <= where < b for a, b in spans)] if len(spans) < 9 else self._within(spans))
-
-    def _within(self, spans: list[tuple[int, int]]) -> list[str]:
         inside = [False] * len(self.parents)
         for a, b in spans:
             inside[a:b] = [True] * (b - a)
-        return [text for where, text in self.blocks if inside[where]]
+        for parent in {self.parents[a] for a, _ in spans if a}:
+            # what stands beside the container in the same article, or in main, is of the page's text
+            inside[parent] = inside[parent] or self.tags[parent] in ("main", "article")
+        parts = {self.parents[a] for a, _ in spans if self.tags[a] == "article"}
+        for i in range(1, len(self.parents)) if parts else ():
+            if self.tags[i] == "article" and self.parents[i] in parts and 2 * self.links[i] <= self.sizes[i]:
+                inside[i : self.ends[i]] = [True] * (self.ends[i] - i)  # articles side by side
+        return "\n".join([text for where, text in self.blocks if inside[where]])
 
 
 def host() -> Column:
