@@ -5,7 +5,8 @@ coordinate to a common norm, so the largest inner product is the smallest distan
 the radius that halves its points; a subtree is left out for a query whose best distances rule it out by the triangle
 inequality. ``relax`` multiplies the bound: 1 is exact, more visits less.
 
-Queries are a stated set, sent in blocks to each shard; each shard gives its best for each query, and a window over those
+Queries are a stated set, dealt in blocks to every shard: a task holds one shard and one block of at most about ``QUERY_ROWS``
+queries, so its work does not grow with the table. Each gives its best for each query, and a window over those
 few rows picks the best of all. Scores are inner products of the original vectors in double precision; ties go to the
 smaller id. Null vectors, zero vectors, and vectors with null or non-finite components take no part, nor do rows with a
 null id or of another dimension than the most frequent one. Ids are taken to be unique; of rows with equal ids each is a candidate, scored by the first.
@@ -19,6 +20,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 1 << 15
+#: Queries that a task answers; beyond, a shard goes to several tasks, each with a tree of its own.
+QUERY_ROWS = 1 << 16
+#: Fewest rows of a shard where the table is small, so that its shards are as many as cores.
+LEAST_ROWS = 1 << 12
 LEAF = 256
 BLOCK = 1024
 #: Distances are compared with this margin, as rounding may not rule a neighbour out.
@@ -110,23 +115,27 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def search(df: DataFrame, is_query: Column, k: int = 20, relax: float = 1.0, shard_rows: int = SHARD_ROWS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
+def search(df: DataFrame, is_query: Column, k: int = 20, relax: float = 1.0, shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the k nearest of each row that ``is_query`` selects among all other rows."""
     data = df.select(df[id_column].cast("bigint").alias("vec_id"), df[vector_column].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     data = data.where(F.col("vec_id").isNotNull()).where(usable(F.col("v")))
     squared = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    facts = data.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(squared).alias("s")).orderBy(F.desc("n"), "d").first()
+    facts = data.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n"), F.max(squared).alias("s"), F.sum(F.col("q").cast("int")).alias("asked")).orderBy(F.desc("n"), "d").first()
     schema = "query_id bigint, vec_id bigint, score double"
     if facts is None:
         return df.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     d, norm = facts.d, float(np.sqrt(facts.s))
     data = data.where(F.size("v") == d)
-    shards = max(1, -(-facts.n // shard_rows))
-    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
-    points = data.select(home.alias("shard"), F.lit(False).alias("asks"), "vec_id", "v")
-    # the stated query set goes to every shard
-    asked = data.where("q").select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "vec_id", "v")
-    dealt = points.union(asked).repartition("shard").sortWithinPartitions("shard", "asks", "vec_id")
+    # a task answers one block of the queries on one shard, and every core has one
+    shards = max(-(-facts.n // shard_rows), min(df.sparkSession.sparkContext.defaultParallelism, -(-facts.n // LEAST_ROWS)))
+    blocks = max(1, -(-facts.asked // query_rows))
+    home = F.pmod(F.xxhash64("vec_id"), F.lit(shards))
+    own = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    points = data.select(every(blocks).alias("b"), home.alias("s"), F.lit(False).alias("asks"), "vec_id", "v")
+    asked = data.where("q").select(own.alias("b"), every(shards).alias("s"), F.lit(True).alias("asks"), "vec_id", "v")
+    dealt = points.union(asked).select((F.col("b") * shards + F.col("s")).cast("int").alias("shard"), "asks", "vec_id", "v")
+    dealt = dealt.repartitionById(shards * blocks, F.col("shard")).sortWithinPartitions("shard", "asks", "vec_id")
 
     def run(batches):
         shard, ids, vectors, held, tree = None, [], [], None, None
