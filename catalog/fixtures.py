@@ -35,14 +35,20 @@ def by_supplier(t: Tables) -> DataFrame:
     return t.lineitem.withColumn("name", F.col("l_suppkey"))
 
 
-def by_brand(t: Tables) -> DataFrame:
-    """Lines, named by their part's brand: few instruments, traded on most days, as a rebalanced universe needs."""
-    return t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.upper("p_brand").alias("name")), "l_partkey")
+def by_group(t: Tables) -> DataFrame:
+    """Lines, named by groups of four suppliers: as many instruments as a rebalanced universe needs to be traded on most days, at any size."""
+    return t.lineitem.withColumn("name", F.concat(F.lit("G"), F.lpad(F.floor(F.col("l_suppkey") / 4).cast("string"), 12, "0")))
 
 
-def branded(sql: str) -> str:
-    """SQL over suppliers' lines as SQL over brands' lines."""
-    return sql.replace("'S' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0')", "upper(p_brand)").replace("FROM lineitem", "FROM lineitem JOIN part ON p_partkey = l_partkey")
+def with_futures(lines: DataFrame) -> DataFrame:
+    """The lines of groups that have futures: two in three."""
+    return lines.where(F.floor(F.col("l_suppkey") / 4) % 3 != 0)
+
+
+def grouped(sql: str, futures: bool = False) -> str:
+    """SQL over suppliers' lines as SQL over groups of suppliers, all or those that have futures."""
+    sql = sql.replace("'S' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0')", "'G' || lpad(CAST(l_suppkey // 4 AS VARCHAR), 12, '0')")
+    return sql.replace("FROM lineitem", "FROM (SELECT * FROM lineitem WHERE (l_suppkey // 4) % 3 <> 0)") if futures else sql
 
 
 def name_of(lines: DataFrame):
@@ -75,7 +81,7 @@ BARS = """bars AS (
                row(l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem)
   GROUP BY 1, 2)"""
 
-BRAND_BARS = branded(BARS)
+GROUP_BARS = grouped(BARS)
 
 
 def sectors(t: Tables) -> DataFrame:

@@ -17,16 +17,16 @@ from tickloom.operators.research import research_columns
 from tickloom.plans import audits as au
 
 
-def brands(t) -> DataFrame:
-    return fx.bars(t, fx.by_brand(t))
+def groups(t) -> DataFrame:
+    return fx.bars(t, fx.by_group(t))
 
 
 def panel(t) -> DataFrame:
-    """Daily bars of the brands with a 60-row momentum score, ATR and breadth by date.
+    """Daily bars of the groups with a 60-row momentum score, ATR and breadth by date.
 
     Bars and panel are read several times by every audit, so both are kept; a lost block is recomputed.
     """
-    bars = brands(t).persist()
+    bars = groups(t).persist()
     own = research_columns(ex.momentum(bars, 60))
     # both breadth tables have one row per calendar day
     rel = ex.relative_breadth(bars, 3).select("ts", "breadth_rel_adv_frac")
@@ -53,9 +53,9 @@ SCHEDULE = """fold_days AS (SELECT ts, ntile(10) OVER (ORDER BY ts) AS fold_id F
       SELECT a.fold_id, a.idx // 30 AS k, a.ts, b.ts AS next_ts FROM fold_calendar a
       JOIN fold_calendar b ON a.fold_id = b.fold_id AND b.idx = least(a.idx + 30, a.n - 1) WHERE a.idx % 30 = 0 AND a.idx < a.n - 1)"""
 
-DAILY_BRANDS = RESEARCH.replace(fx.BARS, fx.BRAND_BARS)
+DAILY_GROUPS = RESEARCH.replace(fx.BARS, fx.GROUP_BARS)
 
-EVENTS = f"""{DAILY_BRANDS}, {MARKET_RET}, {REL_BREADTH}, {SCHEDULE}, adv AS (
+EVENTS = f"""{DAILY_GROUPS}, {MARKET_RET}, {REL_BREADTH}, {SCHEDULE}, adv AS (
       SELECT ts, avg(CASE WHEN lag_ret_1 > 0 THEN 1.0::DOUBLE ELSE 0 END) AS breadth_adv_frac FROM research GROUP BY 1),
     panel AS (
       SELECT r.*, close / lag(close, 60) OVER (PARTITION BY ticker ORDER BY r.ts) - 1 AS ret60, breadth_rel_adv_frac, breadth_adv_frac
@@ -118,22 +118,22 @@ SCORED = "fold_id:i events:i strategy_total_return:f strategy_annualized:f5 benc
 @query(
     "b1_rebalance_schedule",
     "fold_id:i k:i ts:d next_ts:d",
-    f"WITH {fx.BRAND_BARS}, {SCHEDULE} SELECT * FROM schedule",
+    f"WITH {fx.GROUP_BARS}, {SCHEDULE} SELECT * FROM schedule",
 )
 def _(t):
-    return pf.rebalance_schedule(pf.fold_calendar(brands(t)))
+    return pf.rebalance_schedule(pf.fold_calendar(groups(t)))
 
 
 @query(
     "j2_current_next_snapshot",
     "fold_id:i k:i ticker:s close:f8 next_close:f8",
-    f"""WITH {fx.BRAND_BARS}, {SCHEDULE} SELECT fold_id, k, p.ticker, p.close, q.close AS next_close FROM schedule s
+    f"""WITH {fx.GROUP_BARS}, {SCHEDULE} SELECT fold_id, k, p.ticker, p.close, q.close AS next_close FROM schedule s
         JOIN bars p ON p.ts = s.ts JOIN bars q ON q.ts = s.next_ts AND q.ticker = p.ticker""",
 )
 def _(t):
     from tickloom.operators.joins import next_snapshot
 
-    bars = brands(t)
+    bars = groups(t)
     return next_snapshot(bars, pf.rebalance_schedule(pf.fold_calendar(bars)))
 
 
@@ -381,14 +381,14 @@ def _(t):
 @query(
     "b15_short_names",
     "fold_id:i rebalance_ts:d symbol:s short_weight:f has_future:b",
-    f"""WITH {EVENTS}, {fx.branded(fx.OPEN_INTEREST)} SELECT fold_id, rebalance_ts, symbol, 0.02 AS short_weight,
+    f"""WITH {EVENTS}, {fx.grouped(fx.OPEN_INTEREST, futures=True)} SELECT fold_id, rebalance_ts, symbol, 0.02 AS short_weight,
         symbol IN (SELECT symbol FROM oi) AS has_future FROM (
           SELECT fold_id, rebalance_ts, unnest(string_split(top_names, '|')) AS symbol FROM events_t
           WHERE coalesce(breadth_rel_adv_frac, 1) <= 0.3703703703703703)""",
 )
 def _(t):
     events = pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT)
-    return au.short_names(events, fx.open_interest(t, fx.by_brand(t)))
+    return au.short_names(events, fx.open_interest(t, fx.with_futures(fx.by_group(t))))
 
 
 TRANSFER = f"""{FOLDS}, s AS (SELECT fold_id, {HEDGE.format(t=0.3703703703703703, h='(-0.2)', n='0.1', c='core_return', a='active_return')} AS strategy_return
@@ -583,7 +583,7 @@ def _(t):
     return pf.loser_avoidance(panel(t), "ret60")
 
 
-BREADTH_ONLY = BREADTH.split("advance AS", 1)[1]  # over the brands' bars
+BREADTH_ONLY = BREADTH.split("advance AS", 1)[1]  # over the groups' bars
 
 
 @query(
@@ -602,7 +602,7 @@ def _(t):
     from tickloom.operators.joins import asof_join
 
     events = pf.rebalance_events(panel(t), "ret60", 10, 30, 10, CONTEXT)
-    breadth = ex.breadth_features(brands(t)).select(F.col("trade_date").alias("rebalance_ts"), "breadth_trend_up")
+    breadth = ex.breadth_features(groups(t)).select(F.col("trade_date").alias("rebalance_ts"), "breadth_trend_up")
     gated = asof_join(
         events.join(breadth, "rebalance_ts", "left"),
         ex.spot_context(fx.spot(t)).select("dt", "spot_vs_sma20"),
@@ -626,15 +626,15 @@ def _(t):
 
 def _flagged(t) -> DataFrame:
     """Panel rows with each ticker's latest flags at or before their day."""
-    deliv = ex.delivery_features(fx.delivery(t, fx.by_brand(t))).select(
+    deliv = ex.delivery_features(fx.delivery(t, fx.by_group(t))).select(
         "ticker", "trade_date", "deliv_rising", "deliv_rising_and_zpos", "deliv_pct_5d_ma"
     )
-    oi = ex.oi_features(fx.open_interest(t, fx.by_brand(t))).select("ticker", "trade_date", "oi_rising", "oi_rising_and_pos")
+    oi = ex.oi_features(fx.open_interest(t, fx.by_group(t))).select("ticker", "trade_date", "oi_rising", "oi_rising_and_pos")
     flagged = asof_join(panel(t), deliv, "ts", "trade_date", ["ticker"], shape=DAILY).drop("matched_trade_date")
     return asof_join(flagged, oi, "ts", "trade_date", ["ticker"], shape=DAILY)
 
 
-FLAGS = f"""{EVENTS}, {fx.branded(fx.DELIVERY)}, {fx.branded(OI_NEAREST)},
+FLAGS = f"""{EVENTS}, {fx.grouped(fx.DELIVERY)}, {fx.grouped(OI_NEAREST)},
     d1 AS (SELECT symbol, date, CASE WHEN count(*) OVER w5 >= 3 THEN avg(deliv_pct) OVER w5 END AS m5,
              CASE WHEN count(*) OVER w20 >= 10 THEN avg(deliv_pct) OVER w20 END AS m20,
              CASE WHEN count(*) OVER w20 >= 10 AND max(deliv_pct) OVER w20 > min(deliv_pct) OVER w20
