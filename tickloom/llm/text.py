@@ -7,15 +7,14 @@ of a batch; a single longer text makes a chunk of its own. Null texts are empty.
 from __future__ import annotations
 
 import functools
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-from tickloom.functions.session import CHECKPOINT_KEY, ensure_checkpoint_dir
+from tickloom.functions.session import stored  # noqa: F401  (for the operators)
 
 CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 mod 8: its powers have the longest period modulo 2**64
@@ -182,19 +181,6 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared checkpoint folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY, None)
-    return (named or ensure_checkpoint_dir(spark)).rstrip("/")
-
-
 def fields(df: DataFrame, **types: str) -> DataFrame:
     """Only the named columns, cast; other columns never reach an operator, so their names cannot clash."""
     return df.select(*[df[name].cast(kind).alias(name) for name, kind in types.items()])
