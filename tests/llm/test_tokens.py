@@ -38,6 +38,15 @@ def test_ids_and_decoding(spark, library, texts):
         assert got[i] == (len(ids), *digests), repr(text)[:80]
 
 
+def test_every_code_point(library):
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    tables = bpe.vocabulary(PATH)
+    for at in range(0, len(points), 4096):
+        text = " ".join(f"a{chr(c)}b 1{chr(c)}A" for c in points[at : at + 4096])
+        ids = tables.encode_words(text.encode().split(b" "))[0]
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, hex(points[at])
+
+
 def test_encode_then_decode_tables(spark, library):
     df = spark.createDataFrame([(1, "Hello there"), (2, None)], "doc_id long, text string")
     ids = bpe.encode_documents(df, PATH)
