@@ -37,6 +37,40 @@ def _(t):
     return ep.predict_oos(panel(t), lb.Experiment("EN", "T6", 3, "regression", (), "elasticnet"), FEATURES, PAIRS)
 
 
+# complete rows of windows 2 to 10, each scored by the window before: at least 50 rows train and 20 are scored
+def fold_rows(features):
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in [*features, "y"])
+    return f"""{RESEARCH}, {fx.DAY_WINDOWS}, ahead AS (SELECT *, lead(close, 3) OVER (PARTITION BY ticker ORDER BY ts) / close - 1 AS fwd FROM research),
+        labelled AS (SELECT *, fwd - avg(fwd) OVER (PARTITION BY ts) AS y FROM ahead),
+        complete AS (SELECT * FROM labelled JOIN day_windows USING (ts) WHERE {complete}),
+        sizes AS (SELECT window_id, count(*) AS n FROM complete GROUP BY 1),
+        fold AS (SELECT c.*, a.window_id AS train_window_id FROM complete c JOIN sizes a ON a.window_id = c.window_id - 1 AND a.n >= 50
+                 JOIN sizes b ON b.window_id = c.window_id AND b.n >= 20)"""
+
+
+@query(
+    "m10_prediction_rows",
+    "ticker:s ts:d window_id:i train_window_id:i target_value:f realized_return:f",
+    f"WITH {fold_rows(FEATURES)} SELECT ticker, ts, window_id, train_window_id, y AS target_value, y AS realized_return FROM fold",
+)
+def _(t):
+    """Whatever the fits are: every complete row of a fold that is large enough is scored once."""
+    return ep.predict_oos(panel(t), lb.Experiment("EN", "T6", 3, "regression", (), "elasticnet"), FEATURES, PAIRS)
+
+
+@query(
+    "m1_elastic_net_one_feature",
+    "ticker:s ts:d window_id:i train_window_id:i prediction:f5",
+    f"""WITH {fold_rows(["lag_ret_1"])}, m AS (
+          SELECT window_id, avg(y) AS my, avg(lag_ret_1) AS mx, stddev_pop(lag_ret_1) AS sx, covar_pop(lag_ret_1, y) / stddev_pop(lag_ret_1) AS c FROM complete GROUP BY 1)
+        SELECT ticker, ts, fold.window_id, train_window_id,
+               my + sign(c) * greatest(abs(c) - 0.0005, 0) / 1.0005 * (lag_ret_1 - mx) / sx AS prediction FROM fold JOIN m ON m.window_id = train_window_id""",
+)
+def _(t):
+    """With one feature the net is a line whose slope is moved towards zero."""
+    return ep.predict_oos(panel(t), lb.Experiment("EN", "T6", 3, "regression", (), "elasticnet"), ["lag_ret_1"], PAIRS)
+
+
 @query("m2_m9_logistic_experiment", "experiment_id:s window_id:i rows:i auc:f balanced_accuracy:f spread:f shuffled:b")
 def _(t):
     experiment = lb.Experiment("LG", "T3", 3, "binary", (), "logistic")

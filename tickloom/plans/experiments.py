@@ -19,6 +19,7 @@ from tickloom.operators.intraday import FAMILIES
 from tickloom.operators.labels import Experiment, future_direction, shuffle_within, target_columns
 from tickloom.operators.metrics import accuracy, class_metrics, fold_metrics, roc_auc
 from tickloom.operators.splits import chrono_split
+from tickloom.plans.window_models import elastic_nets, scored_by_windows
 
 CLASSIFIERS = ("logistic", "gbt_clf")
 
@@ -117,6 +118,7 @@ def predict_oos(
 
     Without ``features`` the experiment's families give them. The regime filters rows first. Labels are shuffled over all
     windows at once, realised returns never. One aggregate tells which folds qualify and which classes their labels have.
+    Elastic nets of all windows are fitted in one pass, other models fold by fold.
     """
     features = experiment_features(panel, experiment) if features is None else list(features)
     label, realised = target_columns(experiment)
@@ -132,20 +134,25 @@ def predict_oos(
     # a label of classes has a few distinct values
     values = F.sort_array(F.collect_set("_y")) if kind in CLASSIFIERS else F.lit(None)
     folds = {r.window_id: r for r in clean.groupBy("window_id").agg(F.count(F.lit(1)).alias("n"), values.alias("classes")).collect()}
+    pairs = [(a, b) for a, b in pairs if a in folds and b in folds and folds[a].n >= 50 and folds[b].n >= 20]
+
+    def shaped(scored: DataFrame) -> DataFrame:
+        return scored.select(
+            "ticker", "ts", "window_id", F.lit(experiment.experiment_id).alias("experiment_id"), "train_window_id", "prediction",
+            F.col("_y").alias("target_value"), "realized_return", F.lit(shuffled).alias("shuffled"), F.lit(applied).alias("filter_applied"),
+        )
+
+    if kind == "elasticnet":
+        fits = elastic_nets(clean.filter(F.col("window_id").isin([a for a, _ in pairs])), features, "_y")
+        return shaped(scored_by_windows(clean, fits, features, pairs)) if pairs else None
     out = None
     for train_id, test_id in pairs:
-        if train_id not in folds or test_id not in folds or folds[train_id].n < 50 or folds[test_id].n < 20:
-            continue
         classes = folds[train_id].classes
         if classes is not None and len(classes) < 2:
             continue
         model = fit(clean.filter(F.col("window_id") == train_id), features, "_y", kind, folds[train_id].n, trees, classes)
         named = classes if experiment.label_type == "multiclass" else None
-        scored = score(model, clean.filter(F.col("window_id") == test_id), kind, classes=named).select(
-            "ticker", "ts", "window_id", F.lit(experiment.experiment_id).alias("experiment_id"), F.lit(train_id).alias("train_window_id"),
-            "prediction", F.col("_y").alias("target_value"), "realized_return", F.lit(shuffled).alias("shuffled"),
-            F.lit(applied).alias("filter_applied"),
-        )
+        scored = shaped(score(model, clean.filter(F.col("window_id") == test_id).withColumn("train_window_id", F.lit(train_id)), kind, classes=named))
         out = scored if out is None else out.unionByName(scored)
     return out
 
