@@ -139,6 +139,38 @@ def test_depth_stream_to_partitions(spark, tables, tmp_path):
     assert all(r.readable and r.missing_columns == "nothing" for r in checked)
 
 
+def test_sink_closes_files_by_row_count_and_by_time(spark, tables, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    ticks = fx.ticks(tables).withColumn("trade_date", F.lit("2024-01-01")).coalesce(1)
+    ticks.write.parquet(source)
+    everything = ticks.count()
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    tk.start_partitioned_sink(stream, out, str(tmp_path / "cp"), ["trade_date"], every=None, rows=100).awaitTermination(120)
+    sizes = [r["count"] for r in spark.read.parquet(out).groupBy(F.input_file_name()).count().collect()]
+    assert max(sizes) == 100 and sum(sizes) == everything and len(sizes) == -(-everything // 100)
+    # a later batch with few rows is written when its time comes
+    ticks.limit(7).write.mode("append").parquet(source)
+    query = tk.start_partitioned_sink(stream, out, str(tmp_path / "cp"), ["trade_date"], every="1 second", rows=100)
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert spark.read.parquet(out).count() == everything + 7
+
+
+def test_files_of_a_failed_task_are_not_read(spark, tmp_path):
+    from pyspark.errors import StreamingQueryException
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(1000).coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("id long").parquet(source).withColumn("day", F.lit(1))
+    broken = stream.withColumn("id", F.when(F.col("id") < 900, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(StreamingQueryException):
+        tk.start_partitioned_sink(broken, out, str(tmp_path / "cp"), ["day"], every=None, rows=50).awaitTermination(120)
+    tk.start_partitioned_sink(stream, out, str(tmp_path / "cp"), ["day"], every=None, rows=50).awaitTermination(120)
+    got = spark.read.parquet(out)
+    assert got.count() == 1000 and got.select("id").distinct().count() == 1000
+
+
 def test_reconnect_log_ending_while_disconnected(spark):
     at = [("2024-01-01 00:00:00", "connect"), ("2024-01-01 00:10:00", "error"), ("2024-01-01 00:11:00", "close"), ("2024-01-01 00:15:00", "connect"), ("2024-01-01 00:20:00", "close")]
     log = spark.createDataFrame([(t, e, i) for i, (t, e) in enumerate(at)], "t string, event_type string, event_id int").withColumn("event_utc", F.col("t").cast("timestamp"))

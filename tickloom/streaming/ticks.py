@@ -71,13 +71,19 @@ def flatten_depth(ticks: DataFrame, levels: int = 5) -> DataFrame:
 
 
 def start_partitioned_sink(stream: DataFrame, path: str, checkpoint: str, by: Sequence[str] = ("trade_date", "exchange", "symbol"),
-                           every: str | None = "10 seconds", batch: DataFrame | None = None):
-    """Append a stream to a zstd Parquet tree; exactly-once through the checkpoint. ``every=None`` drains and stops."""
+                           every: str | None = "10 seconds", rows: int = 25_000):
+    """Append a stream to a zstd Parquet tree; exactly-once through the checkpoint. ``every=None`` drains and stops.
+
+    A file is closed by time or by row count, whichever is first: a batch ends at each trigger, and within it a file of a
+    partition ends at ``rows`` rows. Files count when the batch's entry is in the sink's log, so what a lost task or a
+    repeated batch left behind is never read.
+    """
     writer = (
         stream.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", rows)
         .partitionBy(*by)
         .outputMode("append")
     )
