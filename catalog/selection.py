@@ -95,6 +95,38 @@ def _(t):
     return se.branch_compare(sources, se.shortlist(frame, "cross_sectional_60m"), "CrossSectional60m")
 
 
+def branch_sql(preset: str, prefix: str, order: str) -> str:
+    columns = "real_auc, real_spread_top_bottom, gap_auc, gap_ic_spearman, gap_spread_top_bottom, real_trade_count, label_type"
+    return f"""WITH {fx.COMPARE}, s AS ({preset_sql(preset)})
+        SELECT target_id AS branch, experiment_id, {columns}, false AS promoted FROM compare
+        QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY {order}, experiment_id DESC) = 1
+        UNION ALL SELECT '{prefix}_' || family, experiment_id, {columns}, true FROM s WHERE promoted"""
+
+
+# fixed values: preset, prefix and order of the branch comparisons
+COMPARISONS = {
+    "x2_branches_deepdive": ("e102_deepdive", "E102DeepDive", "plain", f"round({PLAIN}, 12) DESC"),
+    "x2_branches_next": ("generalization_next", "GeneralizationNext", "generalization_next",
+                         "round(real_auc, 12) DESC, round(real_balanced_accuracy, 12) DESC, round(real_spread_top_bottom, 12) DESC"),
+    "x2_branches_wave2": ("generalization_wave2", "GeneralizationWave2", "wave2", f"round({PLAIN} + gap_ic_spearman, 12) DESC"),
+}
+
+
+def comparison(name: str):
+    preset, prefix, score, order = COMPARISONS[name]
+
+    @query(name, "branch:s experiment_id:s real_auc:f real_spread_top_bottom:f gap_auc:f gap_ic_spearman:f gap_spread_top_bottom:f "
+           "real_trade_count:f label_type:s promoted:b", branch_sql(preset, prefix, order))
+    def _(t):
+        frame = fx.compare(t)
+        sources = {target: frame.filter(F.col("target_id") == target) for target in ("T1", "T2", "T3", "T4")}
+        return se.branch_compare(sources, se.shortlist(frame, preset), prefix, score)
+
+
+for name in COMPARISONS:
+    comparison(name)
+
+
 @query(
     "x4_top_experiment",
     "experiment_id:s selection_score:f",
@@ -163,7 +195,30 @@ def _(t):
     return te.recursive_indicators(fx.bars(t))
 
 
-@query("t5_t17_adx_and_phase", "ticker:s ts:d adx:f phase:s")
+ADX = f"""{fx.BARS}, a AS (
+      SELECT ticker, ts, row_number() OVER w AS i, coalesce(high - lag(high) OVER w, 0) AS up, coalesce(lag(low) OVER w - low, 0) AS dn,
+             coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr,
+             CASE WHEN count(*) OVER w10 = 10 THEN avg(close) OVER w10 END AS sma10, CASE WHEN count(*) OVER w50 = 50 THEN avg(close) OVER w50 END AS sma50
+      FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts), w10 AS (PARTITION BY ticker ORDER BY ts ROWS 9 PRECEDING),
+        w50 AS (PARTITION BY ticker ORDER BY ts ROWS 49 PRECEDING)),
+    d AS (SELECT ticker, i, tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0 END AS plus, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0 END AS minus FROM a),
+    smooth AS (
+      SELECT ticker, 14::BIGINT AS i, avg(tr) AS r, avg(plus) AS p, avg(minus) AS m FROM d WHERE i <= 14 GROUP BY ticker HAVING count(*) = 14
+      UNION ALL
+      SELECT d.ticker, d.i, (r * 13 + tr) / 14, (p * 13 + plus) / 14, (m * 13 + minus) / 14 FROM smooth JOIN d ON d.ticker = smooth.ticker AND d.i = smooth.i + 1),
+    x AS (SELECT ticker, i, CASE WHEN r > 0 AND p + m > 0 THEN 100 * abs(p - m) / (p + m) ELSE 0 END AS dx FROM smooth),
+    mean AS (
+      SELECT ticker, 27::BIGINT AS i, avg(dx) AS adx FROM x WHERE i <= 27 GROUP BY ticker HAVING count(*) = 14
+      UNION ALL
+      SELECT x.ticker, x.i, (adx * 13 + dx) / 14 FROM mean JOIN x ON x.ticker = mean.ticker AND x.i = mean.i + 1)"""
+
+
+@query(
+    "t5_t17_adx_and_phase",
+    "ticker:s ts:d adx:f phase:s",
+    f"""WITH RECURSIVE {ADX} SELECT a.ticker, ts, adx, CASE WHEN adx > 25 THEN CASE WHEN sma10 > sma50 THEN 'Bull' ELSE 'Bear' END ELSE 'Sideways' END AS phase
+        FROM a LEFT JOIN mean ON mean.ticker = a.ticker AND mean.i = a.i""",
+)
 def _(t):
     bars = fx.bars(t)
     averages = te.technical_indicators(bars).select("ticker", "ts", "sma10", "sma50")

@@ -185,3 +185,34 @@ def test_regime_names_without_case_or_underscores(spark):
     assert regime_filter(frame, "(Style == 'a') & (StockMinusMkt_3 < 0)").count() == 1
     assert filter_applies(frame.columns, "style == 'b'") and not filter_applies(frame.columns, "other > 1")
     assert regime_filter(frame, "other > 1").count() == 3
+
+
+def test_a_pool_of_experiments_is_limited_to_ids():
+    from tickloom.operators.labels import Experiment
+    from tickloom.operators.selection import select_experiments
+
+    one, two, three = (Experiment(i, "T1", 3, "binary", (), "logistic") for i in ("E1", "E2", "E3"))
+    pools = {"base": [one, two], "next": [three, one]}
+    assert select_experiments(pools, "base") == [one, two]
+    assert select_experiments(pools, "base", [" E2 ", ""]) == [two]
+    assert select_experiments(pools, "base", ["E3"]) == [three]  # absent from the pool, found in another
+    assert select_experiments(pools, "next", ["E9"]) == []
+    with pytest.raises(ValueError, match="unknown"):
+        select_experiments(pools, "none")
+
+
+def test_branches_keep_their_candidates_and_missing_values_come_last(spark):
+    from tickloom.operators.selection import branch_compare
+
+    schema = "experiment_id string, family string, real_auc double, real_balanced_accuracy double, real_spread_top_bottom double, gap_auc double, gap_balanced_accuracy double"
+    rows = [("E1", "F", 0.6, 0.5, 0.1, 0.0, 0.0), ("E2", "F", float("nan"), 0.9, 0.9, None, 0.5), ("E3", "F", None, 0.9, 0.9, 0.9, 0.9), ("E4", None, 0.6, 0.7, None, 0.1, 0.1)]
+    frame = spark.createDataFrame(rows, schema)
+    current = frame.withColumn("promoted", F.col("experiment_id") == "E4")
+
+    def got(score, candidates=None):
+        found = branch_compare({"A": frame, "B": frame.filter("experiment_id = 'E9'")}, current, "P", score, candidates).collect()
+        return {(r.branch, r.experiment_id, r.promoted) for r in found}
+
+    assert got("generalization_next") == {("A", "E4", False), ("P_Candidate", "E4", True)}
+    assert got("plain") == {("A", "E3", False), ("P_Candidate", "E4", True)}
+    assert got("plain", {"A": ["E1", "E2"]}) == {("A", "E2", False), ("P_Candidate", "E4", True)}

@@ -122,23 +122,38 @@ def ablation_best(compare: DataFrame, by: str) -> DataFrame:
     return flagged.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-# fixed values: how each branch comparison scores its benchmark rows
+# fixed values: what each branch comparison sorts its benchmark rows by: a sum of terms, or terms one after another
 BRANCH_SCORES = {
     "plain": ["gap_auc", "gap_balanced_accuracy", "real_spread_top_bottom"],
     "wave2": ["gap_auc", "gap_balanced_accuracy", "gap_ic_spearman", "real_spread_top_bottom"],
 }
-
-
-def branch_compare(sources: dict[str, DataFrame], current: DataFrame, prefix: str, score: str = "plain") -> DataFrame:
-    """Best benchmark row of each branch next to the promoted rows of the current shortlist."""
+BRANCH_ORDERS = {"generalization_next": ["real_auc", "real_balanced_accuracy", "real_spread_top_bottom"]}
+#: Columns of a comparison, as far as its tables have them.
+BRANCH_COLUMNS = (
+    "experiment_id", "label_type", "real_auc", "real_balanced_accuracy", "real_ic_spearman", "real_spread_top_bottom", "gap_auc",
+    "gap_balanced_accuracy", "gap_ic_spearman", "gap_spread_top_bottom", "real_trade_count",
+)
+
+
+def branch_compare(
+    sources: dict[str, DataFrame], current: DataFrame, prefix: str, score: str = "plain", candidates: dict[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """Best benchmark row of each branch next to the promoted rows of the current shortlist.
+
+    ``score`` names a sum of terms (missing ones count 0) or an order of columns (missing values last); ties go to the greater
+    experiment id. ``candidates`` limits a branch to experiments; a branch without any row is left out. Each branch is one
+    mergeable aggregate.
+    """
     out = None
-    columns = ["experiment_id", "gap_auc", "gap_balanced_accuracy", "real_spread_top_bottom", "real_trade_count"]
-    terms = BRANCH_SCORES[score]
-    total = sum((_z(c) for c in terms), F.lit(0.0))
+    columns = [c for c in BRANCH_COLUMNS if all(c in frame.columns for frame in [current, *sources.values()])]
+    if score in BRANCH_ORDERS:
+        order = [F.round(F.when(~F.isnan(c), F.col(c)), 12) for c in BRANCH_ORDERS[score]]
+    else:
+        order = [F.round(sum((_z(c) for c in BRANCH_SCORES[score]), F.lit(0.0)), 12)]
     for label, frame in sources.items():
-        best = frame.groupBy().agg(
-            F.max_by(F.struct(*columns), F.struct(F.round(total, 12), F.col("experiment_id"))).alias("_b")
-        ).filter("_b IS NOT NULL")
+        if candidates is not None and label in candidates:
+            frame = frame.filter(F.col("experiment_id").isin(*candidates[label]))
+        best = frame.groupBy().agg(F.max_by(F.struct(*columns), F.struct(*order, F.col("experiment_id"))).alias("_b")).filter("_b IS NOT NULL")
         row = best.select("_b.*", F.lit(label).alias("branch"), F.lit(False).alias("promoted"))
         out = row if out is None else out.unionByName(row)
     chosen = current.filter("promoted").select(
