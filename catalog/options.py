@@ -616,15 +616,7 @@ def _(t):
                mid_credit >= modelled_credit - 0.15 * abs(modelled_credit) AS within_15pct FROM r""",
 )
 def _(t):
-    mid = F.sum(F.col("sign") * (F.col("bid") + F.col("ask")) / 2)
-    out = _quotes(t).groupBy("trade_date").agg(
-        mid.alias("mid_credit"), F.sum(F.col("sign") * F.col("modelled")).alias("modelled_credit"), F.min("bid").alias("_low")
-    ).filter("_low > 0")
-    m, f = F.col("modelled_credit"), F.abs("modelled_credit")
-    return out.select(
-        "trade_date", "mid_credit", "modelled_credit", (F.col("mid_credit") - m).alias("diff"),
-        (F.col("mid_credit") >= m - 0.10 * f).alias("within_10pct"), (F.col("mid_credit") >= m - 0.15 * f).alias("within_15pct"),
-    )
+    return op.reconcile_prices(_quotes(t), ["trade_date"])
 
 
 @query(

@@ -216,3 +216,14 @@ def test_branches_keep_their_candidates_and_missing_values_come_last(spark):
     assert got("generalization_next") == {("A", "E4", False), ("P_Candidate", "E4", True)}
     assert got("plain") == {("A", "E3", False), ("P_Candidate", "E4", True)}
     assert got("plain", {"A": ["E1", "E2"]}) == {("A", "E2", False), ("P_Candidate", "E4", True)}
+
+
+def test_prices_are_reconciled_where_every_leg_is_quoted(spark):
+    rows = [
+        ("near", 1, 9.0, 11.0, 10.5), ("near", -1, 1.0, 3.0, 2.0),  # 8.0 against 8.5
+        ("far", 1, 8.0, 9.0, 10.0),  # 8.5 against 10: short by exactly 15 %
+        ("short", 1, 5.0, 6.0, 10.0), ("debit", -1, 5.0, 6.0, 5.0),  # a debit of 5.5 against one of 5
+        ("no bid", 1, None, 2.0, 1.0), ("no bid", 1, 3.0, 4.0, 1.0), ("zero", 1, 0.0, 2.0, 1.0),
+    ]
+    got = {r.k: tuple(r)[3:] for r in op.reconcile_prices(spark.createDataFrame(rows, "k string, sign int, bid double, ask double, modelled double"), ["k"]).collect()}
+    assert got == {"near": (-0.5, True, True), "far": (-1.5, False, True), "short": (-4.5, False, False), "debit": (-0.5, True, True)}

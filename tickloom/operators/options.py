@@ -539,6 +539,22 @@ def validate_quotes(quotes: DataFrame, by: Sequence[str], legs: int, max_age: fl
     )
 
 
+def reconcile_prices(quotes: DataFrame, by: Sequence[str], near: float = 0.10, far: float = 0.15) -> DataFrame:
+    """Credit at mid prices against the modelled one, and whether it falls short by at most ``near`` or ``far`` of it.
+
+    Only observations whose legs all have a bid and an ask are compared (columns bid, ask, sign, modelled).
+    """
+    credit = F.sum(F.col("sign") * (F.col("bid") + F.col("ask")) / 2)
+    complete = F.bool_and(F.coalesce((F.col("bid") > 0) & F.col("ask").isNotNull(), F.lit(False)))
+    out = quotes.groupBy(*by).agg(
+        credit.alias("mid_credit"), F.sum(F.col("sign") * F.col("modelled")).alias("modelled_credit"), complete.alias("_complete")
+    ).filter("_complete").drop("_complete")
+    mid, model, size = F.col("mid_credit"), F.col("modelled_credit"), F.abs("modelled_credit")
+    return out.select(
+        "*", (mid - model).alias("diff"), *[(mid >= model - share * size).alias(f"within_{round(100 * share)}pct") for share in (near, far)]
+    )
+
+
 def freshness_gate(quotes: DataFrame, by: Sequence[str], max_age: float = 300.0) -> DataFrame:
     """Fresh rows, both option types present, nothing unresolved (columns age, option_typ, resolved)."""
     out = quotes.groupBy(*by).agg(
