@@ -87,6 +87,38 @@ def test_a_line_in_many_surroundings_is_spread(spark, monkeypatch):
         assert max(load.values()) < 0.45 * sum(load.values())
 
 
+def test_byte_lines_in_many_surroundings_fill_no_range(spark, monkeypatch):
+    draw = random.Random(9)
+    make = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    line, passage = make(70), make(170)
+    rows = [(i, f"{make(150)}{line}{make(150)}") for i in range(500)]
+    rows += [(1000 + i, f"{make(80)}{passage}{make(80)}") for i in range(300)]
+    rows += [(2000 + i, rows[i][1][20:]) for i in range(0, 800, 20)] + [(3000, passage[30:]), (3001, passage * 3), (None, line + line)]
+    monkeypatch.setattr(suffixes, "RANGE", 256)
+    dealt, sent, deal = [], [], type(spark.range(0)).repartition
+    ranges = suffixes.ranges
+    monkeypatch.setattr(suffixes, "ranges", lambda *a: dealt.append(ranges(*a)) or dealt[-1])
+    df = table(spark, rows)
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, *a: sent.append(self) or deal(self, *a))
+    got = [tuple(r) for r in suffixes.byte_report(df).collect()]
+    truth = bytes_without([(-1 if k is None else k, t) for k, t in rows], 100)
+    assert sorted((-1 if r[0] is None else r[0], *r[1:]) for r in got) == sorted(truth)
+    assert len(dealt[0].wide) and len(dealt[0].windows) > 4
+    load = collections.Counter()
+    for part, blob in sent[-1].collect():
+        if blob[:1] == b"\0":
+            load[part] += len(suffixes._unpack(blob[1:])[1])
+    assert max(load.values()) <= 3 * suffixes.RANGE < sum(load.values()) / 8
+
+
+@pytest.mark.parametrize("rate", [1, 7])
+def test_a_thin_sample_changes_no_result(spark, monkeypatch, rate):
+    rows = corpus("abcdefghijé", "", seed=11)
+    monkeypatch.setattr(suffixes, "SAMPLE", 700 // rate)
+    monkeypatch.setattr(suffixes, "RANGE", 8)
+    assert sorted(map(tuple, suffixes.byte_report(table(spark, rows)).collect())) == sorted(bytes_without(rows, 100))
+
+
 def test_texts_with_repeats_cut_out(spark):
     shared = " ".join(f"s{i}" for i in range(40))
     rows = [(1, f"one\n two {shared}\nthree"), (2, f"{shared}"), (3, " own  text\n")]

@@ -2,10 +2,14 @@
 
 A first exchange finds the grams that start more than one segment of windows (:mod:`tickloom.llm.overlaps`); only suffixes
 at their anchors can hold a repeated window. Each task sorts those of its texts into a run, tells copies within the run at
-once, front-codes the run (length shared with the suffix before, then the rest) and cuts it at splitters that a
-mergeable quantile sketch of the corpus gives. Each range merges its runs with a loser tree whose nodes hold the length
+once, front-codes the run (length shared with the suffix before, then the rest) and cuts it at splitters: grams from a
+sample of the suffixes that are sent. Each range merges its runs with a loser tree whose nodes hold the length
 that a loser shares with the last winner: shared prefixes decide by their length and are never compared again.
 
+Suffixes with one gram must meet in one range, as they may share any window around it. A gram with so many different
+contexts in the sample that it would crowd a range is wide: each of its windows is sent as a suffix of its own, cut to the window and
+without left context. Equal windows still meet, of a run's copies only the earliest is sent, and splitters may part all others.
+
 In the merged order neighbouring shared lengths give, for any length, the classes of suffixes with equal beginnings;
 sorted left contexts give the same for what stands before the anchor. Windows with equal classes on both sides are equal,
 and all but the earliest go. Null and empty texts have no bytes; rows equal in id and text are one
@@ -15,8 +19,10 @@ come first; other columns are passed over; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import itertools
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.llm.overlaps import UNIQUE, gathered, key_array, keyed, mark, marked_chunks, ranges_of, removals, squeeze, unsqueeze
-from tickloom.llm.text import Anchors, Chunk, anchors, byte_values, chunks, covered, prefix, runs
+from tickloom.llm.text import Anchors, Chunk, anchors, byte_values, chunks, covered, prefix, runs, stored
 
 WINDOW = 100
 GRAM = 36
@@ -32,9 +38,14 @@ GRAM = 36
 RUN = 1 << 15
 #: Bytes hashed together; every byte starts a gram, so this is smaller than for words.
 PIECE = 1 << 18
-#: Ranges for each shuffle partition; a range is merged in memory.
+#: Ranges for each shuffle partition, at least; a range is merged in memory.
 RANGES = 4
-_SAMPLE = 64  # sampled places of a chunk, for the splitters
+#: Suffixes of a range, about; there are more ranges and partitions where the corpus needs them.
+RANGE = 1 << 16
+#: Suffixes sampled for splitters and wide grams, about; this bounds what is broadcast and what the driver holds.
+SAMPLE = 1 << 17
+#: Sampled contexts that a gram has at least before it counts as wide.
+_LEAST = 8
 
 
 def byte_segments(window: int, gram: int):
@@ -186,35 +197,88 @@ def later_windows(lefts: list[bytes], sizes: np.ndarray, shared: np.ndarray, ran
     return row, begin, end - 1
 
 
-def splitters(docs: DataFrame, parts: int) -> np.ndarray:
-    """First eight bytes that cut the corpus's suffixes into ``parts`` ranges of about equal size."""
-    def sample(batches):
-        for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                if len(chunk.data) < 8:
-                    continue
-                at = np.random.default_rng(len(chunk.data)).integers(0, len(chunk.data) - 7, _SAMPLE)
-                words = np.stack([chunk.data[at + j] for j in range(8)], 1).copy().view(">u8")[:, 0]
-                yield pa.RecordBatch.from_arrays([pa.array((words >> np.uint64(1)).astype(np.int64))], ["begin"])
+class Ranges(NamedTuple):
+    """How sent suffixes are dealt: which range a suffix belongs to, and whose windows are sent one by one."""
+
+    edges: list[bytes]  # grams
+    windows: list[bytes]  # windows of wide grams
+    wide: np.ndarray  # hashes of wide grams
+
+    def cut(self, strings: list[bytes], wide: bool) -> np.ndarray:
+        """Ranges of sorted suffixes; those of wide windows come behind all others."""
+        edges, base = (self.windows, len(self.edges) + 1) if wide else (self.edges, 0)
+        size = len(edges[0]) if edges else 0
+        return np.array([base + bisect.bisect_right(edges, x[:size]) for x in strings], np.int32)
+
+    @property
+    def number(self) -> int:
+        return len(self.edges) + len(self.windows) + 2
+
+
+def _quantiles(strings: list[bytes], weights: np.ndarray, parts: int) -> list[bytes]:
+    """At most ``parts - 1`` of the sorted strings, which cut them into ranges of about equal weight."""
+    if parts < 2 or not strings:
+        return []
+    total = np.cumsum(weights)
+    at = np.searchsorted(total, total[-1] * np.arange(1, parts) / parts)
+    return [strings[i] for i in np.unique(at).tolist()]
 
-    if parts < 2:
-        return np.zeros(0, np.uint64)
-    shares = [i / parts for i in range(1, parts)]
-    found = docs.select("text").mapInArrow(sample, "begin bigint").agg(F.percentile_approx("begin", shares, 10000)).first()[0]
-    return np.unique(np.array(found or [], np.int64)).astype(np.uint64)
+
+def ranges(docs: DataFrame, marks: DataFrame, window: int, gram: int) -> Ranges:
+    """Ranges of about ``RANGE`` suffixes, from a sample of about ``SAMPLE`` of those that ``marks`` (stored) names.
+
+    The sample decides only how work is dealt, never what is found.
+    """
+    segments = byte_segments(window, gram)
+    total = marks.agg(F.sum(F.size("codes"))).first()[0] or 0
+    rate = -(-total // SAMPLE) or 1
+    places = marks.select("key", F.explode("codes").alias("code")).where(F.pmod(F.xxhash64("key", "code"), F.lit(rate)) == 0)
+    picked = places.groupBy("key").agg(F.collect_set("code").alias("codes"))
+
+    def pick(batches):
+        for batch in batches:
+            for chunk, _, found, _, status in marked_chunks(batch, segments, PIECE):
+                own = np.flatnonzero(status != UNIQUE)
+                if len(own):
+                    body = chunk.data.tobytes()
+                    around = [body[a : b + window] for a, b in zip(found.first[own].tolist(), found.last[own].tolist(), strict=True)]
+                    columns = [around, found.at[own] - found.first[own], found.key[own].view(np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["around", "before", "hash"])
+
+    # SAMPLE places at most, about, as the rate comes from their count
+    chosen = docs.join(F.broadcast(picked), "key").select("key", "text", "codes")
+    rows = chosen.mapInArrow(pick, "around binary, before bigint, hash bigint")
+    contexts = stored(rows.distinct(), "sample")
+    counts = contexts.groupBy("hash", F.expr(f"substring(around, int(before) + 1, {gram})").alias("gram")).agg(F.count("*").alias("contexts"))
+    crowds = F.col("contexts") * rate > max(RANGE // 2, (_LEAST - 1) * rate)
+    least = RANGES * ranges_of(docs.sparkSession)
+    near = counts.where(~crowds).select("gram", "contexts").toArrow().sort_by("gram")
+    edges = _quantiles(near["gram"].to_pylist(), near["contexts"].to_numpy(), max(least, -(-total // RANGE)))
+    wide = counts.where(crowds).select("hash").distinct().toArrow()["hash"].to_numpy()  # SAMPLE / _LEAST at most
+    if not len(wide):
+        return Ranges(edges, [], wide.astype(np.uint64))
+    crowded = contexts.join(F.broadcast(counts.where(crowds).select("hash").distinct()), "hash")
+    starts = F.expr(f"sequence(1, length(around) - {window - 1})")
+    every = crowded.select("around", F.explode(starts).alias("start")).select(F.expr(f"substring(around, start, {window})").alias("window"))
+    thin = -(-(every.count()) // SAMPLE)
+    windows = every.where(F.pmod(F.xxhash64("window"), F.lit(thin)) == 0).distinct().toArrow().sort_by("window")["window"].to_pylist()
+    return Ranges(edges, _quantiles(windows, np.ones(len(windows)), max(least, -(-len(windows) * thin * rate // RANGE))), wide.astype(np.int64).view(np.uint64))
 
 
 def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``key, firsts, lasts``: runs of byte windows that also start earlier; ``docs`` has ``key, doc_id, text``."""
-    parts = ranges_of(docs.sparkSession)
     segments = byte_segments(window, gram)
-    edges = splitters(docs, RANGES * parts)
-    reach = window - gram
+    marks = stored(mark(docs, segments, PIECE), "marks")
+    dealt = ranges(docs, marks, window, gram)
+    parts = max(ranges_of(docs.sparkSession), -(-dealt.number // RANGES))
 
     def sort(batches):
-        held: list[tuple] = []  # suffix, left context, id, key, place
+        near: list[tuple] = []  # suffix, left context, id, key, place
+        wide: list[tuple] = []  # the same of single windows
 
-        def flush():
+        def flush(held, of_windows):
+            if not held:
+                return
             held.sort()
             first, told = [], []
             for item in held:  # of equal contexts the earliest stands for the run
@@ -224,11 +288,10 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 else:
                     first.append(item)
             held.clear()
-            begin = np.array([int.from_bytes(x[0][:8], "big") >> 1 for x in first], np.uint64)  # as the sampled ones
-            part = np.searchsorted(edges, begin, "right")
+            part = dealt.cut([x[0] for x in first], of_windows)
             cut = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
             blobs = [_pack(first[a:b]) for a, b in itertools.pairwise(cut)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), pa.array(blobs, pa.binary())], ["part", "blob"])
             if told:
                 key, place, left, size = (np.array(x, np.int64) for x in zip(*((k, p, len(b), len(a)) for a, b, _, k, p in told), strict=True))
                 order = np.argsort(key % parts, kind="stable")
@@ -243,13 +306,20 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
             ids = batch.column(1).fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
             for chunk, rows, found, row, status in marked_chunks(batch, segments, PIECE):
                 body, base = chunk.data.tobytes(), chunk.offsets[row]
+                single = np.isin(found.key, dealt.wide)
                 for i in np.flatnonzero(status != UNIQUE).tolist():
-                    at = int(found.at[i])
-                    held.append((body[at : found.last[i] + window], body[found.first[i] : at], int(ids[rows[row[i]]]), int(keys[rows[row[i]]]), at - int(base[i])))
-                if len(held) > RUN:
-                    yield from flush()
-        if held:
-            yield from flush()
+                    at, first, last = int(found.at[i]), int(found.first[i]), int(found.last[i])
+                    where, start = (int(ids[rows[row[i]]]), int(keys[rows[row[i]]])), int(base[i])
+                    if single[i]:
+                        wide += [(body[s : s + window], b"", *where, s - start) for s in range(first, last + 1)]
+                    else:
+                        near.append((body[at : last + window], body[first:at], *where, at - start))
+                    if len(wide) > RUN:
+                        yield from flush(wide, True)
+                if len(near) > RUN:
+                    yield from flush(near, False)
+        yield from flush(near, False)
+        yield from flush(wide, True)
 
     def merge(batches):
         waiting: dict[int, list[bytes]] = {}
@@ -276,10 +346,10 @@ def earlier_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
         rank = np.unique(where, axis=0, return_inverse=True)[1].ravel()  # equal rows are one document
         sizes = np.fromiter(map(len, suffixes), np.int64, len(suffixes))
         suffixes.clear()
-        row, least, most = later_windows([lefts[t] for t in tags.tolist()], sizes, np.array(shared), rank, window, reach)
+        row, least, most = later_windows([lefts[t] for t in tags.tolist()], sizes, np.array(shared), rank, window, max(map(len, lefts)))
         return removals(where[row, 1], where[row, 2] - most, where[row, 2] - least)
 
-    marked = docs.join(mark(docs, segments, PIECE), "key", "left")
+    marked = docs.join(marks, "key", "left")
     sent = marked.mapInArrow(sort, "part int, blob binary").repartition(parts, "part")
     return gathered(sent.mapInArrow(merge, "key bigint, first bigint, last bigint"))
 
