@@ -9,7 +9,7 @@ from catalog.labels import RESEARCH
 from catalog.registry import query
 from tickloom.functions import rolling as R
 from tickloom.functions.layout import DAILY, over_series
-from tickloom.functions.session import cut_lineage
+from tickloom.functions.session import cut_lineage, stored
 from tickloom.operators import exchange as ex
 from tickloom.operators import portfolio as pf
 from tickloom.operators.joins import asof_join
@@ -22,16 +22,17 @@ def groups(t) -> DataFrame:
 
 
 def panel(t) -> DataFrame:
-    """Daily bars of the groups with a 60-row momentum score, ATR and breadth by date.
+    """Daily bars of the groups with a 60-row momentum score, ATR and breadth by date: the columns the portfolios read.
 
-    Bars and panel are read several times by every audit, so both are kept; a lost block is recomputed.
+    Bars are read by the score and by both breadth tables, the panel several times by every audit, so each is written once, as
+    narrow as its readers allow; later readings take no exchange.
     """
-    bars = groups(t).persist()
-    own = research_columns(ex.momentum(bars, 60))
+    bars = stored(groups(t).select("ticker", "ts", "high", "low", "close"), "bars")
+    own = research_columns(ex.momentum(bars, 60)).select("ticker", "ts", "close", "ret60", "atr20_log")
     # both breadth tables have one row per calendar day
     rel = ex.relative_breadth(bars, 3).select("ts", "breadth_rel_adv_frac")
     adv = ex.advance_fraction(bars).select(F.col("trade_date").alias("ts"), "breadth_adv_frac")
-    return own.join(F.broadcast(rel), "ts", "left").join(F.broadcast(adv), "ts", "left").persist()
+    return stored(own.join(F.broadcast(rel), "ts", "left").join(F.broadcast(adv), "ts", "left"), "panel")
 
 
 CONTEXT = ["breadth_rel_adv_frac", "breadth_adv_frac"]

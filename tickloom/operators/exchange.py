@@ -212,7 +212,7 @@ def aligned_market_return(bars: DataFrame, rows: int = 3, name: str = "mkt_ret",
     """
     # one row per calendar day
     calendar = bars.select("ts").distinct().withColumn("_d", F.row_number().over(Window.orderBy("ts")).cast("long"))
-    placed = bars.select("ticker", "ts", "close").join(calendar, "ts")
+    placed = bars.select("ticker", "ts", "close").join(F.broadcast(calendar) if shape.series_fits() else calendar, "ts")
 
     def build(df, w):
         earlier = [F.struct(F.lag("_d", k).over(w).alias("d"), F.lag("close", k).over(w).alias("p")) for k in range(1, rows + 1)]
@@ -238,7 +238,7 @@ def relative_breadth(bars: DataFrame, rows: int = 3, shape: Shape = DAILY) -> Da
     """Share of tickers per date whose return beats the aligned market return; missing counts as not beating."""
     own = momentum(bars, rows, shape=shape).select("ticker", "ts", F.col(f"ret{rows}").alias("_own"))
     market = aligned_market_return(bars, rows, "mkt_ret", shape)
-    joined = own.join(market, "ts", "left")
+    joined = own.join(F.broadcast(market) if shape.series_fits() else market, "ts", "left")
     return joined.groupBy("ts").agg(
         F.avg(F.when(F.col("_own") - F.col("mkt_ret") > 0, 1.0).otherwise(0.0)).alias("breadth_rel_adv_frac"),
         F.max("mkt_ret").alias("mkt_ret"),

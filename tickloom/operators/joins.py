@@ -72,12 +72,13 @@ def next_snapshot(
 ) -> DataFrame:
     """Price (and ``extra`` columns) of each ticker at a rebalance and its price at the next one.
 
-    ``schedule`` has keys, ts, next_ts, one row per rebalance; only rows of those dates meet on (keys, ticker). Adaptive
-    execution decides whether it is small enough to be sent to all tasks.
+    ``schedule`` has keys, ts, next_ts, one row per rebalance, at most one for each session of the calendar: it is sent to all
+    tasks, and only prices of its dates are exchanged, to meet on (keys, ticker).
     """
-    now = prices.select("ticker", "ts", "close", *extra).join(schedule.select(*keys, "ts", "next_ts"), "ts")
+    # one row per rebalance
+    now = prices.select("ticker", "ts", "close", *extra).join(F.broadcast(schedule.select(*keys, "ts", "next_ts")), "ts")
     then = prices.select("ticker", F.col("ts").alias("next_ts"), F.col("close").alias("next_close"))
-    then = then.join(schedule.select(*keys, "next_ts"), "next_ts").drop("next_ts")
+    then = then.join(F.broadcast(schedule.select(*keys, "next_ts")), "next_ts").drop("next_ts")
     return now.join(then, [*keys, "ticker"])
 
 
