@@ -8,6 +8,7 @@ from catalog.exchange import SPOT_CONTEXT, VIX_CONTEXT
 from catalog.registry import query
 from tickloom.functions import pricing as pr
 from tickloom.functions.layout import CALENDAR
+from tickloom.functions.session import stored
 from tickloom.operators import exchange as ex
 from tickloom.operators import options as op
 
@@ -296,8 +297,14 @@ STOCKS = f"""{fx.BARS}, {fx.STOCK_CHAIN},
              premium - greatest(strike - x, 0) AS net_pnl_points, (premium - greatest(strike - x, 0)) / strike AS return_on_cash, strike > x AS assigned FROM puts)"""
 
 
+def _stocks(t):
+    """Chain and spots of the stocks; chain, entry and expiry read the spots, which are written once."""
+    spots = stored(fx.stock_spot(t), "spots")
+    return fx.stock_chain(t, spots), spots
+
+
 def _stock_puts(t):
-    return op.cash_secured_puts(fx.stock_chain(t), fx.stock_spot(t))
+    return op.cash_secured_puts(*_stocks(t))
 
 
 @query(
@@ -306,7 +313,7 @@ def _stock_puts(t):
     f"""WITH {STOCKS} SELECT symbol, trade_date, expiry, expiry - trade_date AS days_to_expiry, s AS spot_entry, x AS spot_expiry FROM entry""",
 )
 def _(t):
-    return op.entry_days(fx.stock_chain(t), fx.stock_spot(t), 7, 35).filter("spot_expiry IS NOT NULL")
+    return op.entry_days(*_stocks(t), 7, 35).filter("spot_expiry IS NOT NULL")
 
 
 @query(
@@ -332,7 +339,7 @@ def _(t):
                (net_credit - least(greatest(short_strike - x, 0), w)) / greatest(w - net_credit, 1) AS return_on_margin FROM d""",
 )
 def _(t):
-    return op.bull_put_spreads(fx.stock_chain(t), fx.stock_spot(t))
+    return op.bull_put_spreads(*_stocks(t))
 
 
 @query(
@@ -342,7 +349,7 @@ def _(t):
         x / s - 1 AS buyhold_return, x / s - 1 + (premium - greatest(x - strike, 0)) / s AS covered_return FROM calls""",
 )
 def _(t):
-    return op.covered_calls(fx.stock_chain(t), fx.stock_spot(t))
+    return op.covered_calls(*_stocks(t))
 
 
 @query(

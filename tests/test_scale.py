@@ -27,3 +27,22 @@ def test_snapshot_prices_are_not_exchanged_by_date(spark):
         assert _plan(out).count("BroadcastHashJoin") == 2 and out.count() == 16
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_legs_of_a_dealt_chain_are_not_exchanged(spark, tables):
+    from catalog import fixtures as fx
+    from catalog.options import _stocks
+    from tickloom.operators import options as op
+
+    chain, spots = _stocks(tables)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(op.bull_put_spreads(chain, spots))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # an exchange of legs stands on their explosion into strikes
+    lines = plan.split("\n")
+    above = [lines[i - 1 : i + 4] for i, x in enumerate(lines) if "Exchange hashpartitioning" in x and "expiry" in x]
+    assert "ShuffledHashJoin" in plan
+    assert not any("Generate" in x for group in above for x in group)
+    assert chain.columns == fx.stock_chain(tables).columns

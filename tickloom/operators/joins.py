@@ -140,12 +140,14 @@ def pick_leg(
     on: Sequence[str] = ("trade_date", "expiry"),
     keys: Sequence[str] = (),
     require_traded: bool = True,
+    dealt: Sequence[str] = (),
 ) -> DataFrame:
     """Nearest listed strike at or above (``up``), at or below (``down``) or closest to a target price.
 
     ``targets`` has one row per ``on + keys``. Adds ``{name}_strike``, ``_close``, ``_contracts``, ``_open_int``; null
     where no leg qualifies. The pick is a mergeable ``min_by`` after an equi-join, so a crowded date is combined
-    map-side and never sorted in one task.
+    map-side and never sorted in one task. Where the chain is dealt out by a few of ``on`` already (``dealt``, all but the
+    expiry), targets go to their legs: they are fewer, so no leg is exchanged or sorted for the join.
     """
     legs = chain.filter((F.col("option_typ") == option_type) & (F.col("close") > 0))
     if require_traded:
@@ -153,12 +155,18 @@ def pick_leg(
     legs = legs.select(*on, "strike", F.struct("strike", "close", "contracts", "open_int").alias("_leg"))
     wanted = targets.select(*on, *keys, F.col(target).alias("_target"))
     gap = F.col("strike") - F.col("_target")
+    if dealt:
+        # the expiry is compared beside the keys, as a key it would deal all legs anew
+        asked = wanted.withColumnRenamed("expiry", "_expiry").hint("shuffle_hash")
+        met = legs.join(asked, list(dealt)).filter(F.datediff("expiry", "_expiry") == 0).drop("_expiry")
+    else:
+        met = wanted.join(legs, list(on))
     if direction == "up":
-        candidates, distance = wanted.join(legs, list(on)).filter(gap >= 0), gap
+        candidates, distance = met.filter(gap >= 0), gap
     elif direction == "down":
-        candidates, distance = wanted.join(legs, list(on)).filter(gap <= 0), -gap
+        candidates, distance = met.filter(gap <= 0), -gap
     else:
-        candidates, distance = wanted.join(legs, list(on)), F.abs(gap)
+        candidates, distance = met, F.abs(gap)
     picked = candidates.groupBy(*on, *keys).agg(F.min(F.struct(distance.alias("d"), "_leg")).alias("_p"))
     out = targets.join(picked, [*on, *keys], "left")
     return out.select(

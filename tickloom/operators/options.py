@@ -305,7 +305,7 @@ def single_leg_trades(chain: DataFrame, spot: DataFrame, kind: str, otm: float,
     sign = -1.0 if kind == "PE" else 1.0
     targets = days.withColumn("_t", F.col("spot_entry") * (1.0 + sign * otm))
     on = [*names, "trade_date", "expiry"]
-    legs = pick_leg(targets, chain, kind, "_t", "down" if kind == "PE" else "up", "leg", on).filter("leg_strike IS NOT NULL")
+    legs = pick_leg(targets, chain, kind, "_t", "down" if kind == "PE" else "up", "leg", on, dealt=on[:-1] if names else ()).filter("leg_strike IS NOT NULL")
     owed = F.greatest((F.col("leg_strike") - F.col("spot_expiry")) * (1.0 if kind == "PE" else -1.0), F.lit(0.0))
     return legs.select(
         *names,
@@ -347,8 +347,8 @@ def bull_put_spreads(chain: DataFrame, spot: DataFrame, otm: float = 0.05, max_l
     on = [*names, "trade_date", "expiry"]
     days = entry_days(chain, spot, min_days, max_days, names).filter("spot_expiry IS NOT NULL")
     S = F.col("spot_entry")
-    legs = pick_leg(days.withColumn("_t", S * (1.0 - otm)), chain, "PE", "_t", "down", "short", on)
-    legs = pick_leg(legs.withColumn("_l", F.col("short_strike") - S * max_loss), chain, "PE", "_l", "nearest", "long", on)
+    legs = pick_leg(days.withColumn("_t", S * (1.0 - otm)), chain, "PE", "_t", "down", "short", on, dealt=on[:-1] if names else ())
+    legs = pick_leg(legs.withColumn("_l", F.col("short_strike") - S * max_loss), chain, "PE", "_l", "nearest", "long", on, dealt=on[:-1] if names else ())
     both = legs.filter("short_strike > long_strike")
     credit = F.col("short_close") - F.col("long_close")
     width = F.col("short_strike") - F.col("long_strike")
