@@ -12,7 +12,7 @@ def _plan(df) -> str:
 def test_portfolio_panel_is_narrow_and_read_without_an_exchange(tables):
     panel = portfolio.panel(tables)
     assert sorted(panel.columns) == sorted(["ticker", "ts", "close", "ret60", "atr20_log", "breadth_rel_adv_frac", "breadth_adv_frac"])
-    assert "Exchange" not in _plan(panel) and "InMemory" not in _plan(panel)
+    assert "Exchange" not in _plan(panel) and "InMemoryTableScan" not in _plan(panel)
 
 
 def test_snapshot_prices_are_not_exchanged_by_date(spark):
@@ -46,3 +46,14 @@ def test_legs_of_a_dealt_chain_are_not_exchanged(spark, tables):
     assert "ShuffledHashJoin" in plan
     assert not any("Generate" in x for group in above for x in group)
     assert chain.columns == fx.stock_chain(tables).columns
+
+
+def test_folds_read_cleaned_and_shuffled_rows_that_are_written_once(spark):
+    from tickloom.operators.labels import Experiment
+    from tickloom.plans.experiments import predict_oos
+
+    rows = [(f"T{i % 4}", f"2020-01-{1 + i // 4 % 28:02d}", 1 + i // 112, (i * 37 % 101) / 100, (i * 53 % 97) / 97 - 0.5, i * 29 % 2) for i in range(336)]
+    frame = spark.createDataFrame(rows, "ticker string, ts string, window_id int, lag_ret_1 double, net double, up int")
+    frame = frame.select("ticker", F.col("ts").cast("date").alias("ts"), "window_id", "lag_ret_1", F.col("up").alias("y_t3_cost_up_3"), F.col("up").alias("y_t4_upfirst_3"), F.col("net").alias("net_fwd_ret_3"), F.col("net").alias("raw_fwd_ret_3"))
+    out = predict_oos(frame, Experiment("X", "T4", 3, "binary", (), "logistic"), ["lag_ret_1"], [(1, 2), (2, 3)], shuffled=True)
+    assert "Window" not in _plan(out) and out.count() == 224
