@@ -134,7 +134,8 @@ RANKS = f"{RELATED}, ranks AS (SELECT *, {', '.join(_rank_sql(c) for c in RANK_O
 
 
 def _ranked(t):
-    frame = _related(t).select("ticker", "ts", *[F.round(c, 9).alias(c) for c in RANK_ON])
+    own = it.own_features(fx.bars(t), keep=["relative_volume_time", "realvol20"])
+    frame = it.sector_relative(own, fx.sectors(t)).select("ticker", "ts", *[F.round(c, 9).alias(c) for c in RANK_ON])
     # tickers per date cannot exceed the supplier table
     return it.cross_ranks(frame, RANK_ON, shape=UNKNOWN)
 

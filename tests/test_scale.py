@@ -57,3 +57,28 @@ def test_folds_read_cleaned_and_shuffled_rows_that_are_written_once(spark):
     frame = frame.select("ticker", F.col("ts").cast("date").alias("ts"), "window_id", "lag_ret_1", F.col("up").alias("y_t3_cost_up_3"), F.col("up").alias("y_t4_upfirst_3"), F.col("net").alias("net_fwd_ret_3"), F.col("net").alias("raw_fwd_ret_3"))
     out = predict_oos(frame, Experiment("X", "T4", 3, "binary", (), "logistic"), ["lag_ret_1"], [(1, 2), (2, 3)], shuffled=True)
     assert "Window" not in _plan(out) and out.count() == 224
+
+
+def test_cross_ranks_of_timestamps_that_fit_are_not_stacked(spark, monkeypatch):
+    from tickloom.operators import intraday as it
+
+    rows = [(f"T{i % 20:02d}", f"2020-01-{1 + i // 20:02d}", None if i % 9 == 0 else float(i * 7 % 5), float("nan") if i % 11 == 0 else i * 13 % 17 / 16, "s") for i in range(120)]
+    panel = spark.createDataFrame(rows + [(None, "2020-01-01", 2.0, 3.0, "s")] + rows[:3], "ticker string, ts string, a double, b double, other string")
+    wanted = {}
+    for columns in (["ticker", "ts", "a", "b"], panel.columns):
+        out = it.cross_ranks(panel.select(*columns), ["a", "b"])
+        assert _plan(out).count("Exchange hashpartitioning") == 1 and "Generate" not in _plan(out)
+        assert out.columns == [*columns, "xs_rank_a", "xs_rank_b"]
+        wanted[len(columns)] = sorted(map(str, out.collect()))
+    monkeypatch.setattr(it, "TASK_ROWS", 0)
+    for columns in (["ticker", "ts", "a", "b"], panel.columns):
+        assert sorted(map(str, it.cross_ranks(panel.select(*columns), ["a", "b"]).collect())) == wanted[len(columns)]
+
+
+def test_sector_means_are_sent_to_the_panel(tables):
+    from catalog import fixtures as fx
+    from tickloom.operators import intraday as it
+
+    own = it.own_features(fx.bars(tables), keep=["relative_volume_time", "realvol20"])
+    assert "Exchange hashpartitioning(ticker" not in _plan(own) and "min_by" not in _plan(own)
+    assert "Exchange hashpartitioning(ts" not in _plan(it.sector_relative(own, fx.sectors(tables))).split("_sector_ret_3")[0]

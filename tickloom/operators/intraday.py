@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from tickloom.functions import rolling as R
-from tickloom.functions.layout import DAILY, UNKNOWN, Shape, avg_rank, over_series
+from tickloom.functions.layout import DAILY, TASK_ROWS, UNKNOWN, Shape, avg_rank, over_series
 from tickloom.functions.session import stored
-from tickloom.operators.research import research_columns
+from tickloom.operators.research import relative_to_market, ticker_columns
 
 #: 96 quarter-hour bars a day for a generation
 INTRADAY = Shape(series_rows=1_200_000)
@@ -92,8 +96,12 @@ def _moment_skew(x: Column, w, rows: int) -> Column:
     return F.when((F.count(x).over(f) == rows) & ~flat, F.skewness(x).over(f))
 
 
-def own_features(bars: DataFrame, shape: Shape = DAILY) -> DataFrame:
-    """Trend, volatility, candle shape, persistence and multi-scale columns of each ticker: one exchange."""
+def own_features(bars: DataFrame, shape: Shape = DAILY, keep: Sequence[str] | None = None) -> DataFrame:
+    """Trend, volatility, candle shape, persistence and multi-scale columns of each ticker: one exchange.
+
+    Who reads the panel more than once names the ticker columns to ``keep``: they are written once, besides the returns, and bars
+    are not built again for the market's returns.
+    """
     c, o, h, l, v = (F.col(x) for x in ("close", "open", "high", "low", "volume"))
 
     def first(df, w):
@@ -137,7 +145,10 @@ def own_features(bars: DataFrame, shape: Shape = DAILY) -> DataFrame:
             R.mean(F.col("breakout_3bar"), w, 3).alias("multi_scale_breakout_pressure_3"),
         ).drop("_move", "_macd", "_i", "_range", "_vol3")
 
-    return over_series(over_series(research_columns(bars, shape), first, before=46, shape=shape), second, before=60, shape=shape)
+    own = over_series(over_series(ticker_columns(bars, shape), first, before=46, shape=shape), second, before=60, shape=shape)
+    if keep is not None:
+        own = stored(own.select("ticker", "ts", *sorted({"lag_ret_1", "ret_3", "ret_6", *keep})), "own")
+    return relative_to_market(own, shape)
 
 
 def market_state(panel: DataFrame, time: str = "ts") -> DataFrame:
@@ -166,10 +177,12 @@ def market_state(panel: DataFrame, time: str = "ts") -> DataFrame:
     )
 
 
-def sector_relative(panel: DataFrame, sectors: DataFrame, time: str = "ts") -> DataFrame:
+def sector_relative(panel: DataFrame, sectors: DataFrame, time: str = "ts", shape: Shape = DAILY) -> DataFrame:
     """Sector mean against the market and stock against its sector; aggregates are combined map-side."""
     tagged = panel.join(sectors, "ticker", "left")
     means = tagged.groupBy(time, "sector").agg(F.avg("ret_3").alias("_sector_ret_3"))
+    if shape.series_fits() and shape.series_rows <= DAILY.series_rows:
+        means = F.broadcast(means)  # one row per calendar day and sector
     joined = tagged.join(means, [time, "sector"], "left")
     residual = F.col("ret_3") - F.col("_sector_ret_3")
     return joined.select(
@@ -183,19 +196,60 @@ def sector_relative(panel: DataFrame, sectors: DataFrame, time: str = "ts") -> D
     )
 
 
+def _percent_ranks(value: pa.ChunkedArray) -> pa.Array:
+    """Average-tie rank over the number of known values; NaN is the largest value, unknown ones have no rank."""
+    known = value.is_valid().to_numpy().astype(bool)
+    x = value.to_numpy()[known].astype(float)
+    order = np.argsort(x, kind="stable")
+    x = x[order]
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) & ~(np.isnan(x[1:]) & np.isnan(x[:-1]))
+    starts = np.flatnonzero(first)
+    same = np.diff(np.append(starts, len(x)))
+    ranks, placed = np.zeros(len(known)), np.empty(len(x))
+    placed[order] = np.repeat(starts + (same + 1) / 2.0, same) / max(len(x), 1)
+    ranks[known] = placed
+    return pa.array(ranks, mask=~known)
+
+
+def _ranks_by_stamp(panel: DataFrame, features: Sequence[str], time: str, single: bool) -> DataFrame:
+    """Percent ranks of timestamps that fit into a task: one exchange of the panel for all features.
+
+    With ``single`` copies of a ticker and timestamp become one row, else rows without one of both have no ranks.
+    """
+    names = [f"xs_rank_{f}" for f in features]
+    typed = panel.withColumns({f: F.col(f).cast("double") for f in features})
+    shape = StructType([*typed.schema, *[StructType().add(n, DoubleType())[0] for n in names]])
+
+    def rank(table: pa.Table) -> pa.Table:
+        ranks = [_percent_ranks(table[f]) for f in features]
+        if not single:
+            placed = pc.and_(table["ticker"].is_valid(), table[time].is_valid())
+            ranks = [pc.if_else(placed, r, pa.scalar(None, pa.float64())) for r in ranks]
+        for n, r in zip(names, ranks, strict=True):
+            table = table.append_column(n, r)
+        if single and len(table["ticker"].unique()) < len(table):
+            wide = table.group_by(["ticker", time]).aggregate([(c, "max") for c in [*features, *names]])
+            table = wide.rename_columns([c.removesuffix("_max") for c in wide.column_names]).select(table.column_names)
+        return table
+
+    return typed.groupBy(time).applyInArrow(rank, shape)
+
+
 def cross_ranks(panel: DataFrame, features: Sequence[str], time: str = "ts", shape: Shape = UNKNOWN) -> DataFrame:
     """Percent ranks by timestamp of several features in one pass: ``xs_rank_<feature>``.
 
-    With a proven bound on tickers per timestamp all ranks share one exchange. Otherwise the features are stacked and
-    ranked in place, by ranges of (timestamp, feature, value), so no task sorts a whole timestamp. A panel has one row for
-    each ticker and timestamp.
+    Where the largest timestamp, by proof or by count, fits into a task, all ranks share one exchange. Otherwise the features
+    are stacked and ranked in place, by ranges of (timestamp, feature, value), so no task sorts a whole timestamp. A panel
+    has one row for each ticker and timestamp.
     """
-    if shape.stamp_fits():
-        out = panel
-        for f in features:
-            out = avg_rank(out, f, [time], f"xs_rank_{f}", pct=True, shape=shape)
-        return out
     others = [c for c in panel.columns if c not in ("ticker", time, *features)]
+    if shape.stamp_fits() or (panel.groupBy(time).count().agg(F.max("count")).first()[0] or 0) <= TASK_ROWS:
+        return _ranks_by_stamp(panel, features, time, single=not others)
+    return _stacked_ranks(panel, features, time, shape, others)
+
+
+def _stacked_ranks(panel: DataFrame, features: Sequence[str], time: str, shape: Shape, others: Sequence[str]) -> DataFrame:
     # every feature of a row is stacked, nulls too, so that the pivot has each row again
     items = F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f).cast("double").alias("value")) for i, f in enumerate(features)])
     if others:
