@@ -82,3 +82,16 @@ def test_sector_means_are_sent_to_the_panel(tables):
     own = it.own_features(fx.bars(tables), keep=["relative_volume_time", "realvol20"])
     assert "Exchange hashpartitioning(ticker" not in _plan(own) and "min_by" not in _plan(own)
     assert "Exchange hashpartitioning(ts" not in _plan(it.sector_relative(own, fx.sectors(tables))).split("_sector_ret_3")[0]
+
+
+def test_folds_that_are_left_out_are_fitted_together(spark):
+    from tickloom.plans import experiments as ep
+
+    rows = [(f"T{i % 12:02d}", (i * 37 % 101) / 100, (i * 53 % 97) / 97, int((i * 37 % 101) / 100 + (i * 29 % 13) / 13 > 1)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "ticker string, a double, b double, label_up int")
+    jobs = {}
+    for folds in (3, 12):
+        spark.sparkContext.setJobGroup(f"left-out-{folds}", "")
+        assert ep.leave_one_out(frame, ["a", "b"], folds=folds).agg(F.sum("samples")).first()[0] == 600
+        jobs[folds] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"left-out-{folds}"))
+    assert jobs[12] <= jobs[3] + 5
