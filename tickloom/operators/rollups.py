@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickloom.functions.layout import UNKNOWN, Shape, value_ranks
+from tickloom.functions.session import stored
 
 
 def group_count(df: DataFrame, keys: Sequence[str] = ("ticker", "window_id")) -> DataFrame:
@@ -60,12 +61,43 @@ def label_sanity(df: DataFrame, horizon: int) -> DataFrame:
     means = ["y_t7_target_before_stop", "y_t8_clean_target_before_stop", "time_to_target", "time_to_stop", "mae_before_resolution"]
     means = [f"{c}_{h}" for c in means]
     names = [c for c in both + means if c in df.columns]
-    stacked = df.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in names])).alias("s")
-    ).select("s.label", "s.value")
-    averages = stacked.groupBy("label").agg(F.avg("value").alias("mean"))
-    medians = exact_quantiles(stacked.filter(F.col("label").isin(both)), "value", [0.5], ["label"])
-    return averages.join(medians.withColumnRenamed("q0", "median"), "label", "left").withColumn("horizon", F.lit(h))
+    # read twice more: means and brackets first, the rows of the brackets then
+    values = stored(df.select(*[F.col(c).cast("double").alias(c) for c in names]), "labels")
+    means = values.agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in names])
+    stack = F.explode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("mean")) for c in names]))
+    averages = means.filter("_n > 0").select(stack.alias("s")).select("s.*")
+    medians = exact_medians(values, [c for c in names if c in both])
+    # one row per label
+    return averages.join(F.broadcast(medians), "label", "left").withColumn("horizon", F.lit(h))
+
+
+def exact_medians(df: DataFrame, names: Sequence[str], accuracy: int = 10_000) -> DataFrame:
+    """Exact interpolated median of each column, ``label, median``, without ordering all its values.
+
+    A mergeable sketch brackets the middle, rows below the bracket are counted, and only the few inside are put in order. ``df``
+    is run three times. The driver sees five numbers a column.
+    """
+    at = [0.5 - 2.0 / accuracy, 0.5 + 2.0 / accuracy]  # a sketch errs by 1 / accuracy of the rows
+    sketches = df.agg(*[F.percentile_approx(c, at, accuracy).alias(c) for c in names]).first()
+    ends = {c: sketches[c] for c in names if sketches[c] is not None}
+    if not ends:
+        return df.sparkSession.createDataFrame([], "label string, median double")
+    inside = {c: F.col(c).between(F.lit(lo), F.lit(hi)) for c, (lo, hi) in ends.items()}
+    sizes = df.agg(*[x for c, (lo, _) in ends.items() for x in (
+        F.count(c).alias(f"n_{c}"), F.count(F.when(F.col(c) < F.lit(lo), 1)).alias(f"b_{c}"), F.count(F.when(inside[c], 1)).alias(f"i_{c}"))]).first()
+    middle = {c: ((sizes[f"n_{c}"] - 1) // 2, sizes[f"n_{c}"] // 2) for c in ends}  # places from 0
+    missed = [c for c, (a, b) in middle.items() if not sizes[f"b_{c}"] <= a <= b < sizes[f"b_{c}"] + sizes[f"i_{c}"]]
+    kept = {c: F.col(c).isNotNull() if c in missed else inside[c] for c in ends}
+    picked = F.array(*[F.when(kept[c], F.struct(F.lit(c).alias("label"), F.col(c).alias("value"))) for c in ends])
+    rows = df.select(F.explode(F.filter(picked, lambda x: x.isNotNull())).alias("s")).select("s.*")
+    ranked = value_ranks(rows.groupBy("label", "value").agg(F.count(F.lit(1)).alias("cnt")), "value", ["label"])
+
+    def value_at(side: int) -> Column:
+        place = F.coalesce(*[F.when(F.col("label") == c, F.lit(m[side] - (0 if c in missed else sizes[f"b_{c}"]))) for c, m in middle.items()])
+        return F.max(F.when((F.col("below") <= place) & (place < F.col("below") + F.col("cnt")), F.col("value")))
+
+    both = ranked.groupBy("label").agg(value_at(0).alias("lo"), value_at(1).alias("hi"))
+    return both.select("label", (F.col("lo") + (F.col("hi") - F.col("lo")) * 0.5).alias("median"))
 
 
 def empirical_percentile(df: DataFrame, value: str, actual: Column) -> Column:
