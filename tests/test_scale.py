@@ -95,3 +95,29 @@ def test_folds_that_are_left_out_are_fitted_together(spark):
         assert ep.leave_one_out(frame, ["a", "b"], folds=folds).agg(F.sum("samples")).first()[0] == 600
         jobs[folds] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"left-out-{folds}"))
     assert jobs[12] <= jobs[3] + 5
+
+
+def test_medians_order_only_what_is_near_the_middle(spark, monkeypatch):
+    from tickloom.operators import rollups as ru
+
+    df = spark.range(30_001).select(((F.col("id") * 7919 % 30_001) / 3.0).alias("a"), F.when(F.col("id") % 2 == 0, F.col("id") * 1.0).alias("b"), F.lit(None).cast("double").alias("c"), (F.col("id") % 3).cast("double").alias("d"))
+    seen, ranks = [], ru.value_ranks
+    monkeypatch.setattr(ru, "value_ranks", lambda counts, *x: seen.append(counts.count()) or ranks(counts, *x))
+    found = {r.label: r.median for r in ru.exact_medians(df, ["a", "b", "c", "d"]).collect()}
+    assert found == {"a": 5000.0, "b": 15000.0, "d": 1.0} and seen[0] < 100
+    assert ru.exact_medians(df.limit(0), ["a"]).collect() == []
+    two = spark.createDataFrame([(1.0,), (4.0,)], "a double")
+    assert ru.exact_medians(two, ["a"]).first().median == 2.5
+
+
+def test_forest_is_fitted_in_parts(spark, monkeypatch):
+    from tickloom.plans import experiments as ep
+
+    fitted, make = [], ep.make_model
+    monkeypatch.setattr(ep, "make_model", lambda kind, features, rows, label, trees=200, seed=42: fitted.append((kind, trees, seed)) or make(kind, features, rows, label, trees, seed))
+    monkeypatch.setattr(ep, "TREES", 3)
+    rows = [(f"T{i % 5}", f"2020-{1 + i // 140:02d}-{1 + i // 5 % 28:02d}", (i * 37 % 101) / 100, (i * 53 % 97) / 97 - 0.5) for i in range(560)]
+    frame = spark.createDataFrame(rows, "ticker string, ts string, a double, target double").withColumn("ts", F.col("ts").cast("date"))
+    out = ep.next_day_baseline(frame, ["a"], trees=7)
+    assert fitted == [("linear", 7, 42), ("random_forest", 3, 42), ("random_forest", 3, 43), ("random_forest", 1, 44)]
+    assert out.count() == 10 and out.filter("rows_test <> 33 AND rows_test <> 34").count() == 0
