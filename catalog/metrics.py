@@ -8,6 +8,7 @@ from catalog.labels import RELATIVE
 from catalog.registry import query
 from tickloom.functions.layout import DAILY, UNKNOWN, avg_rank, over_series, running
 from tickloom.functions import rolling as R
+from tickloom.functions.session import cut_lineage
 from tickloom.operators import exchange as ex
 from tickloom.operators import labels as lb
 from tickloom.operators import metrics as mt
@@ -208,10 +209,13 @@ GAPS = f"""{SUMMARIES}, gaps AS (
 
 
 def gaps(t) -> DataFrame:
-    return mt.real_vs_shuffled(
-        ru.weighted_fold_summary(folds(t, "target_value"), FOLD_METRICS, "real"),
-        ru.weighted_fold_summary(folds(t, "control"), FOLD_METRICS, "shuf"),
-    )
+    """Real and shuffled folds hold the same scores, which are ordered once for both."""
+    keys, sides = ["experiment_id", "window_id"], {"real_": "target_value", "shuf_": "control"}
+    frame = predictions(t).withColumns({f"{side}label": F.when(F.col(y) > 0, 1).otherwise(0) for side, y in sides.items()})
+    # one row per fold, read by both summaries
+    both = cut_lineage(mt.fold_metrics_of(frame, keys, {side: (f"{side}label", y, y) for side, y in sides.items()}))
+    real, shuf = (both.select(*keys, *[F.col(f"{side}{c}").alias(c) for c in ("rows", *FOLD_METRICS)]) for side in sides)
+    return mt.real_vs_shuffled(ru.weighted_fold_summary(real, FOLD_METRICS, "real"), ru.weighted_fold_summary(shuf, FOLD_METRICS, "shuf"))
 
 
 @query(

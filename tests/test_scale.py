@@ -121,3 +121,53 @@ def test_forest_is_fitted_in_parts(spark, monkeypatch):
     out = ep.next_day_baseline(frame, ["a"], trees=7)
     assert fitted == [("linear", 7, 42), ("random_forest", 3, 42), ("random_forest", 3, 43), ("random_forest", 1, 44)]
     assert out.count() == 10 and out.filter("rows_test <> 33 AND rows_test <> 34").count() == 0
+
+
+def test_sides_of_folds_share_one_order_of_the_scores(spark, monkeypatch):
+    from tickloom.functions import layout
+    from tickloom.operators import metrics as mt
+
+    nan = float("nan")
+    rows = [
+        (["a", "b"][i % 2] if i % 40 else None, None if i % 31 == 0 else nan if i % 37 == 0 else 0.5 if i % 3 else (i * 37 % 101) / 100, None if i % 23 == 0 else float(i * 53 % 97) - 48, None if i % 29 == 0 else float(i * 29 % 7) - 3)
+        for i in range(900)
+    ]
+    frame = spark.createDataFrame(rows, "f string, s double, y double, c double").withColumns({"ly": F.when(F.col("y").isNotNull(), (F.col("y") > 0).cast("int")), "lc": F.when(F.col("c") > 0, 1).otherwise(0)}).persist()
+    sides = {"real_": ("ly", "y", "c"), "shuf_": ("lc", "c", "c")}
+    monkeypatch.setattr(layout, "RANGE_ROWS", 50)
+    written, write = [], mt.stored
+    monkeypatch.setattr(mt, "stored", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(layout, "in_ranges", lambda *x: 1 / 0)
+    for kind in (None, "binary", "regression"):
+        got = mt.fold_metrics_of(frame, ["f"], sides, "s", kind).collect()
+        for side, (label, target, ret) in sides.items():
+            wanted = {r.f: r for r in mt.fold_metrics(frame, ["f"], label, "s", target, ret, layout.Shape(stamp_rows=1000), kind).collect()}
+            assert len(wanted) == len(got) == 3
+            for r in got:
+                for c in ("rows", "auc", "trade_count", "top_decile", "bottom_decile", "ic_spearman", "spread", "balanced_accuracy"):
+                    a, b = r[side + c], wanted[r.f][c]
+                    assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-9), (kind, side, r.f, c, a, b)
+    assert written == ["scored"] * 3
+    assert mt.fold_metrics_of(frame.limit(0), ["f"], sides, "s").collect() == []
+
+
+def test_a_value_of_many_rows_does_not_meet_in_one_task(spark, monkeypatch):
+    from tickloom.functions import layout
+
+    monkeypatch.setattr(layout, "RANGE_ROWS", 100)
+    df = spark.range(4000).select(F.lit("x").alias("k"), F.when(F.col("id") % 10 < 9, 1.0).otherwise(F.col("id") * 1.0).alias("v"), F.lit(1).alias("w"))
+    ends = layout.range_ends(df, ["k"], ["v"]).persist()
+    rows = df.join(ends.select("k", "_g"), "k")
+    seen = layout.placed(rows, rows, ends, "v", ["w"])
+    assert "_spread" in _plan(seen)
+    found = {(r.v, r.low_w, r.same_w, r.n_w) for r in seen.select("v", "low_w", "same_w", "n_w").collect()}
+    tail = sorted(i * 1.0 for i in range(4000) if i % 10 == 9)
+    assert found == {(1.0, 0, 3600, 4000)} | {(v, 3600 + i, 1, 4000) for i, v in enumerate(tail)}
+
+
+def test_forward_returns_are_not_exchanged_by_day(tables):
+    from catalog import fixtures as fx
+    from tickloom.operators import labels as lb
+
+    plan = _plan(lb.relative_forward_return(fx.bars(tables), 3))
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
