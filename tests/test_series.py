@@ -82,3 +82,73 @@ def test_models_from_the_expansion_are_single_fits(crowd, monkeypatch):
     monkeypatch.undo()
     every = {r.ticker: [*r.weights, r.intercept] for r in pt.leave_one_out_logistic(crowd, ["a", "b"], direct=1000).collect()}
     np.testing.assert_allclose([found[k] for k in sorted(found)], [every[k] for k in sorted(found)], atol=1e-8)
+
+
+def test_shuffles_meet_in_a_window(lines):
+    """Daily series take one exchange where two numberings were joined, with the same rows; rows without a ticker still go."""
+    from tickloom.functions.layout import UNKNOWN
+    from tickloom.operators.labels import shuffle_within
+
+    bars = fx.bars(lines).select("ticker", "ts", "high", "close").withColumn("close", F.when(F.dayofmonth("ts") > 2, F.col("close"))).repartition(3, "ts").persist()
+    one, two = shuffle_within(bars, "close"), shuffle_within(bars, "close", shape=UNKNOWN)
+    assert one.columns == two.columns and exchanges(one) == exchanges(bars) + 1
+    assert one.exceptAll(two).isEmpty() and one.count() == two.count() == 4 * 420
+    moved = one.join(bars.select("ticker", "ts", F.col("close").alias("old")), ["ticker", "ts"])
+    assert moved.filter(~F.col("close").eqNullSafe(F.col("old"))).count() > 1000 and one.filter("close IS NULL").count() == bars.filter("close IS NULL AND ticker IS NOT NULL").count()
+
+
+REGIME = "Trend_2h > -1 and StockMinusMkt_3 > -1e-1"
+EXPERIMENTS = [
+    ("T1", "regression", "gbt_reg", ["lag_ret_1"], None), ("T1", "regression", "elasticnet", None, REGIME), ("T1", "multiclass", "logistic", ["lag_ret_1"], REGIME),
+    ("T6", "regression", "elasticnet", ["lag_ret_1", "trend_30"], "Nothing > 0"),
+]
+
+
+@pytest.fixture(scope="module")
+def whole(lines):
+    from catalog import models
+
+    return models.panel(lines)
+
+
+@pytest.mark.parametrize(("target", "kind", "model", "features", "regime"), EXPERIMENTS)
+def test_narrow_panels_give_the_same_predictions(lines, whole, target, kind, model, features, regime):
+    from catalog import models
+    from tickloom.operators.labels import Experiment
+    from tickloom.plans import experiments as ep
+
+    experiment = Experiment("X", target, 3, kind, ("F1_TrendMomentum",), model, regime)
+    narrow = models.panel(lines, [experiment], features)
+    assert len(narrow.columns) < 12 < len(whole.columns)
+    got, want = (ep.predict_oos(f, experiment, features, [(1, 2)], trees=2, kept=k).toPandas().sort_values(["ticker", "ts"], ignore_index=True) for f, k in ((narrow, True), (whole, False)))
+    assert len(got) > 100 and (got["filter_applied"] == (regime == REGIME)).all()
+    np.testing.assert_allclose(got["prediction"], want["prediction"], rtol=1e-6, atol=1e-9)
+    assert got.drop(columns="prediction").equals(want.drop(columns="prediction"))
+
+
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_labels_shuffled_in_the_panel_are_those_shuffled_later(lines, whole, shuffled):
+    """The panel keeps rows without a ticker, which only real labels have."""
+    from catalog import models
+    from tickloom.operators.labels import Experiment
+    from tickloom.plans import experiments as ep
+
+    experiment = Experiment("X", "T3", 3, "binary", (), "elasticnet")
+    before = models.panel(lines, [experiment], ["lag_ret_1"], shuffled=True)
+    got, want = (ep.predict_oos(f, experiment, ["lag_ret_1"], [(1, 2)], shuffled=shuffled).select("ticker", "ts", "target_value", "realized_return") for f in (before, whole))
+    assert got.count() > 100 and got.exceptAll(want).isEmpty() and got.count() == want.count()
+    assert got.filter("ticker IS NULL").isEmpty() == shuffled
+
+
+def test_gates_split_without_an_exchange_of_rows(lines):
+    """A calendar of cuts is sent to the rows."""
+    from catalog import models
+    from tickloom.functions.layout import DAILY
+    from tickloom.operators.splits import chrono_split
+
+    frame = models.gate_frame(research_columns(fx.series_bars(lines)))
+    model, metrics = models.ep.fit_gate(frame, models.FEATURES)
+    row, total = metrics.first(), frame.count()
+    assert row.samples_train == int(total * 0.8) and row.samples == total - row.samples_train
+    assert frame.groupBy("ticker").count().agg(F.max("count")).first()[0] <= 300
+    assert "SortMergeJoin" not in chrono_split(frame, 0.8, shape=DAILY)._jdf.queryExecution().executedPlan().toString()
